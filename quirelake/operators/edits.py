@@ -1,0 +1,86 @@
+"""Replay of annotation edit logs (undo and redo), in batch."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+REPLAY_SCHEMA = "doc_id bigint, place int, ann_id bigint"
+
+
+class EditState:
+    """Live annotations of one document with its undo and redo stacks.
+
+    An entry is ``(action, ann_id, place)``. Adding or deleting pushes an undo
+    entry and clears redo. Undoing a deletion puts the mark back at its place, or
+    at the end when the list has become shorter; redoing an addition appends.
+    """
+
+    def __init__(self, annotations=(), undo=(), redo=()):
+        self.annotations = list(annotations)
+        self.undo = list(undo)
+        self.redo = list(redo)
+
+    def apply(self, action: str, ann_id: int | None, place: int | None) -> None:
+        if action == "add":
+            self.annotations.append(ann_id)
+            self.undo.append(("add", ann_id, -1))
+            self.redo.clear()
+        elif action == "delete":
+            if place is not None and 0 <= place < len(self.annotations):
+                gone = self.annotations.pop(place)
+                self.undo.append(("delete", gone, place))
+                self.redo.clear()
+        elif action == "undo" and self.undo:
+            entry = self.undo.pop()
+            self.redo.append(entry)
+            if entry[0] == "add":
+                self._drop(entry[1])
+            else:
+                self.annotations.insert(min(entry[2], len(self.annotations)), entry[1])
+        elif action == "redo" and self.redo:
+            entry = self.redo.pop()
+            self.undo.append(entry)
+            if entry[0] == "add":
+                self.annotations.append(entry[1])
+            else:
+                self._drop(entry[1])
+
+    def _drop(self, ann_id: int) -> None:
+        if self.annotations and self.annotations[-1] == ann_id:
+            self.annotations.pop()
+        else:
+            self.annotations = [a for a in self.annotations if a != ann_id]
+
+
+def _result(doc_id: int, state: EditState) -> pd.DataFrame:
+    return pd.DataFrame(
+        {"doc_id": doc_id, "place": range(len(state.annotations)), "ann_id": state.annotations}
+    )
+
+
+def _replay_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    doc_id, state = None, EditState()
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            if row.doc_id != doc_id:
+                if doc_id is not None and state.annotations:
+                    yield _result(doc_id, state)
+                doc_id, state = row.doc_id, EditState()
+            state.apply(row.action, row.ann_id, None if pd.isna(row.place) else int(row.place))
+    if doc_id is not None and state.annotations:
+        yield _result(doc_id, state)
+
+
+def replay(edits: DataFrame) -> DataFrame:
+    """Live annotations ``(doc_id, place, ann_id)`` after a whole edit log.
+
+    ``edits`` has doc_id, seq, action (add, delete, undo, redo), ann_id, place.
+    One document's edits depend on each other and run in order; they stream past
+    sorted, so only the live marks and the stacks are held, never the log.
+    """
+    log = edits.select("doc_id", "seq", "action", "ann_id", "place")
+    ordered = log.repartition("doc_id").sortWithinPartitions("doc_id", "seq")
+    return ordered.mapInPandas(_replay_sorted, REPLAY_SCHEMA)
