@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from quirelake.operators.documents import recent_files
 from quirelake.operators.edits import EditState
 from quirelake.session import STREAM_STATE
-from quirelake.sources.corpus import Extractor, extract
+from quirelake.sources.corpus import EXTRACT_SCHEMA, Extractor, extract
 from quirelake.sources.snapshot import upsert
 
 QUERY_GAP = "300 milliseconds"
@@ -25,6 +25,7 @@ SNAPSHOT_WINDOW = "5 seconds"
 LATENESS = "1 hour"
 
 RECENTS_SCHEMA = "user_id bigint, path string, ts timestamp"
+PAGE_STORE_SCHEMA = EXTRACT_SCHEMA
 EDIT_SCHEMA = "doc_id bigint, seq bigint, place int, ann_id bigint"
 
 
@@ -167,14 +168,12 @@ def reload_on_change(path: str, extractor: Extractor) -> Callable[[DataFrame, in
 
     The batch has path, content, ts; the newest content of each document counts.
     """
-    schema = "path string, page int, text string, error string"
-
     def merge(stored: DataFrame, batch: DataFrame) -> DataFrame:
         newest = batch.groupBy("path").agg(F.max_by("content", "ts").alias("content"))
         kept = stored.join(batch.select("path").distinct(), "path", "left_anti")
         return kept.unionByName(extract(newest, extractor))
 
-    return lambda batch, batch_id: upsert(batch, batch_id, path, "path", merge, schema)
+    return lambda batch, batch_id: upsert(batch, batch_id, path, "path", merge, PAGE_STORE_SCHEMA)
 
 
 def run_available(stream: DataFrame, sink: str, mode: str = "append") -> DataFrame:
