@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import trimmed, words_of
-from quirelake.operators.prefix import previous_value, running_total
+from quirelake.operators.prefix import running_total
 
 PAGE = ("doc_id", "page")
 
@@ -18,6 +18,9 @@ WORD_STEP = 45.0
 BYTE_WIDTH = 8.0
 LINE_HEIGHT = 12.0
 
+# Height of a band of y values in line grouping.
+LINE_BAND = 16384.0
+
 # Lines of one page text kept in one cell; longer pages continue in the next part.
 LINES_PER_PART = 65536
 
@@ -89,37 +92,76 @@ def span_offsets(spans: DataFrame, sep: str = "") -> DataFrame:
     return out.withColumn("end", F.col("start") + size)
 
 
-def assign_lines(words: DataFrame, tol: float) -> DataFrame:
-    """Add ``line_no``: words whose y is within ``tol`` of the line's first word.
+def _walk(ys: Column, start: Column, tol: float) -> Column:
+    """Pass sorted y values: the last anchor and the number of lines begun.
 
-    The anchor is the first word of the line, so drift breaks a line once it
-    adds up. Only distinct y values take part: a gap of ``tol`` or more always
-    starts a line, and between such gaps the few y values are walked in order.
+    ``start`` is a struct (anchor, lines); a y at ``tol`` or more from the anchor
+    begins a line and becomes the anchor.
     """
-    rows = words.select(*PAGE, "y").distinct()
-    rows = previous_value(rows, PAGE, "y", F.col("y"), "_before")
-    rows = rows.withColumn("_gap", (F.col("_before").isNull() | (F.col("y") - F.col("_before") >= tol)).cast("int"))
-    rows = running_total(rows, PAGE, "y", F.col("_gap"), "_run").withColumn("_run", F.col("_run") + F.col("_gap"))
 
-    start = F.struct(
-        F.lit(None).cast("double").alias("anchor"), F.array().cast("array<struct<y:double,anchor:double>>").alias("out")
-    )
+    def step(acc: Column, y: Column) -> Column:
+        begins = acc["anchor"].isNull() | (y - acc["anchor"] >= tol)
+        return F.struct(
+            F.when(begins, y).otherwise(acc["anchor"]).alias("anchor"),
+            (acc["lines"] + begins.cast("int")).alias("lines"),
+        )
+
+    return F.aggregate(ys, start, step)
+
+
+def _number(ys: Column, start: Column, tol: float) -> Column:
+    """Sorted y values with their line numbers, going on from ``start``."""
+    empty = F.array().cast("array<struct<y:double,line_no:int>>")
 
     def step(acc: Column, y: Column) -> Column:
-        anchor = F.when(acc["anchor"].isNull() | (y - acc["anchor"] >= tol), y).otherwise(acc["anchor"])
+        state = _walk(F.array(y), F.struct(acc["anchor"].alias("anchor"), acc["lines"].alias("lines")), tol)
+        row = F.struct(y.alias("y"), (state["lines"] - 1).alias("line_no"))
         return F.struct(
-            anchor.alias("anchor"),
-            F.concat(acc["out"], F.array(F.struct(y.alias("y"), anchor.alias("anchor")))).alias("out"),
+            state["anchor"].alias("anchor"), state["lines"].alias("lines"), F.concat(acc["out"], F.array(row)).alias("out")
         )
 
-    walked = F.aggregate(F.array_sort(F.collect_list("y")), start, step, lambda acc: acc["out"])
-    anchored = (
-        rows.groupBy(*PAGE, "_run").agg(walked.alias("_walk"))
-        .select(*PAGE, F.inline("_walk"))
-        .withColumn("_first", (F.col("y") == F.col("anchor")).cast("int"))
+    first = F.struct(start["anchor"].alias("anchor"), start["lines"].alias("lines"), empty.alias("out"))
+    return F.aggregate(ys, first, step, lambda acc: acc["out"])
+
+
+def assign_lines(words: DataFrame, tol: float, band: float = LINE_BAND) -> DataFrame:
+    """Add ``line_no``: words whose y is within ``tol`` of the line's first word.
+
+    The anchor is the first word of the line, so drift breaks a line once it
+    adds up. Only the distinct y values of a page take part, cut into bands. A
+    band can begin its first line only at its lowest y values (those less than
+    ``tol`` above its first, and the next one); for each such entry the band
+    tells where it ends. Chaining these summaries over a page's bands gives every
+    band its entry, and bands then number their values side by side.
+    """
+    unset = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("lines"))
+    ys = F.col("_ys")
+    bands = words.groupBy(*PAGE, F.floor(F.col("y") / band).alias("_band")).agg(
+        F.array_sort(F.collect_set("y")).alias("_ys")
     )
-    numbered = running_total(anchored, PAGE, "y", F.col("_first"), "_n").select(
-        *PAGE, "y", (F.col("_n") + F.col("_first") - 1).cast("int").alias("line_no")
+    low = F.size(F.filter(ys, lambda y: y - ys[0] < tol))
+    entries = F.transform(
+        F.slice(ys, F.lit(1), low + 1),
+        lambda y: F.struct(y.alias("first"), _walk(F.filter(ys, lambda z: z >= y), unset, tol).alias("end")),
+    )
+
+    def chain(acc: Column, row: Column) -> Column:
+        fits = F.filter(row["entries"], lambda e: acc["anchor"].isNull() | (e["first"] - acc["anchor"] >= tol))
+        end = F.get(fits, F.lit(0))["end"]
+        entered = F.struct(row["_band"].alias("_band"), F.struct(acc["anchor"].alias("anchor"), acc["lines"].alias("lines")).alias("_start"))
+        return F.struct(
+            F.coalesce(end["anchor"], acc["anchor"]).alias("anchor"),
+            (acc["lines"] + F.coalesce(end["lines"], F.lit(0))).alias("lines"),
+            F.concat(acc["out"], F.array(entered)).alias("out"),
+        )
+
+    none = F.array().cast("array<struct<_band:bigint,_start:struct<anchor:double,lines:int>>>")
+    first = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("lines"), none.alias("out"))
+    summaries = F.array_sort(F.collect_list(F.struct("_band", entries.alias("entries"))))
+    entered = bands.groupBy(*PAGE).agg(F.aggregate(summaries, first, chain, lambda acc: acc["out"]).alias("_entered"))
+    numbered = (
+        bands.join(entered.select(*PAGE, F.inline("_entered")), [*PAGE, "_band"])
+        .select(*PAGE, F.inline(_number(ys, F.col("_start"), tol)))
     )
     return words.drop("line_no").join(numbered, [*PAGE, "y"])
 

@@ -1,4 +1,4 @@
-"""Running sums, numbering and neighbours inside groups of any size.
+"""Running sums and numbering inside groups of any size.
 
 A plain window over a document would put that document in one task. Here each
 group is cut into blocks of its integer order column: every window partition
@@ -40,24 +40,3 @@ def running_total(
         .withColumn(out, F.col("_offset") + inside)
         .drop("_value", "_block", "_offset")
     )
-
-
-def previous_value(
-    df: DataFrame, group: Sequence[str], index: str, value: Column, out: str, block: int = BLOCK
-) -> DataFrame:
-    """Add ``out``: ``value`` of the row before, NULL on the first row."""
-    keys = [*group, "_block"]
-    rows = _blocked(df, index, value, block)
-    by_block = Window.partitionBy(*group).orderBy("_block")
-    ends = (
-        rows.groupBy(*keys)
-        .agg(F.max_by("_value", index).alias("_last"))
-        .select(*keys, F.lag("_last").over(by_block).alias("_carried"))
-    )
-    in_block = Window.partitionBy(*keys).orderBy(index)
-    first = F.row_number().over(in_block) == 1
-    return (
-        rows.join(ends, keys)
-        .withColumn(out, F.when(first, F.col("_carried")).otherwise(F.lag("_value").over(in_block)))
-        .drop("_value", "_block", "_carried")
-    )

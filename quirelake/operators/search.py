@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quirelake.functions.text import fold
 from quirelake.operators.layout import PAGE
 from quirelake.operators.prefix import running_total
+from quirelake.session import settle
 
 # Texts are searched in pieces of this many characters, overlapping by the query
 # length, so the work per piece is bounded and grows linearly with the text.
@@ -128,11 +129,12 @@ def _candidates(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     """Pages that hold the rarest gram of a query, with the page text.
 
     The page side of a frequent gram is spread over salts; the query side,
-    one row per query, is repeated for each salt.
+    one row per query, is repeated for each salt. Page grams are settled: they
+    are counted first and joined after.
     """
     folded = pages.select(*PAGE, fold(F.col("text")).alias("_folded"))
     all_sizes = F.concat(*[_grams(F.col("_folded"), n) for n in range(1, GRAM + 1)])
-    page_grams = folded.select(*PAGE, F.explode(all_sizes).alias("gram"))
+    page_grams = settle(folded.select(*PAGE, F.explode(all_sizes).alias("gram")), "grams")
 
     size = F.least(F.length("needle"), F.lit(GRAM))
     own = F.when(size == 1, _grams(F.col("needle"), 1)).when(size == 2, _grams(F.col("needle"), 2)).otherwise(
@@ -176,7 +178,12 @@ def hit_to_span(hits: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def number_hits(hits: DataFrame) -> DataFrame:
-    """Add ``hit_no``: place of a hit in its document, from zero, by page and position."""
+    """Add ``hit_no``: place of a hit in its document, from zero, by page and position.
+
+    Hits are few beside the text they were found in; they are settled first so
+    that the counting passes do not search again.
+    """
+    hits = settle(hits, "hits")
     inside = running_total(hits, PAGE, "pos", F.lit(1), "_inside")
     per_page = hits.groupBy(*PAGE).agg(F.count("*").alias("_n"))
     earlier = running_total(per_page, PAGE[:1], "page", F.col("_n"), "_earlier").select(*PAGE, "_earlier")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirelake.functions.text import delimited_row
 from quirelake.operators.layout import PAGE, assign_lines
 from quirelake.operators.prefix import running_total
+from quirelake.session import settle
 
 # Fixed values of the detection rule.
 LINE_TOLERANCE = 2.0
@@ -33,6 +34,7 @@ def _table_lines(words: DataFrame) -> DataFrame:
             F.max(F.col("x") + F.col("width")).alias("x1"), F.max(F.col("y") + F.col("height")).alias("y1"),
         )
     )
+    lines = settle(lines, "lines")
     # Each line also tells the next one its column starts.
     body = [F.col(c) for c in ("cells", "x0", "y0", "x1", "y1")]
     own = F.struct(F.col("line_no").alias("at"), F.col("starts").alias("own"), F.lit(None).cast("array<double>").alias("above"), F.struct(*body).alias("line"))

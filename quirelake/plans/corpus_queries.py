@@ -454,6 +454,21 @@ def edit_log(spark, folder):
     )
 
 
-@query("U3_replay")
+# Without deletions the stacks are one history and a place in it: an addition
+# cuts the history at the place, undo and redo move the place.
+REPLAY_CHECK = "WITH RECURSIVE " + with_inputs("clicks")[5:] + """,
+    log AS (SELECT user_id AS doc_id, event_id AS ann_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn,
+                   CASE event_type WHEN 'view' THEN 'undo' WHEN 'error' THEN 'redo' ELSE 'add' END AS action FROM clicks),
+    walk AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS rn, 0 AS place, 0 AS size, CAST(NULL AS INTEGER) AS level, CAST(0 AS BIGINT) AS ann_id FROM log
+             UNION ALL
+             SELECT l.doc_id, l.rn, CASE action WHEN 'add' THEN place + 1 WHEN 'undo' THEN greatest(place - 1, 0) ELSE least(place + 1, size) END,
+                    CASE action WHEN 'add' THEN place + 1 ELSE size END, CASE action WHEN 'add' THEN place END, l.ann_id
+             FROM walk w JOIN log l ON l.doc_id = w.doc_id AND l.rn = w.rn + 1)
+    SELECT doc_id, level AS place, max_by(ann_id, rn) AS ann_id
+    FROM walk JOIN (SELECT doc_id, max_by(place, rn) AS reached FROM walk GROUP BY doc_id) USING (doc_id)
+    WHERE level < reached GROUP BY doc_id, level"""
+
+
+@query("U3_replay", REPLAY_CHECK)
 def _(spark, folder):
     return edits.replay(edit_log(spark, folder))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.operators.documents import recent_files
+from quirelake.plans.corpus_queries import REPLAY_CHECK
 from quirelake.plans.inputs import table, with_inputs
 from quirelake.plans.registry import query
 from quirelake.session import work_folder
@@ -40,7 +41,7 @@ def _closed(alias: str) -> str:
 
 _BURSTS = """
     SELECT *, SUM(fresh) OVER (PARTITION BY grp ORDER BY ts) AS burst
-    FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY grp ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh
+    FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY grp ORDER BY ts) <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh
           FROM (SELECT *, {key} AS grp FROM clicks))"""
 
 
@@ -85,13 +86,13 @@ def _(spark, folder):
 
 @query("R6_drop_stale_replies", with_inputs("clicks") + """
     SELECT r.user_id, r.k AS query_id, r.event_id AS result, epoch_us(q.ts) AS asked_at
-    FROM clicks q JOIN clicks r ON q.user_id = r.user_id AND q.k = r.k AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL 2 DAY
+    FROM clicks q JOIN clicks r ON q.user_id = r.user_id AND q.k = r.k AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL 20 DAY
     WHERE q.event_type = 'click' AND r.event_type = 'view'""")
 def _(spark, folder):
     events = event_stream(spark, folder).withColumnRenamed("k", "query_id")
     asked = events.filter("event_type = 'click'").select("user_id", "query_id", "ts")
     told = events.filter("event_type = 'view'").select("user_id", "query_id", F.col("event_id").alias("result"), "ts")
-    done = jobs.run_available(jobs.drop_stale_replies(asked, told, "2 days"), work_folder(spark, "replies"))
+    done = jobs.run_available(jobs.drop_stale_replies(asked, told, "20 days"), work_folder(spark, "replies"))
     return done.select("user_id", "query_id", "result", F.unix_micros("asked_at").alias("asked_at"))
 
 
@@ -119,7 +120,7 @@ def _(spark, folder):
     return updates.groupBy("object_id", "name").agg(F.max_by("visible", "ts").alias("visible"))
 
 
-@query("R1_edit_log_state")
+@query("R1_edit_log_state", REPLAY_CHECK)
 def _(spark, folder):
     kind = F.col("event_type")
     action = F.when(kind == "view", F.lit("undo")).when(kind == "error", F.lit("redo")).otherwise(F.lit("add"))

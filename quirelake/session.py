@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,3 +52,15 @@ def work_folder(spark: SparkSession, label: str) -> str:
     if not base:
         base = os.path.join(tempfile.gettempdir(), "quirelake")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table to the shared space and read it back.
+
+    For a costly result that is read several times over: it is computed once,
+    later passes scan only the columns they need, and a lost executor costs a
+    reread instead of a recomputation.
+    """
+    path = work_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 BUCKETS = 64
 
 
-def _current(spark: SparkSession, path: str) -> dict[int, int]:
-    """Current version of each bucket; at most ``BUCKETS`` rows."""
+def _current(spark: SparkSession, path: str, below: int | None = None) -> dict[int, int]:
+    """Newest version (below a given one) of each bucket; at most ``BUCKETS`` rows."""
     try:
         listed = spark.read.schema("bucket int, version bigint").parquet(f"{path}/versions")
+        if below is not None:
+            listed = listed.filter(F.col("version") < below)
         return {r.bucket: r.version for r in listed.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
     except AnalysisException:
         return {}
@@ -76,7 +78,7 @@ def upsert(
     touched = [r.bucket for r in _bucketed(batch, key).select("bucket").distinct().collect()]
     if not touched:
         return
-    earlier = {b: v for b, v in _current(spark, path).items() if b in touched and v < batch_id}
+    earlier = {b: v for b, v in _current(spark, path, below=batch_id).items() if b in touched}
     stored = _read_buckets(spark, path, earlier, schema)
     merged = _bucketed(merge(stored, batch), key)
     merged.write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/data/version={batch_id}")
