@@ -14,7 +14,7 @@ from quirelake.session import settle
 
 # Texts are searched in pieces of this many characters, overlapping by the query
 # length, so the work per piece is bounded and grows linearly with the text.
-PIECE = 4096
+PIECE = 256
 # Offsets per block in the hit-to-span join.
 SPAN_BLOCK = 1024
 # Up to this many queries travel inside the plan; more are joined by gram.
@@ -28,41 +28,36 @@ def _quoted(needle: Column) -> Column:
     return F.concat(F.lit("\\Q"), inner, F.lit("\\E"))
 
 
-def _starts(text: Column, needle: Column) -> Column:
-    """Every start of ``needle`` in a short text, overlapping ones included.
+def _pieces(rows: DataFrame, keep: list[str], overlap: Column, same_case: bool) -> DataFrame:
+    """Texts cut into pieces that share ``overlap`` characters with the next one.
 
-    Splitting at a look-ahead cuts the text at each match without consuming it,
-    so the running length of the cuts gives the positions in one pass.
+    A look-ahead captures a piece with its overlap while the pattern itself
+    advances by the piece alone, so one linear pass cuts the whole text.
     """
-    cuts = F.split(text, F.concat(F.lit("(?="), _quoted(needle), F.lit(")")), -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    walked = F.aggregate(
-        cuts,
-        zero,
-        lambda acc, cut: F.struct(
-            (acc["at"] + F.length(cut)).alias("at"),
-            F.concat(acc["starts"], F.array(acc["at"])).alias("starts"),
-        ),
-        lambda acc: acc["starts"],
+    pattern = F.concat(
+        F.lit("(?s)(?=(.{1,"), (overlap + PIECE).cast("string"), F.lit(f"}})).{{1,{PIECE}}}")
     )
-    return F.when(text.startswith(needle), walked).otherwise(F.slice(walked, F.lit(2), F.size(walked) - 1))
+    cut = rows.select(*keep, F.posexplode(F.regexp_extract_all("text", pattern, F.lit(1))).alias("_piece_no", "_piece"))
+    return cut.withColumn("_seen", F.col("_piece") if same_case else fold(F.col("_piece")))
 
 
-def _find(rows: DataFrame, keep: list[str], needle: Column, size: Column, same_case: bool) -> DataFrame:
-    """Hits of ``needle`` in ``rows.text``; both sides of a match are characters."""
-    look = (lambda c: c) if same_case else fold
-    pattern = F.concat(
-        F.lit("(?s)(?=(.{1,"), (size + (PIECE - 1)).cast("string"), F.lit(f"}})).{{1,{PIECE}}}")
+def _matches(pieces: DataFrame, keep: list[str], needle: Column) -> DataFrame:
+    """Every start of ``needle`` in the pieces, overlapping ones included.
+
+    A look-ahead matches without consuming, and its capture runs from the match
+    to the end of the piece: the capture's length tells the position. A start in
+    the overlap belongs to the next piece.
+    """
+    rest = F.regexp_extract_all("_seen", F.concat(F.lit("(?s)(?=("), _quoted(needle), F.lit(".*))")), F.lit(1))
+    found = (
+        pieces.filter(F.col("_seen").contains(needle))
+        .select(*keep, "_piece_no", "_piece", needle.alias("_needle"), F.explode(rest).alias("_rest"))
+        .withColumn("_at", F.length("_piece") - F.length("_rest"))
     )
-    pieces = rows.select(
-        *keep, needle.alias("_needle"), size.alias("_size"),
-        F.posexplode(F.regexp_extract_all("text", pattern, F.lit(1))).alias("_piece_no", "_piece"),
-    ).filter(look(F.col("_piece")).contains(F.col("_needle")))
-    starts = _starts(look(F.col("_piece")), F.col("_needle"))
-    return pieces.select(*keep, "_piece_no", "_piece", "_size", F.explode(starts).alias("_at")).select(
+    return found.filter(F.col("_at") < PIECE).select(
         *keep,
         (F.col("_piece_no") * PIECE + F.col("_at")).alias("pos"),
-        F.substring("_piece", F.col("_at") + 1, F.col("_size")).alias("text"),
+        F.substring("_piece", F.col("_at") + 1, F.length("_needle")).alias("text"),
     )
 
 
@@ -78,13 +73,12 @@ def search(pages: DataFrame, query: str, case_sensitive: bool = False, page: int
     no shuffle.
     """
     needle = _needle(query, case_sensitive)
-    if not needle:
-        return _find(pages.filter(F.lit(False)), list(PAGE), F.lit("x"), F.lit(1), case_sensitive)
-    rows = pages if page is None else pages.filter(F.col("page") == page)
     look = F.col("text") if case_sensitive else fold(F.col("text"))
-    return _find(
-        rows.filter(look.contains(needle)), list(PAGE), F.lit(needle), F.lit(len(needle)), case_sensitive
-    )
+    rows = pages.filter(look.contains(needle) if needle else F.lit(False))
+    if page is not None:
+        rows = rows.filter(F.col("page") == page)
+    pieces = _pieces(rows, list(PAGE), F.lit(max(len(needle) - 1, 0)), case_sensitive)
+    return _matches(pieces, list(PAGE), F.lit(needle))
 
 
 def search_counts(hits: DataFrame, by_page: bool = False) -> DataFrame:
@@ -104,19 +98,19 @@ def search_many(pages: DataFrame, queries: DataFrame, inline_limit: int = INLINE
         queries.select("query_id", fold(F.col("query")).alias("needle"))
         .filter("needle != ''")
     )
+    keep = ["query_id", *PAGE]
     head = wanted.limit(inline_limit + 1).collect()
     if len(head) > inline_limit:
         pairs = _candidates(pages, wanted)
-    elif head:
-        known = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.lit(r.needle).alias("needle")) for r in head])
-        folded = pages.withColumn("_folded", fold(F.col("text")))
-        found = F.filter(known, lambda q: F.col("_folded").contains(q["needle"]))
-        pairs = folded.select(*PAGE, "text", F.explode(found).alias("q")).select(*PAGE, "text", "q.query_id", "q.needle")
-    else:
-        pairs = pages.filter(F.lit(False)).select(
-            *PAGE, "text", F.lit(None).cast(wanted.schema["query_id"].dataType).alias("query_id"), F.lit("").alias("needle")
-        )
-    return _find(pairs, ["query_id", *PAGE], F.col("needle"), F.length("needle"), False)
+        return _matches(_pieces(pairs, [*keep, "needle"], F.length("needle") - 1, False), keep, F.col("needle"))
+    ids = wanted.schema["query_id"].dataType
+    known = F.array(*[F.struct(F.lit(r.query_id).cast(ids).alias("query_id"), F.lit(r.needle).alias("needle")) for r in head])
+    known = known.cast(f"array<struct<query_id:{ids.simpleString()},needle:string>>")
+    longest = max((len(r.needle) for r in head), default=1)
+    pieces = _pieces(pages, list(PAGE), F.lit(longest - 1), False)
+    asked = F.filter(known, lambda q: F.col("_seen").contains(q["needle"]))
+    paired = pieces.select(*PAGE, "_piece_no", "_piece", "_seen", F.inline(asked))
+    return _matches(paired, keep, F.col("needle"))
 
 
 def _grams(text: Column, size: int) -> Column:

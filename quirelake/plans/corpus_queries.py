@@ -115,8 +115,8 @@ def _filed(spark, folder):
 @query("S7_split_pages", with_inputs("turns") + "SELECT doc_id, page, 'talk.' || doc_id || '_page_' || (page + 1) AS out_name, text FROM turns")
 def _(spark, folder):
     path = work_folder(spark, "split")
-    sinks.write_split(sinks.split_pages(_filed(spark, folder)).withColumn("n", F.col("page")), path)
-    return spark.read.parquet(path).select("doc_id", F.col("n").alias("page"), "out_name", "text")
+    sinks.write_split(sinks.split_pages(_filed(spark, folder)), path)
+    return spark.read.parquet(path).select("doc_id", "page", "out_name", "text")
 
 
 @query("S7_split_page_list", with_inputs("turns") + """

@@ -78,8 +78,17 @@ def split_pages(pages: DataFrame, page_list: list[int] | None = None) -> DataFra
     return kept.withColumn("out_name", name)
 
 
-def write_split(split: DataFrame, path: str) -> None:
-    split.write.partitionBy("doc_id", "out_name").mode("overwrite").parquet(path)
+def write_split(split: DataFrame, path: str, folders: bool = False) -> None:
+    """Store split pages sorted by output name, so reading one page prunes to it.
+
+    ``folders`` gives every page a folder of its own, as a hand-over to tools that
+    want files; for a whole corpus that is one small file per page.
+    """
+    if folders:
+        split.write.partitionBy("doc_id", "out_name").mode("overwrite").parquet(path)
+        return
+    order = ["doc_id", "out_name"]
+    split.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
 
 
 def write_organised(pages: DataFrame, order: DataFrame, path: str) -> None:

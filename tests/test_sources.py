@@ -103,9 +103,10 @@ def test_written_export(spark, folder):
     assert lines[:3] == ["## Page 1", "", "p<0"]
 
 
-def test_split_then_merge_is_identity(spark, folder):
+@pytest.mark.parametrize("folders", [False, True])
+def test_split_then_merge_is_identity(spark, folder, folders):
     source = pages(spark, 4)
-    sinks.write_split(sinks.split_pages(source).withColumn("n", F.col("page")), folder)
+    sinks.write_split(sinks.split_pages(source).withColumn("n", F.col("page")), folder, folders)
     back = spark.read.parquet(folder)
     assert rows(back, "n", "text") == rows(source, "page", "text")
     assert rows(back, "out_name")[0] == ("book_page_1",)
