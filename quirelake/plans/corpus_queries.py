@@ -61,12 +61,11 @@ def _(spark, folder):
 def _(spark, folder):
     kind = F.col("event_type")
     state = (
-        F.when(kind == "click", F.format_string('{"k": %d, "zoom": 1.5, "theme": 7e}', "k"))
+        F.when(kind == "click", F.format_string('{"k": %d, "zoom": 1.5}', "k"))
         .when(kind == "view", F.lit('{"k": "many", "zoom": 2.0, "theme": "Dark"}'))
         .when(kind == "error", F.lit("not json"))
         .otherwise(F.lit('{"zoom": 0.5}'))
     )
-    state = F.when(kind == "click", F.format_string('{"k": %d, "zoom": 1.5}', "k")).otherwise(state)
     rows = clicks(spark, folder).select("event_id", state.alias("state"))
     return corpus.read_state_json(rows, "state", "k INT, zoom DOUBLE, theme STRING", {"k": -1, "zoom": 1.0, "theme": "System"})
 
@@ -176,7 +175,7 @@ def _toggles(spark, folder):
     """A layer toggle for each event, on the layer numbered by its ``k``."""
     layers = table(spark, folder, "nation").select("n_nationkey", F.col("n_regionkey").cast("bigint").alias("doc_id"))
     events = clicks(spark, folder).withColumn("n_nationkey", F.col("k") % 40)
-    return events.join(F.broadcast(layers.limit(1000)), "n_nationkey").select(
+    return events.join(layers, "n_nationkey").select(
         "doc_id", F.struct(F.col("n_nationkey").alias("num"), F.lit(0).alias("gen")).alias("object_id"),
         (F.col("event_type") == "view").alias("visible"), "ts",
     )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.operators.layout import layout_words
+from quirelake.session import spread
 from quirelake.sources.corpus import read_corpus
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -41,7 +42,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations as documents, one page per turn."""
-    return table(spark, folder, "conversations").select(
+    return spread(table(spark, folder, "conversations")).select(
         F.col("conv_id").alias("doc_id"),
         F.col("turn").cast("int").alias("page"),
         F.lit(612.0).alias("width"),
@@ -180,7 +181,7 @@ _cte("html_pages", (), "SELECT page_id AS doc_id, url, html FROM pages")
 
 def pixels(spark: SparkSession, folder: str) -> DataFrame:
     """A pixel for each line item, on one page per supplier."""
-    return table(spark, folder, "lineitem").select(
+    return spread(table(spark, folder, "lineitem")).select(
         F.col("l_suppkey").alias("page_id"),
         (F.col("l_partkey") % 600).cast("int").alias("px"),
         (F.col("l_orderkey") % 800).cast("int").alias("py"),

@@ -10,6 +10,8 @@ from quirelake.plans.inputs import (
     SPACE, boxes, clicks, marks, pixels, sheets, table, turn_words, turns, with_inputs,
 )
 from quirelake.plans.registry import query
+from quirelake.session import spread
+from quirelake.sources.sinks import export_tables
 
 
 # --- layout -----------------------------------------------------------------
@@ -51,9 +53,6 @@ def _(spark, folder):
 
 @query("P5_drop_blank_words", with_inputs("turns") + f"SELECT doc_id, page, line_no, text FROM ({_TURN_LINES}) WHERE text <> ''")
 def _(spark, folder):
-    lines = turns(spark, folder).select(
-        "doc_id", "page", F.posexplode(F.split(F.regexp_replace("text", r"\. ", ".\n \n"), "\n")).alias("line_no", "text")
-    )
     whole = turns(spark, folder).select(
         "doc_id", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "text")
     )
@@ -136,7 +135,7 @@ def _(spark, folder):
 
 @query("A0_search_overlapping", "WITH whole AS (SELECT doc_id, 0 AS page, text FROM documents)" + _hits("whole", "erer"))
 def _(spark, folder):
-    whole = table(spark, folder, "documents").select("doc_id", F.lit(0).alias("page"), "text")
+    whole = spread(table(spark, folder, "documents")).select("doc_id", F.lit(0).alias("page"), "text")
     return search.search(whole, "erer")
 
 
@@ -316,8 +315,6 @@ def _(spark, folder):
     SELECT doc_id, page, table_no, 0 AS part, CAST(line - top AS INTEGER) AS row_no, runs.tsv AS line
     FROM runs JOIN numbered USING (doc_id, page, run)""")
 def _(spark, folder):
-    from quirelake.sources.sinks import export_tables
-
     return export_tables(tables.detect_tables(turn_words(spark, folder)), "\t")
 
 

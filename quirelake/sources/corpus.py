@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirelake.session import spread
+
 # File size guard and page size.
 MAX_BYTES = 256 * 1024 * 1024
 PAGE_WIDTH = 612.0
@@ -54,7 +56,8 @@ def paginate(documents: DataFrame, lines_per_page: int = 10) -> DataFrame:
 
 def read_corpus(spark: SparkSession, folder: str, lines_per_page: int = 10) -> DataFrame:
     """The page table of a folder's ``documents`` table."""
-    return paginate(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), lines_per_page)
+    documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    return paginate(spread(documents), lines_per_page)
 
 
 Extractor = Callable[[bytes], Iterable[tuple[int, str]]]
