@@ -76,9 +76,12 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
 
 
 def unreferenced(rows: DataFrame, *references: tuple[DataFrame, str], key: str = "doc_id") -> DataFrame:
-    """Rows whose key no given (table, column) refers to."""
+    """Rows whose key no given (table, column) refers to.
+
+    References are cut to distinct keys first: a key referred to by a third of a
+    table would otherwise send all those rows to one task."""
     for table, column in references:
-        rows = rows.join(table.select(F.col(column).alias(key)), key, "left_anti")
+        rows = rows.join(table.select(F.col(column).alias(key)).distinct(), key, "left_anti")
     return rows
 
 
@@ -96,7 +99,7 @@ def latest_results(results: DataFrame) -> DataFrame:
 def tag_untagged(pages: DataFrame, tags: DataFrame) -> DataFrame:
     """One ``Part`` element with the page text for each page of an untagged
     document; tagged documents give nothing."""
-    untagged = pages.join(tags.select("doc_id"), "doc_id", "left_anti")
+    untagged = pages.join(tags.select("doc_id").distinct(), "doc_id", "left_anti")
     return untagged.select(*PAGE, F.lit("Part").alias("element"), F.col("text").alias("alt"))
 
 

@@ -69,16 +69,19 @@ def words_in_box(words: DataFrame, boxes: DataFrame) -> DataFrame:
     )
 
 
+def _covered(words: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Keys of words under some box, each once however many boxes cover it."""
+    return words_in_box(words, boxes).select(*PAGE, "word_no").distinct()
+
+
 def redact(words: DataFrame, boxes: DataFrame) -> DataFrame:
     """Words that no box of their page overlaps."""
-    covered = words_in_box(words, boxes).select(*PAGE, "word_no")
-    return words.join(covered, [*PAGE, "word_no"], "left_anti")
+    return words.join(_covered(words, boxes), [*PAGE, "word_no"], "left_anti")
 
 
 def redaction_audit(words: DataFrame, boxes: DataFrame) -> DataFrame:
     """The words :func:`redact` removes."""
-    covered = words_in_box(words, boxes).select(*PAGE, "word_no")
-    return words.join(covered, [*PAGE, "word_no"], "left_semi")
+    return words.join(_covered(words, boxes), [*PAGE, "word_no"], "left_semi")
 
 
 def highlights_from_selection(selected: DataFrame, color: str = "#FFFF00") -> DataFrame:

@@ -14,7 +14,7 @@ from quirelake.plans.corpus_queries import REPLAY_CHECK
 from quirelake.plans.inputs import table, with_inputs
 from quirelake.plans.registry import query
 from quirelake.session import work_folder
-from quirelake.sources.snapshot import read_upserted
+from quirelake.sources.snapshot import read_newest, read_upserted
 from quirelake.streaming import jobs
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -159,4 +159,4 @@ def _(spark, folder):
         F.col("url").alias("path"), F.col("html").cast("binary").alias("content"), F.timestamp_seconds("page_id").alias("ts")
     )
     jobs.run_batches(changes, f"{store}-log", jobs.reload_on_change(store, _paragraphs))
-    return read_upserted(spark, store, jobs.PAGE_STORE_SCHEMA).select("path", "page", "text")
+    return read_newest(spark, store, "path", jobs.PAGE_STORE_SCHEMA).select("path", "page", "text")

@@ -1,6 +1,10 @@
-"""Replaceable tables: a new version is written in full, then made current.
+"""Replaceable tables, in three forms.
 
-Versions are listed in a small append-only table. A reader sees the old version
+``write_snapshot`` replaces a table as a whole, ``upsert`` rewrites the buckets a
+batch touches, and ``append_version`` only adds: each key's newest batch counts
+when reading.
+
+Snapshot and bucket versions are listed in a small append-only table. A reader sees the old version
 until the list entry of the new one is committed, and an interrupted write leaves
 only an unlisted folder behind.
 """
@@ -12,6 +16,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 64
 
@@ -89,3 +94,23 @@ def upsert(
 def read_upserted(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The current content of a table kept by :func:`upsert`."""
     return _read_buckets(spark, path, _current(spark, path), schema)
+
+
+def append_version(rows: DataFrame, keys: DataFrame, batch_id: int, path: str) -> None:
+    """Add the new rows of some keys; nothing stored is read or rewritten.
+
+    ``keys`` lists every key the batch replaces, also those left without rows. It
+    is written last and makes the rows count; a repeated batch writes the same
+    folders again.
+    """
+    rows.write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
+    keys.distinct().write.mode("overwrite").parquet(f"{path}/keys/batch_id={batch_id}")
+
+
+def read_newest(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
+    """Rows written by :func:`append_version`, newest batch of each key only."""
+    key_type = T.StructType.fromDDL(schema)[key].dataType.simpleString()
+    keys = spark.read.schema(f"{key} {key_type}, batch_id bigint").parquet(f"{path}/keys")
+    newest = keys.groupBy(key).agg(F.max("batch_id").alias("batch_id"))
+    rows = spark.read.schema(f"{schema}, batch_id bigint").parquet(f"{path}/rows")
+    return rows.join(newest, [key, "batch_id"]).drop("batch_id")

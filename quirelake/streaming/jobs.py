@@ -17,7 +17,7 @@ from quirelake.operators.documents import recent_files
 from quirelake.operators.edits import EditState
 from quirelake.session import STREAM_STATE
 from quirelake.sources.corpus import EXTRACT_SCHEMA, Extractor, extract
-from quirelake.sources.snapshot import upsert
+from quirelake.sources.snapshot import append_version, upsert
 
 QUERY_GAP = "300 milliseconds"
 CHANGE_GAP = "1 second"
@@ -164,16 +164,17 @@ def upsert_recents(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def reload_on_change(path: str, extractor: Extractor) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` callback replacing the stored pages of changed documents.
+    """``foreachBatch`` callback reading changed documents again.
 
     The batch has path, content, ts; the newest content of each document counts.
+    Only the new pages are written; ``read_newest`` leaves the old ones out.
     """
-    def merge(stored: DataFrame, batch: DataFrame) -> DataFrame:
+
+    def reload(batch: DataFrame, batch_id: int) -> None:
         newest = batch.groupBy("path").agg(F.max_by("content", "ts").alias("content"))
-        kept = stored.join(batch.select("path").distinct(), "path", "left_anti")
-        return kept.unionByName(extract(newest, extractor))
+        append_version(extract(newest, extractor), batch.select("path"), batch_id, path)
 
-    return lambda batch, batch_id: upsert(batch, batch_id, path, "path", merge, PAGE_STORE_SCHEMA)
+    return reload
 
 
 def run_available(stream: DataFrame, sink: str, mode: str = "append") -> DataFrame:
