@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import delimited_row
@@ -17,42 +17,52 @@ SHARED_COLUMNS = 2
 MIN_LINES = 2
 # Table lines kept in one cell.
 LINES_PER_PART = 4096
+# Lines compared side by side in one window partition.
+LINES_PER_BLOCK = 4096
 
 
 def _table_lines(words: DataFrame) -> DataFrame:
-    """Lines belonging to tables, with the run they are in."""
+    """Lines of each page with ``run``, the first line of the run they are in.
+
+    Words of a page are gathered by blocks of lines, the last line of a block
+    also in the next one, so that every line meets the line above it. Lines and
+    runs come out of that one shuffle; only a run reaching over a block's start
+    is looked up among the earlier blocks.
+    """
+    block = F.floor(F.col("line_no") / LINES_PER_BLOCK)
+    last = F.col("line_no") % LINES_PER_BLOCK == LINES_PER_BLOCK - 1
+    blocks = F.when(last, F.array(block, block + 1)).otherwise(F.array(block))
+    word = F.struct("x", "word_no", "text")
     column = F.round(F.col("x") / COLUMN_STEP) * COLUMN_STEP
     lines = (
         assign_lines(words, LINE_TOLERANCE)
-        .groupBy(*PAGE, "line_no")
+        .withColumn("_block", F.explode(blocks))
+        .repartition(*PAGE, "_block")
+        .groupBy(*PAGE, "_block", "line_no")
         .agg(
-            F.array_sort(F.collect_set(column)).alias("starts"),
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("x", "word_no", "text"))), lambda w: w["text"]
-            ).alias("cells"),
+            F.collect_set(column).alias("_starts"),
+            F.transform(F.array_sort(F.collect_list(word)), lambda w: w["text"]).alias("cells"),
             F.min("x").alias("x0"), F.min("y").alias("y0"),
             F.max(F.col("x") + F.col("width")).alias("x1"), F.max(F.col("y") + F.col("height")).alias("y1"),
         )
     )
-    lines = settle(lines, "lines")
-    # Each line also tells the next one its column starts.
-    body = [F.col(c) for c in ("cells", "x0", "y0", "x1", "y1")]
-    own = F.struct(F.col("line_no").alias("at"), F.col("starts").alias("own"), F.lit(None).cast("array<double>").alias("above"), F.struct(*body).alias("line"))
-    told = F.struct((F.col("line_no") + 1).alias("at"), F.lit(None).cast("array<double>").alias("own"), F.col("starts").alias("above"), F.lit(None).cast("struct<cells:array<string>,x0:double,y0:double,x1:double,y1:double>").alias("line"))
-    paired = (
-        lines.select(*PAGE, F.explode(F.array(own, told)).alias("m"))
-        .groupBy(*PAGE, F.col("m.at").alias("line_no"))
-        .agg(
-            F.any_value("m.own", ignoreNulls=True).alias("own"),
-            F.any_value("m.above", ignoreNulls=True).alias("above"),
-            F.any_value("m.line", ignoreNulls=True).alias("line"),
-        )
-        .filter("line IS NOT NULL")
+    in_block = Window.partitionBy(*PAGE, "_block").orderBy("line_no")
+    above = F.lag("_starts").over(in_block)
+    begins = F.coalesce(F.size(F.array_intersect("_starts", above)), F.lit(0)) < SHARED_COLUMNS
+    compared = (
+        lines.withColumn("_begins", begins)
+        .filter(F.floor(F.col("line_no") / LINES_PER_BLOCK) == F.col("_block"))
+        .withColumn("_run", F.max(F.when(F.col("_begins"), F.col("line_no"))).over(in_block))
+        .drop("_starts", "_begins")
+    )
+    compared = settle(compared, "lines")
+    earlier = Window.partitionBy(*PAGE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    reached = (
+        compared.groupBy(*PAGE, "_block").agg(F.max("_run").alias("_reached"))
+        .select(*PAGE, "_block", F.max("_reached").over(earlier).alias("_carried"))
     )
-    shared = F.coalesce(F.size(F.array_intersect("own", "above")), F.lit(0)) >= SHARED_COLUMNS
-    starts = paired.select(*PAGE, "line_no", "line.*", (~F.coalesce(shared, F.lit(False))).cast("int").alias("_start"))
-    runs = running_total(starts, PAGE, "line_no", F.col("_start"), "_earlier")
-    return runs.withColumn("run", (F.col("_earlier") + F.col("_start")).cast("int")).drop("_earlier", "_start")
+    run = F.coalesce("_run", "_carried").alias("run")
+    return compared.join(reached, [*PAGE, "_block"]).select(*PAGE, "line_no", "cells", "x0", "y0", "x1", "y1", run)
 
 
 def detect_tables(words: DataFrame) -> DataFrame:
@@ -66,8 +76,7 @@ def detect_tables(words: DataFrame) -> DataFrame:
     runs = (
         lines.groupBy(*PAGE, "run")
         .agg(
-            F.count("*").alias("line_count"), F.min("line_no").alias("_top"),
-            F.min("x0").alias("x"), F.min("y0").alias("y"),
+            F.count("*").alias("line_count"), F.min("x0").alias("x"), F.min("y0").alias("y"),
             (F.max("x1") - F.min("x0")).alias("width"), (F.max("y1") - F.min("y0")).alias("height"),
         )
         .filter(F.col("line_count") >= MIN_LINES)
@@ -76,7 +85,7 @@ def detect_tables(words: DataFrame) -> DataFrame:
     row = F.struct("line_no", "cells")
     parts = (
         lines.join(named, [*PAGE, "run"])
-        .withColumn("part", F.floor((F.col("line_no") - F.col("_top")) / LINES_PER_PART).cast("int"))
+        .withColumn("part", F.floor((F.col("line_no") - F.col("run")) / LINES_PER_PART).cast("int"))
         .groupBy(*PAGE, "table_no", "part", "line_count", "x", "y", "width", "height")
         .agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["cells"]).alias("cells"))
     )

@@ -339,6 +339,24 @@ def test_long_table_continues_in_parts(spark, monkeypatch):
     assert {p.height for p in parts} == {84.0}
 
 
+def columns_at(spark, pattern):
+    """A page whose lines have words at the columns given per line."""
+    data, n = [], 0
+    for line, places in enumerate(pattern):
+        for place in places:
+            data.append((1, 0, n, f"{line}{place}", 50.0 + 100 * place, 18.0 * line, 8.0, 12.0))
+            n += 1
+    return word_table(spark, data)
+
+
+@pytest.mark.parametrize("block", [2, 3, 5, 4096])
+def test_tables_reach_over_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(tables, "LINES_PER_BLOCK", block)
+    pattern = [[0, 1], [0, 1], [2], [0, 3], [0, 3], [0, 3], [0, 3], [0, 3], [0, 3], [1, 2], [5], [1, 2], [1, 2]]
+    found = tables.detect_tables(columns_at(spark, pattern)).orderBy("table_no").collect()
+    assert [(t.table_no, t.line_count, t.cells[0][0]) for t in found] == [(0, 2, "00"), (1, 6, "30"), (2, 2, "111")]
+
+
 def test_rules(spark):
     docs = spark.createDataFrame([(1, "ok"), (2, None)], "doc_id bigint, text string")
     book = quality.register_rules([quality.Rule("text", F.col("text").isNull(), "no text")], "first")
