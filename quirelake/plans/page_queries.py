@@ -367,8 +367,8 @@ def _(spark, folder):
 
 
 @query("J6_resolve_page_ref", with_inputs("clicks", "turns") + """
-    SELECT event_id, coalesce(CASE event_type WHEN 'click' THEN first WHEN 'view' THEN first
-           WHEN 'error' THEN greatest(k - 1, 0) WHEN 'signup' THEN 7 END, -1) AS page
+    SELECT event_id, CAST(coalesce(CASE event_type WHEN 'click' THEN first WHEN 'view' THEN first
+           WHEN 'error' THEN greatest(k - 1, 0) WHEN 'signup' THEN 7 END, -1) AS BIGINT) AS page
     FROM clicks LEFT JOIN (SELECT doc_id, label, MIN(page) AS first FROM turns GROUP BY ALL) t
       ON user_id = doc_id AND label = CASE event_type WHEN 'click' THEN 'user' ELSE 'assistant' END""")
 def _(spark, folder):
