@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +14,22 @@ from quirelake.operators.layout import PAGE
 from quirelake.operators.prefix import running_total
 from quirelake.session import settle
 
+try:
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
 # Texts are searched in pieces of this many characters, overlapping by the query
 # length, so the work per piece is bounded and grows linearly with the text.
 PIECE = 256
 # Offsets per block in the hit-to-span join.
 SPAN_BLOCK = 1024
-# Up to this many queries travel inside the plan; more are joined by gram.
-INLINE_QUERIES = 256
+# Up to this many queries travel inside the plan. Up to the next bounds they go to
+# the tasks as one matching automaton; beyond, they are joined by gram.
+INLINE_QUERIES = 16
+AUTOMATON_QUERIES = 100_000
+AUTOMATON_CHARS = 8_000_000
+HITS_PER_BATCH = 50_000
 GRAM = 3
 GRAM_SALTS = 16
 
@@ -87,30 +98,73 @@ def search_counts(hits: DataFrame, by_page: bool = False) -> DataFrame:
     return hits.groupBy(*keys).agg(F.count("*").alias("hits"))
 
 
-def search_many(pages: DataFrame, queries: DataFrame, inline_limit: int = INLINE_QUERIES) -> DataFrame:
+def search_many(
+    pages: DataFrame, queries: DataFrame, inline_limit: int = INLINE_QUERIES, automaton_limit: int = AUTOMATON_QUERIES
+) -> DataFrame:
     """Hits ``(query_id, doc_id, page, pos, text)`` of every query.
 
-    ``queries`` has query_id and query. A short list (its size is checked with a
-    bounded read) becomes an array in the plan and pages are read once, without
-    a join. A longer one is matched through the rarest gram of each query.
+    ``queries`` has query_id and query. How many there are is checked with bounded
+    reads: a few become an array in the plan, more are sent to the tasks as an
+    automaton that finds all of them in one pass over a text, and a list beyond
+    its bounds is joined through one gram of each query. All three read every
+    page whole, and only the last one shuffles.
     """
     wanted = (
         queries.select("query_id", fold(F.col("query")).alias("needle"))
         .filter("needle != ''")
     )
-    keep = ["query_id", *PAGE]
     head = wanted.limit(inline_limit + 1).collect()
-    if len(head) > inline_limit:
-        pairs = _candidates(pages, wanted)
-        return _matches(_pieces(pairs, [*keep, "needle"], F.length("needle") - 1, False), keep, F.col("needle"))
-    ids = wanted.schema["query_id"].dataType
-    known = F.array(*[F.struct(F.lit(r.query_id).cast(ids).alias("query_id"), F.lit(r.needle).alias("needle")) for r in head])
-    known = known.cast(f"array<struct<query_id:{ids.simpleString()},needle:string>>")
+    if len(head) <= inline_limit:
+        return _inline_hits(pages, wanted, head)
+    if ahocorasick is not None:
+        head = wanted.limit(automaton_limit + 1).collect()
+        if len(head) <= automaton_limit and sum(len(r.needle) for r in head) <= AUTOMATON_CHARS:
+            return _automaton_hits(pages, wanted, head)
+    pairs = _candidates(pages, wanted)
+    keep = ["query_id", *PAGE]
+    return _matches(_pieces(pairs, [*keep, "needle"], F.length("needle") - 1, False), keep, F.col("needle"))
+
+
+def _inline_hits(pages: DataFrame, wanted: DataFrame, head: list) -> DataFrame:
+    ids = wanted.schema["query_id"].dataType.simpleString()
+    known = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.lit(r.needle).alias("needle")) for r in head])
+    known = known.cast(f"array<struct<query_id:{ids},needle:string>>")
     longest = max((len(r.needle) for r in head), default=1)
     pieces = _pieces(pages, list(PAGE), F.lit(longest - 1), False)
     asked = F.filter(known, lambda q: F.col("_seen").contains(q["needle"]))
     paired = pieces.select(*PAGE, "_piece_no", "_piece", "_seen", F.inline(asked))
-    return _matches(paired, keep, F.col("needle"))
+    return _matches(paired, ["query_id", *PAGE], F.col("needle"))
+
+
+def _automaton_hits(pages: DataFrame, wanted: DataFrame, head: list) -> DataFrame:
+    ids_of: dict[str, list] = {}
+    for row in head:
+        ids_of.setdefault(row.needle, []).append(row.query_id)
+    columns = ["query_id", *PAGE, "pos", "text"]
+    batch_size = HITS_PER_BATCH
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for needle, ids in ids_of.items():
+            automaton.add_word(needle, (len(needle), ids))
+        automaton.make_automaton()
+        hits = []
+        for batch in batches:
+            for doc_id, page, text, seen in batch.itertuples(index=False):
+                for end, (size, ids) in automaton.iter(seen):
+                    at = end - size + 1
+                    hits.extend((i, doc_id, page, at, text[at : at + size]) for i in ids)
+                    if len(hits) >= batch_size:
+                        yield pd.DataFrame(hits, columns=columns)
+                        hits = []
+        if hits:
+            yield pd.DataFrame(hits, columns=columns)
+
+    kinds = {f.name: f.dataType.simpleString() for f in pages.select(*PAGE).schema.fields}
+    ids = wanted.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {ids}, doc_id {kinds['doc_id']}, page {kinds['page']}, pos int, text string"
+    read = pages.filter("text IS NOT NULL").select(*PAGE, "text", fold(F.col("text")).alias("seen"))
+    return read.mapInPandas(find, schema)
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -120,28 +174,27 @@ def _grams(text: Column, size: int) -> Column:
 
 
 def _candidates(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Pages that hold the rarest gram of a query, with the page text.
+    """Pages that hold a chosen gram of a query, with the page text.
 
-    The page side of a frequent gram is spread over salts; the query side,
-    one row per query, is repeated for each salt. Page grams are settled: they
-    are counted first and joined after.
+    Each query is looked up by its gram that fewest queries have, so that no gram
+    gathers more queries than it must. The page side of a frequent gram is spread
+    over salts; the query side, one row per query, is repeated for each salt.
     """
-    folded = pages.select(*PAGE, fold(F.col("text")).alias("_folded"))
-    all_sizes = F.concat(*[_grams(F.col("_folded"), n) for n in range(1, GRAM + 1)])
-    page_grams = settle(folded.select(*PAGE, F.explode(all_sizes).alias("gram")), "grams")
-
     size = F.least(F.length("needle"), F.lit(GRAM))
     own = F.when(size == 1, _grams(F.col("needle"), 1)).when(size == 2, _grams(F.col("needle"), 2)).otherwise(
-        _grams(F.col("needle"), 3)
+        _grams(F.col("needle"), GRAM)
     )
     query_grams = wanted.select("query_id", "needle", F.explode(own).alias("gram"))
-    frequency = page_grams.groupBy("gram").agg(F.count("*").alias("n"))
+    shared = query_grams.groupBy("gram").agg(F.count("*").alias("n"))
     anchors = (
-        query_grams.join(frequency, "gram")
+        query_grams.join(shared, "gram")
         .groupBy("query_id", "needle")
         .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(GRAM_SALTS - 1))))
     )
+    folded = pages.select(*PAGE, fold(F.col("text")).alias("_folded"))
+    all_sizes = F.concat(*[_grams(F.col("_folded"), n) for n in range(1, GRAM + 1)])
+    page_grams = folded.select(*PAGE, F.explode(all_sizes).alias("gram"))
     salted = page_grams.withColumn("salt", F.pmod(F.hash(*PAGE), F.lit(GRAM_SALTS)))
     found = salted.join(anchors, ["gram", "salt"]).select(*PAGE, "query_id", "needle")
     return (

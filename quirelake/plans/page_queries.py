@@ -164,9 +164,14 @@ def _(spark, folder):
     return search.search_many(turns(spark, folder), _queries(spark, folder))
 
 
+@query("J13_search_many_inline", _MANY)
+def _(spark, folder):
+    return search.search_many(turns(spark, folder), _queries(spark, folder), inline_limit=10_000)
+
+
 @query("J13_search_many_by_gram", _MANY)
 def _(spark, folder):
-    return search.search_many(turns(spark, folder), _queries(spark, folder), inline_limit=0)
+    return search.search_many(turns(spark, folder), _queries(spark, folder), inline_limit=0, automaton_limit=0)
 
 
 _SQUEEZED = f"""(SELECT doc_id, page, regexp_replace(text, '{SPACE}+', '', 'g') AS text FROM turns)"""

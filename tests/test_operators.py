@@ -64,12 +64,13 @@ def test_search_options(spark):
     assert search.search(table, "").count() == 0
 
 
-@pytest.mark.parametrize("limit", [0, 100])
-def test_search_many_is_search_each(spark, limit):
-    texts = {(d, p): "".join(random.Random(d * 9 + p).choices("abcd ", k=300)) for d in range(4) for p in range(3)}
-    wanted = {1: "ab", 2: "a", 3: "cab", 4: "dabc", 5: "zzz", 6: "", 7: "B C"}
+@pytest.mark.parametrize("limits", [(100, 100), (0, 100), (0, 0)])
+def test_search_many_is_search_each(spark, limits, monkeypatch):
+    monkeypatch.setattr(search, "HITS_PER_BATCH", 7)
+    texts = {(d, p): "".join(random.Random(d * 9 + p).choices("abcdÉ🙂 ", k=300)) for d in range(4) for p in range(3)}
+    wanted = {1: "ab", 8: "AB", 9: "é🙂", 2: "a", 3: "cab", 4: "dabc", 5: "zzz", 6: "", 7: "B C"}
     queries = spark.createDataFrame(list(wanted.items()), "query_id bigint, query string")
-    got = rows(search.search_many(page_table(spark, texts), queries, limit), "query_id", "doc_id", "page", "pos")
+    got = rows(search.search_many(page_table(spark, texts), queries, *limits), "query_id", "doc_id", "page", "pos")
     want = [(q, d, p, i) for q, s in wanted.items() if s for (d, p), t in texts.items() for i in brute(t, s)]
     assert got == sorted(want, key=repr)
 
