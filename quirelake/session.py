@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +22,9 @@ RUNTIME_SETTINGS = {
 
 STREAM_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Scratch space of a session on one machine (tests, bench) that names none.
+LOCAL_SHARED = "file:///tmp/checkpoints/quirelake"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else built."""
@@ -42,16 +43,24 @@ def build_session(name: str = "quirelake", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def work_folder(spark: SparkSession, label: str) -> str:
-    """A new folder in the cluster's shared space.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared space, named by ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` names that space; only where it is unset (tests on
-    one machine) is a local temporary folder used.
+    Only a session whose executors live in the driver's own process may do
+    without the setting; on a cluster a missing one is an error, as each executor
+    would write to its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = os.path.join(tempfile.gettempdir(), "quirelake")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = LOCAL_SHARED
+    return base.rstrip("/")
+
+
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the cluster's shared space."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame) -> DataFrame:
