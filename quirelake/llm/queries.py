@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quirelake.llm.exact_dedup import exact_groups
 from quirelake.llm.sharding import assign_shards
+from quirelake.llm.simhash import near_groups
 from quirelake.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +44,12 @@ def weighted_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     return assign_shards(table(spark, folder, "documents"), shards=16)
 
 
+@query("op7_simhash_pigeonhole")
+def simhash_pigeonhole(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its SimHash and the smallest document it links to."""
+    return near_groups(table(spark, folder, "documents"))
+
+
 @query("op10_tree_merge_dedup", """
     WITH named AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
     best AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM named GROUP BY text_sha256)
