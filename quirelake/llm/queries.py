@@ -6,7 +6,9 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quirelake.llm.decontaminate import contamination
 from quirelake.llm.exact_dedup import exact_groups
 from quirelake.llm.sharding import assign_shards
 from quirelake.llm.simhash import near_groups
@@ -44,6 +46,16 @@ def weighted_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     return assign_shards(table(spark, folder, "documents"), shards=16)
 
 
+@query("op6_window_decontamination")
+def window_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the words and test items that shared windows hit."""
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query("op7_simhash_pigeonhole")
 def simhash_pigeonhole(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its SimHash and the smallest document it links to."""
