@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quirelake.llm.decontaminate import contamination
 from quirelake.llm.exact_dedup import exact_groups
+from quirelake.llm.packing import pack
 from quirelake.llm.sharding import assign_shards
 from quirelake.llm.simhash import near_groups
 from quirelake.session import configure
@@ -40,6 +41,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op2_dominance_packing")
+def dominance_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document in its sequence of at most 4,096 tokens."""
+    return pack(table(spark, folder, "documents"), with_ids=False)
+
+
 @query("op5_weighted_tree_shards")
 def weighted_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in shards 0 to 15 of a balanced tree: two regions of two racks of four shards."""
