@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quirelake.llm.decontaminate import contamination
 from quirelake.llm.exact_dedup import exact_groups
 from quirelake.llm.packing import pack
+from quirelake.llm.quality import quality_scores
 from quirelake.llm.sharding import assign_shards
 from quirelake.llm.simhash import near_groups
 from quirelake.session import configure
@@ -69,6 +70,12 @@ def simhash_pigeonhole(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(table(spark, folder, "documents"))
 
 
+@query("op9_random_indexing_quality")
+def random_indexing_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its calibrated quality score."""
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op10_tree_merge_dedup", """
     WITH named AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
     best AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM named GROUP BY text_sha256)
