@@ -71,7 +71,11 @@ def drop_copies(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
     Where repeated rows share the id that stays, one of them is kept.
     """
     marks = exact_groups(docs, keep, id_col, text_col).where("kept")
-    stay = marks.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
-    named = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    left = named.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest")), "left_semi")
-    return left.dropDuplicates([id_col, "_sha"]).drop("_sha")
+    stay = marks.select(_key(F.col("doc_id")).alias("_key"), F.col("text_sha256").alias("_sha")).distinct()
+    named = docs.withColumns({"_key": _key(F.col(id_col)), "_sha": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)})
+    return named.join(stay, ["_key", "_sha"]).dropDuplicates(["_key", "_sha"]).drop("_key", "_sha")
+
+
+def _key(name: Column) -> Column:
+    """An id as text, a null one included, so that plain equality joins it."""
+    return F.coalesce(F.concat(F.lit("="), name.cast("string")), F.lit("null"))

@@ -282,7 +282,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` that name their component, one per component, with all their columns."""
+    """The rows of ``docs`` that name their component, one per component, with all their columns.
+
+    Rows that share an id are one document: one of them stays.
+    """
     groups = near_groups(docs, id_col, text_col, distance)
-    stay = groups.select(F.col("component_id").alias("_id")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col])
+    key = F.coalesce(F.concat(F.lit("="), F.col("_of").cast("string")), F.lit("null")).alias("_key")
+    stay = groups.select(F.col("component_id").alias("_of")).distinct().select(key)
+    named = docs.withColumn("_of", F.col(id_col)).select(*docs.columns, key)
+    return named.join(stay, "_key").dropDuplicates(["_key"]).drop("_key")
