@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quirelake.llm.decontaminate import contamination
 from quirelake.llm.exact_dedup import exact_groups
+from quirelake.llm.html_extract import extract_pages
 from quirelake.llm.packing import pack
 from quirelake.llm.quality import quality_scores
 from quirelake.llm.sharding import assign_shards
@@ -48,6 +49,12 @@ def dominance_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), with_ids=False)
 
 
+@query("op4_min_cut_extraction")
+def min_cut_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_pages(table(spark, folder, "pages"))
+
+
 @query("op5_weighted_tree_shards")
 def weighted_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in shards 0 to 15 of a balanced tree: two regions of two racks of four shards."""
