@@ -12,6 +12,7 @@ from quirelake.llm.decontaminate import contamination
 from quirelake.llm.exact_dedup import exact_groups
 from quirelake.llm.html_extract import extract_pages
 from quirelake.llm.packing import pack
+from quirelake.llm.pii import KINDS, find_personal
 from quirelake.llm.quality import quality_scores
 from quirelake.llm.sharding import assign_shards
 from quirelake.llm.simhash import near_groups
@@ -43,6 +44,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_disclosure_pii")
+def disclosure_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its personal data and the terms that reveal it."""
+    found = find_personal(table(spark, folder, "documents"))
+    return found.select("doc_id", *[f"n_{kind}" for kind in KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_revealing")
+
+
 @query("op2_dominance_packing")
 def dominance_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document in its sequence of at most 4,096 tokens."""
