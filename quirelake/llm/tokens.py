@@ -3,61 +3,74 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
-import numpy as np
 from tokenizers import Tokenizer
 
 #: Texts are encoded in stretches of about this many characters.
 STRETCH = 1 << 20
-#: Remembered chunks of a worker; beyond that it starts anew.
-REMEMBERED = 500_000
+#: Chunks a worker remembers in each of two generations; those not met in a whole generation are forgotten.
+REMEMBERED = 400_000
 #: Latin letters whose lower case is one letter, then ASCII marks but the apostrophe.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 _STRETCHES = re.compile(rf"(?s).{{1,{STRETCH}}}\S*")
 #: Not white space to the tokenizer, but to ``str.split``; and the start of a special token.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 
-class ChunkEncoder:
-    """Encodes by chunks between white space and remembers them.
+class ChunkEncoder(dict):
+    """Encodes by chunks between white space and remembers them: chunk to packed ids.
 
     For vocabularies that drop white space and never join across it: a text's ids are
-    those of its chunks. A letter run and the marks behind it are likewise encoded
-    apart. Texts with special tokens or odd separators are encoded whole.
+    those of its chunks. A run of letters and the marks behind it are one pretoken
+    each, so they are encoded apart, letters by the model itself. Texts with special
+    tokens or odd separators are encoded whole.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        self.marks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        #: How the tokenizer spells each letter's bytes to its model.
+        spelt = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.spelling = str.maketrans({letter: spelt(letter)[0][0] for letter in _LETTERS})
 
     def _whole(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 4096):
-            for found in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False):
-                yield np.array(found.ids, "<u4").tobytes()
-
-    def _learn(self, unknown: list[str]) -> None:
-        cut = {}
-        for chunk in unknown:
-            plain = _PLAIN.fullmatch(chunk)
-            cut[chunk] = (plain[1].lower(), plain[2]) if plain else (chunk, "")
-        new = [run for run in dict.fromkeys(part for parts in cut.values() for part in parts) if run not in self.runs]
-        self.runs.update(zip(new, self._whole(new)))
-        for chunk, (first, rest) in cut.items():
-            self.chunks[chunk] = self.runs[first] + self.runs[rest]
+        for text in texts:
+            yield array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.older.get(chunk)
+        if found is None:
+            found = self._fresh(chunk)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = found
+        return found
+
+    def _fresh(self, chunk: str) -> bytes:
+        plain = _PLAIN.fullmatch(chunk)
+        if plain:
+            letters, marks = plain.groups()
+            found = array("I", [t.id for t in self.model.tokenize(letters.lower().translate(self.spelling))]).tobytes()
+            if marks:
+                if marks not in self.marks:
+                    if len(self.marks) > REMEMBERED:
+                        self.marks.clear()
+                    (self.marks[marks],) = self._whole([marks])
+                found += self.marks[marks]
+        else:
+            (found,) = self._whole([chunk])
+        return found
 
     def _stretch(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-        if len(self.runs) > REMEMBERED:
-            self.runs = {"": b""}
-        split = [t.split() for t in texts]
-        unknown = set().union(*split).difference(self.chunks)
-        if unknown:
-            self._learn(list(unknown))
-        return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
+        return [b"".join([self[chunk] for chunk in text.split()]) for text in texts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
