@@ -16,6 +16,8 @@ from quirelake.llm.pii import KINDS, find_personal
 from quirelake.llm.quality import quality_scores
 from quirelake.llm.sharding import assign_shards
 from quirelake.llm.simhash import near_groups
+from quirelake.llm.suffix_dedup import repeated_passages
+from quirelake.llm.warc_fixity import audit, record_bytes, records
 from quirelake.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +59,40 @@ def dominance_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), with_ids=False)
 
 
+_HEAD = """
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
+    || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+    || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10)
+"""
+
+
+@query("op3_merkle_fixity_audit", f"""
+    WITH whole AS (
+        SELECT page_id, page_id // 1000 AS archive, page_id % 97 = 13 AS rotten, page_id % 101 = 7 AS lost,
+            {_HEAD} || html || chr(13) || chr(10) || chr(13) || chr(10) AS record,
+            {_HEAD} || replace(html, 'e', 'f') || chr(13) || chr(10) || chr(13) || chr(10) AS decayed
+        FROM pages
+    ),
+    placed AS (SELECT *, sum(strlen(record)) OVER (PARTITION BY archive ORDER BY page_id) - strlen(record) AS "offset" FROM whole)
+    SELECT archive, CAST("offset" AS BIGINT) AS "offset", strlen(record) AS length, page_id AS record_id,
+        CASE WHEN lost THEN 'missing' ELSE 'changed' END AS state, sha256(record) AS sha256,
+        CASE WHEN NOT lost THEN sha256(decayed) END AS replica_sha256
+    FROM placed WHERE lost OR (rotten AND record <> decayed)
+""")
+def merkle_fixity_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """All records of the archives of ``pages`` in which a decayed replica differs.
+
+    The replica is that of a store in which letters of every 97th page rotted away and
+    every 101st record was lost; the index tells where records stand.
+    """
+    pages = table(spark, folder, "pages")
+    index = records(pages)
+    rotten = record_bytes(F.col("page_id"), F.col("url"), F.replace("html", F.lit("e"), F.lit("f")))
+    decay = pages.where("page_id % 97 = 13").select(F.col("page_id").alias("record_id"), F.sha2(rotten, 256).alias("now"))
+    replica = index.join(decay, "record_id", "left").where("record_id IS NULL OR record_id % 101 <> 7")
+    return audit(index, replica.select("archive", "offset", "length", "record_id", F.coalesce("now", "sha256").alias("sha256")))
+
+
 @query("op4_min_cut_extraction")
 def min_cut_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of every page."""
@@ -85,6 +121,12 @@ def simhash_pigeonhole(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(table(spark, folder, "documents"))
 
 
+@query("op8_sparse_suffix_passages")
+def sparse_suffix_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """All passages of 50 words or more that documents share with others."""
+    return repeated_passages(table(spark, folder, "documents"))
+
+
 @query("op9_random_indexing_quality")
 def random_indexing_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its calibrated quality score."""
