@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.llm.names import fresh
+
 #: Consecutive item words in a window.
 WINDOW = 10
 #: Bytes of test texts in one broadcast set; more texts make more sets, scanned one after another.
@@ -163,8 +165,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", set_bytes: int = SET_BYTES) -> DataFrame:
     """The rows of ``docs`` without a window of a test item, with all their columns."""
-    marked = docs.withColumn("_hits", hits(F.col(text_col), test_sets(benchmark, window, set_bytes)))
-    return marked.where(F.size("_hits.spans") == 0).drop("_hits")
+    (held,) = fresh(docs, "_hits")
+    marked = docs.withColumn(held, hits(F.col(text_col), test_sets(benchmark, window, set_bytes)))
+    return marked.where(F.size(F.col(held)["spans"]) == 0).drop(held)
 
 
 def cut_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", set_bytes: int = SET_BYTES) -> DataFrame:
@@ -182,5 +185,6 @@ def cut_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
             out.append(text)
         return pa.array(out, pa.binary()).cast(pa.string())
 
-    marked = docs.withColumn("_hits", hits(F.col(text_col), test_sets(benchmark, window, set_bytes)))
-    return marked.withColumn(text_col, cut(F.col(text_col), F.col("_hits.spans"))).drop("_hits")
+    (held,) = fresh(docs, "_hits")
+    marked = docs.withColumn(held, hits(F.col(text_col), test_sets(benchmark, window, set_bytes)))
+    return marked.withColumn(text_col, cut(F.col(text_col), F.col(held)["spans"])).drop(held)

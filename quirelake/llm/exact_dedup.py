@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.llm.names import fresh, id_key
+
 #: Runs merged into one in each round.
 FAN_IN = 8
 
@@ -70,12 +72,8 @@ def drop_copies(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
 
     Where repeated rows share the id that stays, one of them is kept.
     """
+    key, sha = fresh(docs, "_key", "_sha")
     marks = exact_groups(docs, keep, id_col, text_col).where("kept")
-    stay = marks.select(_key(F.col("doc_id")).alias("_key"), F.col("text_sha256").alias("_sha")).distinct()
-    named = docs.withColumns({"_key": _key(F.col(id_col)), "_sha": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)})
-    return named.join(stay, ["_key", "_sha"]).dropDuplicates(["_key", "_sha"]).drop("_key", "_sha")
-
-
-def _key(name: Column) -> Column:
-    """An id as text, a null one included, so that plain equality joins it."""
-    return F.coalesce(F.concat(F.lit("="), name.cast("string")), F.lit("null"))
+    stay = marks.select(id_key(F.col("doc_id")).alias(key), F.col("text_sha256").alias(sha)).distinct()
+    named = docs.withColumns({key: id_key(F.col(id_col)), sha: F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)})
+    return named.join(stay, [key, sha]).dropDuplicates([key, sha]).drop(key, sha).select(docs.columns)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.llm.components import components
+from quirelake.llm.names import fresh, id_key
 from quirelake.session import settle
 
 BITS = 64
@@ -286,8 +287,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows that share an id are one document: one of them stays.
     """
-    groups = near_groups(docs, id_col, text_col, distance)
-    key = F.coalesce(F.concat(F.lit("="), F.col("_of").cast("string")), F.lit("null")).alias("_key")
-    stay = groups.select(F.col("component_id").alias("_of")).distinct().select(key)
-    named = docs.withColumn("_of", F.col(id_col)).select(*docs.columns, key)
-    return named.join(stay, "_key").dropDuplicates(["_key"]).drop("_key")
+    (key,) = fresh(docs, "_key")
+    stay = near_groups(docs, id_col, text_col, distance).select(id_key(F.col("component_id")).alias(key)).distinct()
+    return docs.withColumn(key, id_key(F.col(id_col))).join(stay, key).dropDuplicates([key]).select(docs.columns)

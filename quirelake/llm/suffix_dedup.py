@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelake.llm.names import fresh
 from quirelake.session import settle
 
 #: Words of the shortest passage that counts.
@@ -249,7 +250,8 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, prefix: int = PRE
 def cut_repeats(docs: DataFrame, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows of ``docs``, passages that a document of smaller id has cut from the text."""
     later = repeated_passages(docs, passage, id_col=id_col, text_col=text_col).where("NOT first")
-    cuts = later.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+    key, held = fresh(docs, "_id", "_cuts")
+    cuts = later.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(held))
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
@@ -265,5 +267,5 @@ def cut_repeats(docs: DataFrame, passage: int = PASSAGE, id_col: str = "doc_id",
             out.append(text)
         return pa.array(out, pa.binary()).cast(pa.string())
 
-    joined = docs.join(cuts, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn(text_col, cut(F.col(text_col), F.col("_cuts"))).drop("_id", "_cuts")
+    joined = docs.join(cuts, F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left")
+    return joined.withColumn(text_col, cut(F.col(text_col), F.col(held))).drop(key, held)
