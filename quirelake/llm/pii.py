@@ -47,16 +47,18 @@ def _valid(kind: Column, match: Column) -> Column:
     )
 
 
-def _located(rows: DataFrame, keys: list[str], text: str, pattern: str, *more: str) -> DataFrame:
-    """Matches of a pattern with ``start`` and ``end`` in code points, end exclusive.
+def _parts(text: Column, pattern: str) -> Column:
+    """What stands before each match, with the match; after the last, a null one."""
+    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("match"))
+
+
+def _located(parts: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """Matches with ``start`` and ``end`` in code points, end exclusive, from exploded ``no, part``.
 
     What stands between matches and the matches themselves add up to the text, so
     places are running sums of their lengths.
     """
-    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("match"))
-    parts = rows.select(*keys, *more, F.posexplode(both).alias("no", "part")).select(
-        *keys, *more, "no", F.char_length("part.gap").alias("gap"), F.col("part.match").alias("match")
-    ).where("match IS NOT NULL")
+    parts = parts.where("part.match IS NOT NULL").select(*keys, *more, "no", F.char_length("part.gap").alias("gap"), F.col("part.match").alias("match"))
     seen = Window.partitionBy(*keys).orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.char_length("match")).over(seen)
     return parts.withColumn("end", end).select(*keys, *more, "match", (F.col("end") - F.char_length("match")).alias("start"), "end")
@@ -79,18 +81,17 @@ class Personal:
         self.base = settle(self._base(), "pii-base")
 
     def _base(self) -> DataFrame:
-        found = [
-            _located(self.held.withColumn("kind", F.lit(kind)), self.KEYS, "text", pattern, "kind").withColumn("rank", F.lit(k))
-            for k, (kind, pattern) in enumerate(KINDS.items())
-        ]
-        return reduce(DataFrame.unionByName, found).where(_valid(F.col("kind"), F.col("match")))
+        kinds = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(kind).alias("kind"), _parts(F.col("text"), p).alias("parts")) for k, (kind, p) in enumerate(KINDS.items())])
+        each = self.held.select(*self.KEYS, F.explode(kinds).alias("of")).where(F.size("of.parts") > 1)
+        parts = each.select(*self.KEYS, F.col("of.rank").alias("rank"), F.col("of.kind").alias("kind"), F.posexplode("of.parts").alias("no", "part"))
+        return _located(parts, [*self.KEYS, "rank"], "kind").where(_valid(F.col("kind"), F.col("match")))
 
     def _terms(self, text: Column) -> Column:
         words = F.array_distinct(F.split(F.lower(text), _NOT_WORD))
         return F.filter(words, lambda w: (F.char_length(w) >= TERM_LETTERS) & F.regexp_like(w, F.lit(r"\p{L}")))
 
-    def revealing(self, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-        """``kind, entity, term, share, action``: terms that disclose an entity.
+    def revealing(self, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame | None:
+        """``kind, entity, term, share, action``: terms that disclose an entity; None if no pair has support.
 
         An entity ``c`` has information ``-log2 p(c)``; a term ``t`` discloses their
         pointwise mutual information ``log2 p(c, t) / (p(c) p(t))`` of it. Chances
@@ -111,7 +112,7 @@ class Personal:
         )
         pairs = settle(pairs, "pii-pairs")
         if pairs.isEmpty():  # no term can qualify, whatever the corpus counts
-            return pairs.select("kind", "entity", "term", F.lit(0.0).alias("share"), F.lit("").alias("action"))
+            return None
         every = self.docs.select(F.explode(self._terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
         total = F.lit(float(max(self.docs.count(), 1)))
         information = F.log2(total / F.col("n_c"))
@@ -125,16 +126,18 @@ class Personal:
     def null_safe(self, left: DataFrame, right: DataFrame) -> Column:
         return (left["sha"] == right["sha"]) & left["doc_id"].eqNullSafe(right["doc_id"])
 
-    def added(self, **thresholds: float) -> DataFrame:
+    def added(self, **thresholds: float) -> DataFrame | None:
         """Spans of revealing terms in the texts that hold their entity, outside base spans."""
-        terms = settle(self.revealing(**thresholds), "pii-terms")
+        terms = self.revealing(**thresholds)
+        if terms is None:
+            return None
         values = self.base.select(*self.KEYS, "kind", F.lower("match").alias("entity")).distinct()
-        flagged = (
+        flagged = settle(
             values.join(terms, ["kind", "entity"]).groupBy(*self.KEYS, "term").agg(F.max("action").alias("action"))
-            .select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), "term", "action")
+            .select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), "term", "action"), "pii-flagged"
         )
         concerned = self.held.join(flagged.select("_id", "_sha").distinct(), (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        words = _located(concerned, self.KEYS, "text", _WORD)
+        words = _located(concerned.select(*self.KEYS, F.posexplode(_parts(F.col("text"), _WORD)).alias("no", "part")), self.KEYS)
         hit = words.join(flagged, (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.lower("match") == F.col("term")))
         spans = hit.select(*self.KEYS, F.col("action").alias("kind"), "match", "start", "end", F.when(F.col("action") == "generalise", len(KINDS)).otherwise(len(KINDS) + 1).alias("rank"))
         covered = self.base.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("start").alias("_from"), F.col("end").alias("_to"))
@@ -142,7 +145,8 @@ class Personal:
 
     def spans(self, **thresholds: float) -> DataFrame:
         """``doc_id, sha, kind, match, start, end, rank``: base spans and added ones."""
-        return settle(self.base.unionByName(self.added(**thresholds)), "pii-spans")
+        added = self.added(**thresholds)
+        return self.base if added is None else self.base.unionByName(added)
 
 
 def _joined(spans: Column) -> Column:
