@@ -122,3 +122,13 @@ def first_bookmark(events: DataFrame) -> DataFrame:
         .agg(F.min("created_at").alias("created_at"))
         .withColumn("label", F.concat(F.lit("Page "), (F.col("page") + 1).cast("string")))
     )
+
+
+def live_marks(edits: DataFrame) -> DataFrame:
+    """Marks left after an edit log (doc_id, ann_id, seq, action), with their last ``seq``.
+
+    The edit of the largest ``seq`` decides for each mark; after ``delete`` it is
+    gone. Keyed by mark, so a document's log is shared out however long it is.
+    """
+    last = edits.groupBy("doc_id", "ann_id").agg(F.max(F.struct("seq", "action")).alias("_last"))
+    return last.where("_last.action <> 'delete'").select("doc_id", "ann_id", F.col("_last.seq").alias("seq"))

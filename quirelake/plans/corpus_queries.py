@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
-from quirelake.operators import documents, edits, forms, pages, quality, search
+from quirelake.operators import annotations, documents, forms, pages, quality, search
 from quirelake.operators.markup import markup_headings
 from quirelake.plans.inputs import clicks, html_pages, marks, sheets, table, turns, with_inputs
 from quirelake.plans.page_queries import backwards
@@ -20,37 +23,37 @@ def _(spark, folder):
     return sheets(spark, folder).drop("rotation")
 
 
-def _magic(content: bytes):
-    """Extractor used by the binary query: one page saying what the file is."""
-    yield 0, content[:4].decode("ascii") + content[-4:].decode("ascii")
+def _whole_file(content: bytes):
+    """Extractor of the binary query: one page telling the file's size and digest."""
+    yield 0, f"{len(content)} {hashlib.sha256(content).hexdigest()}"
 
 
 @query("S2_read_binary")
 def _(spark, folder):
-    found = corpus.read_binary(spark, f"{folder}/*.parquet", _magic)
+    """Whole files of the folder's tables; no table of the check side holds their bytes."""
+    found = corpus.read_binary(spark, f"{folder}/*.parque[t]", _whole_file)
     return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "page", "text", "error")
 
 
-def _html_chunks(content: bytes):
-    """Extractor: one page per paragraph end of a web page."""
-    html = content.decode("utf-8")
-    if "&amp;" in html:
-        raise corpus.ExtractError("PasswordRequired")
-    yield from enumerate(html.split("</p>"))
+_LINK = re.compile('href="([^"]*)"')
+_HEADING = re.compile("<h1>([^<]*)</h1>")
+
+
+def _paragraphs(content: bytes):
+    """Extractor: one page per paragraph end of a web page, with its links and headings."""
+    for page, text in enumerate(content.decode("utf-8").split("</p>")):
+        yield page, text, _LINK.findall(text), _HEADING.findall(text)
 
 
 @query("U1_extract", """
-    SELECT path, CAST(i - 1 AS INTEGER) AS page, text, 'none' AS error
+    SELECT path, CAST(i - 1 AS INTEGER) AS page, text, regexp_extract_all(text, 'href="([^"]*)"', 1) AS links,
+        regexp_extract_all(text, '<h1>([^<]*)</h1>', 1) AS headings
     FROM (SELECT url AS path, unnest(string_split(html, '</p>')) AS text,
-                 generate_subscripts(string_split(html, '</p>'), 1) AS i FROM pages WHERE NOT contains(html, '&amp;'))
-    UNION ALL SELECT url, -1, '', 'PasswordRequired' FROM pages WHERE contains(html, '&amp;')""")
+                 generate_subscripts(string_split(html, '</p>'), 1) AS i FROM pages)""")
 def _(spark, folder):
     files = table(spark, folder, "pages").select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content"))
-    found = corpus.extract(files, _html_chunks)
-    return found.select(
-        "path", F.coalesce("page", F.lit(-1)).alias("page"), F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce("error", F.lit("none")).alias("error"),
-    )
+    found = corpus.extract(files, _paragraphs, "page int, text string, links array<string>, headings array<string>")
+    return found.where("error IS NULL").drop("error")
 
 
 @query("S3_read_state_json", with_inputs("clicks") + """
@@ -443,31 +446,17 @@ def _(spark, folder):
 
 # --- edit log -------------------------------------------------------------------
 
-def edit_log(spark, folder):
-    """Events as edits: three kinds add a mark, a view undoes, an error redoes."""
-    kind = F.col("event_type")
-    action = F.when(kind == "view", F.lit("undo")).when(kind == "error", F.lit("redo")).otherwise(F.lit("add"))
-    return clicks(spark, folder).select(
-        F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), action.alias("action"),
-        F.col("event_id").alias("ann_id"), F.lit(None).cast("int").alias("place"),
-    )
+def edit_log(events):
+    """Events as edits of marks: a view or an error takes the mark away, the rest set it."""
+    action = F.when(F.col("event_type").isin("view", "error"), F.lit("delete")).otherwise(F.lit("add"))
+    return events.select(F.col("user_id").alias("doc_id"), F.col("k").alias("ann_id"), F.col("event_id").alias("seq"), action.alias("action"))
 
 
-# Without deletions the stacks are one history and a place in it: an addition
-# cuts the history at the place, undo and redo move the place.
-REPLAY_CHECK = "WITH RECURSIVE " + with_inputs("clicks")[5:] + """,
-    log AS (SELECT user_id AS doc_id, event_id AS ann_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn,
-                   CASE event_type WHEN 'view' THEN 'undo' WHEN 'error' THEN 'redo' ELSE 'add' END AS action FROM clicks),
-    walk AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS rn, 0 AS place, 0 AS size, CAST(NULL AS INTEGER) AS level, CAST(0 AS BIGINT) AS ann_id FROM log
-             UNION ALL
-             SELECT l.doc_id, l.rn, CASE action WHEN 'add' THEN place + 1 WHEN 'undo' THEN greatest(place - 1, 0) ELSE least(place + 1, size) END,
-                    CASE action WHEN 'add' THEN place + 1 ELSE size END, CASE action WHEN 'add' THEN place END, l.ann_id
-             FROM walk w JOIN log l ON l.doc_id = w.doc_id AND l.rn = w.rn + 1)
-    SELECT doc_id, level AS place, max_by(ann_id, rn) AS ann_id
-    FROM walk JOIN (SELECT doc_id, max_by(place, rn) AS reached FROM walk GROUP BY doc_id) USING (doc_id)
-    WHERE level < reached GROUP BY doc_id, level"""
+LIVE_MARKS = with_inputs("clicks") + """
+    SELECT user_id AS doc_id, k AS ann_id, MAX(event_id) AS seq FROM clicks
+    GROUP BY 1, 2 HAVING max_by(event_type, event_id) NOT IN ('view', 'error')"""
 
 
-@query("U3_replay", REPLAY_CHECK)
+@query("U3_replay", LIVE_MARKS)
 def _(spark, folder):
-    return edits.replay(edit_log(spark, folder))
+    return annotations.live_marks(edit_log(clicks(spark, folder)))

@@ -9,12 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.operators.documents import recent_files
-from quirelake.plans.corpus_queries import REPLAY_CHECK
+from quirelake.plans.corpus_queries import LIVE_MARKS, edit_log
 from quirelake.plans.inputs import table, with_inputs
 from quirelake.plans.registry import query
 from quirelake.session import work_folder
-from quirelake.sources.snapshot import read_newest, read_upserted
 from quirelake.streaming import jobs
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -34,11 +32,6 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _closed(alias: str) -> str:
-    """Check condition: a window is out once the watermark has passed its end."""
-    return f"{alias} <= (SELECT MAX(ts) - INTERVAL 1 HOUR FROM clicks)"
-
-
 _BURSTS = """
     SELECT *, SUM(fresh) OVER (PARTITION BY grp ORDER BY ts) AS burst
     FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY grp ORDER BY ts) <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh
@@ -47,41 +40,42 @@ _BURSTS = """
 
 @query("R2_debounce_queries", with_inputs("clicks") + f"""
     SELECT grp AS user_id, epoch_us(MIN(ts)) AS start, max_by(event_type || k, ts) AS query, COUNT(*) AS typed
-    FROM ({_BURSTS.format(key='user_id')}) GROUP BY grp, burst HAVING {_closed('MAX(ts) + INTERVAL 10 MINUTE')}""")
+    FROM ({_BURSTS.format(key='user_id')}) GROUP BY grp, burst""")
 def _(spark, folder):
     typed = event_stream(spark, folder).select(
         "user_id", F.concat("event_type", F.col("k").cast("string")).alias("query"), "ts"
     )
-    done = jobs.run_available(jobs.debounce_queries(typed, "10 minutes"), work_folder(spark, "debounce"))
+    done = jobs.run_available(typed, jobs.debounce_queries("10 minutes"), work_folder(spark, "debounce"))
     return done.select("user_id", F.unix_micros("start").alias("start"), "query", "typed")
 
 
 @query("R3_debounce_changes", with_inputs("clicks") + f"""
     SELECT 'doc_' || grp AS path, epoch_us(MIN(ts)) AS start, epoch_us(MAX(ts)) AS last_change, COUNT(*) AS notices
-    FROM ({_BURSTS.format(key='k')}) GROUP BY grp, burst HAVING {_closed('MAX(ts) + INTERVAL 10 MINUTE')}""")
+    FROM ({_BURSTS.format(key='k')}) GROUP BY grp, burst""")
 def _(spark, folder):
     changes = event_stream(spark, folder).select(F.concat(F.lit("doc_"), F.col("k").cast("string")).alias("path"), "ts")
-    done = jobs.run_available(jobs.debounce_changes(changes, "10 minutes"), work_folder(spark, "changes"))
+    done = jobs.run_available(changes, jobs.debounce_changes("10 minutes"), work_folder(spark, "changes"))
     return done.select(
         "path", F.unix_micros("start").alias("start"), F.unix_micros("last_change").alias("last_change"), "notices"
     )
 
 
-@query("R4_throttle_snapshots", with_inputs("clicks") + f"""
+@query("R4_throttle_snapshots", with_inputs("clicks") + """
     SELECT user_id, epoch_us(slot) AS start, max_by(k, ts) AS state
     FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS slot FROM clicks)
-    GROUP BY user_id, slot HAVING {_closed('slot + INTERVAL 6 HOUR')}""")
+    GROUP BY user_id, slot""")
 def _(spark, folder):
     states = event_stream(spark, folder).select("user_id", F.col("k").alias("state"), "ts")
-    done = jobs.run_available(jobs.throttle_snapshots(states, "6 hours"), work_folder(spark, "throttle"))
+    done = jobs.run_available(states, jobs.throttle_snapshots("6 hours"), work_folder(spark, "throttle"))
     return done.select("user_id", F.unix_micros("start").alias("start"), "state")
 
 
-@query("R5_dedupe_requests", with_inputs("clicks") + "SELECT DISTINCT user_id AS doc_id, CAST(k % 8 AS INTEGER) AS page FROM clicks")
+@query("R5_dedupe_requests", with_inputs("clicks") + """
+    SELECT user_id AS doc_id, CAST(k % 8 AS INTEGER) AS page, epoch_us(MIN(ts)) AS first_asked FROM clicks GROUP BY 1, 2""")
 def _(spark, folder):
     requests = event_stream(spark, folder).select(F.col("user_id").alias("doc_id"), (F.col("k") % 8).alias("page"), "ts")
-    done = jobs.run_available(jobs.dedupe_requests(requests), work_folder(spark, "dedupe"))
-    return done.select("doc_id", "page")
+    done = jobs.run_available(requests, jobs.dedupe_requests(), work_folder(spark, "dedupe"))
+    return done.select("doc_id", "page", F.unix_micros("ts").alias("first_asked"))
 
 
 @query("R6_drop_stale_replies", with_inputs("clicks") + """
@@ -90,9 +84,11 @@ def _(spark, folder):
     WHERE q.event_type = 'click' AND r.event_type = 'view'""")
 def _(spark, folder):
     events = event_stream(spark, folder).withColumnRenamed("k", "query_id")
-    asked = events.filter("event_type = 'click'").select("user_id", "query_id", "ts")
-    told = events.filter("event_type = 'view'").select("user_id", "query_id", F.col("event_id").alias("result"), "ts")
-    done = jobs.run_available(jobs.drop_stale_replies(asked, told, "20 days"), work_folder(spark, "replies"))
+    asked = jobs.run_available(
+        events.filter("event_type = 'click'").select("user_id", "query_id", "ts"), jobs.as_they_are(), work_folder(spark, "asked"))
+    told = jobs.run_available(
+        events.filter("event_type = 'view'").select("user_id", "query_id", F.col("event_id").alias("result"), "ts"), jobs.as_they_are(), work_folder(spark, "told"))
+    done = jobs.current_replies(asked, told, "20 days")
     return done.select("user_id", "query_id", "result", F.unix_micros("asked_at").alias("asked_at"))
 
 
@@ -102,8 +98,7 @@ def _(spark, folder):
     results = event_stream(spark, folder).select(
         F.col("user_id").alias("doc_id"), F.col("k").alias("page"), F.col("event_type").alias("result"), "ts"
     )
-    updates = jobs.run_available(jobs.latest_results(results), work_folder(spark, "results"), "update")
-    return updates.groupBy("doc_id", "page").agg(F.max_by("result", "ts").alias("result"))
+    return jobs.run_available(results, jobs.latest_results(), work_folder(spark, "results")).drop("ts")
 
 
 @query("R9_layer_toggle_state", with_inputs("clicks") + """
@@ -113,23 +108,15 @@ def _(spark, folder):
     toggles = event_stream(spark, folder).select(
         F.lit(0).alias("doc_id"), (F.col("k") % 40).cast("bigint").alias("object_id"), (F.col("event_type") == "view").alias("visible"), "ts"
     )
-    layers = table(spark, folder, "nation").select(
-        F.lit(0).alias("doc_id"), F.col("n_nationkey").cast("bigint").alias("object_id"), F.col("n_name").alias("name")
-    )
-    updates = jobs.run_available(jobs.layer_toggle_state(toggles, layers), work_folder(spark, "layers"), "update")
-    return updates.groupBy("object_id", "name").agg(F.max_by("visible", "ts").alias("visible"))
+    layers = table(spark, folder, "nation").select(F.col("n_nationkey").cast("bigint").alias("object_id"), F.col("n_name").alias("name"))
+    state = jobs.run_available(toggles, jobs.layer_toggles(), work_folder(spark, "layers"))
+    return state.join(layers, "object_id").select("object_id", "name", "visible")
 
 
-@query("R1_edit_log_state", REPLAY_CHECK)
+@query("R1_edit_log_state", LIVE_MARKS)
 def _(spark, folder):
-    kind = F.col("event_type")
-    action = F.when(kind == "view", F.lit("undo")).when(kind == "error", F.lit("redo")).otherwise(F.lit("add"))
-    log = event_stream(spark, folder).select(
-        F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), action.alias("action"),
-        F.col("event_id").alias("ann_id"), F.lit(None).cast("int").alias("place"),
-    )
-    states = jobs.run_available(jobs.edit_log_state(log), work_folder(spark, "edits"), "update")
-    return jobs.latest_edit_state(states)
+    log = edit_log(event_stream(spark, folder))
+    return jobs.run_available(log, jobs.edit_state(), work_folder(spark, "edits")).drop("action")
 
 
 @query("R7_upsert_recents", with_inputs("clicks") + """
@@ -137,11 +124,9 @@ def _(spark, folder):
     FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last DESC, path) AS place
           FROM (SELECT user_id, 'doc_' || k AS path, MAX(ts) AS last FROM clicks GROUP BY 1, 2)) WHERE place <= 20""")
 def _(spark, folder):
-    store = work_folder(spark, "recents")
     opens = event_stream(spark, folder).select("user_id", F.concat(F.lit("doc_"), F.col("k").cast("string")).alias("path"), "ts")
-    jobs.run_batches(opens, f"{store}-log", jobs.upsert_recents(store))
-    kept = recent_files(read_upserted(spark, store, jobs.RECENTS_SCHEMA))
-    return kept.select("user_id", "path", F.unix_micros("last_opened").alias("last_opened"))
+    kept = jobs.run_available(opens, jobs.upsert_recents(), work_folder(spark, "recents"))
+    return kept.select("user_id", "path", F.unix_micros("ts").alias("last_opened"))
 
 
 def _paragraphs(content: bytes):
@@ -154,9 +139,7 @@ def _paragraphs(content: bytes):
     FROM (SELECT url AS path, unnest(parts) AS text, generate_subscripts(parts, 1) AS i
           FROM (SELECT url, string_split(max_by(html, page_id), '</p>') AS parts FROM pages GROUP BY url))""")
 def _(spark, folder):
-    store = work_folder(spark, "reload")
     changes = jobs.read_stream(spark, table_glob(folder, "pages"), PAGES).select(
         F.col("url").alias("path"), F.col("html").cast("binary").alias("content"), F.timestamp_seconds("page_id").alias("ts")
     )
-    jobs.run_batches(changes, f"{store}-log", jobs.reload_on_change(store, _paragraphs))
-    return read_newest(spark, store, "path", jobs.PAGE_STORE_SCHEMA).select("path", "page", "text")
+    return jobs.run_available(changes, jobs.reload_on_change(_paragraphs), work_folder(spark, "reload")).select("path", "page", "text")

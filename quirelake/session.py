@@ -63,17 +63,6 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when it has fewer splits than there are cores.
-
-    Laying out and searching text is work for the processor; a small table in
-    one row group would leave it to one task. A table with splits enough, which
-    any large one has, is returned as it is and nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate table to the shared space and read it back.
 

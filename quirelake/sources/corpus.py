@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirelake.session import spread
-
-# File size guard and page size.
-MAX_BYTES = 256 * 1024 * 1024
+# Page size.
 PAGE_WIDTH = 612.0
 PAGE_HEIGHT = 792.0
 
-EXTRACT_SCHEMA = "path string, page int, text string, error string"
+PAGE_FIELDS = "page int, text string"
+EXTRACT_SCHEMA = f"path string, {PAGE_FIELDS}, error string"
 # Error codes of extraction.
 ERROR_CODES = (
     "OpenFailed", "PasswordRequired", "PageNotFound", "RenderFailed", "SearchError", "IoError", "EngineError",
 )
+TOO_LARGE = "TooLarge"
 
 
 class ExtractError(Exception):
@@ -35,14 +34,12 @@ def paginate(documents: DataFrame, lines_per_page: int = 10) -> DataFrame:
     """Cut each document's text into pages of a number of lines.
 
     A document without text is one page of height 0. Cutting happens inside the
-    row: no shuffle.
+    row, in one pass of a pattern that takes ``lines_per_page`` lines at a time: no
+    shuffle, and time in proportion to the text.
     """
-    lines = F.split("text", "\n")
-    last = F.ceil(F.size(lines) / lines_per_page).cast("int") - 1
-    cut = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda p: F.array_join(F.slice(lines, p * lines_per_page + 1, lines_per_page), "\n"),
-    )
+    # Every line ends in a line end here, so a page is its lines but the last end.
+    taken = F.regexp_extract_all(F.concat("text", F.lit("\n")), F.lit(rf"(?:[^\n]*+\n){{1,{lines_per_page}}}+"), F.lit(0))
+    cut = F.transform(taken, lambda page: F.left(page, F.length(page) - 1))
     texts = F.when(F.col("text").isNull(), F.array(F.lit(None).cast("string"))).otherwise(cut)
     return documents.select("doc_id", F.posexplode(texts).alias("page", "text")).select(
         "doc_id", "page",
@@ -56,49 +53,53 @@ def paginate(documents: DataFrame, lines_per_page: int = 10) -> DataFrame:
 
 def read_corpus(spark: SparkSession, folder: str, lines_per_page: int = 10) -> DataFrame:
     """The page table of a folder's ``documents`` table."""
-    documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    return paginate(spread(documents), lines_per_page)
+    return paginate(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), lines_per_page)
 
 
-Extractor = Callable[[bytes], Iterable[tuple[int, str]]]
+Extractor = Callable[[bytes], Iterable[tuple]]
 
 
-def extract(binary: DataFrame, extractor: Extractor) -> DataFrame:
-    """Run a user's extractor over ``(path, content)`` rows.
+def extract(binary: DataFrame, extractor: Extractor, fields: str = PAGE_FIELDS, keep: Sequence[str] = ("path",)) -> DataFrame:
+    """Run a user's extractor over files with ``content``; ``keep`` names columns to carry along.
 
-    ``extractor(content)`` yields ``(page, text)``. Whatever it raises becomes
-    one row with an error code; the job goes on.
+    ``extractor(content)`` yields tuples of ``fields``, which may hold whatever one
+    reading of a file finds: pages, their links, headings, marks. Whatever it raises
+    becomes one row with an error code; the job goes on.
     """
+    schema = T.StructType.fromDDL(fields)
+    whole = [f.name for f in schema.fields if isinstance(f.dataType, T.IntegralType)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
+            rows, of = [], []
+            for k, content in enumerate(batch["content"]):
                 try:
-                    found = [(path, page, text, None) for page, text in extractor(bytes(content))]
+                    found = [(*row, None) for row in extractor(bytes(content))]
                 except ExtractError as problem:
-                    found = [(path, None, None, problem.code)]
+                    found = [(*[None] * len(schema), problem.code)]
                 except Exception:
-                    found = [(path, None, None, "OpenFailed")]
-                rows.extend(found)
-            out = pd.DataFrame(rows, columns=["path", "page", "text", "error"])
-            yield out.astype({"page": "Int32"})
+                    found = [(*[None] * len(schema), "OpenFailed")]
+                rows += found
+                of += [k] * len(found)
+            out = pd.DataFrame(rows, columns=[*schema.names, "error"]).astype({name: "Int64" for name in whole})
+            yield pd.concat([batch[list(keep)].iloc[of].reset_index(drop=True), out], axis=1)
 
-    return binary.select("path", "content").mapInPandas(run, EXTRACT_SCHEMA)
+    kept = binary.select(*keep).schema.fields
+    return binary.select(*keep, "content").mapInPandas(run, T.StructType([*kept, *schema.fields, T.StructField("error", T.StringType())]))
 
 
-def read_binary(spark: SparkSession, glob: str, extractor: Extractor, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Read files and extract their pages; larger files become error rows.
+def read_binary(spark: SparkSession, glob: str, extractor: Extractor, max_bytes: int | None = None, fields: str = PAGE_FIELDS) -> DataFrame:
+    """Read files and extract what ``fields`` names; ``path`` comes along.
 
-    The size test reaches the source, so an oversized file is never loaded.
+    With ``max_bytes``, larger files become error rows of code ``TooLarge``. The
+    size test reaches the source, so such a file is never loaded.
     """
     files = spark.read.format("binaryFile").load(glob)
-    pages = extract(files.filter(F.col("length") <= max_bytes), extractor)
-    too_big = files.filter(F.col("length") > max_bytes).select(
-        "path", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("text"),
-        F.lit("OpenFailed").alias("error"),
-    )
-    return pages.unionByName(too_big)
+    if max_bytes is None:
+        return extract(files, extractor, fields)
+    found = extract(files.filter(F.col("length") <= max_bytes), extractor, fields)
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(fields).fields]
+    return found.unionByName(files.filter(F.col("length") > max_bytes).select("path", *nothing, F.lit(TOO_LARGE).alias("error")))
 
 
 def read_state_json(df: DataFrame, column: str, ddl: str, defaults: dict[str, object]) -> DataFrame:

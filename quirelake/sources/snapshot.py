@@ -1,116 +1,42 @@
-"""Replaceable tables, in three forms.
+"""Tables that are replaced as a whole.
 
-``write_snapshot`` replaces a table as a whole, ``upsert`` rewrites the buckets a
-batch touches, and ``append_version`` only adds: each key's newest batch counts
-when reading.
-
-Snapshot and bucket versions are listed in a small append-only table. A reader sees the old version
-until the list entry of the new one is committed, and an interrupted write leaves
-only an unlisted folder behind.
+Each version is a folder written by Spark; a version counts once the list of
+versions, a small append-only table, names it. A reader sees the old version until
+then, and an interrupted write leaves only an unlisted folder behind. One writer
+at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-BUCKETS = 64
 
 
-def _current(spark: SparkSession, path: str, below: int | None = None) -> dict[int, int]:
-    """Newest version (below a given one) of each bucket; at most ``BUCKETS`` rows."""
+def _current(spark: SparkSession, path: str) -> int | None:
+    """The newest listed version; none where no list was ever written."""
     try:
-        listed = spark.read.schema("bucket int, version bigint").parquet(f"{path}/versions")
-        if below is not None:
-            listed = listed.filter(F.col("version") < below)
-        return {r.bucket: r.version for r in listed.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
-    except AnalysisException:
-        return {}
-
-
-def _publish(spark: SparkSession, path: str, entries: list[tuple[int, int]]) -> None:
-    rows = spark.createDataFrame(entries, "bucket int, version bigint")
-    rows.coalesce(1).write.mode("append").parquet(f"{path}/versions")
+        listed = spark.read.schema("version bigint").parquet(f"{path}/versions")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return listed.agg(F.max("version")).first()[0]
 
 
 def write_snapshot(df: DataFrame, path: str) -> int:
     """Replace a stored table as a whole; returns the new version."""
     spark = df.sparkSession
-    version = _current(spark, path).get(0, -1) + 1
+    last = _current(spark, path)
+    version = 0 if last is None else last + 1
     df.write.mode("overwrite").parquet(f"{path}/data/version={version}")
-    _publish(spark, path, [(0, version)])
+    spark.createDataFrame([(version,)], "version bigint").coalesce(1).write.mode("append").parquet(f"{path}/versions")
     return version
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The current version of a table written by :func:`write_snapshot`."""
-    version = _current(spark, path).get(0)
+    version = _current(spark, path)
     if version is None:
         raise FileNotFoundError(path)
     return spark.read.parquet(f"{path}/data/version={version}")
-
-
-def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.hash(key), F.lit(BUCKETS)))
-
-
-def _read_buckets(spark: SparkSession, path: str, versions: dict[int, int], schema: str) -> DataFrame:
-    """Rows of the listed buckets; the filter prunes to their folders."""
-    if not versions:
-        return spark.createDataFrame([], schema)
-    wanted = F.lit(False)
-    for bucket, version in sorted(versions.items()):
-        wanted = wanted | ((F.col("bucket") == bucket) & (F.col("version") == version))
-    stored = spark.read.schema(f"{schema}, version bigint, bucket int").parquet(f"{path}/data")
-    return stored.filter(wanted).drop("version", "bucket")
-
-
-def upsert(
-    batch: DataFrame, batch_id: int, path: str, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame], schema: str
-) -> None:
-    """Merge a micro-batch into a stored table, rewriting only touched buckets.
-
-    ``merge(stored, batch)`` gets the stored rows of those buckets and returns
-    their new content. The version is the batch id, so a repeated batch writes
-    the same version again; one stream owns one table.
-    """
-    spark = batch.sparkSession
-    batch = batch.persist()
-    touched = [r.bucket for r in _bucketed(batch, key).select("bucket").distinct().collect()]
-    if not touched:
-        return
-    earlier = {b: v for b, v in _current(spark, path, below=batch_id).items() if b in touched}
-    stored = _read_buckets(spark, path, earlier, schema)
-    merged = _bucketed(merge(stored, batch), key)
-    merged.write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/data/version={batch_id}")
-    _publish(spark, path, [(b, batch_id) for b in touched])
-    batch.unpersist()
-
-
-def read_upserted(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The current content of a table kept by :func:`upsert`."""
-    return _read_buckets(spark, path, _current(spark, path), schema)
-
-
-def append_version(rows: DataFrame, keys: DataFrame, batch_id: int, path: str) -> None:
-    """Add the new rows of some keys; nothing stored is read or rewritten.
-
-    ``keys`` lists every key the batch replaces, also those left without rows. It
-    is written last and makes the rows count; a repeated batch writes the same
-    folders again.
-    """
-    rows.write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
-    keys.distinct().write.mode("overwrite").parquet(f"{path}/keys/batch_id={batch_id}")
-
-
-def read_newest(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
-    """Rows written by :func:`append_version`, newest batch of each key only."""
-    key_type = T.StructType.fromDDL(schema)[key].dataType.simpleString()
-    keys = spark.read.schema(f"{key} {key_type}, batch_id bigint").parquet(f"{path}/keys")
-    newest = keys.groupBy(key).agg(F.max("batch_id").alias("batch_id"))
-    rows = spark.read.schema(f"{schema}, batch_id bigint").parquet(f"{path}/rows")
-    return rows.join(newest, [key, "batch_id"]).drop("batch_id")

@@ -1,209 +1,215 @@
-"""Stream jobs: edit state, debouncing, de-duplication, late replies, upserts.
-
-Every job takes a streaming DataFrame whose event time is a TIMESTAMP column
-``ts`` and returns one; ``run_available`` drives it over what has arrived.
+"""Stream jobs: bursts, throttling, de-duplication, late replies, newest rows.
+
+A job is a pair of batch operators. ``part`` condenses one micro-batch; what it
+returns is appended to the job's store under the batch's number, so a repeated
+batch replaces itself. ``merge`` turns all parts into the result. Merging the parts
+of any cut of the input gives the same result, so it does not matter how rows were
+spread over files or in what order they arrived: there is no lateness cut, no row is
+dropped and windows that are still open are in the result. Nothing is kept between
+batches but the parts, and :func:`compact` condenses those.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
+from functools import partial
+from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import types as T
 
 from quirelake.operators.documents import recent_files
-from quirelake.operators.edits import EditState
-from quirelake.session import STREAM_STATE
-from quirelake.sources.corpus import EXTRACT_SCHEMA, Extractor, extract
-from quirelake.sources.snapshot import append_version, upsert
+from quirelake.sources.corpus import PAGE_FIELDS, Extractor, extract
 
 QUERY_GAP = "300 milliseconds"
 CHANGE_GAP = "1 second"
 SNAPSHOT_WINDOW = "5 seconds"
-LATENESS = "1 hour"
 
-RECENTS_SCHEMA = "user_id bigint, path string, ts timestamp"
-PAGE_STORE_SCHEMA = EXTRACT_SCHEMA
-EDIT_SCHEMA = "doc_id bigint, seq bigint, place int, ann_id bigint"
 
+class Job(NamedTuple):
+    """``part`` takes a micro-batch, ``merge`` the parts of all batches."""
+
+    part: Callable[[DataFrame], DataFrame]
+    merge: Callable[[DataFrame], DataFrame]
+
+
+def newest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The row of each key that is last by ``order``; ties go by the other columns."""
+    others = [c for c in rows.columns if c not in (*keys, *order)]
+    last = F.max(F.struct(*order, *others)).alias("_last")
+    return rows.groupBy(*keys).agg(last).select(*keys, *[F.col("_last")[c].alias(c) for c in (*order, *others)]).select(*rows.columns)
+
+
+def newest_job(keys: Sequence[str], order: Sequence[str]) -> Job:
+    """Newest row per key; condensing it twice changes nothing."""
+    step = partial(newest, keys=keys, order=order)
+    return Job(step, step)
+
+
+def _bursts(parts: DataFrame, key: str, gap: str, *found) -> DataFrame:
+    """Join bursts (key, first, last) that lie at most ``gap`` apart."""
+    each = Window.partitionBy(key).orderBy("first", "last")
+    reached = F.max("last").over(each.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = (reached.isNull() | (F.col("first") > reached + F.expr(f"INTERVAL {gap}"))).cast("int")
+    numbered = parts.withColumn("_fresh", fresh).withColumn("_burst", F.sum("_fresh").over(each.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(key, "_burst").agg(F.min("first").alias("first"), F.max("last").alias("last"), *found).drop("_burst")
+
+
+def debounce_queries(gap: str = QUERY_GAP) -> Job:
+    """The last query of each burst of typing per user, from (user_id, query, ts).
+
+    The result has user_id, start, end (``gap`` after the last key), query, typed. A
+    part holds the bursts of its batch, which is what the merge has to look at.
+    """
+
+    def latest() -> Column:
+        return F.max(F.struct("last", "query"))["query"].alias("query")
+
+    def part(batch: DataFrame) -> DataFrame:
+        asked = batch.select("user_id", F.col("ts").alias("last"), "query", F.col("ts").alias("ts"))
+        return asked.groupBy("user_id", F.session_window("ts", gap).alias("burst")).agg(
+            F.min("last").alias("first"), latest(), F.count("*").alias("typed"), F.max("last").alias("last")
+        ).select("user_id", "first", "last", "query", "typed")
+
+    def merge(parts: DataFrame) -> DataFrame:
+        whole = _bursts(parts, "user_id", gap, latest(), F.sum("typed").alias("typed"))
+        return whole.select("user_id", F.col("first").alias("start"), (F.col("last") + F.expr(f"INTERVAL {gap}")).alias("end"), "query", "typed")
+
+    return Job(part, merge)
+
+
+def debounce_changes(gap: str = CHANGE_GAP) -> Job:
+    """One notice per burst of changes of a watched file, from (path, ts)."""
+
+    def part(batch: DataFrame) -> DataFrame:
+        return batch.groupBy("path", F.session_window("ts", gap).alias("burst")).agg(
+            F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("notices")
+        ).drop("burst")
+
+    def merge(parts: DataFrame) -> DataFrame:
+        whole = _bursts(parts, "path", gap, F.sum("notices").alias("notices"))
+        return whole.select("path", F.col("first").alias("start"), F.col("last").alias("last_change"), "notices")
 
-def debounce_queries(queries: DataFrame, gap: str = QUERY_GAP, lateness: str = LATENESS) -> DataFrame:
-    """The last query of each burst of typing per user (user_id, query, ts)."""
-    return (
-        queries.withWatermark("ts", lateness)
-        .groupBy("user_id", F.session_window("ts", gap).alias("burst"))
-        .agg(F.max_by("query", "ts").alias("query"), F.count("*").alias("typed"))
-        .select("user_id", F.col("burst.start").alias("start"), F.col("burst.end").alias("end"), "query", "typed")
-    )
+    return Job(part, merge)
 
 
-def debounce_changes(changes: DataFrame, gap: str = CHANGE_GAP, lateness: str = LATENESS) -> DataFrame:
-    """One notice per burst of changes of a watched file (path, ts)."""
-    return (
-        changes.withWatermark("ts", lateness)
-        .groupBy("path", F.session_window("ts", gap).alias("burst"))
-        .agg(F.max("ts").alias("last_change"), F.count("*").alias("notices"))
-        .select("path", F.col("burst.start").alias("start"), "last_change", "notices")
-    )
+def throttle_snapshots(every: str = SNAPSHOT_WINDOW) -> Job:
+    """The latest state per user and window, from (user_id, state, ts)."""
+    step = newest_job(["user_id", "start"], ["ts", "state"])
 
+    def part(batch: DataFrame) -> DataFrame:
+        return step.part(batch.select("user_id", F.window("ts", every)["start"].alias("start"), "state", "ts"))
 
-def throttle_snapshots(states: DataFrame, every: str = SNAPSHOT_WINDOW, lateness: str = LATENESS) -> DataFrame:
-    """The latest state per user and window (user_id, state, ts)."""
-    return (
-        states.withWatermark("ts", lateness)
-        .groupBy("user_id", F.window("ts", every).alias("slot"))
-        .agg(F.max_by("state", "ts").alias("state"))
-        .select("user_id", F.col("slot.start").alias("start"), "state")
-    )
+    return Job(part, lambda parts: step.merge(parts).drop("ts"))
 
 
-def dedupe_requests(requests: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Requests for a page not already asked for within the watermark."""
-    return requests.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["doc_id", "page"])
+def dedupe_requests() -> Job:
+    """Each page once that was asked for, from (doc_id, page, ts), with the first time."""
 
+    def first(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("doc_id", "page").agg(F.min("ts").alias("ts"))
 
-def drop_stale_replies(queries: DataFrame, replies: DataFrame, within: str = "10 minutes", lateness: str = LATENESS) -> DataFrame:
+    return Job(first, first)
+
+
+def as_they_are() -> Job:
+    """Rows kept as they come."""
+    return Job(lambda batch: batch, lambda parts: parts)
+
+
+def current_replies(queries: DataFrame, replies: DataFrame, within: str = "10 minutes") -> DataFrame:
     """Replies whose query is still current: at most ``within`` old.
 
     ``queries`` has user_id, query_id, ts; ``replies`` user_id, query_id, result, ts.
     """
-    asked = queries.withWatermark("ts", lateness).select(
-        F.col("user_id").alias("_user"), F.col("query_id").alias("_query"), F.col("ts").alias("asked_at")
-    )
-    told = replies.withWatermark("ts", lateness).withColumnRenamed("ts", "replied_at")
-    current = (
-        (F.col("user_id") == F.col("_user"))
-        & (F.col("query_id") == F.col("_query"))
-        & (F.col("replied_at") >= F.col("asked_at"))
-        & (F.col("replied_at") <= F.col("asked_at") + F.expr(f"INTERVAL {within}"))
-    )
-    return told.join(asked, current).drop("_user", "_query")
-
-
-def latest_results(results: DataFrame) -> DataFrame:
-    """Running newest result per page (doc_id, page, result, ts); update mode."""
-    return results.groupBy("doc_id", "page").agg(
-        F.max_by("result", "ts").alias("result"), F.max("ts").alias("ts")
-    )
-
-
-def layer_toggle_state(toggles: DataFrame, layers: DataFrame) -> DataFrame:
-    """Running visibility per layer, with the layer's name; update mode.
-
-    ``toggles`` has doc_id, object_id, visible, ts; ``layers`` is static.
+    asked = queries.select("user_id", "query_id", F.col("ts").alias("asked_at"))
+    told = replies.withColumnRenamed("ts", "replied_at")
+    in_time = F.col("replied_at").between(F.col("asked_at"), F.col("asked_at") + F.expr(f"INTERVAL {within}"))
+    return told.join(asked, ["user_id", "query_id"]).where(in_time)
+
+
+def latest_results() -> Job:
+    """The newest result per page, from (doc_id, page, result, ts)."""
+    return newest_job(["doc_id", "page"], ["ts", "result"])
+
+
+def layer_toggles() -> Job:
+    """The newest visibility per layer, from (doc_id, object_id, visible, ts)."""
+    return newest_job(["doc_id", "object_id"], ["ts", "visible"])
+
+
+def edit_state() -> Job:
+    """Marks that are live after all edits, from (doc_id, ann_id, seq, action).
+
+    The last edit of a mark decides, the largest ``seq``; a mark whose last edit is
+    ``delete`` is gone.
     """
-    keys = ["doc_id", "object_id"]
-    last = toggles.groupBy(*keys).agg(F.max_by("visible", "ts").alias("visible"), F.max("ts").alias("ts"))
-    return last.join(layers.select(*keys, "name"), keys)
-
-
-class EditLogProcessor(StatefulProcessor):
-    """Keeps a document's marks and its undo and redo stacks between batches."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        entry = "action string, ann_id bigint, place int"
-        self._marks = handle.getListState("marks", "ann_id bigint")
-        self._undo = handle.getListState("undo", entry)
-        self._redo = handle.getListState("redo", entry)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        edits = pd.concat(list(rows)).sort_values("seq")
-        state = EditState([r[0] for r in self._marks.get()], self._undo.get(), self._redo.get())
-        for row in edits.itertuples(index=False):
-            state.apply(row.action, row.ann_id, None if pd.isna(row.place) else int(row.place))
-        for store, values in (
-            (self._marks, [(a,) for a in state.annotations]), (self._undo, state.undo), (self._redo, state.redo),
-        ):
-            if values:
-                store.put([tuple(v) for v in values])
-            else:
-                store.clear()
-        marks = state.annotations or [None]
-        yield pd.DataFrame({
-            "doc_id": key[0],
-            "seq": int(edits["seq"].iloc[-1]),
-            "place": pd.array(range(len(marks)), dtype="Int32"),
-            "ann_id": pd.array(marks, dtype="Int64"),
-        })
-
-    def close(self) -> None:
-        pass
-
-
-def edit_log_state(edits: DataFrame) -> DataFrame:
-    """Live marks of each document a batch touches (doc_id, seq, action, ann_id, place).
-
-    A document's newest ``seq`` in the output carries its whole list; a NULL
-    ``ann_id`` says the list is empty.
+    step = newest_job(["doc_id", "ann_id"], ["seq", "action"])
+    return Job(step.part, lambda parts: step.merge(parts).where("action <> 'delete'"))
+
+
+def upsert_recents() -> Job:
+    """Each user's newest files, from (user_id, path, ts).
+
+    A path among a user's newest is among the newest of the part that holds its last
+    opening, so a part needs no more rows per user than the result.
     """
-    return (
-        edits.select("doc_id", "seq", "action", "ann_id", "place")
-        .groupBy("doc_id")
-        .transformWithStateInPandas(
-            statefulProcessor=EditLogProcessor(), outputStructType=EDIT_SCHEMA, outputMode="Update", timeMode="None"
-        )
-    )
 
+    def step(rows: DataFrame) -> DataFrame:
+        return recent_files(rows).select("user_id", "path", F.col("last_opened").alias("ts"))
+
+    return Job(step, step)
 
-def latest_edit_state(states: DataFrame) -> DataFrame:
-    """Current marks from the accumulated output of :func:`edit_log_state`."""
-    newest = states.groupBy("doc_id").agg(F.max("seq").alias("seq"))
-    return states.join(newest, ["doc_id", "seq"]).filter("ann_id IS NOT NULL").select("doc_id", "place", "ann_id")
 
+def reload_on_change(extractor: Extractor) -> Job:
+    """Pages of changed documents, read again, from (path, content, ts).
 
-def upsert_recents(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` callback keeping each user's newest files (user_id, path, ts)."""
+    A part holds the pages of the newest content of each document in its batch, and
+    one row with ``changed`` per document, also where no page is left.
+    """
 
-    def merge(stored: DataFrame, batch: DataFrame) -> DataFrame:
-        opens = stored.unionByName(batch.select("user_id", "path", "ts"))
-        return recent_files(opens).select("user_id", "path", F.col("last_opened").alias("ts"))
+    def part(batch: DataFrame) -> DataFrame:
+        content = newest(batch.select("path", "content", "ts"), ["path"], ["ts", "content"])
+        found = extract(content, extractor, keep=["path", "ts"]).withColumn("changed", F.lit(False))
+        empty = {f.name: F.lit(None).cast(f.dataType) for f in T.StructType.fromDDL(f"{PAGE_FIELDS}, error string").fields}
+        notices = newest(batch.select("path", "ts"), ["path"], ["ts"]).withColumns({**empty, "changed": F.lit(True)})
+        return found.unionByName(notices)
 
-    return lambda batch, batch_id: upsert(batch, batch_id, path, "user_id", merge, RECENTS_SCHEMA)
+    def merge(parts: DataFrame) -> DataFrame:
+        last = parts.where("changed").groupBy("path").agg(F.max("ts").alias("ts"))
+        return parts.where("NOT changed").join(last, ["path", "ts"]).drop("ts", "changed")
 
+    return Job(part, merge)
 
-def reload_on_change(path: str, extractor: Extractor) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` callback reading changed documents again.
 
-    The batch has path, content, ts; the newest content of each document counts.
-    Only the new pages are written; ``read_newest`` leaves the old ones out.
-    """
+# Running jobs
 
-    def reload(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy("path").agg(F.max_by("content", "ts").alias("content"))
-        append_version(extract(newest, extractor), batch.select("path"), batch_id, path)
 
-    return reload
+def _parts(spark: SparkSession, store: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{store}/parts")
 
 
-def run_available(stream: DataFrame, sink: str, mode: str = "append") -> DataFrame:
-    """Process everything available into ``sink`` and return what was written.
+def run_available(stream: DataFrame, job: Job, store: str) -> DataFrame:
+    """Process everything available and return the job's result so far.
 
-    Append output goes to a file sink; update output is written batch by batch,
-    each row marked with its ``batch_id``.
+    A service starts the same stream with a trigger of its own and merges when
+    somebody asks.
     """
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STREAM_STATE)
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{sink}/checkpoint").trigger(availableNow=True)
-    data = f"{sink}/data"
-    if mode == "append":
-        query = writer.format("parquet").option("path", data).start()
-    else:
-        query = writer.foreachBatch(
-            lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{data}/batch_id={batch_id}")
-        ).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).option("basePath", data).parquet(data)
+    schema = job.part(spark.createDataFrame([], stream.schema)).schema
 
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        job.part(batch).write.mode("overwrite").parquet(f"{store}/parts/batch-{batch_id}")
 
-def run_batches(stream: DataFrame, sink: str, callback: Callable[[DataFrame, int], None]) -> None:
-    """Process everything available through a ``foreachBatch`` callback."""
-    query = (
-        stream.writeStream.foreachBatch(callback)
-        .option("checkpointLocation", f"{sink}/checkpoint").trigger(availableNow=True).start()
-    )
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
+    return job.merge(_parts(spark, store, schema))
+
+
+def compact(spark: SparkSession, job: Job, store: str, schema: T.StructType, to: str) -> None:
+    """Write the parts of a stopped stream as one, for jobs whose part is its own merge."""
+    job.part(_parts(spark, store, schema)).write.parquet(f"{to}/parts/batch-0")
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1000) -> DataFrame:

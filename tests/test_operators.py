@@ -5,12 +5,9 @@ import random
 
 import pytest
 from conftest import rows
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quirelake.operators import annotations, documents, edits, layout, pages, prefix, quality, search, spatial, tables
-from quirelake.operators.edits import EditState
+from quirelake.operators import annotations, documents, layout, pages, prefix, quality, search, spatial, tables
 
 PAGES = "doc_id bigint, page int, width double, height double, label string, text string"
 
@@ -270,53 +267,16 @@ def test_signature_status(spark):
     assert rows(documents.signature_status(docs, sigs)) == [(1, "Signed"), (2, "Warning"), (3, None)]
 
 
-EDIT = st.one_of(
-    st.just(("add", None)), st.just(("undo", None)), st.just(("redo", None)), st.tuples(st.just("delete"), st.integers(0, 4))
-)
-
-
-@settings(max_examples=200, deadline=None)
-@given(st.lists(EDIT, max_size=30))
-def test_undo_all_then_redo_all_restores(log):
-    state = EditState()
-    for i, (action, place) in enumerate(log):
-        state.apply(action, i, place)
-    reached = sorted(state.annotations)
-    steps = len(state.undo)
-    for _ in range(steps):
-        state.apply("undo", None, None)
-    assert state.annotations == []
-    for _ in range(steps):
-        state.apply("redo", None, None)
-    assert sorted(state.annotations) == reached
-
-
-def test_delete_and_undo_keep_places():
-    state = EditState()
-    for ann in (1, 2, 3):
-        state.apply("add", ann, None)
-    state.apply("delete", None, 1)
-    assert state.annotations == [1, 3]
-    state.apply("undo", None, None)
-    assert state.annotations == [1, 2, 3]
-    state.apply("redo", None, None)
-    state.apply("add", 4, None)
-    state.apply("redo", None, None)
-    assert state.annotations == [1, 3, 4]
-
-
-def test_replay_with_deletions(spark):
+def test_live_marks(spark):
     rng = random.Random(11)
-    log = [(d, i, rng.choice(["add", "add", "delete", "undo", "redo"]), d * 1000 + i, rng.randint(0, 3)) for d in range(6) for i in range(40)]
-    want = []
-    for d in range(6):
-        state = EditState()
-        for _, _, action, ann, place in [r for r in log if r[0] == d]:
-            state.apply(action, ann, place)
-        want += [(d, i, a) for i, a in enumerate(state.annotations)]
+    log = [(d, rng.randint(0, 9), i, rng.choice(["add", "delete"])) for i in range(300) for d in (1, 2)]
+    last = {}
+    for doc, mark, seq, action in log:
+        last[doc, mark] = (seq, action)
+    want = [(*key, seq) for key, (seq, action) in last.items() if action == "add"]
     rng.shuffle(log)
-    df = spark.createDataFrame(log, "doc_id bigint, seq bigint, action string, ann_id bigint, place int")
-    assert rows(edits.replay(df)) == sorted(want, key=repr)
+    df = spark.createDataFrame(log, "doc_id bigint, ann_id bigint, seq bigint, action string")
+    assert rows(annotations.live_marks(df)) == sorted(want, key=repr)
 
 
 # --- tables and quality -----------------------------------------------------------

@@ -4,9 +4,7 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as contract
-
-QUERIES = contract.queries()
-CHECKS = contract.oracle_sql()
+from quirelake.plans.catalog import CHECKS, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +22,7 @@ def test_query(spark, data, con, name):
 
 
 def test_checks_belong_to_queries():
-    assert set(CHECKS) <= set(QUERIES)
+    assert set(CHECKS) <= set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
     assert set(QUERIES) - set(CHECKS) == {"S2_read_binary"}
 
 

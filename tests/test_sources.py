@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quirelake.operators import tables
 from quirelake.operators.pages import page_counts
-from quirelake.session import work_folder
+from quirelake.session import shared_folder, work_folder
 from quirelake.sources import corpus, sinks, snapshot
 
 
@@ -16,7 +16,7 @@ def folder(tmp_path):
 
 
 def test_work_folder_follows_the_cluster_setting(spark):
-    assert work_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir", "/"))
+    assert work_folder(spark, "x").startswith(shared_folder(spark))
     assert work_folder(spark, "x") != work_folder(spark, "x")
 
 
@@ -45,7 +45,7 @@ def test_read_binary_reports_errors(spark, tmp_path):
     names = got.withColumn("name", F.regexp_extract("path", "([^/]+)$", 1))
     assert rows(names, "name", "page", "text", "error") == [
         ("bad.bin", None, None, "OpenFailed"), ("good.bin", 0, "a", None), ("good.bin", 1, "b", None),
-        ("large.bin", None, None, "OpenFailed"), ("locked.bin", None, None, "PasswordRequired"),
+        ("large.bin", None, None, "TooLarge"), ("locked.bin", None, None, "PasswordRequired"),
     ]
 
 
@@ -68,19 +68,31 @@ def test_snapshot_replaces_and_survives_a_broken_write(spark, folder):
     assert rows(snapshot.read_snapshot(spark, folder)) == [(0,), (1,), (10,), (2,)]
 
 
-def test_upsert_touches_only_its_buckets(spark, folder):
-    schema = "k bigint, v bigint"
+def test_a_broken_store_is_no_empty_one(spark, folder, tmp_path):
+    snapshot.write_snapshot(spark.range(3), folder)
+    with pytest.raises(Exception):
+        snapshot.read_snapshot(spark, "nosuch://" + str(tmp_path))
+
+
+def test_pages_are_cut_in_linear_time(spark):
+    import time
+
+    def seconds(lines):
+        df = spark.createDataFrame([(1, "line of text\n" * lines)], "doc_id bigint, text string")
+        start = time.perf_counter()
+        assert corpus.paginate(df).count() == lines // 10 + 1
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(80_000) < 5
 
-    def merge(stored, batch):
-        return stored.join(batch, "k", "left_anti").unionByName(batch)
 
-    snapshot.upsert(spark.range(100).select(F.col("id").alias("k"), F.lit(0).cast("bigint").alias("v")), 0, folder, "k", merge, schema)
-    late = spark.createDataFrame([(5, 1), (200, 1)], schema)
-    snapshot.upsert(late, 1, folder, "k", merge, schema)
-    snapshot.upsert(late, 1, folder, "k", merge, schema)
-    now = snapshot.read_upserted(spark, folder, schema)
-    assert now.count() == 101
-    assert rows(now.filter("v = 1")) == [(200, 1), (5, 1)]
+@pytest.mark.parametrize("text", ["", "\n", "a", "a\n", "\n" * 9, "\n" * 10, "\n" * 11, "\n".join("abcdefghij"), "\n".join("abcdefghijk") + "\n"])
+def test_pages_are_ten_lines_each(spark, text):
+    lines = text.split("\n")
+    want = ["\n".join(lines[k : k + 10]) for k in range(0, len(lines), 10)]
+    got = corpus.paginate(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).orderBy("page").collect()
+    assert [r.text for r in got] == want
 
 
 def pages(spark, n):

@@ -6,9 +6,6 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from quirelake.operators import documents, edits
-from quirelake.sources.corpus import EXTRACT_SCHEMA
-from quirelake.sources.snapshot import read_newest, read_upserted
 from quirelake.streaming import jobs
 
 
@@ -26,84 +23,91 @@ def at(seconds):
     return datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(seconds=seconds)
 
 
-def test_edit_state_lives_over_batches(spark, tmp_path):
-    rng = random.Random(4)
-    log = [(d, i, rng.choice(["add", "add", "delete", "undo", "redo"]), d * 1000 + i, rng.randint(0, 3)) for i in range(30) for d in range(4)]
-    schema = "doc_id bigint, seq bigint, action string, ann_id bigint, place int"
-    stream = feed(spark, tmp_path, [log[:40], log[40:41], log[41:]], schema)
-    states = jobs.run_available(jobs.edit_log_state(stream), str(tmp_path / "sink"), "update")
-    batch = edits.replay(spark.createDataFrame(log, schema))
-    assert rows(jobs.latest_edit_state(states)) == rows(batch)
+DATA_JOBS = {
+    "queries": (jobs.debounce_queries("10 minutes"), lambda e: e.select("user_id", F.concat("event_type", "k").alias("query"), "ts")),
+    "changes": (jobs.debounce_changes("10 minutes"), lambda e: e.select(F.col("k").alias("path"), "ts")),
+    "throttle": (jobs.throttle_snapshots("6 hours"), lambda e: e.select("user_id", F.col("k").alias("state"), "ts")),
+    "requests": (jobs.dedupe_requests(), lambda e: e.select(F.col("user_id").alias("doc_id"), (F.col("k").cast("int") % 8).alias("page"), "ts")),
+    "results": (jobs.latest_results(), lambda e: e.select(F.col("user_id").alias("doc_id"), F.col("k").alias("page"), F.col("event_type").alias("result"), "ts")),
+    "recents": (jobs.upsert_recents(), lambda e: e.select("user_id", F.col("k").alias("path"), "ts")),
+    "edits": (jobs.edit_state(), lambda e: e.select(F.col("user_id").alias("doc_id"), F.col("k").alias("ann_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "view", "delete").otherwise("add").alias("action"))),
+}
+EVENTS = "event_id bigint, user_id bigint, event_type string, k string, ts timestamp"
 
 
-def test_recents_over_batches(spark, tmp_path):
-    rng = random.Random(6)
-    opens = [(u, f"f{rng.randint(0, 40)}", at(i)) for i in range(120) for u in (1, 2)]
-    stream = feed(spark, tmp_path, [opens[:100], opens[100:130], opens[130:]], jobs.RECENTS_SCHEMA)
-    store = str(tmp_path / "store")
-    jobs.run_batches(stream, str(tmp_path / "sink"), jobs.upsert_recents(store))
-    kept = read_upserted(spark, store, jobs.RECENTS_SCHEMA)
-    want = documents.recent_files(spark.createDataFrame(opens, jobs.RECENTS_SCHEMA))
-    assert rows(kept, "user_id", "path", "ts") == rows(want, "user_id", "path", "last_opened")
+@pytest.fixture(scope="module")
+def cuts(spark, data, tmp_path_factory):
+    """The events table as 1, 4 and 40 files of rows in no order."""
+    events = spark.read.parquet(f"{data}/events.parquet").select(
+        "event_id", "user_id", "event_type", F.get_json_object("props", "$.k").alias("k"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    out = {}
+    for n in (1, 4, 40):
+        out[n] = str(tmp_path_factory.mktemp(f"cut{n}"))
+        events.repartition(n, F.xxhash64("event_id")).write.mode("overwrite").parquet(out[n])
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 4, 40])
+@pytest.mark.parametrize("name", sorted(DATA_JOBS))
+def test_any_cut_equals_the_whole_table(spark, cuts, tmp_path, name, n):
+    job, shape = DATA_JOBS[name]
+    stream = shape(jobs.read_stream(spark, cuts[n], EVENTS, files_per_trigger=max(1, n // 8)))
+    done = jobs.run_available(stream, job, str(tmp_path / "store"))
+    want = job.merge(job.part(shape(spark.read.parquet(cuts[1]))))
+    assert rows(done, *want.columns) == rows(want)
+
+
+def test_bursts_equal_a_plain_loop(spark, tmp_path):
+    draw = random.Random(5)
+    times = [(u, round(draw.random() * 300, 1)) for u in (1, 2) for _ in range(200)]
+    typed = [(u, f"q{t}", at(t)) for u, t in times]
+    draw.shuffle(typed)
+    stream = feed(spark, tmp_path, [typed[k::7] for k in range(7)], "user_id bigint, query string, ts timestamp")
+    done = jobs.run_available(stream, jobs.debounce_queries("1 second"), str(tmp_path / "sink"))
+    want = []
+    for user in (1, 2):
+        burst = []
+        for t in sorted(t for u, t in times if u == user) + [1e9]:
+            if burst and t - burst[-1] > 1.0 + 1e-9:
+                want.append((user, f"q{burst[-1]}", len(burst)))
+                burst = []
+            burst.append(t)
+    assert rows(done, "user_id", "query", "typed") == sorted(want, key=repr)
+
+
+def test_parts_of_a_job_condense(spark, tmp_path):
+    opens = [(u, f"f{i % 41}", at(i)) for i in range(120) for u in (1, 2)]
+    schema = "user_id bigint, path string, ts timestamp"
+    job = jobs.upsert_recents()
+    stream = feed(spark, tmp_path, [opens[:100], opens[100:130], opens[130:]], schema)
+    done = rows(jobs.run_available(stream, job, str(tmp_path / "store")))
+    parts = job.part(spark.createDataFrame([], schema)).schema
+    jobs.compact(spark, job, str(tmp_path / "store"), parts, str(tmp_path / "small"))
+    assert rows(job.merge(spark.read.parquet(str(tmp_path / "small" / "parts" / "batch-0")))) == done and len(done) == 40
 
 
 def test_changed_documents_are_read_again(spark, tmp_path):
     schema = "path string, content binary, ts timestamp"
-    first = [("a", bytearray(b"1|2|3"), at(0)), ("b", bytearray(b"x"), at(0))]
-    first.append(("c", bytearray(b"gone"), at(0)))
+    first = [("a", bytearray(b"1|2|3"), at(0)), ("b", bytearray(b"x"), at(0)), ("c", bytearray(b"gone"), at(0))]
     second = [("a", bytearray(b"old"), at(1)), ("a", bytearray(b"new"), at(2)), ("c", bytearray(b""), at(2))]
-    stream = feed(spark, tmp_path, [first, second], schema)
-    store = str(tmp_path / "store")
-    jobs.run_batches(stream, str(tmp_path / "sink"), jobs.reload_on_change(store, lambda c: enumerate(c.decode().split("|") if c else [])))
-    assert rows(read_newest(spark, store, "path", EXTRACT_SCHEMA), "path", "page", "text") == [("a", 0, "new"), ("b", 0, "x")]
-
-
-def test_debounce_keeps_the_last_of_a_burst(spark, tmp_path):
-    typed = [(1, "q", at(0)), (1, "qu", at(0.2)), (1, "que", at(0.45)), (1, "other", at(0.76)), (1, "end", at(9000))]
-    stream = feed(spark, tmp_path, [typed], "user_id bigint, query string, ts timestamp")
-    done = jobs.run_available(jobs.debounce_queries(stream), str(tmp_path / "sink"))
-    assert rows(done, "query", "typed") == [("other", 1), ("que", 3)]
-
-
-def test_requests_are_asked_once(spark, tmp_path):
-    schema = "doc_id bigint, page int, ts timestamp"
-    stream = feed(spark, tmp_path, [[(1, 0, at(0)), (1, 1, at(1))], [(1, 0, at(60)), (2, 0, at(61))]], schema)
-    done = jobs.run_available(jobs.dedupe_requests(stream), str(tmp_path / "sink"))
-    assert rows(done, "doc_id", "page") == [(1, 0), (1, 1), (2, 0)]
+    for k, batches in enumerate(([first, second], [second, first], [first + second])):
+        stream = feed(spark, tmp_path / str(k), batches, schema)
+        job = jobs.reload_on_change(lambda c: enumerate(c.decode().split("|") if c else []))
+        done = jobs.run_available(stream, job, str(tmp_path / str(k) / "store"))
+        assert rows(done, "path", "page", "text") == [("a", 0, "new"), ("b", 0, "x")]
 
 
 def test_stale_replies_are_dropped(spark, tmp_path):
-    asked = feed(spark, tmp_path / "q", [[(1, 7, at(0)), (1, 8, at(5))]], "user_id bigint, query_id bigint, ts timestamp")
+    asked = feed(spark, tmp_path / "q", [[(1, 8, at(5))], [(1, 7, at(0))]], "user_id bigint, query_id bigint, ts timestamp")
     told = feed(
-        spark, tmp_path / "r", [[(1, 7, "in time", at(60)), (1, 8, "too late", at(4000)), (1, 9, "unasked", at(9)), (2, 7, "other user", at(9))]],
+        spark, tmp_path / "r", [[(1, 7, "in time", at(60)), (1, 8, "too late", at(4000))], [(1, 9, "unasked", at(9)), (2, 7, "other user", at(9)), (1, 8, "early", at(4))]],
         "user_id bigint, query_id bigint, result string, ts timestamp",
     )
-    done = jobs.run_available(jobs.drop_stale_replies(asked, told), str(tmp_path / "sink"))
-    assert rows(done, "result") == [("in time",)]
-
+    logs = [jobs.run_available(s, jobs.as_they_are(), str(tmp_path / n)) for s, n in ((asked, "a"), (told, "t"))]
+    assert rows(jobs.current_replies(*logs), "result") == [("in time",)]
 
-def test_latest_result_over_batches(spark, tmp_path):
-    schema = "doc_id bigint, page int, result string, ts timestamp"
-    stream = feed(spark, tmp_path, [[(1, 0, "a", at(0)), (1, 1, "b", at(9))], [(1, 0, "c", at(5)), (1, 1, "late", at(1))]], schema)
-    updates = jobs.run_available(jobs.latest_results(stream), str(tmp_path / "sink"), "update")
-    last = updates.groupBy("doc_id", "page").agg(F.max_by("result", "ts").alias("result"))
-    assert rows(last) == [(1, 0, "c"), (1, 1, "b")]
 
-
-def test_layer_toggles_join_their_layers(spark, tmp_path):
-    stream = feed(
-        spark, tmp_path, [[(1, 3, True, at(0))], [(1, 3, False, at(1)), (1, 4, True, at(1))]],
-        "doc_id bigint, object_id bigint, visible boolean, ts timestamp",
-    )
-    layers = spark.createDataFrame([(1, 3, "ink")], "doc_id bigint, object_id bigint, name string")
-    updates = jobs.run_available(jobs.layer_toggle_state(stream, layers), str(tmp_path / "sink"), "update")
-    assert rows(updates, "name", "visible") == [("ink", False), ("ink", True)]
-
-
-@pytest.mark.parametrize("n", [1, 3])
-def test_throttle_keeps_the_latest_state(spark, tmp_path, n):
-    saved = [(1, f"s{i}", at(i)) for i in range(12)] + [(1, "end", at(9000))]
-    batches = [saved[i::n] for i in range(n)] if n == 1 else [saved[:6], saved[6:12], saved[12:]]
-    stream = feed(spark, tmp_path, batches, "user_id bigint, state string, ts timestamp")
-    done = jobs.run_available(jobs.throttle_snapshots(stream), str(tmp_path / "sink"))
-    assert rows(done, "state") == [("s11",), ("s4",), ("s9",)]
+def test_an_empty_stream_gives_an_empty_result(spark, tmp_path):
+    stream = feed(spark, tmp_path, [[]], "user_id bigint, path string, ts timestamp")
+    assert jobs.run_available(stream, jobs.upsert_recents(), str(tmp_path / "store")).count() == 0
