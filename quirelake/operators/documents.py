@@ -53,7 +53,7 @@ def effective_layers(layers: DataFrame, overrides: DataFrame) -> DataFrame:
     ``overrides`` has doc_id, object_id, visible, ts.
     """
     keys = ["doc_id", "object_id"]
-    last = overrides.groupBy(*keys).agg(F.max_by("visible", "ts").alias("_override"))
+    last = overrides.groupBy(*keys).agg(F.max(F.struct("ts", "visible"))["visible"].alias("_override"))
     joined = layers.join(last, keys, "left")
     return joined.withColumn("visible", F.coalesce("_override", "visible")).drop("_override")
 

@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.functions.text import fold
+from quirelake.functions.text import context_snippet, fold
 from quirelake.operators.layout import PAGE
 from quirelake.operators.prefix import running_total
-from quirelake.session import settle
-
-try:
-    import ahocorasick
-except ImportError:
-    ahocorasick = None
 
 # Texts are searched in pieces of this many characters, overlapping by the query
 # length, so the work per piece is bounded and grows linearly with the text.
 PIECE = 256
 # Offsets per block in the hit-to-span join.
 SPAN_BLOCK = 1024
-# Up to this many queries travel inside the plan. Up to the next bounds they go to
-# the tasks as one matching automaton; beyond, they are joined by gram.
-INLINE_QUERIES = 16
-AUTOMATON_QUERIES = 100_000
-AUTOMATON_CHARS = 8_000_000
-HITS_PER_BATCH = 50_000
+# Queries are looked up by a gram of at most this many characters.
 GRAM = 3
-GRAM_SALTS = 16
 
 
 def _quoted(needle: Column) -> Column:
@@ -92,79 +76,34 @@ def search(pages: DataFrame, query: str, case_sensitive: bool = False, page: int
     return _matches(pieces, list(PAGE), F.lit(needle))
 
 
+def snippets(pages: DataFrame, hits: DataFrame, around: int = 20) -> DataFrame:
+    """Every hit with the text around it: ``(doc_id, page, pos, snippet)``."""
+    met = hits.select(*PAGE, "pos", F.length("text").alias("_n")).join(pages.select(*PAGE, "text"), list(PAGE))
+    return met.select(*PAGE, "pos", context_snippet(F.col("text"), F.col("pos"), F.col("_n"), around).alias("snippet"))
+
+
 def search_counts(hits: DataFrame, by_page: bool = False) -> DataFrame:
     """Number of hits per document (or page)."""
     keys = PAGE if by_page else PAGE[:1]
     return hits.groupBy(*keys).agg(F.count("*").alias("hits"))
 
 
-def search_many(
-    pages: DataFrame, queries: DataFrame, inline_limit: int = INLINE_QUERIES, automaton_limit: int = AUTOMATON_QUERIES
-) -> DataFrame:
+def search_many(pages: DataFrame, queries: DataFrame) -> DataFrame:
     """Hits ``(query_id, doc_id, page, pos, text)`` of every query.
 
-    ``queries`` has query_id and query. How many there are is checked with bounded
-    reads: a few become an array in the plan, more are sent to the tasks as an
-    automaton that finds all of them in one pass over a text, and a list beyond
-    its bounds is joined through one gram of each query. All three read every
-    page whole, and only the last one shuffles.
+    ``queries`` has query_id and query; blank queries have no hits. Pieces of page
+    texts meet the queries on one gram of each, and a piece is searched for the
+    queries whose gram it holds. One plan for any number of queries; the adaptive
+    join splits grams that many pieces hold.
     """
-    wanted = (
-        queries.select("query_id", fold(F.col("query")).alias("needle"))
-        .filter("needle != ''")
-    )
-    head = wanted.limit(inline_limit + 1).collect()
-    if len(head) <= inline_limit:
-        return _inline_hits(pages, wanted, head)
-    if ahocorasick is not None:
-        head = wanted.limit(automaton_limit + 1).collect()
-        if len(head) <= automaton_limit and sum(len(r.needle) for r in head) <= AUTOMATON_CHARS:
-            return _automaton_hits(pages, wanted, head)
-    pairs = _candidates(pages, wanted)
-    keep = ["query_id", *PAGE]
-    return _matches(_pieces(pairs, [*keep, "needle"], F.length("needle") - 1, False), keep, F.col("needle"))
-
-
-def _inline_hits(pages: DataFrame, wanted: DataFrame, head: list) -> DataFrame:
-    ids = wanted.schema["query_id"].dataType.simpleString()
-    known = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.lit(r.needle).alias("needle")) for r in head])
-    known = known.cast(f"array<struct<query_id:{ids},needle:string>>")
-    longest = max((len(r.needle) for r in head), default=1)
-    pieces = _pieces(pages, list(PAGE), F.lit(longest - 1), False)
-    asked = F.filter(known, lambda q: F.col("_seen").contains(q["needle"]))
-    paired = pieces.select(*PAGE, "_piece_no", "_piece", "_seen", F.inline(asked))
-    return _matches(paired, ["query_id", *PAGE], F.col("needle"))
-
-
-def _automaton_hits(pages: DataFrame, wanted: DataFrame, head: list) -> DataFrame:
-    ids_of: dict[str, list] = {}
-    for row in head:
-        ids_of.setdefault(row.needle, []).append(row.query_id)
-    columns = ["query_id", *PAGE, "pos", "text"]
-    batch_size = HITS_PER_BATCH
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for needle, ids in ids_of.items():
-            automaton.add_word(needle, (len(needle), ids))
-        automaton.make_automaton()
-        hits = []
-        for batch in batches:
-            for doc_id, page, text, seen in batch.itertuples(index=False):
-                for end, (size, ids) in automaton.iter(seen):
-                    at = end - size + 1
-                    hits.extend((i, doc_id, page, at, text[at : at + size]) for i in ids)
-                    if len(hits) >= batch_size:
-                        yield pd.DataFrame(hits, columns=columns)
-                        hits = []
-        if hits:
-            yield pd.DataFrame(hits, columns=columns)
-
-    kinds = {f.name: f.dataType.simpleString() for f in pages.select(*PAGE).schema.fields}
-    ids = wanted.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {ids}, doc_id {kinds['doc_id']}, page {kinds['page']}, pos int, text string"
-    read = pages.filter("text IS NOT NULL").select(*PAGE, "text", fold(F.col("text")).alias("seen"))
-    return read.mapInPandas(find, schema)
+    wanted = queries.select("query_id", fold(F.col("query")).alias("needle")).filter("needle != ''")
+    longest = wanted.agg(F.coalesce(F.max(F.length("needle")), F.lit(1))).scalar()
+    pieces = _pieces(pages, list(PAGE), longest - 1, False)
+    place = [*PAGE, "_piece_no"]
+    sizes = F.concat(*[_grams(F.col("_seen"), n) for n in range(1, GRAM + 1)])
+    held = pieces.select(*place, F.explode(sizes).alias("gram"))
+    asked = held.join(_anchors(wanted), "gram").drop("gram")
+    return _matches(pieces.join(asked, place), ["query_id", *PAGE], F.col("needle"))
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -173,12 +112,10 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.filter(found, lambda g: F.length(g) == size))
 
 
-def _candidates(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Pages that hold a chosen gram of a query, with the page text.
+def _anchors(wanted: DataFrame) -> DataFrame:
+    """``query_id, needle, gram``: each query with its gram that fewest queries have.
 
-    Each query is looked up by its gram that fewest queries have, so that no gram
-    gathers more queries than it must. The page side of a frequent gram is spread
-    over salts; the query side, one row per query, is repeated for each salt.
+    So no gram gathers more queries than it must.
     """
     size = F.least(F.length("needle"), F.lit(GRAM))
     own = F.when(size == 1, _grams(F.col("needle"), 1)).when(size == 2, _grams(F.col("needle"), 2)).otherwise(
@@ -186,21 +123,7 @@ def _candidates(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     )
     query_grams = wanted.select("query_id", "needle", F.explode(own).alias("gram"))
     shared = query_grams.groupBy("gram").agg(F.count("*").alias("n"))
-    anchors = (
-        query_grams.join(shared, "gram")
-        .groupBy("query_id", "needle")
-        .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(GRAM_SALTS - 1))))
-    )
-    folded = pages.select(*PAGE, fold(F.col("text")).alias("_folded"))
-    all_sizes = F.concat(*[_grams(F.col("_folded"), n) for n in range(1, GRAM + 1)])
-    page_grams = folded.select(*PAGE, F.explode(all_sizes).alias("gram"))
-    salted = page_grams.withColumn("salt", F.pmod(F.hash(*PAGE), F.lit(GRAM_SALTS)))
-    found = salted.join(anchors, ["gram", "salt"]).select(*PAGE, "query_id", "needle")
-    return (
-        pages.select(*PAGE, "text").join(found, list(PAGE))
-        .filter(fold(F.col("text")).contains(F.col("needle")))
-    )
+    return query_grams.join(shared, "gram").groupBy("query_id", "needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
 
 
 def hit_to_span(hits: DataFrame, spans: DataFrame) -> DataFrame:
@@ -227,10 +150,10 @@ def hit_to_span(hits: DataFrame, spans: DataFrame) -> DataFrame:
 def number_hits(hits: DataFrame) -> DataFrame:
     """Add ``hit_no``: place of a hit in its document, from zero, by page and position.
 
-    Hits are few beside the text they were found in; they are settled first so
-    that the counting passes do not search again.
+    Hits are dealt by page once; the counting passes reuse that shuffle and do not
+    search again.
     """
-    hits = settle(hits, "hits")
+    hits = hits.repartition(*PAGE)
     inside = running_total(hits, PAGE, "pos", F.lit(1), "_inside")
     per_page = hits.groupBy(*PAGE).agg(F.count("*").alias("_n"))
     earlier = running_total(per_page, PAGE[:1], "page", F.col("_n"), "_earlier").select(*PAGE, "_earlier")
@@ -285,17 +208,32 @@ def fuzzy_find(titles: DataFrame, query: str, k: int) -> DataFrame:
     of the shortest stretch holding the characters; ties keep id order. A blank
     query keeps everything in id order.
     """
-    wanted = query.strip()
+    wanted = _needle(query.strip(), False)
     if not wanted:
-        return titles.withColumn("score", F.lit(0)).orderBy("id").limit(k)
+        return titles.withColumn("score", F.lit(0)).orderBy("id")
     text = fold(F.concat_ws(" ", "title", "category", F.coalesce("subtitle", F.lit(""))))
-    stretch = ".*?".join(re.escape(c) for c in _needle(wanted, False))
-    spans = F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=({stretch}))"), F.lit(1)), F.length)
     return (
-        titles.withColumn("_spans", spans)
-        .filter(F.size("_spans") > 0)
-        .withColumn("score", -F.array_min("_spans"))
-        .drop("_spans")
+        titles.withColumn("score", -_shortest_stretch(text, wanted))
+        .filter("score IS NOT NULL")
         .orderBy(F.col("score").desc(), "id")
         .limit(k)
     )
+
+
+def _shortest_stretch(text: Column, wanted: str) -> Column:
+    """Length of the shortest stretch of ``text`` with the characters of ``wanted`` in order.
+
+    One pass over the characters keeps, for each beginning of ``wanted``, the latest
+    place from which it has been met; NULL where there is no stretch.
+    """
+    nowhere = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("at"), F.array(*[nowhere] * len(wanted)).alias("begun"), nowhere.alias("best"))
+
+    def step(acc: Column, char: Column) -> Column:
+        begun = [
+            F.when(char == c, acc["at"] if k == 0 else acc["begun"][k - 1]).otherwise(acc["begun"][k]) for k, c in enumerate(wanted)
+        ]
+        ended = F.when(char == wanted[-1], acc["at"] - begun[-1] + 1)
+        return F.struct((acc["at"] + 1).alias("at"), F.array(*begun).alias("begun"), F.least(acc["best"], ended).alias("best"))
+
+    return F.aggregate(F.split(text, ""), start, step, lambda acc: acc["best"])

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quirelake.functions.text import delimited_row
 from quirelake.operators.layout import PAGE, assign_lines
 from quirelake.operators.prefix import running_total
-from quirelake.session import settle
 
 # Fixed values of the detection rule.
 LINE_TOLERANCE = 2.0
@@ -55,7 +54,6 @@ def _table_lines(words: DataFrame) -> DataFrame:
         .withColumn("_run", F.max(F.when(F.col("_begins"), F.col("line_no"))).over(in_block))
         .drop("_starts", "_begins")
     )
-    compared = settle(compared, "lines")
     earlier = Window.partitionBy(*PAGE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     reached = (
         compared.groupBy(*PAGE, "_block").agg(F.max("_run").alias("_reached"))

@@ -46,14 +46,14 @@ def _paragraphs(content: bytes):
 
 
 @query("U1_extract", """
-    SELECT path, CAST(i - 1 AS INTEGER) AS page, text, regexp_extract_all(text, 'href="([^"]*)"', 1) AS links,
-        regexp_extract_all(text, '<h1>([^<]*)</h1>', 1) AS headings
+    SELECT path, CAST(i - 1 AS INTEGER) AS page, text, array_to_string(regexp_extract_all(text, 'href="([^"]*)"', 1), ' ') AS links,
+        array_to_string(regexp_extract_all(text, '<h1>([^<]*)</h1>', 1), ' ') AS headings
     FROM (SELECT url AS path, unnest(string_split(html, '</p>')) AS text,
                  generate_subscripts(string_split(html, '</p>'), 1) AS i FROM pages)""")
 def _(spark, folder):
     files = table(spark, folder, "pages").select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content"))
     found = corpus.extract(files, _paragraphs, "page int, text string, links array<string>, headings array<string>")
-    return found.where("error IS NULL").drop("error")
+    return found.where("error IS NULL").select("path", "page", "text", F.array_join("links", " ").alias("links"), F.array_join("headings", " ").alias("headings"))
 
 
 @query("S3_read_state_json", with_inputs("clicks") + """
@@ -83,12 +83,23 @@ def _(spark, folder):
     return snapshot.read_snapshot(spark, path)
 
 
-_HEAD = "<!DOCTYPE html>|<html>|<head>|<meta charset=\"utf-8\">|<title>Converted PDF</title>|</head>|<body>|"
+# The skeleton of an exported page file.
+_HEAD = """<!DOCTYPE html>
+<html>
+<head>
+<meta charset="utf-8">
+<title>Converted PDF</title>
+</head>
+<body>
+"""
+_TAIL = """</body>
+</html>
+"""
 
 
 def _export_check(block: str, head: str = "", tail: str = "") -> str:
     return with_inputs("sheets") + f"""
-    SELECT doc_id, 0 AS part, replace('{head}', '|', chr(10)) || string_agg({block}, '' ORDER BY page) || replace('{tail}', '|', chr(10)) AS text
+    SELECT doc_id, 0 AS part, '{head}' || string_agg({block}, '' ORDER BY page) || '{tail}' AS text
     FROM sheets GROUP BY doc_id"""
 
 
@@ -104,11 +115,19 @@ def _(spark, folder):
 
 @query("S5_export_html", _export_check(
     "'<section><h2>Page ' || (page + 1) || '</h2><pre>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
-    " || '</pre></section>' || chr(10)", _HEAD, "</body>|</html>|"))
+    " || '</pre></section>' || chr(10)", _HEAD, _TAIL))
 def _(spark, folder):
     return sinks.export_text(sheets(spark, folder), "html")
 
 
+@query("S5_export_parts", with_inputs("sheets") + """
+    SELECT doc_id, CAST(page // 3 AS INTEGER) AS part,
+        string_agg('--- Page ' || (page + 1) || ' ---' || chr(10) || chr(10) || text || chr(10) || chr(10), '' ORDER BY page) AS text
+    FROM sheets GROUP BY 1, 2""")
+def _(spark, folder):
+    return sinks.export_text(sheets(spark, folder), "txt", pages_per_part=3)
+
+
 def _filed(spark, folder):
     path = F.concat(F.lit("/corpus/talk."), F.col("doc_id").cast("string"), F.lit(".pdf"))
     return turns(spark, folder).withColumn("path", path)

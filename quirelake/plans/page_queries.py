@@ -144,35 +144,21 @@ def _(spark, folder):
 
 
 def _queries(spark, folder):
-    """The first word of each benchmark text as a query."""
-    return table(spark, folder, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.split_part("text", F.lit(" "), F.lit(1)).alias("query")
-    )
+    """Every word of the benchmark texts as a query, named by itself."""
+    words = table(spark, folder, "benchmark").select(F.explode(F.split("text", " ")).alias("query")).distinct()
+    return words.select(F.col("query").alias("query_id"), "query")
 
 
-_MANY = with_inputs("turns") + """, wanted AS (
-        SELECT item_id AS query_id, lower(split_part(text, ' ', 1)) AS q FROM benchmark)
+@query("J13_search_many", with_inputs("turns") + """, wanted AS (
+        SELECT query_id, lower(query_id) AS q FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS query_id FROM benchmark))
     SELECT query_id, doc_id, page, CAST(p - 1 AS INTEGER) AS pos, substr(text, p, length(q)) AS text
     FROM (SELECT query_id, q, doc_id, page, text,
                  unnest(list_filter(range(1, length(text) - length(q) + 2), lambda i: substr(seen, i, length(q)) = q)) AS p
-          FROM (SELECT *, lower(text) AS seen FROM turns) t JOIN wanted ON q <> '' AND contains(seen, q))"""
-
-
-@query("J13_search_many", _MANY)
+          FROM (SELECT *, lower(text) AS seen FROM turns) t JOIN wanted ON q <> '' AND contains(seen, q))""")
 def _(spark, folder):
     return search.search_many(turns(spark, folder), _queries(spark, folder))
 
 
-@query("J13_search_many_inline", _MANY)
-def _(spark, folder):
-    return search.search_many(turns(spark, folder), _queries(spark, folder), inline_limit=10_000)
-
-
-@query("J13_search_many_by_gram", _MANY)
-def _(spark, folder):
-    return search.search_many(turns(spark, folder), _queries(spark, folder), inline_limit=0, automaton_limit=0)
-
-
 _SQUEEZED = f"""(SELECT doc_id, page, regexp_replace(text, '{SPACE}+', '', 'g') AS text FROM turns)"""
 
 
@@ -265,11 +251,11 @@ def _(spark, folder):
 
 
 @query("A5_boxes_by_page", with_inputs("marks", "turns") + """
-    SELECT doc_id, page, CAST(0 AS BIGINT) AS part,
+    SELECT doc_id, page, ann_id // 1000 AS part,
            string_agg(ann_id || ':' || CAST(x AS INTEGER) || ',' || CAST(h - y - height AS INTEGER) || ','
              || CAST(x + width AS INTEGER) || ',' || CAST(h - y AS INTEGER), ';' ORDER BY ann_id) AS boxes
     FROM (SELECT m.*, coalesce(t.height, 792) AS h FROM marks m LEFT JOIN turns t USING (doc_id, page) WHERE kind = 'Redact')
-    GROUP BY doc_id, page""")
+    GROUP BY doc_id, page, part""")
 def _(spark, folder):
     boxed = annotations.to_file_space(annotations.only_redactions(marks(spark, folder)), turns(spark, folder))
 
@@ -277,7 +263,7 @@ def _(spark, folder):
         sides = [b[n].cast("int").cast("string") for n in ("x0", "y0", "x1", "y1")]
         return F.concat(b["ann_id"].cast("string"), F.lit(":"), F.concat_ws(",", *sides))
 
-    return spatial.boxes_by_page(boxed, 1 << 40).withColumn("boxes", F.array_join(F.transform("boxes", shown), ";"))
+    return spatial.boxes_by_page(boxed, 1000).withColumn("boxes", F.array_join(F.transform("boxes", shown), ";"))
 
 
 @query("A6_content_bbox", with_inputs("pixels") + """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirelake.functions import color, dates, geometry, protect, records, text
-from quirelake.operators import markup
+from quirelake.operators import markup, search
 from quirelake.plans.inputs import boxes, clicks, html_pages, marks, pixels, table, turns, with_inputs
 from quirelake.plans.registry import query
 
@@ -375,14 +375,14 @@ def _(spark, folder):
 
 
 @query("X25_context_snippet", """
-    SELECT doc_id, CASE WHEN hit > 21 THEN '...' ELSE '' END
+    SELECT doc_id, CAST(hit - 1 AS INTEGER) AS pos, CASE WHEN hit > 21 THEN '...' ELSE '' END
            || substr(text, CAST(greatest(hit - 20, 1) AS BIGINT), CAST(hit + 22 - greatest(hit - 20, 1) AS BIGINT))
            || CASE WHEN hit + 21 < length(text) THEN '...' ELSE '' END AS snippet
-    FROM (SELECT doc_id, text, strpos(text, 'en') AS hit FROM documents) WHERE hit > 0""")
+    FROM (SELECT doc_id, text, unnest(list_filter(range(1, length(text)), lambda i: substr(text, i, 2) = 'en')) AS hit
+          FROM documents WHERE contains(text, 'en'))""")
 def _(spark, folder):
-    at = F.instr("text", "en")
-    snippet = text.context_snippet(F.col("text"), at - 1, F.lit(2), 20)
-    return table(spark, folder, "documents").filter(at > 0).select("doc_id", snippet.alias("snippet"))
+    whole = table(spark, folder, "documents").select("doc_id", F.lit(0).alias("page"), "text")
+    return search.snippets(whole, search.search(whole, "en", case_sensitive=True)).drop("page")
 
 
 @query("X26_encrypt_round_trip", "SELECT doc_id, text, true AS hidden, true AS wrong_key_is_null FROM documents")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import delimited_row, export_frame, file_stem, page_block
 from quirelake.operators.layout import PAGE
-from quirelake.operators.pages import page_counts, reorder_pages
+from quirelake.operators.pages import reorder_pages
 
 # Pages of one export cell; longer documents continue in the next part.
 PAGES_PER_PART = 1024
@@ -22,19 +22,20 @@ def export_text(pages: DataFrame, fmt: str = "txt", pages_per_part: int = PAGES_
     """
     head, tail = export_frame(fmt)
     part = F.floor(F.col("page") / pages_per_part).cast("int")
-    blocks = pages.select("doc_id", "page", page_block(F.col("text"), F.col("page"), fmt).alias("block"))
+    # Dealt by document, so that the parts of one and its last part need no further shuffle.
+    blocks = pages.select("doc_id", "page", page_block(F.col("text"), F.col("page"), fmt).alias("block")).repartition("doc_id")
     parts = blocks.groupBy("doc_id", part.alias("part")).agg(
         F.expr("listagg(block, '') WITHIN GROUP (ORDER BY page)").alias("text")
     )
     if not head and not tail:
         return parts
-    last = F.floor((F.col("page_count") - 1) / pages_per_part)
-    return parts.join(page_counts(pages), "doc_id").select(
+    last = F.max("part").over(Window.partitionBy("doc_id"))
+    return parts.withColumn("_last", last).select(
         "doc_id", "part",
         F.concat(
             F.when(F.col("part") == 0, F.lit(head)).otherwise(F.lit("")),
             "text",
-            F.when(F.col("part") == last, F.lit(tail)).otherwise(F.lit("")),
+            F.when(F.col("part") == F.col("_last"), F.lit(tail)).otherwise(F.lit("")),
         ).alias("text"),
     )
 

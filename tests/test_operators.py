@@ -61,13 +61,11 @@ def test_search_options(spark):
     assert search.search(table, "").count() == 0
 
 
-@pytest.mark.parametrize("limits", [(100, 100), (0, 100), (0, 0)])
-def test_search_many_is_search_each(spark, limits, monkeypatch):
-    monkeypatch.setattr(search, "HITS_PER_BATCH", 7)
+def test_search_many_is_search_each(spark):
     texts = {(d, p): "".join(random.Random(d * 9 + p).choices("abcdÉ🙂 ", k=300)) for d in range(4) for p in range(3)}
-    wanted = {1: "ab", 8: "AB", 9: "é🙂", 2: "a", 3: "cab", 4: "dabc", 5: "zzz", 6: "", 7: "B C"}
+    wanted = {1: "ab", 8: "AB", 9: "é🙂", 2: "a", 3: "cab", 4: "dabc", 5: "zzz", 6: "", 7: "B C", 10: "d" * 300}
     queries = spark.createDataFrame(list(wanted.items()), "query_id bigint, query string")
-    got = rows(search.search_many(page_table(spark, texts), queries, *limits), "query_id", "doc_id", "page", "pos")
+    got = rows(search.search_many(page_table(spark, texts), queries), "query_id", "doc_id", "page", "pos")
     want = [(q, d, p, i) for q, s in wanted.items() if s for (d, p), t in texts.items() for i in brute(t, s)]
     assert got == sorted(want, key=repr)
 
@@ -95,13 +93,46 @@ def test_hit_steps_go_round(spark):
     assert steps == [(1, 0, 0, 2, 3, 0), (1, 1, 3, 0, 0, 0), (1, 2, 0, 0, 0, 2), (2, 0, 5, 0, 5, 0)]
 
 
-ITEMS = [(1, "Open PDF Document", "Browse filesystem", "File"), (2, "Export Page as Image", None, "Export"), (3, "Toggle Dark / Light Theme", None, "View")]
+ITEMS = [(4, "Rotate sheet", "Quarter turn", "Layout"), (5, "Merge binders", None, "Tools"), (6, "Night colours", None, "Look")]
 
 
-@pytest.mark.parametrize("query,found", [("", [1, 2, 3]), ("dark", [3]), ("export", [2]), ("nonexistentxyz", [])])
+@pytest.mark.parametrize("query,found", [("", [4, 5, 6]), (" ", [4, 5, 6]), ("night", [6]), ("rqt", [4]), ("zzq", [])])
 def test_fuzzy_find(spark, query, found):
     titles = spark.createDataFrame(ITEMS, "id bigint, title string, subtitle string, category string")
-    assert [r.id for r in search.fuzzy_find(titles, query, 10).collect()] == found
+    assert [r.id for r in search.fuzzy_find(titles, query, 2).collect()] == found
+
+
+def shortest(text, wanted):
+    best = None
+    for start in range(len(text)):
+        at = start - 1
+        for c in wanted:
+            at = text.find(c, at + 1)
+            if at < 0:
+                break
+        else:
+            best = min(best or 10**9, at - start + 1)
+    return best
+
+
+def test_fuzzy_scores_are_brute_force(spark):
+    draw = random.Random(8)
+    texts = ["".join(draw.choices("aabc .*É🙂", k=draw.randrange(30))) for _ in range(80)]
+    titles = spark.createDataFrame([(i, t, None, "") for i, t in enumerate(texts)], "id bigint, title string, subtitle string, category string")
+    for query in ("a", "ab", "aab", "c.*", "É🙂a"):
+        got = {r.id: -r.score for r in search.fuzzy_find(titles, query, 100).collect()}
+        want = {i: shortest((t + "  ").lower(), query.lower()) for i, t in enumerate(texts)}
+        assert got == {i: n for i, n in want.items() if n}
+
+
+def test_fuzzy_time_is_linear(spark):
+    import time
+
+    titles = spark.createDataFrame([(1, "a" * 4000, None, "")], "id bigint, title string, subtitle string, category string")
+    search.fuzzy_find(titles, "aaab", 5).collect()
+    start = time.perf_counter()
+    assert search.fuzzy_find(titles, "aaab", 5).collect() == []
+    assert time.perf_counter() - start < 2
 
 
 # --- layout -------------------------------------------------------------------
@@ -114,9 +145,9 @@ def test_layout_keeps_blank_line_numbers(spark):
 
 
 def test_page_text_joins_lines(spark):
-    table = page_table(spark, {(1, 0): "First line of text\nSecond line of text", (1, 1): " \n"})
+    table = page_table(spark, {(1, 0): "upper row, é\nlower row", (1, 1): " \n"})
     out = layout.page_text(layout.layout_lines(table))
-    assert rows(out, "page", "text") == [(0, "First line of text\nSecond line of text")]
+    assert rows(out, "page", "text") == [(0, "upper row, é\nlower row")]
 
 
 def brute_lines(ys, tol):
