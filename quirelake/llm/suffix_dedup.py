@@ -18,8 +18,8 @@ PASSAGE = 50
 #: Words a suffix is sorted by; the minimum over the ``PASSAGE - PREFIX + 1`` prefixes
 #: of a passage-long window chooses its position.
 PREFIX = 16
-#: Rows of equal prefix compared in one task; more are compared window by window over the cluster.
-RUN = 4096
+#: Rows held and compared at once. More rows of one prefix are compared window by window over the cluster.
+RUN = 1 << 16
 #: Distinct words whose hashes a worker remembers.
 REMEMBERED = 1_000_000
 #: Words of one text handled at once.
@@ -202,7 +202,7 @@ def _neighbours(rows: DataFrame, passage: int, run: int) -> DataFrame:
                 held.append((heads, docs, starts, windows))
                 size += len(heads)
                 last = heads[-1]
-                if size >= 16 * run or heads[0] == last:
+                if size >= run or heads[0] == last:
                     # Keep back the rows of the last prefix: more of them may follow.
                     heads, docs, starts = (np.concatenate([h[k] for h in held]) for k in range(3))
                     windows = [w for h in held for w in h[3]]
