@@ -136,9 +136,10 @@ class Personal:
             values.join(terms, ["kind", "entity"]).groupBy(*self.KEYS, "term").agg(F.max("action").alias("action"))
             .select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), "term", "action"), "pii-flagged"
         )
-        concerned = self.held.join(flagged.select("_id", "_sha").distinct(), (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        concerned = self.held.join(flagged.select("_id", "_sha").distinct().hint("merge"), (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
         words = _located(concerned.select(*self.KEYS, F.posexplode(_parts(F.col("text"), _WORD)).alias("no", "part")), self.KEYS)
-        hit = words.join(flagged, (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.lower("match") == F.col("term")))
+        # Written small, but many rows: never broadcast by the size of its files.
+        hit = words.join(flagged.hint("merge"), (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.lower("match") == F.col("term")))
         spans = hit.select(*self.KEYS, F.col("action").alias("kind"), "match", "start", "end", F.when(F.col("action") == "generalise", len(KINDS)).otherwise(len(KINDS) + 1).alias("rank"))
         covered = self.base.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("start").alias("_from"), F.col("end").alias("_to"))
         return spans.join(covered, (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("start") < F.col("_to")) & (F.col("_from") < F.col("end")), "left_anti")
