@@ -37,10 +37,12 @@ APART = frozenset("nav aside footer form button dialog menu fieldset label optio
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words in a class or id that mark what is around an article, and beginnings of such words.
 AROUND = frozenset(
-    "ad ads banner consent disqus disclaimer footer gdpr hidden masthead menu modal nav notice notices pager pagination popup promo related replies reply"
+    "ad ads banner consent disqus disclaimer footer gdpr masthead menu modal nav notice notices notification pager pagination paywall popup promo related replies reply"
     " respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget alert copyright".split()
 )
 STARTS = ("advert", "breadcrumb", "comment", "cookie", "discuss", "navbar", "navig", "newsletter", "promo", "recommend", "sidebar", "sponsor", "subscri", "widget")
+#: Words that tell of another element's presence: "with-sidebar" is no sidebar.
+ELSEWHERE = frozenset("has with no without".split())
 #: Words in a class or id that mark the article.
 INSIDE = frozenset("article body content entry main post story text".split())
 
@@ -66,7 +68,7 @@ def _marks(name: str, attributes: str, held: bool) -> tuple[bool, bool]:
     """Whether an element's name and attributes bar its text, or hint at the article."""
     barred = name in APART or (name == "header" and not held)
     hint = False
-    if attributes and name not in ("html", "body", "main", "article"):
+    if attributes and name not in ("html", "body", "main"):
         for m in _NAMED.finditer(attributes):
             what, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if what == "hidden" or (what == "aria-hidden" and value == "true"):
@@ -75,8 +77,9 @@ def _marks(name: str, attributes: str, held: bool) -> tuple[bool, bool]:
                 barred |= value.lower() in ROLES
             else:
                 parts = {p.lower() for p in _PART.findall(value)}
-                barred |= not AROUND.isdisjoint(parts) or any(p.startswith(STARTS) for p in parts)
-                barred |= "header" in parts and not held and INSIDE.isdisjoint(parts)
+                if ELSEWHERE.isdisjoint(parts):
+                    barred |= not AROUND.isdisjoint(parts) or any(p.startswith(STARTS) for p in parts)
+                    barred |= "header" in parts and not held and INSIDE.isdisjoint(parts)
                 hint |= not INSIDE.isdisjoint(parts)
     return barred, hint
 
@@ -159,6 +162,8 @@ def blocks(page: str) -> list[Block]:
         barred_here, hint_here = _marks(name, m[4], inside)
         numbers += 1
         inside = inside or name in ("article", "main")
+        # The main element is never part of what surrounds it.
+        barred = barred and name != "main"
         stack.append((name, numbers, barred or barred_here, inside, hint or hint_here))
         opened[name] += 1
         links += name == "a"

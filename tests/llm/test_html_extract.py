@@ -44,6 +44,15 @@ def test_pages_without_article_elements():
     assert H.main_text(page(plain)) == f"{LONG}\n{LONG}"
 
 
+def test_wrappers_and_comments():
+    article = f"<article><h1>T</h1><p>{LONG}</p></article>"
+    assert H.main_text(page(f'<div class="layout with-sidebar overflow-hidden">{article}</div>')) == f"T\n{LONG}"
+    assert H.main_text(page(f'<div class="menu-push"><main><p>{LONG}</p></main></div>')) == LONG
+    comment = f'<article id="comment-1" class="comment-body"><p>{LONG}</p></article>'
+    assert H.main_text(page(f"{article}<ol><li>{comment}</li></ol>")) == f"T\n{LONG}"
+    assert H.main_text(page(f'<div role="alert">{LONG}</div><div hidden>{LONG}</div>{article}')) == f"T\n{LONG}"
+
+
 def test_markup_traps():
     assert H.main_text("<article><p>" + LONG + "<script>var t='</p>';</script><style>p{}</style><!-- <p>no</p> --> end") == LONG + " end"
     assert H.main_text(f"<ARTICLE><P>{LONG}<BR>more<P>{LONG}</ARTICLE>") == f"{LONG} more\n{LONG}"
