@@ -25,7 +25,8 @@ HEADLINES = (
     "T2_geometric_text", "A10_detect_tables", "W1_page_offsets", "W2_pages_seen", "O1_merge_documents", "J12_reorder_pages",
     "S5_export_html", "A3_document_inventory", "A6_content_bbox", "A8_validate", "A11_distinct_documents", "O3_changed_lines",
     "T3_outline_flatten", "U3_replay", "X14_pixel_filters", "X29_markup_links", "J10_effective_layers", "W4_recent_files",
-    "R2_debounce_queries", "R8_latest_results",
+    "R2_debounce_queries", "R5_dedupe_requests", "R6_drop_stale_replies", "R7_upsert_recents", "R8_latest_results",
+    "R10_reload_on_change", "T1_fuzzy_find", "J17_verify_digests", "W9_edit_pages", "X25_context_snippet",
 )
 
 

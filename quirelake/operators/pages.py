@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.functions.geometry import norm_rotation
 from quirelake.functions.text import fill_placeholders, fold_ascii, page_label, trimmed
 from quirelake.operators.layout import PAGE
 from quirelake.operators.prefix import running_total
@@ -208,3 +209,31 @@ def delete_page(pages: DataFrame, annotations: DataFrame, page: int) -> tuple[Da
         return table.filter(F.col("page") != page).withColumn("page", shifted)
 
     return close(pages), close(annotations)
+
+
+def edit_pages(pages: DataFrame, rotate: str | None = None, delete: str | None = None, order: str | None = None) -> DataFrame:
+    """Rotate, delete and reorder pages of every document at once.
+
+    ``rotate`` reads ``1-5:90 7:180``, ``delete`` and ``order`` read ``3,7-9``; all
+    name pages as they are in the input. Ordered pages come first, the first naming
+    of a page counts, and the others follow in their order. Pages a document lacks
+    are skipped. Adds ``source_page``; pages are numbered anew without gaps.
+    """
+    page, turned = F.col("page"), F.col("rotation")
+    for part in (rotate or "").split():
+        spec, _, degrees = part.partition(":")
+        for low, high in parse_page_list(spec):
+            turned = F.when(page.between(low, high), norm_rotation(turned, F.lit(int(degrees)))).otherwise(turned)
+    gone = F.lit(False)
+    for low, high in parse_page_list(delete) if delete else []:
+        gone = gone | page.between(low, high)
+    listed = []
+    place = 0
+    for low, high in parse_page_list(order) if order else []:
+        listed.append((page.between(low, high), place + page - low))
+        place += high - low + 1
+    rank = place + page
+    for named, at in reversed(listed):
+        rank = F.when(named, at).otherwise(rank)
+    kept = pages.withColumn("rotation", turned.cast("int")).where(~gone).withColumns({"source_page": page, "_rank": rank})
+    return running_total(kept, ["doc_id"], "_rank", F.lit(1), "_page").withColumn("page", F.col("_page").cast("int")).drop("_rank", "_page")

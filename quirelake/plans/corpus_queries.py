@@ -128,6 +128,16 @@ def _(spark, folder):
     return sinks.export_text(sheets(spark, folder), "txt", pages_per_part=3)
 
 
+@query("S5_written_export", with_inputs("turns") + """
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line
+    FROM (SELECT doc_id, string_agg('## Page ' || (page + 1) || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY page) AS text FROM turns GROUP BY doc_id)""")
+def _(spark, folder):
+    """The lines of the files an export leaves."""
+    path = work_folder(spark, "export")
+    sinks.write_export(sinks.export_text(turns(spark, folder), "md"), path)
+    return spark.read.schema("value string, doc_id bigint").text(path).select("doc_id", F.col("value").alias("line"))
+
+
 def _filed(spark, folder):
     path = F.concat(F.lit("/corpus/talk."), F.col("doc_id").cast("string"), F.lit(".pdf"))
     return turns(spark, folder).withColumn("path", path)

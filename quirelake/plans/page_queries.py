@@ -441,6 +441,15 @@ def _(spark, folder):
     )
 
 
+@query("W9_edit_pages", with_inputs("turns") + """
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN page = 3 THEN 0 WHEN page < 3 THEN page + 1 ELSE page + 10 END) - 1 AS INTEGER) AS page,
+           page AS source_page, CASE WHEN page < 3 THEN (rotation + 90) % 360 WHEN page = 6 THEN (rotation + 180) % 360 ELSE rotation END AS rotation, text
+    FROM turns WHERE page NOT IN (1, 4)""")
+def _(spark, folder):
+    edited = pages.edit_pages(turns(spark, folder), rotate="1-3:90 7:180", delete="2,5", order="4,1-3")
+    return edited.select("doc_id", "page", "source_page", "rotation", "text")
+
+
 # --- annotations and overlays -------------------------------------------------
 
 @query("P4_user_annotations", with_inputs("clicks") + """

@@ -41,11 +41,16 @@ def export_text(pages: DataFrame, fmt: str = "txt", pages_per_part: int = PAGES_
 
 
 def write_export(export: DataFrame, path: str) -> None:
-    """Write export parts as text files, one folder per document."""
+    """Write export parts as text files, one folder per document.
+
+    A part ends in a line end, and so does a written row: one of them is left out,
+    so the files of a document put together are the export.
+    """
+    text = F.when(F.endswith("text", F.lit("\n")), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
     (
         export.repartitionByRange("doc_id", "part")
         .sortWithinPartitions("doc_id", "part")
-        .select("doc_id", "text")
+        .select("doc_id", text.alias("text"))
         .write.partitionBy("doc_id").option("lineSep", "\n").mode("overwrite").text(path)
     )
 
