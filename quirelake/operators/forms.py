@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.functions.records import button_kind, field_checked, field_value_text, option_index
+
 FIELD = ("doc_id", "name")
 
 
@@ -36,3 +38,17 @@ def field_page(fields: DataFrame, pages: DataFrame) -> DataFrame:
         .withColumn("page", F.coalesce("_page", F.lit(0)))
         .drop("_widget", "_page")
     )
+
+
+def list_fields(fields: DataFrame, pages: DataFrame) -> DataFrame:
+    """The form fields of documents as one table: ``doc_id, name, kind, value, checked, options, selected_index, page``.
+
+    ``fields`` has doc_id, name, type (``button``, ``choice`` or ``text``), flags, value,
+    state (of a button), options and widgets; ``pages`` is as in :func:`field_page`.
+    """
+    kind = F.when(F.col("type") == "button", button_kind(F.col("flags"))).otherwise(F.col("type"))
+    checked = F.when(F.col("type") == "button", field_checked(F.col("state")))
+    index = F.when(F.col("type") == "choice", option_index(F.col("options"), F.col("value")))
+    shown = field_value_text(F.col("kind"), F.col("value"), F.col("checked"), F.col("options"), F.col("selected_index"))
+    told = fields.withColumns({"kind": kind, "checked": checked, "selected_index": index}).withColumn("value", shown)
+    return field_page(told, pages).select("doc_id", "name", "kind", "value", "checked", "options", "selected_index", "page")

@@ -340,6 +340,29 @@ def _(spark, folder):
     return forms.field_page(fields, lists).select("doc_id", "name", "page")
 
 
+@query("J8_list_fields", """
+    SELECT c.c_nationkey::BIGINT AS doc_id, c.c_name AS name,
+        CASE WHEN c.c_nationkey < 10 THEN CASE WHEN (c.c_nationkey & 4) <> 0 THEN 'radio' ELSE 'checkbox' END
+             WHEN c.c_nationkey < 15 THEN 'choice' ELSE 'text' END AS kind,
+        CASE WHEN c.c_nationkey < 10 THEN CASE WHEN c.c_mktsegment <> 'BUILDING' THEN 'Yes' ELSE 'Off' END
+             WHEN c.c_nationkey < 15 AND c.c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN '' ELSE c.c_mktsegment END AS value,
+        CASE WHEN c.c_nationkey BETWEEN 10 AND 14 THEN CASE c.c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 END END::INTEGER AS selected_index,
+        CAST(coalesce(MIN(p.c_custkey % 7), 0) AS INTEGER) AS page
+    FROM customer c LEFT JOIN customer p ON p.c_nationkey = c.c_nationkey AND c.c_custkey BETWEEN p.c_custkey + 1 AND p.c_custkey + 40
+    GROUP BY ALL""")
+def _(spark, folder):
+    customer = table(spark, folder, "customer")
+    nation, doc = F.col("c_nationkey"), F.col("c_nationkey").cast("bigint").alias("doc_id")
+    kind = F.when(nation < 10, "button").when(nation < 15, "choice").otherwise("text")
+    state = F.when(F.col("c_mktsegment") == "BUILDING", "Off").otherwise(F.col("c_mktsegment"))
+    fields = customer.select(
+        doc, F.col("c_name").alias("name"), kind.alias("type"), (nation * 8192).alias("flags"), F.col("c_mktsegment").alias("value"),
+        state.alias("state"), F.array(F.lit("BUILDING"), F.lit("MACHINERY")).alias("options"), F.array("c_custkey").alias("widgets"))
+    listed = F.sequence(F.col("c_custkey") + 1, F.col("c_custkey") + 40)
+    lists = customer.select(doc, (F.col("c_custkey") % 7).cast("int").alias("page"), listed.alias("annots"))
+    return forms.list_fields(fields, lists).drop("checked", "options")
+
+
 # --- quality --------------------------------------------------------------------
 
 def _rule_book():
@@ -399,12 +422,12 @@ def _(spark, folder):
 
 
 @query("A12_read_page_results", with_inputs("turns", "turn_words") + """
-    SELECT doc_id, page, 0 AS part, SUM(length(text)) + COUNT(DISTINCT line_no) - 1 + SUM(gap) AS size
-    FROM (SELECT *, CASE WHEN lag(line_no) OVER (PARTITION BY doc_id, page ORDER BY word_no) = line_no THEN 1 ELSE 0 END AS gap FROM turn_words)
-    GROUP BY doc_id, page""".replace("SUM(length(text)) + COUNT(DISTINCT line_no) - 1 + SUM(gap)", "CAST(SUM(length(text)) + COUNT(DISTINCT line_no) - 1 + SUM(gap) AS INTEGER)"))
+    SELECT doc_id, page, 0 AS part, string_agg(line, chr(10) ORDER BY line_no) AS text
+    FROM (SELECT doc_id, page, line_no, string_agg(text, ' ' ORDER BY word_no) AS line FROM turn_words GROUP BY ALL)
+    GROUP BY doc_id, page""")
 def _(spark, folder):
     read = quality.read_page_results(turns(spark, folder))
-    return read.select("doc_id", "page", "part", F.length(F.regexp_replace("text", " +", " ")).alias("size"))
+    return read.select("doc_id", "page", "part", F.regexp_replace("text", " +", " ").alias("text"))
 
 
 @query("A12_latest_results", with_inputs("clicks") + """
