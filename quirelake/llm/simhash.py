@@ -180,13 +180,13 @@ def buckets(rows: DataFrame, distance: int = DISTANCE, limit: int = BUCKET, labe
 
     Two linked fingerprints of a bucket differ in at most ``distance`` of the bits
     its key leaves open, so they agree on one of ``distance + 1`` parts of those.
-    Cutting ends when the open bits bound the bucket by themselves.
+    Cutting ends at covers whose few open bits bound a bucket by themselves.
     """
     covers = [r["cover"] for r in rows.select("cover").distinct().collect()]  # as many as the plan has parts
     done = None
     while covers:
         big = settle(
-            rows.groupBy("cover", "key").agg(F.count("*").alias("n")).where(F.col("n") > limit).select(F.col("cover").alias("of"), F.col("key").alias("at")), label
+            rows.where(F.col("cover").isin(covers)).groupBy("cover", "key").agg(F.count("*").alias("n")).where(F.col("n") > limit).select(F.col("cover").alias("of"), F.col("key").alias("at")), label
         )
         if big.isEmpty():
             break

@@ -55,6 +55,19 @@ def test_near_copies_and_tiny_buckets(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({w[2] for w in want})
 
 
+def test_no_signature_is_lost_when_parts_differ_in_width(spark):
+    """All fingerprints in one ball: every bucket is hot down to the last cut."""
+    prints = [0] + [1 << a for a in range(64)] + [(1 << a) | (1 << b) for a in range(0, 64, 5) for b in range(a)]
+    df = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long")
+    for parts in ([(list(range(20)), 0), (list(range(20, 41)), 0), (list(range(41, 64)), 0)], [(list(range(30)), 1), (list(range(30, 64)), 0)]):
+        rows = simhash.buckets(simhash.signatures(df, parts), limit=2)
+        linked = {0}
+        edges = [(r["a"], r["b"]) for r in simhash.bucket_links(rows).collect()]
+        for _ in range(6):
+            linked |= {x for e in edges if linked & set(e) for x in e}
+        assert linked == {simhash._signed(p) for p in prints}
+
+
 def test_thresholds_miss_no_link():
     draw = np.random.default_rng(1)
     rates = draw.uniform(0.05, 0.95, 64)
