@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import trimmed, words_of
-from quirelake.operators.prefix import running_total
 
 PAGE = ("doc_id", "page")
 
@@ -86,10 +85,14 @@ def drop_blank_words(words: DataFrame) -> DataFrame:
 
 
 def span_offsets(spans: DataFrame, sep: str = "") -> DataFrame:
-    """Add ``start`` and ``end``: each span's place in the page text, in characters."""
+    """Add ``start`` and ``end``: each span's place in the page text, in characters.
+
+    A page's spans come out of one row, so they may meet in one window.
+    """
     size = F.length("text")
-    out = running_total(spans, PAGE, "word_no", size + len(sep), "start")
-    return out.withColumn("end", F.col("start") + size)
+    before = Window.partitionBy(*PAGE).orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(size + len(sep)).over(before), F.lit(0))
+    return spans.withColumn("start", start).withColumn("end", F.col("start") + size)
 
 
 def _walk(ys: Column, start: Column, tol: float) -> Column:

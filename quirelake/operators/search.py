@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import context_snippet, fold
@@ -151,10 +151,11 @@ def number_hits(hits: DataFrame) -> DataFrame:
     """Add ``hit_no``: place of a hit in its document, from zero, by page and position.
 
     Hits are dealt by page once; the counting passes reuse that shuffle and do not
-    search again.
+    search again. A page's hits come out of one row, so they may meet in one window;
+    a document's are counted by page first.
     """
     hits = hits.repartition(*PAGE)
-    inside = running_total(hits, PAGE, "pos", F.lit(1), "_inside")
+    inside = hits.withColumn("_inside", F.row_number().over(Window.partitionBy(*PAGE).orderBy("pos")) - 1)
     per_page = hits.groupBy(*PAGE).agg(F.count("*").alias("_n"))
     earlier = running_total(per_page, PAGE[:1], "page", F.col("_n"), "_earlier").select(*PAGE, "_earlier")
     return (
