@@ -150,11 +150,10 @@ def hit_to_span(hits: DataFrame, spans: DataFrame) -> DataFrame:
 def number_hits(hits: DataFrame) -> DataFrame:
     """Add ``hit_no``: place of a hit in its document, from zero, by page and position.
 
-    Hits are dealt by page once; the counting passes reuse that shuffle and do not
-    search again. A page's hits come out of one row, so they may meet in one window;
-    a document's are counted by page first.
+    A page's hits come out of one row, so they may meet in one window; a document's
+    are counted by page first. Nothing runs until the result is asked for, and then
+    the counting passes read the hits again: settle hits that are costly to find.
     """
-    hits = hits.repartition(*PAGE)
     inside = hits.withColumn("_inside", F.row_number().over(Window.partitionBy(*PAGE).orderBy("pos")) - 1)
     per_page = hits.groupBy(*PAGE).agg(F.count("*").alias("_n"))
     earlier = running_total(per_page, PAGE[:1], "page", F.col("_n"), "_earlier").select(*PAGE, "_earlier")

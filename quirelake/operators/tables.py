@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quirelake.functions.text import delimited_row
 from quirelake.operators.layout import PAGE, assign_lines
-from quirelake.operators.prefix import running_total
 
 # Fixed values of the detection rule.
 LINE_TOLERANCE = 2.0
@@ -16,28 +15,20 @@ SHARED_COLUMNS = 2
 MIN_LINES = 2
 # Table lines kept in one cell.
 LINES_PER_PART = 4096
-# Lines compared side by side in one window partition.
-LINES_PER_BLOCK = 4096
 
 
 def _table_lines(words: DataFrame) -> DataFrame:
     """Lines of each page with ``run``, the first line of the run they are in.
 
-    Words of a page are gathered by blocks of lines, the last line of a block
-    also in the next one, so that every line meets the line above it. Lines and
-    runs come out of that one shuffle; only a run reaching over a block's start
-    is looked up among the earlier blocks.
+    A page's words come out of one row, so its lines may meet in one window: the
+    words are dealt by page once, and lines, runs and tables come out of that shuffle.
     """
-    block = F.floor(F.col("line_no") / LINES_PER_BLOCK)
-    last = F.col("line_no") % LINES_PER_BLOCK == LINES_PER_BLOCK - 1
-    blocks = F.when(last, F.array(block, block + 1)).otherwise(F.array(block))
     word = F.struct("x", "word_no", "text")
     column = F.round(F.col("x") / COLUMN_STEP) * COLUMN_STEP
     lines = (
         assign_lines(words, LINE_TOLERANCE)
-        .withColumn("_block", F.explode(blocks))
-        .repartition(*PAGE, "_block")
-        .groupBy(*PAGE, "_block", "line_no")
+        .repartition(*PAGE)
+        .groupBy(*PAGE, "line_no")
         .agg(
             F.collect_set(column).alias("_starts"),
             F.transform(F.array_sort(F.collect_list(word)), lambda w: w["text"]).alias("cells"),
@@ -45,22 +36,10 @@ def _table_lines(words: DataFrame) -> DataFrame:
             F.max(F.col("x") + F.col("width")).alias("x1"), F.max(F.col("y") + F.col("height")).alias("y1"),
         )
     )
-    in_block = Window.partitionBy(*PAGE, "_block").orderBy("line_no")
-    above = F.lag("_starts").over(in_block)
-    begins = F.coalesce(F.size(F.array_intersect("_starts", above)), F.lit(0)) < SHARED_COLUMNS
-    compared = (
-        lines.withColumn("_begins", begins)
-        .filter(F.floor(F.col("line_no") / LINES_PER_BLOCK) == F.col("_block"))
-        .withColumn("_run", F.max(F.when(F.col("_begins"), F.col("line_no"))).over(in_block))
-        .drop("_starts", "_begins")
-    )
-    earlier = Window.partitionBy(*PAGE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    reached = (
-        compared.groupBy(*PAGE, "_block").agg(F.max("_run").alias("_reached"))
-        .select(*PAGE, "_block", F.max("_reached").over(earlier).alias("_carried"))
-    )
-    run = F.coalesce("_run", "_carried").alias("run")
-    return compared.join(reached, [*PAGE, "_block"]).select(*PAGE, "line_no", "cells", "x0", "y0", "x1", "y1", run)
+    in_page = Window.partitionBy(*PAGE).orderBy("line_no")
+    shared = F.coalesce(F.size(F.array_intersect("_starts", F.lag("_starts").over(in_page))), F.lit(0))
+    begun = lines.withColumn("_begins", shared < SHARED_COLUMNS)
+    return begun.withColumn("run", F.max(F.when(F.col("_begins"), F.col("line_no"))).over(in_page)).drop("_starts", "_begins")
 
 
 def detect_tables(words: DataFrame) -> DataFrame:
@@ -70,20 +49,15 @@ def detect_tables(words: DataFrame) -> DataFrame:
     5 points) form a table. ``part`` is 0 unless a table exceeds
     ``LINES_PER_PART`` lines; the box is that of the whole table.
     """
-    lines = _table_lines(words)
-    runs = (
-        lines.groupBy(*PAGE, "run")
-        .agg(
-            F.count("*").alias("line_count"), F.min("x0").alias("x"), F.min("y0").alias("y"),
-            (F.max("x1") - F.min("x0")).alias("width"), (F.max("y1") - F.min("y0")).alias("height"),
-        )
-        .filter(F.col("line_count") >= MIN_LINES)
-    )
-    named = running_total(runs, PAGE, "run", F.lit(1), "table_no")
+    run = Window.partitionBy(*PAGE, "run")
+    framed = _table_lines(words).withColumns({
+        "line_count": F.count("*").over(run), "x": F.min("x0").over(run), "y": F.min("y0").over(run),
+        "width": F.max("x1").over(run) - F.min("x0").over(run), "height": F.max("y1").over(run) - F.min("y0").over(run),
+    }).filter(F.col("line_count") >= MIN_LINES)
+    numbered = framed.withColumn("table_no", F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("run")) - 1)
     row = F.struct("line_no", "cells")
     parts = (
-        lines.join(named, [*PAGE, "run"])
-        .withColumn("part", F.floor((F.col("line_no") - F.col("run")) / LINES_PER_PART).cast("int"))
+        numbered.withColumn("part", F.floor((F.col("line_no") - F.col("run")) / LINES_PER_PART).cast("int"))
         .groupBy(*PAGE, "table_no", "part", "line_count", "x", "y", "width", "height")
         .agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["cells"]).alias("cells"))
     )

@@ -349,9 +349,7 @@ def columns_at(spark, pattern):
     return word_table(spark, data)
 
 
-@pytest.mark.parametrize("block", [2, 3, 5, 4096])
-def test_tables_reach_over_blocks(spark, monkeypatch, block):
-    monkeypatch.setattr(tables, "LINES_PER_BLOCK", block)
+def test_tables_of_a_page_are_numbered(spark):
     pattern = [[0, 1], [0, 1], [2], [0, 3], [0, 3], [0, 3], [0, 3], [0, 3], [0, 3], [1, 2], [5], [1, 2], [1, 2]]
     found = tables.detect_tables(columns_at(spark, pattern)).orderBy("table_no").collect()
     assert [(t.table_no, t.line_count, t.cells[0][0]) for t in found] == [(0, 2, "00"), (1, 6, "30"), (2, 2, "111")]
