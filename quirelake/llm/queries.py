@@ -105,7 +105,33 @@ def weighted_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     return assign_shards(table(spark, folder, "documents"), shards=16)
 
 
-@query("op6_window_decontamination")
+#: A-Z in lower case, other letters as they are.
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op6_window_decontamination", rf"""
+    WITH doc AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    item AS (SELECT item_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    test AS (
+        SELECT DISTINCT item_id, least(len(w), 10) AS width, list_slice(w, i, i + least(len(w), 10) - 1) AS words
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM item WHERE len(w) > 0)
+    ),
+    held AS (
+        SELECT doc_id, i, width, item_id
+        FROM (SELECT doc_id, width, i, list_slice(w, i, i + width - 1) AS words
+              FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i
+                    FROM doc JOIN (SELECT DISTINCT width FROM test) ON len(w) >= width))
+        JOIN test USING (width, words)
+    ),
+    hit AS (SELECT doc_id, COUNT(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + width)) AS p FROM held) GROUP BY doc_id),
+    named AS (
+        SELECT doc_id, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM held) GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+""")
 def window_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the words and test items that shared windows hit."""
     found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -121,7 +147,22 @@ def simhash_pigeonhole(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(table(spark, folder, "documents"))
 
 
-@query("op8_sparse_suffix_passages")
+@query("op8_sparse_suffix_passages", rf"""
+    WITH doc AS (SELECT doc_id, list_filter(regexp_split_to_array({_FOLDED}, '[\x09-\x0D ]+'), lambda x: x <> '') AS w FROM documents),
+    windows AS (
+        SELECT doc_id, i - 1 AS start, hash(list_slice(w, i, i + 49)) AS h
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM doc WHERE len(w) >= 50)
+    ),
+    shared AS (SELECT h, MIN(doc_id) AS least, MAX(doc_id) AS most FROM windows GROUP BY h HAVING MIN(doc_id) <> MAX(doc_id)),
+    met AS (
+        SELECT doc_id, start, CASE WHEN doc_id = least THEN most ELSE least END AS other_id, doc_id = least AS first
+        FROM windows JOIN shared USING (h)
+    ),
+    marked AS (SELECT *, CASE WHEN start - lag(start) OVER one <= 50 THEN 0 ELSE 1 END AS fresh FROM met WINDOW one AS (PARTITION BY doc_id, first ORDER BY start)),
+    islands AS (SELECT *, SUM(fresh) OVER (PARTITION BY doc_id, first ORDER BY start) AS island FROM marked)
+    SELECT doc_id, MIN(start) AS start, MAX(start) + 50 AS "end", MAX(start) + 50 - MIN(start) AS n_words, MIN(other_id) AS other_id, first
+    FROM islands GROUP BY doc_id, first, island
+""")
 def sparse_suffix_passages(spark: SparkSession, folder: str) -> DataFrame:
     """All passages of 50 words or more that documents share with others."""
     return repeated_passages(table(spark, folder, "documents"))
