@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 from pyspark.sql import functions as F
@@ -23,16 +22,24 @@ def _(spark, folder):
     return sheets(spark, folder).drop("rotation")
 
 
-def _whole_file(content: bytes):
-    """Extractor of the binary query: one page telling the file's size and digest."""
-    yield 0, f"{len(content)} {hashlib.sha256(content).hexdigest()}"
+_EXPORTED = re.compile(r"## Page (\d+)\n\n(.*?)\n\n(?=## Page|\Z)", re.DOTALL)
 
 
-@query("S2_read_binary")
+def _exported(content: bytes):
+    """Extractor of an exported file: its pages."""
+    for number, text in _EXPORTED.findall(content.decode("utf-8")):
+        yield int(number) - 1, text
+
+
+@query("S2_read_binary", with_inputs("turns") + "SELECT doc_id, page, text, 'none' AS error FROM turns")
 def _(spark, folder):
-    """Whole files of the folder's tables; no table of the check side holds their bytes."""
-    found = corpus.read_binary(spark, f"{folder}/*.parque[t]", _whole_file)
-    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "page", "text", "error")
+    """The files an export leaves, read whole and taken apart again."""
+    path = work_folder(spark, "files")
+    sinks.write_export(sinks.export_text(turns(spark, folder), "md"), path)
+    found = corpus.read_binary(spark, f"{path}/doc_id=*/*.txt", _exported)
+    return found.select(
+        F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("bigint").alias("doc_id"), "page", "text", F.coalesce("error", F.lit("none")).alias("error")
+    )
 
 
 _LINK = re.compile('href="([^"]*)"')

@@ -23,7 +23,7 @@ def test_query(spark, data, con, name):
 
 def test_checks_belong_to_queries():
     assert set(CHECKS) <= set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(QUERIES) - set(CHECKS) == {"S2_read_binary"}
+    assert set(QUERIES) == set(CHECKS)
 
 
 def test_entry(spark):
