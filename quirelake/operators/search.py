@@ -78,8 +78,11 @@ def search(pages: DataFrame, query: str, case_sensitive: bool = False, page: int
 
 def snippets(pages: DataFrame, hits: DataFrame, around: int = 20) -> DataFrame:
     """Every hit with the text around it: ``(doc_id, page, pos, snippet)``."""
-    met = hits.select(*PAGE, "pos", F.length("text").alias("_n")).join(pages.select(*PAGE, "text"), list(PAGE))
-    return met.select(*PAGE, "pos", context_snippet(F.col("text"), F.col("pos"), F.col("_n"), around).alias("snippet"))
+    # A page's hits come out of one row and go back to it, so its text moves once.
+    places = hits.groupBy(*PAGE).agg(F.collect_list(F.struct("pos", F.length("text").alias("n"))).alias("_hits"))
+    met = pages.select(*PAGE, "text").join(places, list(PAGE))
+    cut = F.transform("_hits", lambda h: F.struct(h["pos"].alias("pos"), context_snippet(F.col("text"), h["pos"], h["n"], around).alias("snippet")))
+    return met.select(*PAGE, F.inline(cut))
 
 
 def search_counts(hits: DataFrame, by_page: bool = False) -> DataFrame:

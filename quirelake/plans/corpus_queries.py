@@ -19,7 +19,7 @@ from quirelake.sources import corpus, sinks, snapshot
 
 @query("S1_read_corpus", with_inputs("sheets") + "SELECT doc_id, page, width, height, label, text FROM sheets")
 def _(spark, folder):
-    return sheets(spark, folder).drop("rotation")
+    return corpus.read_corpus(spark, folder).drop("rotation")
 
 
 _EXPORTED = re.compile(r"## Page (\d+)\n\n(.*?)\n\n(?=## Page|\Z)", re.DOTALL)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quirelake.functions.text import WHITESPACE
 from quirelake.operators import annotations, layout, overlays, pages, search, spatial, tables
 from quirelake.plans.inputs import (
-    SPACE, boxes, clicks, marks, pixels, sheets, table, turn_words, turns, with_inputs,
+    dealt, SPACE, boxes, clicks, marks, pixels, sheets, table, turn_words, turns, with_inputs,
 )
 from quirelake.plans.registry import query
 from quirelake.sources.sinks import export_tables
@@ -134,7 +134,7 @@ def _(spark, folder):
 
 @query("A0_search_overlapping", "WITH whole AS (SELECT doc_id, 0 AS page, text FROM documents)" + _hits("whole", "erer"))
 def _(spark, folder):
-    whole = table(spark, folder, "documents").select("doc_id", F.lit(0).alias("page"), "text")
+    whole = dealt(table(spark, folder, "documents")).select("doc_id", F.lit(0).alias("page"), "text")
     return search.search(whole, "erer")
 
 

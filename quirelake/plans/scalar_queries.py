@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import color, dates, geometry, protect, records, text
 from quirelake.operators import markup, search
-from quirelake.plans.inputs import boxes, clicks, html_pages, marks, pixels, table, turns, with_inputs
+from quirelake.plans.inputs import boxes, clicks, dealt, html_pages, marks, pixels, table, turns, with_inputs
 from quirelake.plans.registry import query
 
 
@@ -381,7 +381,7 @@ def _(spark, folder):
     FROM (SELECT doc_id, text, unnest(list_filter(range(1, length(text)), lambda i: substr(text, i, 2) = 'en')) AS hit
           FROM documents WHERE contains(text, 'en'))""")
 def _(spark, folder):
-    whole = table(spark, folder, "documents").select("doc_id", F.lit(0).alias("page"), "text")
+    whole = dealt(table(spark, folder, "documents")).select("doc_id", F.lit(0).alias("page"), "text")
     return search.snippets(whole, search.search(whole, "en", case_sensitive=True)).drop("page")
 
 
