@@ -26,7 +26,7 @@ HEADLINES = (
     "S5_export_html", "A3_document_inventory", "A6_content_bbox", "A8_validate", "A11_distinct_documents", "O3_changed_lines",
     "T3_outline_flatten", "U3_replay", "X14_pixel_filters", "X29_markup_links", "J10_effective_layers", "W4_recent_files",
     "R2_debounce_queries", "R5_dedupe_requests", "R6_drop_stale_replies", "R7_upsert_recents", "R8_latest_results",
-    "R10_reload_on_change", "T1_fuzzy_find", "J17_verify_digests", "W9_edit_pages", "X25_context_snippet",
+    "R10_reload_on_change", "T1_fuzzy_find", "J17_verify_digests", "W9_edit_pages",
 )
 
 

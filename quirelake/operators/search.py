@@ -103,10 +103,17 @@ def search_many(pages: DataFrame, queries: DataFrame) -> DataFrame:
     longest = wanted.agg(F.coalesce(F.max(F.length("needle")), F.lit(1))).scalar()
     pieces = _pieces(pages, list(PAGE), longest - 1, False)
     place = [*PAGE, "_piece_no"]
-    sizes = F.concat(*[_grams(F.col("_seen"), n) for n in range(1, GRAM + 1)])
-    held = pieces.select(*place, F.explode(sizes).alias("gram"))
-    asked = held.join(_anchors(wanted), "gram").drop("gram")
-    return _matches(pieces.join(asked, place), ["query_id", *PAGE], F.col("needle"))
+    # The look-ahead stops at every character, so the place in the list is the position.
+    at = [
+        F.transform(F.regexp_extract_all("_seen", F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)), lambda gram, k: F.struct(gram.alias("gram"), k.alias("_from")))
+        for n in range(1, GRAM + 1)
+    ]
+    held = pieces.select(*place, F.inline(F.concat(*at)))
+    start = F.col("_from") - F.col("_shift")
+    asked = held.join(_anchors(wanted), "gram").where((start >= 0) & (start < PIECE)).select(*place, "query_id", "needle", start.alias("_at"))
+    met = pieces.join(asked, place).where(F.substring("_seen", F.col("_at") + 1, F.length("needle")) == F.col("needle"))
+    return met.select(
+        "query_id", *PAGE, (F.col("_piece_no") * PIECE + F.col("_at")).alias("pos"), F.substring("_piece", F.col("_at") + 1, F.length("needle")).alias("text"))
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -116,7 +123,8 @@ def _grams(text: Column, size: int) -> Column:
 
 
 def _anchors(wanted: DataFrame) -> DataFrame:
-    """``query_id, needle, gram``: each query with its gram that fewest queries have.
+    """``query_id, needle, gram, _shift``: each query with its gram that fewest queries have,
+    and where in the query that gram first stands.
 
     So no gram gathers more queries than it must.
     """
@@ -126,7 +134,8 @@ def _anchors(wanted: DataFrame) -> DataFrame:
     )
     query_grams = wanted.select("query_id", "needle", F.explode(own).alias("gram"))
     shared = query_grams.groupBy("gram").agg(F.count("*").alias("n"))
-    return query_grams.join(shared, "gram").groupBy("query_id", "needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    chosen = query_grams.join(shared, "gram").groupBy("query_id", "needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return chosen.withColumn("_shift", F.instr("needle", F.col("gram")) - 1)
 
 
 def hit_to_span(hits: DataFrame, spans: DataFrame) -> DataFrame:
