@@ -271,22 +271,33 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are not read, whatever their names.
     """
     prints = settle(fingerprints(docs, id_col, text_col, shingle), "simhash-prints")
+    place = _places(prints, distance, limit)
+    return prints.join(place, F.col("fp") == F.col("_fp")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _places(prints: DataFrame, distance: int, limit: int = BUCKET) -> DataFrame:
+    """``_fp, component_id, root`` of every fingerprint."""
     distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     rows = buckets(signatures(distinct, plan(distinct, distance)), distance, limit)
     roots = components(bucket_links(rows, distance), "simhash-links")
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    place = settle(named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"), "simhash-place")
-    return prints.join(place, F.col("fp") == F.col("_fp")).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id"
-    )
+    place = settle(named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id", "root"), "simhash-place")
+    return place
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """The rows of ``docs`` that name their component, one per component, with all their columns.
 
-    Rows that share an id are one document: one of them stays.
+    Rows that share an id, a null one included, are one document only if they are linked.
     """
-    (key,) = fresh(docs, "_key")
-    stay = near_groups(docs, id_col, text_col, distance).select(id_key(F.col("component_id")).alias(key)).distinct()
-    return docs.withColumn(key, id_key(F.col(id_col))).join(stay, key).dropDuplicates([key]).select(docs.columns)
+    key, mark = fresh(docs, "_key", "_mark")
+    texts = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark")).alias("doc_id"), F.col(text_col).alias("text"))
+    prints = settle(fingerprints(texts), "simhash-prints")
+    rooted = prints.join(_places(prints, distance), F.col("fp") == F.col("_fp"))
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id.id").isNull(), "doc_id")).alias("of"))
+    stay = best.select(id_key(F.col("of.doc_id.id")).alias(key), F.col("of.doc_id.mark").alias(mark))
+    marked = docs.withColumn(key, id_key(F.col(id_col))).withColumn(mark, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return marked.join(stay, [key, mark]).dropDuplicates([key, mark]).select(docs.columns)

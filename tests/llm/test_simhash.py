@@ -85,3 +85,10 @@ def test_thresholds_miss_no_link():
 
 def test_empty(spark):
     assert simhash.near_groups(samples.documents(spark, [])).count() == 0
+
+
+def test_shared_and_null_ids_stay_apart(spark):
+    """Different texts under one id, or none, are not linked by it."""
+    rows = [(key, samples.sentence(seed, 80)) for key, seed in ((None, 1), (None, 2), (None, 3), (7, 4), (7, 5), (8, 4), (None, 5), (8, 6))]
+    got = simhash.drop_near_copies(samples.documents(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted((r for r in rows if r not in (rows[5], rows[6])), key=repr)
