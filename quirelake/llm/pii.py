@@ -90,16 +90,26 @@ class Personal:
         words = F.array_distinct(F.split(F.lower(text), _NOT_WORD))
         return F.filter(words, lambda w: (F.char_length(w) >= TERM_LETTERS) & F.regexp_like(w, F.lit(r"\p{L}")))
 
+    def _entities(self) -> DataFrame:
+        """Values with their classes per text: any value of the kind, an email's domain, the first
+        two parts of an ip, the first four digits of a phone or six of a card. No value reads like a class."""
+        value, digits = F.lower("match"), F.regexp_replace("match", "[^0-9]", "")
+        part = (
+            F.when(F.col("kind") == "email", F.concat(F.lit("domain:"), F.substring_index(value, "@", -1)))
+            .when(F.col("kind") == "ip", F.concat(F.lit("prefix:"), F.substring_index(value, ".", 2)))
+            .otherwise(F.concat(F.lit("prefix:"), F.substring(digits, 1, F.when(F.col("kind") == "card", 6).otherwise(4))))
+        )
+        return self.base.select(*self.KEYS, "kind", F.explode(F.array(value, part, F.lit("kind:"))).alias("entity")).distinct()
+
     def revealing(self, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame | None:
         """``kind, entity, term, share, action``: terms that disclose an entity; None if no pair has support.
 
-        An entity ``c`` has information ``-log2 p(c)``; a term ``t`` discloses their
+        Entities are exact values and the classes of :meth:`_entities`. An entity ``c`` has information ``-log2 p(c)``; a term ``t`` discloses their
         pointwise mutual information ``log2 p(c, t) / (p(c) p(t))`` of it. Chances
         are shares of all documents; a pair needs ``support`` distinct texts. A term
         is removed or generalised by the share of the information it discloses.
         """
-        entity = F.lower("match").alias("entity")
-        values = self.base.select(*self.KEYS, "kind", entity).distinct()
+        values = self._entities()
         known = (
             values.groupBy("kind", "entity").agg(F.count("*").alias("n_c"), F.count_distinct("sha").alias("texts"))
             .where(F.col("texts") >= support).drop("texts")
@@ -131,7 +141,7 @@ class Personal:
         terms = self.revealing(**thresholds)
         if terms is None:
             return None
-        values = self.base.select(*self.KEYS, "kind", F.lower("match").alias("entity")).distinct()
+        values = self._entities()
         flagged = settle(
             values.join(terms, ["kind", "entity"]).groupBy(*self.KEYS, "term").agg(F.max("action").alias("action"))
             .select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), "term", "action"), "pii-flagged"

@@ -65,3 +65,15 @@ def test_copies_of_one_text_are_one_witness(spark):
 
 def test_empty(spark):
     assert find_personal(samples.documents(spark, [])).count() == 0
+
+
+def test_unique_values_disclose_by_their_class(spark):
+    """No address repeats, but 'wolperting' stands only beside addresses of one domain."""
+    rows = [(k, f"common {samples.sentence(k, 20)} Wolperting who{k}@mail.example.org") for k in range(5)]
+    rows += [(k, f"common {samples.sentence(k, 20)} you{k}@other{k}.example.com") for k in range(5, 30)]
+    rows += [(k, f"common {samples.sentence(k, 40)}") for k in range(30, 200)]
+    got = {r["doc_id"]: r["spans"].split(",") for r in find_personal(samples.documents(spark, rows)).collect()}
+    for k, text in rows[:5]:
+        at = text.index("Wolperting")
+        assert f"remove:{at}:{at + 10}" in got[k]
+    assert not any(":0:6" in s for spans in got.values() for s in spans)
