@@ -17,7 +17,9 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
     re.S | re.I,
 )
-_NAMED = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute, its value consumed whole.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAMED = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
 
@@ -69,8 +71,10 @@ def _marks(name: str, attributes: str, held: bool) -> tuple[bool, bool]:
     barred = name in APART or (name == "header" and not held)
     hint = False
     if attributes and name not in ("html", "body", "main"):
-        for m in _NAMED.finditer(attributes):
+        for m in _ATTRIBUTE.finditer(attributes):
             what, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if what not in _NAMED:
+                continue
             if what == "hidden" or (what == "aria-hidden" and value == "true"):
                 barred = True
             elif what == "role":
@@ -128,6 +132,8 @@ def blocks(page: str) -> list[Block]:
             break
         at = m.end()
         if m[1]:
+            if m[1].lower() in ("svg", "math") and m[0].endswith("/>"):
+                continue
             shut = re.compile(rf"</{m[1]}\s*>", re.I).search(page, at)
             at = shut.end() if shut else (at if m[1].lower() in ("head", "noscript", "select") else end)
             continue

@@ -78,3 +78,16 @@ def test_odd_rows(spark):
     assert sorted(got, key=repr) == sorted(
         [(1, "u", "", 0), (2, None, "", 0), (None, "u", LONG, len(LONG)), *[(4, "u", "just text, " + LONG, len(LONG) + 11)] * 2, (5, "u", "", 0)], key=repr)
     assert H.extract_pages(df.limit(0)).count() == 0
+
+
+def test_names_inside_values_bar_nothing():
+    article = f"<article><h1>T</h1><p>{LONG}</p></article>"
+    for attribute in ('style="overflow:hidden"', 'title="hidden gems"', 'data-href="/p?id=comments"', "data-href=/p?id=comments", 'data-id="comments"'):
+        assert H.main_text(page(f"<div {attribute}>{article}</div>")) == f"T\n{LONG}", attribute
+    assert H.main_text(page(f"{article}<div title=x hidden><p>{LONG}</p></div>")) == f"T\n{LONG}"
+
+
+def test_self_closing_graphics_are_empty():
+    for graphic in ('<svg class="i"/>', "<math />"):
+        assert H.main_text(page(f"{graphic}<article><h1>T</h1><p>{LONG}</p></article>")) == f"T\n{LONG}"
+        assert H.main_text(page(f"{graphic}<article><h1>T</h1><p>{LONG}</p></article><svg>x</svg>")) == f"T\n{LONG}"
