@@ -55,8 +55,8 @@ def _digest(order: Column, value: Column) -> Column:
 def tree(index: DataFrame, range_bytes: int = RANGE_BYTES, fan_out: int = FAN_OUT, levels: int = LEVELS) -> list[DataFrame]:
     """``archive, node, hash`` per level: leaves, ``levels`` levels above, the root.
 
-    A leaf covers the records that start in one range of offsets, so a record that
-    is lost or grown changes its own range alone.
+    A leaf covers the records that start in one range of offsets. A record that is
+    lost or grown moves those behind it, so it changes the later ranges of its archive.
     """
     entry = F.concat_ws(":", "length", "sha256")
     leaf = index.groupBy("archive", F.floor(F.col("offset") / range_bytes).alias("node")).agg(_digest(F.col("offset"), entry).alias("hash"))
@@ -72,7 +72,9 @@ def audit(left: DataFrame, right: DataFrame, range_bytes: int = RANGE_BYTES, fan
 
     Both sides are indexes as of :func:`records`. Roots are compared first; below a
     root, node or range only those under a mismatch are looked at, down to the
-    records. ``state`` is ``changed``, ``missing`` (from the right) or ``extra``. Records
+    records. There records are aligned by content first, wherever they stand, so that
+    moved ones are intact, and what is left by id, or place if it has none. ``offset``
+    is the left one where there is one. ``state`` is ``changed``, ``missing`` (from the right) or ``extra``. Records
     repeated at one place count once. Equal replicas, empty ones among them, give no
     rows; an archive that one side lacks is listed whole.
     """
@@ -89,14 +91,25 @@ def audit(left: DataFrame, right: DataFrame, range_bytes: int = RANGE_BYTES, fan
         bad = settle(mine.join(other, ["archive", "node"], "full").where(differ).select("archive", "node"), f"fixity-{level}")
         if bad.isEmpty():
             break
-    held = [
-        side.withColumn("node", F.floor(F.col("offset") / range_bytes)).join(bad, ["archive", "node"], "left_semi").select(
-            "archive", "offset", *[F.col(c).alias(f"{name}_{c}") for c in ("length", "record_id", "sha256")])
-        for side, name in ((left, "mine"), (right, "other"))
+    placed = [side.withColumn("node", F.floor(F.col("offset") / range_bytes)).join(bad, ["archive", "node"], "left_semi").drop("node") for side in (left, right)]
+
+    def aligned(sides: list[DataFrame], *by: Column) -> DataFrame:
+        """Both sides met by ``by``, repeats in the order of their offsets."""
+        turn = F.row_number().over(Window.partitionBy("archive", *by).orderBy("offset", "sha256", "length"))
+        mine, other = (
+            side.select("archive", F.struct(*by, turn).alias("as"), *[F.col(c).alias(f"{name}_{c}") for c in ("offset", "length", "record_id", "sha256")])
+            for side, name in zip(sides, ("mine", "other"))
+        )
+        return mine.withColumnRenamed("archive", "_archive").join(other, (F.col("_archive") == F.col("archive")) & mine["as"].eqNullSafe(other["as"]), "full").select(
+            F.coalesce("_archive", "archive").alias("archive"), *[c for c in (*mine.columns, *other.columns) if c not in ("archive", "as")])
+
+    moved = settle(aligned(placed, F.col("record_id"), F.col("length"), F.col("sha256")).where("mine_sha256 IS NULL OR other_sha256 IS NULL"), "fixity-apart")
+    rest = [
+        moved.where(f"{name}_sha256 IS NOT NULL").select("archive", *[F.col(f"{name}_{c}").alias(c) for c in ("offset", "length", "record_id", "sha256")])
+        for name in ("mine", "other")
     ]
-    met = held[0].join(held[1], ["archive", "offset"], "full")
-    differ = ~(F.col("mine_sha256").eqNullSafe(F.col("other_sha256")) & F.col("mine_length").eqNullSafe(F.col("other_length")))
+    met = aligned(rest, F.coalesce(F.concat(F.lit("="), F.col("record_id").cast("string")), F.concat(F.lit("@"), F.col("offset").cast("string"))))
     state = F.when(F.col("other_sha256").isNull(), "missing").when(F.col("mine_sha256").isNull(), "extra").otherwise("changed")
-    return met.where(differ).select(
-        "archive", "offset", F.coalesce("mine_length", "other_length").alias("length"), F.coalesce("mine_record_id", "other_record_id").alias("record_id"),
+    return met.select(
+        "archive", *[F.coalesce(f"mine_{c}", f"other_{c}").alias(c) for c in ("offset", "length", "record_id")],
         state.alias("state"), F.col("mine_sha256").alias("sha256"), F.col("other_sha256").alias("replica_sha256"))

@@ -50,3 +50,12 @@ def test_roots_and_leaves_chain(spark):
     levels = tree(index, 512, 4, 2)
     assert [r["node"] for r in levels[-1].select("node").distinct().collect()] == [0]
     assert levels[-1].count() == index.select("archive").distinct().count()
+
+
+def test_moved_records_are_intact(spark):
+    """A lost record and a longer one shift all that stands behind them in a real replica."""
+    left = pages(spark).where("page_id IS NOT NULL")
+    right = left.where("page_id <> 37").withColumn("html", F.when(F.col("page_id") == 370, F.concat("html", F.lit("longer"))).otherwise(F.col("html")))
+    for range_bytes, fan_out, levels in ((256, 2, 3), (1 << 16, 16, 2)):
+        got = audit(records(left), records(right), range_bytes, fan_out, levels).collect()
+        assert sorted((r["record_id"], r["state"]) for r in got) == [(37, "missing"), (370, "changed")]
