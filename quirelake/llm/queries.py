@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quirelake.llm.decontaminate import contamination
 from quirelake.llm.exact_dedup import exact_groups
 from quirelake.llm.html_extract import extract_pages
+from quirelake.llm.line_dedup import without_repeats
 from quirelake.llm.packing import pack
 from quirelake.llm.pii import KINDS, find_personal
 from quirelake.llm.quality import quality_scores
@@ -181,3 +182,18 @@ def random_indexing_quality(spark: SparkSession, folder: str) -> DataFrame:
 def tree_merge_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the row of its text that stays, the one of the largest id."""
     return exact_groups(table(spark, folder, "documents"), keep="largest")
+
+
+@query("op13_line_dedup", f"""
+    WITH doc AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l, string_split({_FOLDED}, chr(10)) AS k FROM documents),
+    line AS (SELECT r, doc_id, unnest(l) AS line, trim(unnest(k), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS key, unnest(range(len(l))) AS i FROM doc),
+    shared AS (SELECT key, min(doc_id) AS first FROM line WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+    marked AS (SELECT line.*, shared.key IS NOT NULL AND doc_id <> first AS gone FROM line LEFT JOIN shared USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+    FROM marked GROUP BY r, doc_id
+""")
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with what is left of it once lines of other documents are gone."""
+    left = without_repeats(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -16,8 +16,8 @@ def test_against_sql(spark, data, con, name):
     assert compare(QUERIES[name](spark, data), con, CHECKS[name]) == []
 
 
-def test_ten_numbers():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+def test_all_numbers():
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
