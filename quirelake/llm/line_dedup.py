@@ -33,8 +33,9 @@ def dropped_lines(rows: DataFrame, least_chars: int = LEAST_CHARS, least_docs: i
     exchanged, so a line that all documents hold is one row a task; its single places
     meet that row in a join, whose skew can be split.
     """
-    keys = _lines(F.translate(F.col("text"), _UPPER, _LOWER))
-    exploded = rows.select("id", *(m.alias(n) for m, n in zip(_marks(F.col("text")), ("t1", "t2"))), F.posexplode(keys).alias("place", "line"))
+    # Hashed before lines are exploded, or every line would have its whole text hashed.
+    whole = rows.select("id", *(m.alias(n) for m, n in zip(_marks(F.col("text")), ("t1", "t2"))), F.translate("text", _UPPER, _LOWER).alias("text"))
+    exploded = whole.select("id", "t1", "t2", F.posexplode(_lines(F.col("text"))).alias("place", "line"))
     keyed = exploded.withColumn("line", F.btrim("line", F.lit(_SPACE))).where(F.char_length("line") >= least_chars)
     marked = keyed.select("id", "t1", "t2", "place", *(m.alias(n) for m, n in zip(_marks(F.col("line")), ("h1", "h2"))))
     # Null ids are one document, the last of all.
@@ -66,15 +67,16 @@ def without_repeats(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
     empty table gives no rows; columns of ``docs`` keep their names and values, and
     ``n_lines`` and ``n_dropped`` get underscores where ``docs`` has such columns.
     """
-    n_lines, n_dropped, key, one, two, gone = fresh(docs, n_lines, n_dropped, "_of", "_t1", "_t2", "_gone")
+    n_lines, n_dropped, key, one, two, gone, lines = fresh(docs, n_lines, n_dropped, "_of", "_t1", "_t2", "_gone", "_lines")
     text = F.coalesce(F.col(text_col), F.lit(""))
     picked = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     cuts = dropped_lines(picked, least_chars, least_docs).withColumnsRenamed({"id": key, "t1": one, "t2": two, "dropped": gone})
     marks = _marks(text)
     joined = docs.join(cuts, F.col(id_col).eqNullSafe(F.col(key)) & (marks[0] == F.col(one)) & (marks[1] == F.col(two)), "left")
-    lines = _lines(text)
+    # A column of its own: the text is split once, not at every place looked up.
+    joined = joined.withColumn(lines, _lines(text))
     places = F.sequence(F.lit(0), F.size(lines) - 1)
-    kept = F.array_join(F.transform(F.array_except(places, F.col(gone)), lambda i: F.get(lines, i)), "\n")
+    kept = F.array_join(F.transform(F.array_except(places, F.col(gone)), lambda i: F.get(F.col(lines), i)), "\n")
     return joined.select(
         *[F.when(F.col(gone).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns],
         F.size(lines).cast("long").alias(n_lines),
