@@ -17,6 +17,7 @@ from quirelake.llm.pii import KINDS, find_personal
 from quirelake.llm.quality import quality_scores
 from quirelake.llm.sharding import assign_shards
 from quirelake.llm.simhash import near_groups
+from quirelake.llm.spelling import spelling_groups
 from quirelake.llm.suffix_dedup import repeated_passages
 from quirelake.llm.warc_fixity import audit, records
 from quirelake.session import configure
@@ -184,6 +185,59 @@ def tree_merge_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(table(spark, folder, "documents"), keep="largest")
 
 
+@query("op12_spelling_variants", rf"""
+    WITH RECURSIVE bits AS (
+        SELECT i AS slot, 0 AS round, CAST(i AS UBIGINT) AS v FROM range(256) t(i)
+        UNION ALL
+        SELECT slot, round + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS UBIGINT)) ELSE v >> 1 END FROM bits WHERE round < 8
+    ),
+    crc_table AS (SELECT list(v ORDER BY slot) AS crc_of FROM bits WHERE round = 8),
+    run AS (
+        SELECT doc_id, run, count(*) AS n
+        FROM (SELECT doc_id, unnest(regexp_extract_all({_FOLDED}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL
+    ),
+    coded AS (
+        SELECT run, n, flatten(list_transform(range(1, length(named) + 1), lambda i: CASE WHEN unicode(substr(named, i, 1)) < 128 THEN [unicode(substr(named, i, 1))]
+            ELSE [192 + (unicode(substr(named, i, 1)) >> 6), 128 + (unicode(substr(named, i, 1)) & 63)] END)) AS bytes
+        FROM (SELECT run, n, doc_id || ':' || run AS named FROM run)
+    ),
+    summed AS (
+        SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(bytes, lambda b: CAST(b AS UBIGINT))),
+            lambda crc, b: xor(crc >> 8, crc_of[CAST(xor(crc, b) & 255 AS INTEGER) + 1])), CAST(4294967295 AS UBIGINT)) AS h
+        FROM coded, crc_table
+    ),
+    word AS (
+        SELECT word, CAST(sum(n) AS BIGINT) AS n
+        FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM summed)
+        WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+    ),
+    cut AS (
+        SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+        FROM (SELECT word, n, CAST(unnest(range(1, length(word) + 1)) AS INTEGER) AS i FROM word)
+    ),
+    pair AS (
+        SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+        UNION SELECT cut.word, word.word, word.n FROM cut JOIN word ON cut.rest = word.word
+        UNION SELECT word.word, cut.word, cut.n FROM cut JOIN word ON cut.rest = word.word
+    ),
+    best AS (
+        SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pair GROUP BY word
+    ),
+    formed AS (
+        SELECT word.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+        FROM word LEFT JOIN best USING (word)
+    ),
+    walk AS (
+        SELECT word, word AS at, form AS next FROM formed
+        UNION ALL SELECT walk.word, formed.word, formed.form FROM walk JOIN formed ON formed.word = walk.next
+    )
+    SELECT formed.word, form, walk.at AS root, n, n_near, form_n FROM formed JOIN walk ON walk.word = formed.word AND walk.next IS NULL
+""")
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of the corpus with its form, the last of its forms and its near words."""
+    return spelling_groups(table(spark, folder, "documents"))
+
+
 @query("op13_line_dedup", f"""
     WITH doc AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l, string_split({_FOLDED}, chr(10)) AS k FROM documents),
     line AS (SELECT r, doc_id, unnest(l) AS line, trim(unnest(k), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS key, unnest(range(len(l))) AS i FROM doc),
