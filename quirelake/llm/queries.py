@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelake.llm.collocations import collocations
 from quirelake.llm.decontaminate import contamination
 from quirelake.llm.exact_dedup import exact_groups
 from quirelake.llm.html_extract import extract_pages
@@ -185,6 +186,39 @@ def tree_merge_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(table(spark, folder, "documents"), keep="largest")
 
 
+@query("op11_phrase_collocations", rf"""
+    WITH piece AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array({_FOLDED}, '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+    listed AS (SELECT lang, regexp_extract_all(unnest(p), '[^\x20\x09]+') AS w FROM piece),
+    total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM listed GROUP BY lang),
+    gram AS (
+        SELECT lang, d, list_slice(w, i, i + d - 1) AS words
+        FROM (SELECT lang, w, d, unnest(range(1, len(w) - d + 2)) AS i FROM listed, range(1, 6) depth(d) WHERE len(w) >= d)
+    ),
+    f AS (SELECT lang, d, words, count(*) AS a FROM gram GROUP BY ALL HAVING count(*) >= 100),
+    inside AS (
+        SELECT DISTINCT lang, list_slice(words, i, i + e - 1) AS words, a
+        FROM (SELECT lang, words, a, d, e, unnest(range(1, d - e + 2)) AS i FROM f, range(2, 5) shorter(e) WHERE e < d)
+    ),
+    cut AS (
+        SELECT lang, words, f.a, k, n, CAST(l.a AS BIGINT) AS l, CAST(r.a AS BIGINT) AS r,
+            CAST((CAST(1000 AS HUGEINT) * f.a * n) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+        FROM (SELECT lang, words, a, unnest(range(1, d)) AS k FROM f WHERE d > 1) f
+        JOIN (SELECT lang, words AS first, a FROM f) l USING (lang) JOIN (SELECT lang, words AS rest, a FROM f) r USING (lang) JOIN total USING (lang)
+        WHERE l.first = list_slice(f.words, 1, k) AND r.rest = list_slice(f.words, k + 1, len(f.words))
+    ),
+    lowest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+    ranked AS (
+        SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, n, score
+        FROM lowest WHERE NOT EXISTS (SELECT 1 FROM inside WHERE inside.lang = lowest.lang AND inside.words = lowest.words AND inside.a >= lowest.a)
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM ranked QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+""")
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2,000 phrases of each language by how much their words go together."""
+    return collocations(table(spark, folder, "documents"))
+
+
 @query("op12_spelling_variants", rf"""
     WITH RECURSIVE bits AS (
         SELECT i AS slot, 0 AS round, CAST(i AS UBIGINT) AS v FROM range(256) t(i)
