@@ -13,6 +13,8 @@ LINE_TOLERANCE = 2.0
 COLUMN_STEP = 5.0
 SHARED_COLUMNS = 2
 MIN_LINES = 2
+# White space between two cells of a line.
+CELL_GAP = 12.0
 # Table lines kept in one cell.
 LINES_PER_PART = 4096
 
@@ -65,3 +67,52 @@ def detect_tables(words: DataFrame) -> DataFrame:
         "csv": F.array_join(F.transform("cells", lambda r: delimited_row(r, ",")), "\n"),
         "tsv": F.array_join(F.transform("cells", lambda r: delimited_row(r, "\t")), "\n"),
     })
+
+
+def ruled_tables(words: DataFrame, cell_gap: float = CELL_GAP) -> DataFrame:
+    """Cells of each page's tables: ``doc_id, page, table_no, row_no, column, last_column, x, width, text``.
+
+    White space of at least ``cell_gap`` parts a line into cells. Consecutive lines of
+    two cells or more are a run. The cells of the run's fullest lines, laid over each other,
+    leave rivers of white space, and what lies between rivers are the columns; so
+    columns may be ragged on both sides as long as a river is left. A cell is in all columns it overlaps,
+    from ``column`` to ``last_column``: a heading over several columns spans them. One that
+    overlaps none belongs to the next column on its right. Runs of fewer than ``MIN_LINES`` lines or
+    two columns are no tables.
+
+    A page's words come out of one row, so its lines may meet in one window.
+    """
+    line = [*PAGE, "line_no"]
+    along = Window.partitionBy(*line).orderBy("x", "word_no")
+    reach = F.max(F.col("x") + F.col("width")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(reach.isNull() | (F.col("x") - reach >= cell_gap), 1).otherwise(0)
+    begun = assign_lines(words, LINE_TOLERANCE).repartition(*PAGE).withColumn("_begins", begins)
+    celled = begun.withColumn("_cell", F.sum("_begins").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    cells = celled.groupBy(*line, "_cell").agg(
+        F.min("x").alias("x0"), F.max(F.col("x") + F.col("width")).alias("x1"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "word_no", "text"))), lambda w: w["text"]), " ").alias("text"))
+    counted = cells.withColumn("_cells", F.max("_cell").over(Window.partitionBy(*line)))
+    # Lines with one cell stay in the window below, so that they end a run.
+    in_page = Window.partitionBy(*PAGE).orderBy("line_no")
+    ruled = F.col("_cells") > 1
+    numbered = counted.withColumn("_lone", F.sum(F.when(ruled, 0).otherwise(1)).over(in_page.rangeBetween(Window.unboundedPreceding, 0))).where(ruled)
+    run = [*PAGE, "_lone"]
+    full = numbered.withColumn("_full", F.col("_cells") == F.max("_cells").over(Window.partitionBy(*run)))
+    across = Window.partitionBy(*run).orderBy("x0", "line_no")
+    wide = F.max("x1").over(across.rowsBetween(Window.unboundedPreceding, -1))
+    risen = full.where("_full").withColumn("_rises", F.when(wide.isNull() | (F.col("x0") > wide), 1).otherwise(0))
+    columns = (
+        risen.withColumn("_column", F.sum("_rises").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*run, "_column").agg(F.min("x0").alias("from"), F.max("x1").alias("to"))
+        .groupBy(*run).agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("_columns"))
+    )
+    size = full.groupBy(*run).agg(F.count_distinct("line_no").alias("_lines"))
+    tables = columns.join(size, run).where((F.col("_lines") >= MIN_LINES) & (F.size("_columns") > 1))
+    table_no = (F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("_lone")) - 1).alias("table_no")
+    left = F.size(F.filter("_columns", lambda c: c["to"] <= F.col("x0")))
+    reached = F.size(F.filter("_columns", lambda c: c["from"] < F.col("x1")))
+    last = F.size("_columns") - 1
+    return full.join(tables, run).select(
+        *PAGE, table_no, (F.dense_rank().over(Window.partitionBy(*run).orderBy("line_no")) - 1).alias("row_no"),
+        F.least(left, last).alias("column"), F.least(F.greatest(left, reached - 1), last).alias("last_column"),
+        F.col("x0").alias("x"), (F.col("x1") - F.col("x0")).alias("width"), "text")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirelake.functions.text import WHITESPACE
 from quirelake.operators.layout import span_offsets
 from quirelake.operators.search import hit_to_span, search
-from quirelake.plans import corpus_queries, page_queries, scalar_queries, stream_queries  # noqa: F401
+from quirelake.plans import corpus_queries, page_queries, scalar_queries, stream_queries, structure_queries  # noqa: F401
 from quirelake.plans.inputs import turn_words, turns
 from quirelake.plans.registry import CHECKS, QUERIES
 from quirelake.session import configure

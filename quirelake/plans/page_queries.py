@@ -82,13 +82,13 @@ def _(spark, folder):
     return layout.group_lines(tight)
 
 
-_PAGE_TEXT = f"""
+PAGE_TEXT = f"""
     SELECT doc_id, page, 0 AS part, string_agg(text, chr(10) ORDER BY line_no) AS text
     FROM (SELECT doc_id, page, line_no, regexp_replace(text, '{SPACE}+', ' ', 'g') AS text FROM ({_TURN_LINES}))
     WHERE text <> '' GROUP BY doc_id, page"""
 
 
-@query("T2_geometric_text", with_inputs("turns") + _PAGE_TEXT)
+@query("T2_geometric_text", with_inputs("turns") + PAGE_TEXT)
 def _(spark, folder):
     return layout.geometric_text(turn_words(spark, folder))
 
