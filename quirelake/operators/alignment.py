@@ -6,10 +6,11 @@ from collections.abc import Iterator, Sequence
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirelake.operators.matching import join_same
 from quirelake.operators.prefix import running_total
 from quirelake.session import settle
 
@@ -102,10 +103,7 @@ def align_lines(a: DataFrame, b: DataFrame, group: Sequence[str] = ("doc_id",),
     group = list(group)
 
     def met(one: DataFrame, other: DataFrame, keys: Sequence[str], how: str, also: Sequence[str] = ()) -> DataFrame:
-        """Null-safe join on ``keys``; of ``other`` only ``also`` is taken."""
-        right = other.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], *also)
-        on: list[Column] = [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)]
-        return one.join(right, on, how).drop(*[f"_k{n}" for n in range(len(keys))])
+        return join_same(one, other.select(*keys, *also), keys, how)
 
     def lines(df: DataFrame, name: str) -> DataFrame:
         digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)

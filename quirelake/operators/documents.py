@@ -102,9 +102,19 @@ def outline_flatten(outline: DataFrame, max_depth: int = OUTLINE_DEPTH) -> DataF
     )
 
 
-def set_meta(docs: DataFrame, updates: DataFrame, fields: tuple[str, ...] = ("title", "author", "subject", "keywords")) -> DataFrame:
-    """Overwrite metadata fields where an update gives a value."""
-    new = updates.select("doc_id", *[F.col(f).alias(f"_{f}") for f in fields])
+def set_meta(
+    docs: DataFrame, updates: DataFrame, fields: tuple[str, ...] = ("title", "author", "subject", "keywords"), order: str | None = None
+) -> DataFrame:
+    """Overwrite metadata fields where an update gives a value.
+
+    Of several updates of a document the last by ``order`` that gives a field counts for it;
+    of equal ones, and without an order, the greatest value. Updates collapse to one row a document first.
+    """
+
+    def last(f: str) -> Column:
+        return F.max(F.when(F.col(f).isNotNull(), F.struct(*([order] if order else []), F.col(f).alias("_f"))))["_f"].alias(f"_{f}")
+
+    new = updates.groupBy("doc_id").agg(*[last(f) for f in fields])
     joined = docs.join(new, "doc_id", "left")
     return joined.withColumns({f: F.coalesce(f"_{f}", f) for f in fields}).drop(*[f"_{f}" for f in fields])
 

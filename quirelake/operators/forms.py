@@ -10,9 +10,15 @@ from quirelake.functions.records import button_kind, field_checked, field_value_
 FIELD = ("doc_id", "name")
 
 
-def fill_form(fields: DataFrame, updates: DataFrame) -> DataFrame:
-    """Fields with new values where an update names them."""
-    new = updates.select(*FIELD, F.col("value").alias("_new"))
+def fill_form(fields: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
+    """Fields with new values where an update names them.
+
+    Of several updates of a field the last by ``order`` that gives a value counts; of equal
+    ones, and without an order, the greatest value. Updates collapse to one row a field before they meet the fields.
+    """
+    given = updates.where(F.col("value").isNotNull())
+    last = F.max(F.struct(*([order] if order else []), F.col("value").alias("_new")))["_new"]
+    new = given.groupBy(*FIELD).agg(last.alias("_new"))
     joined = fields.join(new, list(FIELD), "left")
     return joined.withColumn("value", F.coalesce("_new", "value")).drop("_new")
 

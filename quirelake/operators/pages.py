@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirelake.functions.geometry import norm_rotation
 from quirelake.functions.text import fill_placeholders, fold_ascii, page_label, trimmed
 from quirelake.operators.layout import PAGE
+from quirelake.operators.matching import join_same
 from quirelake.operators.prefix import running_total
 
 # Layout of the page stack, in points.
@@ -133,11 +134,10 @@ def merge_documents(pages: DataFrame, plan: DataFrame) -> DataFrame:
     ``plan`` has target_id, ordinal, doc_id: the same document may be merged into
     several targets, or several times into one.
     """
-    sized = plan.join(page_counts(pages), "doc_id")
+    sized = join_same(plan, page_counts(pages), ["doc_id"])
     placed = running_total(sized, ["target_id"], "ordinal", F.col("page_count"), "_first").drop("page_count")
     return (
-        pages.withColumnRenamed("page", "source_page")
-        .join(placed, "doc_id")
+        join_same(pages.withColumnRenamed("page", "source_page"), placed, ["doc_id"])
         .withColumn("page", (F.col("source_page") + F.col("_first")).cast("int"))
         .drop("_first")
     )
@@ -196,7 +196,7 @@ def pages_seen(views: DataFrame, pages: DataFrame) -> DataFrame:
 
 def page_x_of_y(pages: DataFrame, fmt: str) -> DataFrame:
     """Add ``caption``: a format with ``{page}`` and ``{pages}`` filled in."""
-    placed = running_total(pages, ["doc_id"], "page", F.lit(1), "_before").join(page_counts(pages), "doc_id")
+    placed = join_same(running_total(pages, ["doc_id"], "page", F.lit(1), "_before"), page_counts(pages), ["doc_id"])
     caption = fill_placeholders(F.lit(fmt), F.col("_before") + 1, F.col("page_count"))
     return placed.withColumn("caption", caption).drop("_before", "page_count")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions.text import context_snippet, fold
 from quirelake.operators.layout import PAGE
+from quirelake.operators.matching import join_same
 from quirelake.operators.prefix import running_total
 
 # Texts are searched in pieces of this many characters, overlapping by the query
@@ -170,7 +171,7 @@ def number_hits(hits: DataFrame) -> DataFrame:
     per_page = hits.groupBy(*PAGE).agg(F.count("*").alias("_n"))
     earlier = running_total(per_page, PAGE[:1], "page", F.col("_n"), "_earlier").select(*PAGE, "_earlier")
     return (
-        inside.join(earlier, list(PAGE))
+        join_same(inside, earlier, PAGE)
         .withColumn("hit_no", F.col("_inside") + F.col("_earlier"))
         .drop("_inside", "_earlier")
     )
@@ -185,7 +186,7 @@ def next_prev_hit(numbered: DataFrame) -> DataFrame:
     total = numbered.groupBy("doc_id").agg(F.count("*").alias("_n"))
     place = F.struct("page", "pos")
     told = (
-        numbered.join(total, "doc_id")
+        join_same(numbered, total, ["doc_id"])
         .select(
             "doc_id",
             F.explode(

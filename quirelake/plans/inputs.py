@@ -39,24 +39,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-#: Bytes of the largest table that is dealt over the cores.
-DEALT_BYTES = 256 << 20
-
-
-def dealt(df: DataFrame) -> DataFrame:
-    """A small table dealt over the cores.
-
-    A file of one row group is read by one task, and laying out or searching its
-    text would stay there. Only a scan of at most ``DEALT_BYTES``, by the size of its
-    files, is shuffled; any larger one is returned as it is.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= DEALT_BYTES else df
-
-
 def turns(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations as documents, one page per turn."""
-    return dealt(table(spark, folder, "conversations")).select(
+    return table(spark, folder, "conversations").select(
         F.col("conv_id").alias("doc_id"),
         F.col("turn").cast("int").alias("page"),
         F.lit(612.0).alias("width"),
@@ -76,7 +61,7 @@ _cte("turns", (), """
 
 def sheets(spark: SparkSession, folder: str) -> DataFrame:
     """Documents cut into pages of ten lines."""
-    return paginate(dealt(table(spark, folder, "documents").select("doc_id", "text")))
+    return paginate(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 _cte("sheets", (), r"""

@@ -165,20 +165,27 @@ def upsert_recents() -> Job:
 def reload_on_change(extractor: Extractor) -> Job:
     """Pages of changed documents, read again, from (path, content, ts).
 
-    A part holds the pages of the newest content of each document in its batch, and
-    one row with ``changed`` per document, also where no page is left.
+    The content of greatest ``ts``, and of equal ``ts`` the one of greatest digest, is a
+    document's last. A part holds the pages of the last content of each document in
+    its batch, and one row with ``changed`` per document, also where no page is left.
+    Parts that hold the same content give its pages once; rows of one content that are equal in
+    all columns are one. Content that can't be read, a null one too, gives a row with its error.
     """
 
     def part(batch: DataFrame) -> DataFrame:
-        content = newest(batch.select("path", "content", "ts"), ["path"], ["ts", "content"])
-        found = extract(content, extractor, keep=["path", "ts"]).withColumn("changed", F.lit(False))
+        marked = batch.select("path", "content", "ts", F.sha2("content", 256).alias("digest"))
+        content = newest(marked, ["path"], ["ts", "digest"])
+        found = extract(content, extractor, keep=["path", "ts", "digest"]).withColumn("changed", F.lit(False))
         empty = {f.name: F.lit(None).cast(f.dataType) for f in T.StructType.fromDDL(f"{PAGE_FIELDS}, error string").fields}
-        notices = newest(batch.select("path", "ts"), ["path"], ["ts"]).withColumns({**empty, "changed": F.lit(True)})
-        return found.unionByName(notices)
+        return found.unionByName(content.select("path", "ts", "digest").withColumns({**empty, "changed": F.lit(True)}))
 
     def merge(parts: DataFrame) -> DataFrame:
-        last = parts.where("changed").groupBy("path").agg(F.max("ts").alias("ts"))
-        return parts.where("NOT changed").join(last, ["path", "ts"]).drop("ts", "changed")
+        last = parts.where("changed").groupBy("path").agg(F.max(F.struct("ts", "digest")).alias("last")).select("path", "last.ts", "last.digest")
+        # The same content in two parts has the same pages; null paths and digests are values too.
+        keys = ["path", "ts", "digest"]
+        named = last.withColumnsRenamed({k: f"_{k}" for k in keys})
+        met = parts.where("NOT changed").join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*[f"_{k}" for k in keys])
+        return met.dropDuplicates().drop("ts", "digest", "changed")
 
     return Job(part, merge)
 

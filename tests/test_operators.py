@@ -368,3 +368,45 @@ def test_changed_lines_is_multiset_difference(spark):
     a = spark.createDataFrame([("x",), ("x",), ("y",)], "text string")
     b = spark.createDataFrame([("x",), ("z",)], "text string")
     assert rows(quality.changed_lines(a, b)) == [("x", "left only", 1), ("y", "left only", 1), ("z", "right only", 1)]
+
+
+# --- several updates of one row, and null documents --------------------------------
+
+def test_the_last_update_of_a_field_wins(spark):
+    from quirelake.operators import forms
+
+    fields = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "a", "z")], "doc_id bigint, name string, value string")
+    updates = spark.createDataFrame([(1, "a", "new", 1), (1, "a", "newer", 2), (1, "a", None, 3), (2, "b", "q", 1), (2, "a", "same", 1), (2, "a", "same", 1)], "doc_id bigint, name string, value string, seq int")
+    assert rows(forms.fill_form(fields, updates, "seq")) == [(1, "a", "newer"), (1, "b", "y"), (2, "a", "same")]
+    assert rows(forms.fill_form(fields, updates.drop("seq"))) == [(1, "a", "newer"), (1, "b", "y"), (2, "a", "same")]
+
+
+def test_the_last_update_of_metadata_wins(spark):
+    docs = spark.createDataFrame([(1, "t", "a"), (2, "u", None), (3, None, None)], "doc_id bigint, title string, author string")
+    updates = spark.createDataFrame([(1, "old", "z", 1), (1, "new", None, 2), (2, None, "w", 1), (9, "q", "q", 1)], "doc_id bigint, title string, author string, seq int")
+    assert rows(documents.set_meta(docs, updates, ("title", "author"), "seq"), "doc_id", "title", "author") == [(1, "new", "z"), (2, "u", "w"), (3, None, None)]
+
+
+def test_a_document_listed_twice_is_checked_once(spark):
+    import hashlib
+
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "doc_id bigint, text string")
+    mark = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    manifest = spark.createDataFrame([(1, mark("x")), (1, mark("a")), (1, mark("a")), (2, mark("x")), (2, mark("y")), (3, None)], "doc_id bigint, digest string")
+    assert rows(quality.verify_digests(docs, manifest)) == sorted([(1, "verified"), (2, "changed"), (3, "unsigned"), (None, "unsigned")], key=repr)
+
+
+def test_null_documents_keep_their_rows(spark):
+    table = page_table(spark, {(1, 0): "aa", (1, 1): "a", (None, 0): "a a", (None, 1): "b a"})
+    assert rows(pages.page_offsets(table), "doc_id", "page", "offset") == sorted([(1, 0, 0.0), (1, 1, 812.0), (None, 0, 0.0), (None, 1, 812.0)], key=repr)
+    assert rows(pages.page_x_of_y(table, "{page}/{pages}"), "doc_id", "page", "caption") == sorted([(1, 0, "1/2"), (1, 1, "2/2"), (None, 0, "1/2"), (None, 1, "2/2")], key=repr)
+    numbered = search.number_hits(search.search(table, "a"))
+    assert rows(numbered, "doc_id", "page", "pos", "hit_no") == sorted([(1, 0, 0, 0), (1, 0, 1, 1), (1, 1, 0, 2), (None, 0, 0, 0), (None, 0, 2, 1), (None, 1, 2, 2)], key=repr)
+    assert rows(search.next_prev_hit(numbered), "doc_id", "hit_no", "next_page", "prev_page") == sorted(
+        [(1, 0, 0, 1), (1, 1, 1, 0), (1, 2, 0, 0), (None, 0, 0, 1), (None, 1, 1, 0), (None, 2, 0, 0)], key=repr)
+    assert search.paged_hits(numbered, 1, 2).where("doc_id IS NULL").count() == 2
+    edited = pages.edit_pages(table.withColumn("rotation", F.lit(0)), rotate="1:90", delete="2")
+    assert rows(edited, "doc_id", "page") == sorted([(1, 0), (None, 0)], key=repr)
+    plan = spark.createDataFrame([(None, 0, 1), (None, 1, 1), (7, 0, None)], "target_id bigint, ordinal int, doc_id bigint")
+    merged = rows(pages.merge_documents(table, plan), "target_id", "page", "source_page")
+    assert merged == sorted([(None, 0, 0), (None, 1, 1), (None, 2, 0), (None, 3, 1), (7, 0, 0), (7, 1, 1)], key=repr)

@@ -1,5 +1,6 @@
 """Stream jobs over several batches, compared with the batch operators."""
 
+import hashlib
 import random
 
 import pytest
@@ -98,6 +99,24 @@ def test_changed_documents_are_read_again(spark, tmp_path):
         assert rows(done, "path", "page", "text") == [("a", 0, "new"), ("b", 0, "x")]
 
 
+@pytest.mark.parametrize("n", [1, 4, 40])
+def test_repeated_and_tied_changes_give_each_page_once(spark, tmp_path, n):
+    """The same row in many files, and contents of equal time, however the rows are cut."""
+    draw = random.Random(3)
+    rows_ = [(f"p{k % 9}", bytearray(f"{k % 4}|x|{k % 4}".encode()), at(k % 3)) for k in range(60)] * 3 + [("empty", bytearray(b""), at(0)), (None, bytearray(b"a"), at(0)), ("none", None, at(0))]
+    draw.shuffle(rows_)
+    job = jobs.reload_on_change(lambda c: enumerate(c.decode().split("|") if c else []))
+    stream = feed(spark, tmp_path, [rows_[k::n] for k in range(n)], "path string, content binary, ts timestamp")
+    done = jobs.run_available(stream, job, str(tmp_path / "store"))
+    last = {}
+    for path, content, ts in rows_:
+        mark = hashlib.sha256(content).hexdigest() if content is not None else ""
+        last[path] = max(last.get(path, (at(-1), "", b"")), (ts, mark, bytes(content or b"")))
+    want = [(path, page, text) for path, (_, _, content) in last.items() for page, text in enumerate(content.decode().split("|") if content else [])]
+    assert rows(done.where("error IS NULL"), "path", "page", "text") == sorted(want, key=repr)
+    assert rows(done.where("error IS NOT NULL"), "path") == [("none",)]
+
+
 def test_stale_replies_are_dropped(spark, tmp_path):
     asked = feed(spark, tmp_path / "q", [[(1, 8, at(5))], [(1, 7, at(0))]], "user_id bigint, query_id bigint, ts timestamp")
     told = feed(
