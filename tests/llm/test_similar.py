@@ -56,6 +56,24 @@ def test_near_stage_links_all_similar_texts(spark, data):
     assert simhash.drop_near_copies(df).count() > len(want)  # what 2 bits leave
 
 
+def test_a_chain_of_edits_is_one_group(spark):
+    """Neighbours are similar, the ends are not, and few texts are held at a time."""
+    words = samples.sentence(3, 120).split()
+    rows = []
+    for k in range(60):
+        rows.append((k, " ".join(words)))
+        words[(7 * k) % 120] = f"new{k}"
+    rows += edited()[:40]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    df = samples.documents(spark, rows)
+    for held in (1, 3, 1024):
+        found = similar.similar_groups(df, held=held).collect()
+        least = {}
+        for r in found:
+            least[r["root"]] = min(least.get(r["root"], r["doc_id"]), r["doc_id"])
+        assert sorted(least.values()) == brute(rows)
+
+
 def test_odd_rows(spark):
     rows = samples.odd_rows()
     assert kept(similar.drop_similar(samples.documents(spark, rows))) == brute(rows)
