@@ -67,24 +67,24 @@ def _located(parts: DataFrame, keys: list[str], *more: str) -> DataFrame:
 class Personal:
     """Base spans of a table of documents, and what the terms around them reveal.
 
-    Rows are told apart by id and text: repeated rows share their results. A null
-    text is an empty one and a null id an id like any other.
+    All is found per distinct text: rows of one text share their results. ``text_id`` stands
+    for a text and ``copies`` is the number of ids it has, a null one included. A null text is an empty one.
     """
 
-    KEYS = ["doc_id", "sha"]
-
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         self.docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         any_kind = reduce(lambda a, b: a | b, [F.regexp_like("text", F.lit(p)) for p in KINDS.values()])
-        #: Texts with personal data, once each per id.
-        self.held = settle(self.docs.where(any_kind).withColumn("sha", F.sha2("text", 256)).dropDuplicates(self.KEYS), "pii-held")
+        copies = F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("long"))
+        texts = self.docs.where(any_kind).groupBy(F.sha2("text", 256).alias("sha")).agg(F.any_value("text").alias("text"), copies.alias("copies"))
+        #: Texts with personal data, once each.
+        self.held = settle(texts.withColumn("text_id", F.monotonically_increasing_id()), "pii-held")
         self.base = settle(self._base(), "pii-base")
 
     def _base(self) -> DataFrame:
         kinds = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(kind).alias("kind"), _parts(F.col("text"), p).alias("parts")) for k, (kind, p) in enumerate(KINDS.items())])
-        each = self.held.select(*self.KEYS, F.explode(kinds).alias("of")).where(F.size("of.parts") > 1)
-        parts = each.select(*self.KEYS, F.col("of.rank").alias("rank"), F.col("of.kind").alias("kind"), F.posexplode("of.parts").alias("no", "part"))
-        return _located(parts, [*self.KEYS, "rank"], "kind").where(_valid(F.col("kind"), F.col("match")))
+        each = self.held.select("text_id", F.explode(kinds).alias("of")).where(F.size("of.parts") > 1)
+        parts = each.select("text_id", F.col("of.rank").alias("rank"), F.col("of.kind").alias("kind"), F.posexplode("of.parts").alias("no", "part"))
+        return _located(parts, ["text_id", "rank"], "kind").where(_valid(F.col("kind"), F.col("match")))
 
     def _terms(self, text: Column) -> Column:
         words = F.array_distinct(F.split(F.lower(text), _NOT_WORD))
@@ -99,63 +99,62 @@ class Personal:
             .when(F.col("kind") == "ip", F.concat(F.lit("prefix:"), F.substring_index(value, ".", 2)))
             .otherwise(F.concat(F.lit("prefix:"), F.substring(digits, 1, F.when(F.col("kind") == "card", 6).otherwise(4))))
         )
-        return self.base.select(*self.KEYS, "kind", F.explode(F.array(value, part, F.lit("kind:"))).alias("entity")).distinct()
+        return self.base.select("text_id", "kind", F.explode(F.array(value, part, F.lit("kind:"))).alias("entity")).distinct()
 
     def revealing(self, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame | None:
-        """``kind, entity, term, share, action``: terms that disclose an entity; None if no pair has support.
+        """``kind, entity, term, share, action``: terms that disclose an entity; None if no entity has support.
 
         Entities are exact values and the classes of :meth:`_entities`. An entity ``c`` has information ``-log2 p(c)``; a term ``t`` discloses their
         pointwise mutual information ``log2 p(c, t) / (p(c) p(t))`` of it. Chances
         are shares of all documents; a pair needs ``support`` distinct texts. A term
         is removed or generalised by the share of the information it discloses.
+
+        Pairs that can't get there are left out before they are counted, none else: terms
+        in fewer than ``support`` of the texts held, and, as a pair stands in no more
+        documents than its entity, terms in more than ``n_c^g N^(1-g)`` documents for the share ``g``.
         """
-        values = self._entities()
-        known = (
-            values.groupBy("kind", "entity").agg(F.count("*").alias("n_c"), F.count_distinct("sha").alias("texts"))
-            .where(F.col("texts") >= support).drop("texts")
-        )
-        outside = reduce(lambda t, p: F.regexp_replace(t, p, " "), KINDS.values(), F.col("text"))
-        words = self.held.select(*self.KEYS, F.explode(self._terms(outside)).alias("term"))
-        pairs = (
-            values.join(known, ["kind", "entity"]).join(words, self.null_safe(values, words)).groupBy("kind", "entity", "n_c", "term")
-            .agg(F.count("*").alias("n_ct"), F.count_distinct(words["sha"]).alias("texts")).where(F.col("texts") >= support)
-        )
-        pairs = settle(pairs, "pii-pairs")
-        if pairs.isEmpty():  # no term can qualify, whatever the corpus counts
+        values = self._entities().join(self.held.select(F.col("text_id").alias("_text"), "copies"), F.col("text_id") == F.col("_text")).drop("_text")
+        known = values.groupBy("kind", "entity").agg(F.sum("copies").alias("n_c"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
+        known = settle(known, "pii-entities")
+        most = known.agg(F.max("n_c").alias("n")).first()["n"]
+        if most is None:
             return None
+        n = float(max(self.docs.count(), 1))
+        outside = reduce(lambda t, p: F.regexp_replace(t, p, " "), KINDS.values(), F.col("text"))
+        words = settle(self.held.select("text_id", F.explode(self._terms(outside)).alias("term")), "pii-words")
+        often = words.groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= support).select("term")
         every = self.docs.select(F.explode(self._terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-        total = F.lit(float(max(self.docs.count(), 1)))
-        information = F.log2(total / F.col("n_c"))
-        share = F.log2(F.col("n_ct") * total / (F.col("n_c") * F.col("n_t"))) / information
-        return (
-            pairs.join(every, "term").where(F.col("n_c") < total).withColumn("share", share)
-            .where(F.col("share") >= generalise)
-            .select("kind", "entity", "term", "share", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action"))
+        # A little room, so that rounding drops no pair here.
+        least = generalise - 1e-9
+        terms = settle(every.where(F.col("n_t") <= float(most) ** least * n ** (1 - least)).join(often, "term"), "pii-terms")
+        seen = words.join(terms, "term").join(values.join(known, ["kind", "entity"]), "text_id")
+        pairs = (
+            seen.where(F.col("n_t") <= F.pow("n_c", F.lit(least)) * n ** (1 - least)).groupBy("kind", "entity", "n_c", "term", "n_t")
+            .agg(F.sum("copies").alias("n_ct"), F.count("*").alias("texts")).where(F.col("texts") >= support)
         )
-
-    def null_safe(self, left: DataFrame, right: DataFrame) -> Column:
-        return (left["sha"] == right["sha"]) & left["doc_id"].eqNullSafe(right["doc_id"])
+        total = F.lit(n)
+        share = F.log2(F.col("n_ct") * total / (F.col("n_c") * F.col("n_t"))) / F.log2(total / F.col("n_c"))
+        found = pairs.where(F.col("n_c") < total).withColumn("share", share).where(F.col("share") >= generalise)
+        return settle(found.select("kind", "entity", "term", "share", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")), "pii-revealing")
 
     def added(self, **thresholds: float) -> DataFrame | None:
         """Spans of revealing terms in the texts that hold their entity, outside base spans."""
         terms = self.revealing(**thresholds)
-        if terms is None:
+        if terms is None or terms.isEmpty():
             return None
-        values = self._entities()
+        words = self.held.select("text_id", F.explode(self._terms(F.col("text"))).alias("term"))
         flagged = settle(
-            values.join(terms, ["kind", "entity"]).groupBy(*self.KEYS, "term").agg(F.max("action").alias("action"))
-            .select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), "term", "action"), "pii-flagged"
-        )
-        concerned = self.held.join(flagged.select("_id", "_sha").distinct().hint("merge"), (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        words = _located(concerned.select(*self.KEYS, F.posexplode(_parts(F.col("text"), _WORD)).alias("no", "part")), self.KEYS)
+            words.join(terms, "term").join(self._entities(), ["text_id", "kind", "entity"]).groupBy("text_id", "term").agg(F.max("action").alias("action")), "pii-flagged")
+        concerned = self.held.join(flagged.select("text_id").distinct().hint("merge"), "text_id", "left_semi")
+        located = _located(concerned.select("text_id", F.posexplode(_parts(F.col("text"), _WORD)).alias("no", "part")), ["text_id"])
         # Written small, but many rows: never broadcast by the size of its files.
-        hit = words.join(flagged.hint("merge"), (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.lower("match") == F.col("term")))
-        spans = hit.select(*self.KEYS, F.col("action").alias("kind"), "match", "start", "end", F.when(F.col("action") == "generalise", len(KINDS)).otherwise(len(KINDS) + 1).alias("rank"))
-        covered = self.base.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("start").alias("_from"), F.col("end").alias("_to"))
-        return spans.join(covered, (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("start") < F.col("_to")) & (F.col("_from") < F.col("end")), "left_anti")
+        hit = located.withColumn("term", F.lower("match")).join(flagged.hint("merge"), ["text_id", "term"])
+        spans = hit.select("text_id", F.col("action").alias("kind"), "match", "start", "end", F.when(F.col("action") == "generalise", len(KINDS)).otherwise(len(KINDS) + 1).alias("rank"))
+        covered = self.base.select(F.col("text_id").alias("_text"), F.col("start").alias("_from"), F.col("end").alias("_to"))
+        return spans.join(covered, (F.col("text_id") == F.col("_text")) & (F.col("start") < F.col("_to")) & (F.col("_from") < F.col("end")), "left_anti")
 
     def spans(self, **thresholds: float) -> DataFrame:
-        """``doc_id, sha, kind, match, start, end, rank``: base spans and added ones."""
+        """``text_id, rank, kind, match, start, end``: base spans and added ones."""
         added = self.added(**thresholds)
         return self.base if added is None else self.base.unionByName(added)
 
@@ -176,12 +175,12 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = Personal(docs, id_col, text_col)
     span = F.struct("rank", "start", "end", "kind")
     base = F.col("rank") < len(KINDS)
-    per_text = found.spans(support=support, generalise=generalise, remove=remove).groupBy(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")).agg(
+    per_text = found.spans(support=support, generalise=generalise, remove=remove).groupBy("text_id").agg(
         *[F.count_if(F.col("kind") == kind).alias(f"n_{kind}") for kind in KINDS],
         _joined(F.when(base, span)).alias("base_spans"), _joined(span).alias("spans"), F.count_if(~base).alias("n_revealing"),
     )
     named = found.docs.select("doc_id", F.sha2("text", 256).alias("sha"))
-    joined = named.join(per_text, (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = named.join(found.held.select("text_id", "sha").join(per_text, "text_id"), "sha", "left")
     return joined.select(
         "doc_id", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in (*(f"n_{k}" for k in KINDS),)],
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("base_spans", "spans")], F.coalesce("n_revealing", F.lit(0)).cast("long").alias("n_revealing"),
@@ -190,15 +189,15 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds: float) -> DataFrame:
     """``doc_id, text`` of every row: base spans read ``[EMAIL]`` and so on, generalised
-    terms ``[TERM]``, removed terms are gone. Of overlapping spans the first counts."""
+    terms ``[TERM]``, removed terms are gone. Of overlapping spans the first counts. Rows
+    without personal data keep their text, a null one reads empty; repeated rows read alike."""
     found = Personal(docs, id_col, text_col)
-    before = Window.partitionBy("doc_id", "sha").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("text_id").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.spans(**thresholds).withColumn("past", F.coalesce(F.max("end").over(before), F.lit(0))).where("start >= past")
-    per_text = spans.groupBy(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "past", "kind"))).alias("cuts"))
+    per_text = spans.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "past", "kind"))).alias("cuts"))
     tag = lambda s: F.when(s["kind"] == "remove", "").when(s["kind"] == "generalise", "[TERM]").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
     kept = F.transform("cuts", lambda s: F.concat(F.col("text").substr(s["past"] + 1, s["start"] - s["past"]), tag(s)))
     tail = F.substring("text", F.element_at("cuts", -1)["end"] + 1, F.char_length("text"))
-    clean = found.held.join(per_text, (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select(
-        F.col("_id"), F.col("_sha"), F.concat(F.array_join(kept, ""), tail).alias("clean"))
+    clean = found.held.join(per_text, "text_id").select("sha", F.concat(F.array_join(kept, ""), tail).alias("clean"))
     named = found.docs.withColumn("sha", F.sha2("text", 256))
-    return named.join(clean, (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", F.coalesce("clean", "text").alias("text"))
+    return named.join(clean, "sha", "left").select("doc_id", F.coalesce("clean", "text").alias("text"))

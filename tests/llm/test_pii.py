@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
 import samples
 from quirelake.llm.pii import find_personal, sanitise
@@ -63,6 +65,67 @@ def test_copies_of_one_text_are_one_witness(spark):
     assert {r["n_revealing"] for r in find_personal(samples.documents(spark, rows)).collect()} == {0}
 
 
+def brute_added(rows, support=3, generalise=0.8, remove=0.95):
+    """Spans of revealing terms per row, by counting everything."""
+    docs = {(k, t or "") for k, t in rows}
+    base = {t: [x.split(":") for x in plain(t).split(",") if x] for _, t in docs}
+    small = lambda text: {w for w in re.split(r"[^\w]+|_", text.lower()) if len(w) >= 3 and re.search(r"[^\W\d_]", w)}
+
+    def entities(text):
+        out = set()
+        for kind, a, b in base[text]:
+            value = text[int(a) : int(b)].lower()
+            digits = re.sub("[^0-9]", "", value)
+            part = {"email": "domain:" + value.rpartition("@")[2], "ip": "prefix:" + ".".join(value.split(".")[:2]), "card": "prefix:" + digits[:6], "phone": "prefix:" + digits[:4]}[kind]
+            out |= {(kind, value), (kind, part), (kind, "kind:")}
+        return out
+
+    def outside(text):
+        out = list(text)
+        for _, a, b in base[text]:
+            out[int(a) : int(b)] = " " * (int(b) - int(a))
+        return small("".join(out))
+
+    n, total = Counter(w for _, t in rows for w in small(t or "")), len(rows)
+    of, with_term = defaultdict(set), defaultdict(set)
+    for k, t in docs:
+        for e in entities(t):
+            of[e].add((k, t))
+            for w in outside(t):
+                with_term[e, w].add((k, t))
+    action = {}
+    for (e, w), held in with_term.items():
+        if len({t for _, t in of[e]}) >= support <= len({t for _, t in held}) and len(of[e]) < total:
+            share = math.log2(len(held) * total / (len(of[e]) * n[w])) / math.log2(total / len(of[e]))
+            if share >= generalise:
+                action[e, w] = "remove" if share >= remove else "generalise"
+    out = {}
+    for k, t in docs:
+        mine = {w: max(action[e, w] for e in entities(t) if (e, w) in action) for w in {w for e, w in action if e in entities(t)}}
+        spans = [(mine[m[0].lower()], *m.span()) for m in re.finditer(r"[^\W_]+", t) if m[0].lower() in mine]
+        out[k, t] = sorted(s for s in spans if not any(s[1] < int(b) and int(a) < s[2] for _, a, b in base[t]))
+    return out
+
+
+def test_added_spans_against_brute_force(spark):
+    draw = random.Random(12)
+    words = [f"word{k}" for k in range(300)] + ["Zürich", "the", "and", "of"] * 20
+    rows = []
+    for k in range(400):
+        some = [draw.choice(words) for _ in range(draw.randrange(30))]
+        if k % 5 == 0:
+            who = draw.randrange(12)
+            some[len(some) // 2 : len(some) // 2] = [f"agent{who}", draw.choice([f"a{who}@d{who % 4}.org", f"x{k}@d{who % 4}.org", f"10.{who % 3}.0.{who}", f"+49 30 1234{who:02}7"]), f"desk{who % 4}"]
+        rows.append((None if k % 50 == 20 else k, " ".join(some)))
+    rows += [(1000 + k, t) for k, (_, t) in enumerate(rows[:60:5])] + rows[:20]
+    want = brute_added(rows)
+    for r, (k, t) in zip(sorted(find_personal(samples.documents(spark, rows)).collect(), key=lambda r: (repr(r["doc_id"]), r["spans"])), sorted(rows, key=lambda x: (repr(x[0]), ",".join(
+            [plain(x[1])] * bool(plain(x[1])) + [f"{a}:{b}:{c}" for a, b, c in want[x]])))):
+        added = [x for x in r["spans"].split(",") if x.startswith(("generalise", "remove"))]
+        assert (r["doc_id"], added) == (k, [f"{a}:{b}:{c}" for a, b, c in want[k, t]])
+    assert sum(map(len, want.values())) > 30
+
+
 def test_empty(spark):
     assert find_personal(samples.documents(spark, [])).count() == 0
 
