@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.llm.names import fresh, id_key
 
 #: Runs merged into one in each round.
 FAN_IN = 8
+#: Hexadecimal digits that name a stretch of the digests' range: 4,096 stretches.
+STRETCHES = 3
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -27,24 +29,27 @@ def merge_runs(rows: DataFrame, keep: str = "smallest", fan_in: int = FAN_IN, le
 
     Each input partition collapses to a run of distinct digests, with the id that
     stays and the number of rows, before anything is shuffled. In every round
-    ``fan_in`` neighbouring runs meet, entries equal in digest and length merge, and
-    the merged run is sorted again. A digest that a third of all rows share is one
-    entry per run from the first round on.
+    ``fan_in`` neighbouring runs are exchanged and merged into one sorted run: an entry whose
+    neighbour before it has the same digest and length is merged with it, and the id that stays and
+    the number of rows of all of them are kept. A run lies in stretches of the digests'
+    range, each merged by itself, so no task holds a whole run. A digest that a third of
+    all rows share is one entry a run from the first round on.
     """
     best = F.min if keep == "smallest" else F.max
     leaves = leaves or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = rows.withColumns({"run": F.pmod(F.spark_partition_id(), F.lit(leaves)), "keep_id": F.col("doc_id"), "copies": F.lit(1).cast("long")})
-
-    def meet(found: DataFrame, run: Column) -> DataFrame:
-        return (
-            found.groupBy(run.alias("run"), "digest", "n_bytes")
-            .agg(best("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
-            .sortWithinPartitions("run", "digest")
-        )
-
-    runs = meet(entries, F.col("run"))
-    for _ in range(max(1, math.ceil(math.log(leaves, fan_in)))):
-        runs = meet(runs, F.floor(F.col("run") / fan_in).cast("int"))
+    run = F.pmod(F.spark_partition_id(), F.lit(leaves)).alias("run")
+    runs = rows.groupBy(run, F.substring("digest", 1, STRETCHES).alias("stretch"), "digest", "n_bytes").agg(
+        best("doc_id").alias("keep_id"), F.count("*").alias("copies"))
+    place = ["run", "stretch", "digest", "n_bytes"]
+    sorted_run = Window.partitionBy("run", "stretch").orderBy("digest", "n_bytes")
+    same = Window.partitionBy(*place)
+    for _ in range(max(1, math.ceil(round(math.log(leaves, fan_in), 9)))):
+        met = runs.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).repartition("run", "stretch").sortWithinPartitions(*place)
+        merged = met.withColumns({
+            "before": F.lag(F.struct("digest", "n_bytes")).over(sorted_run),
+            "keep_id": best("keep_id").over(same), "copies": F.sum("copies").over(same),
+        })
+        runs = merged.where(~F.col("before").eqNullSafe(F.struct("digest", "n_bytes"))).drop("before")
     return runs.select("digest", "n_bytes", "keep_id", F.col("copies").alias("group_size"))
 
 

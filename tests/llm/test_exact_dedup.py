@@ -30,6 +30,17 @@ def test_any_fan_in_and_many_runs(spark):
         assert sorted(found.values()) == sorted((k, sum(1 for i in range(500) if i % 37 == k)) for k in range(37))
 
 
+def test_every_round_exchanges_sorts_and_merges(spark):
+    rows = [(i, f"text {i % 37}") for i in range(100)]
+    merged = merge_runs(digests(samples.documents(spark, rows)), "smallest", 3, leaves=20)
+    merged.collect()
+    plan = merged._sc._jvm.PythonSQLUtils.explainString(merged._jdf.queryExecution(), "simple")
+    plan = plan.split("== Initial Plan ==")[0]
+    rounds = 3  # 20 runs, 7, 3, 1
+    assert plan.count("Window [lag(") == plan.count("Exchange hashpartitioning(run#") == rounds
+    assert sum("Sort [run#" in line and "digest#" in line for line in plan.splitlines()) == rounds
+
+
 def test_one_text_holds_a_third(spark):
     rows = [(i, "same" if i % 3 == 0 else f"text {i}") for i in range(3000)]
     got = exact_groups(samples.documents(spark, rows), "largest").where("group_size > 1").collect()
