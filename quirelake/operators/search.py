@@ -15,8 +15,10 @@ from quirelake.operators.prefix import running_total
 PIECE = 256
 # Offsets per block in the hit-to-span join.
 SPAN_BLOCK = 1024
-# Queries are looked up by a gram of at most this many characters.
-GRAM = 3
+# Queries are looked up by a gram of at most this many characters, which stands in their head.
+GRAM, HEAD = 3, 64
+# Numbers that grams are hashed to before they leave a row.
+SLOTS = 1 << 16
 
 
 def _quoted(needle: Column) -> Column:
@@ -95,26 +97,40 @@ def search_counts(hits: DataFrame, by_page: bool = False) -> DataFrame:
 def search_many(pages: DataFrame, queries: DataFrame) -> DataFrame:
     """Hits ``(query_id, doc_id, page, pos, text)`` of every query.
 
-    ``queries`` has query_id and query; blank queries have no hits. Pieces of page
-    texts meet the queries on one gram of each, and a piece is searched for the
-    queries whose gram it holds. One plan for any number of queries; the adaptive
-    join splits grams that many pieces hold.
+    ``queries`` has query_id and query; blank queries have no hits. Every query is
+    looked up by one gram of its first ``HEAD`` characters, the one that fewest queries have. Page
+    texts are cut into pieces, and only places whose gram a query may have leave their
+    row: a filter of at most ``SLOTS`` numbers tells, however many queries there are. A place
+    takes along as much text as a head is long, so that heads are compared where they meet; the
+    adaptive join splits grams that many places hold. The rest of a longer query is compared with its page's text,
+    to which only places that hold the whole head go.
     """
     wanted = queries.select("query_id", fold(F.col("query")).alias("needle")).filter("needle != ''")
-    longest = wanted.agg(F.coalesce(F.max(F.length("needle")), F.lit(1))).scalar()
-    pieces = _pieces(pages, list(PAGE), longest - 1, False)
-    place = [*PAGE, "_piece_no"]
+    asked = _anchors(wanted.withColumn("head", F.substring("needle", 1, HEAD)))
+    most = asked.agg(F.max(F.length("head")).alias("length"), F.max("_shift").alias("shift"), F.collect_set(F.length("gram")).alias("sizes")).first()
+    length, shift, sizes = most["length"] or 1, most["shift"] or 0, most["sizes"] or [1]
+    slots = [r["slot"] for r in asked.select(_slot(F.col("gram")).alias("slot")).distinct().collect()]
+    pieces = _pieces(pages, list(PAGE), F.lit(length - 1), False)
     # The look-ahead stops at every character, so the place in the list is the position.
     at = [
         F.transform(F.regexp_extract_all("_seen", F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)), lambda gram, k: F.struct(gram.alias("gram"), k.alias("_from")))
-        for n in range(1, GRAM + 1)
+        for n in sorted(sizes)
     ]
-    held = pieces.select(*place, F.inline(F.concat(*at)))
+    some = F.filter(F.concat(*at), lambda place: _slot(place["gram"]).isin(slots))
+    begin = F.greatest(F.col("_from") - shift, F.lit(0))
+    held = pieces.select(*PAGE, "_piece_no", "_piece", F.inline(some)).select(
+        *PAGE, (F.col("_piece_no") * PIECE).alias("_base"), "gram", "_from", begin.alias("_begin"), F.substring("_piece", begin + 1, shift + length).alias("_slice"))
     start = F.col("_from") - F.col("_shift")
-    asked = held.join(_anchors(wanted), "gram").where((start >= 0) & (start < PIECE)).select(*place, "query_id", "needle", start.alias("_at"))
-    met = pieces.join(asked, place).where(F.substring("_seen", F.col("_at") + 1, F.length("needle")) == F.col("needle"))
-    return met.select(
-        "query_id", *PAGE, (F.col("_piece_no") * PIECE + F.col("_at")).alias("pos"), F.substring("_piece", F.col("_at") + 1, F.length("needle")).alias("text"))
+    found = held.join(asked, "gram").where((start >= 0) & (start < PIECE)).withColumn("_text", F.substring("_slice", start - F.col("_begin") + 1, F.length("head")))
+    met = found.where(fold(F.col("_text")) == F.col("head")).select("query_id", *PAGE, (F.col("_base") + start).alias("pos"), F.col("_text").alias("text"), "needle")
+    short = met.where(F.length("needle") <= HEAD).drop("needle")
+    long = join_same(met.where(F.length("needle") > HEAD).drop("text"), pages.select(*PAGE, F.col("text").alias("_whole")), PAGE)
+    whole = long.withColumn("text", F.substring("_whole", F.col("pos") + 1, F.length("needle"))).where(fold(F.col("text")) == F.col("needle"))
+    return short.unionByName(whole.select(*short.columns))
+
+
+def _slot(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(SLOTS)).cast("int")
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -124,19 +140,19 @@ def _grams(text: Column, size: int) -> Column:
 
 
 def _anchors(wanted: DataFrame) -> DataFrame:
-    """``query_id, needle, gram, _shift``: each query with its gram that fewest queries have,
-    and where in the query that gram first stands.
+    """``query_id, needle, head, gram, _shift``: each query with the gram of its head that
+    fewest queries have, and where in the head that gram first stands.
 
     So no gram gathers more queries than it must.
     """
-    size = F.least(F.length("needle"), F.lit(GRAM))
-    own = F.when(size == 1, _grams(F.col("needle"), 1)).when(size == 2, _grams(F.col("needle"), 2)).otherwise(
-        _grams(F.col("needle"), GRAM)
+    size = F.least(F.length("head"), F.lit(GRAM))
+    own = F.when(size == 1, _grams(F.col("head"), 1)).when(size == 2, _grams(F.col("head"), 2)).otherwise(
+        _grams(F.col("head"), GRAM)
     )
-    query_grams = wanted.select("query_id", "needle", F.explode(own).alias("gram"))
+    query_grams = wanted.select("query_id", "needle", "head", F.explode(own).alias("gram"))
     shared = query_grams.groupBy("gram").agg(F.count("*").alias("n"))
-    chosen = query_grams.join(shared, "gram").groupBy("query_id", "needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    return chosen.withColumn("_shift", F.instr("needle", F.col("gram")) - 1)
+    chosen = query_grams.join(shared, "gram").groupBy("query_id", "needle", "head").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return chosen.withColumn("_shift", F.instr("head", F.col("gram")) - 1)
 
 
 def hit_to_span(hits: DataFrame, spans: DataFrame) -> DataFrame:

@@ -92,6 +92,20 @@ def _(spark, folder):
     return done.select("user_id", "query_id", "result", F.unix_micros("asked_at").alias("asked_at"))
 
 
+@query("R6_reply_stream", with_inputs("clicks") + """
+    SELECT r.user_id, r.k AS query_id, r.event_id AS result, epoch_us(q.ts) AS asked_at
+    FROM clicks q JOIN clicks r ON q.user_id = r.user_id AND q.k = r.k AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL 2 DAY
+    WHERE q.event_type = 'error' AND r.event_type = 'purchase'""")
+def _(spark, folder):
+    """Replies of the running join, with those that late rows belong to."""
+    events = event_stream(spark, folder).withColumnRenamed("k", "query_id")
+    found = jobs.stream_replies(
+        events.filter("event_type = 'error'").select("user_id", "query_id", "ts"),
+        events.filter("event_type = 'purchase'").select("user_id", "query_id", F.col("event_id").alias("result"), "ts"),
+        work_folder(spark, "replies"), within="2 days", late="1 day")
+    return found.replies.unionByName(found.late_pairs).select("user_id", "query_id", "result", F.unix_micros("asked_at").alias("asked_at"))
+
+
 @query("R8_latest_results", with_inputs("clicks") + """
     SELECT user_id AS doc_id, k AS page, max_by(event_type, ts) AS result FROM clicks GROUP BY 1, 2""")
 def _(spark, folder):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +59,9 @@ def read_corpus(spark: SparkSession, folder: str, lines_per_page: int = 10) -> D
 
 Extractor = Callable[[bytes], Iterable[tuple]]
 
+#: Rows of a file that are handed on at once.
+ROWS_AT_ONCE = 4096
+
 
 def extract(binary: DataFrame, extractor: Extractor, fields: str = PAGE_FIELDS, keep: Sequence[str] = ("path",)) -> DataFrame:
     """Run a user's extractor over files with ``content``; ``keep`` names columns to carry along.
@@ -69,20 +73,25 @@ def extract(binary: DataFrame, extractor: Extractor, fields: str = PAGE_FIELDS,
     schema = T.StructType.fromDDL(fields)
     whole = [f.name for f in schema.fields if isinstance(f.dataType, T.IntegralType)]
 
+    def rows_of(content: bytes) -> Iterator[tuple]:
+        """Rows one by one; one with an error in place of what a failing extractor gave."""
+        try:
+            found = [(*row, None) for row in extractor(bytes(content))]
+        except ExtractError as problem:
+            found = [(*[None] * len(schema), problem.code)]
+        except Exception:
+            found = [(*[None] * len(schema), "OpenFailed")]
+        return iter(found)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows, of = [], []
+            names = batch[list(keep)]
             for k, content in enumerate(batch["content"]):
-                try:
-                    found = [(*row, None) for row in extractor(bytes(content))]
-                except ExtractError as problem:
-                    found = [(*[None] * len(schema), problem.code)]
-                except Exception:
-                    found = [(*[None] * len(schema), "OpenFailed")]
-                rows += found
-                of += [k] * len(found)
-            out = pd.DataFrame(rows, columns=[*schema.names, "error"]).astype({name: "Int64" for name in whole})
-            yield pd.concat([batch[list(keep)].iloc[of].reset_index(drop=True), out], axis=1)
+                # A file's rows leave before the next file is taken apart, some at a time.
+                rows = rows_of(content)
+                while some := list(islice(rows, ROWS_AT_ONCE)):
+                    out = pd.DataFrame(some, columns=[*schema.names, "error"]).astype({name: "Int64" for name in whole})
+                    yield pd.concat([names.iloc[[k] * len(some)].reset_index(drop=True), out], axis=1)
 
     kept = binary.select(*keep).schema.fields
     return binary.select(*keep, "content").mapInPandas(run, T.StructType([*kept, *schema.fields, T.StructField("error", T.StringType())]))

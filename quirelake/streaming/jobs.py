@@ -129,6 +129,85 @@ def current_replies(queries: DataFrame, replies: DataFrame, within: str = "10 mi
     return told.join(asked, ["user_id", "query_id"]).where(in_time)
 
 
+class LogParts(NamedTuple):
+    """Folders of :func:`split_late`, with the schema of their rows."""
+
+    on_time: str
+    late: str
+    schema: T.StructType
+
+    def table(self, spark: SparkSession, folder: str) -> DataFrame:
+        return spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def split_late(stream: DataFrame, store: str, late: str, ts: str = "ts") -> LogParts:
+    """Part a log into rows on time and late ones, as tables in ``store``; everything available is processed.
+
+    A row is late if it is more than ``late`` older than the newest row of an earlier
+    batch. Each batch writes its rows and its newest time under its own number, so a
+    repeated batch replaces itself. Late rows are kept, not dropped: count or replay them.
+    """
+    paths = LogParts(f"{store}/on-time", f"{store}/late", stream.schema)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        marks = spark.read.schema("batch long, newest timestamp").option("recursiveFileLookup", "true")
+        past = marks.parquet(f"{store}/marks").where(F.col("batch") < batch_id).agg(F.max("newest").alias("t")) if batch_id else None
+        limit = past.select((F.col("t") - F.expr(f"INTERVAL {late}")).alias("limit")) if past is not None else spark.range(1).select(F.lit(None).cast("timestamp").alias("limit"))
+        # One row, by its aggregate.
+        marked = batch.join(F.broadcast(limit)).withColumn("_late", F.coalesce(F.col(ts) < F.col("limit"), F.lit(False))).drop("limit")
+        marked.where("NOT _late").drop("_late").write.mode("overwrite").parquet(f"{paths.on_time}/batch-{batch_id}")
+        marked.where("_late").drop("_late").write.mode("overwrite").parquet(f"{paths.late}/batch-{batch_id}")
+        batch.agg(F.max(ts).alias("newest")).select(F.lit(batch_id).cast("long").alias("batch"), "newest").write.mode("overwrite").parquet(f"{store}/marks/batch-{batch_id}")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return paths
+
+
+class ReplyStream(NamedTuple):
+    """What :func:`stream_replies` leaves: replies in time, late rows of both logs, and the pairs these would make."""
+
+    replies: DataFrame
+    late_queries: DataFrame
+    late_replies: DataFrame
+    late_pairs: DataFrame
+    state_rows: list[int]
+
+
+def stream_replies(queries: DataFrame, replies: DataFrame, store: str, within: str = "10 minutes", late: str = "1 hour", files_per_trigger: int = 1000) -> ReplyStream:
+    """Replies whose query is still current, found while both logs run; see :func:`current_replies`.
+
+    A stream-stream join on user and query, bounded in time on both sides: a query is
+    held until no reply on time can still be ``within`` it, a reply until no query on time
+    can still be before it, so the state does not grow with the logs. Rows too late for that
+    are parted off before the join and returned; ``late_pairs`` are the replies they
+    belong to. ``replies`` and ``late_pairs`` together are the batch join, whatever the
+    cut of the logs. ``state_rows`` has the rows held after each batch.
+    """
+    spark = queries.sparkSession
+    asked, told = split_late(queries, f"{store}/queries", late), split_late(replies, f"{store}/replies", late)
+
+    def again(paths: LogParts) -> DataFrame:
+        return spark.readStream.schema(paths.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).parquet(paths.on_time)
+
+    one = again(asked).select(F.col("user_id").alias("_user"), F.col("query_id").alias("_query"), F.col("ts").alias("asked_at")).withWatermark("asked_at", late)
+    two = again(told).withColumnRenamed("ts", "replied_at").withWatermark("replied_at", late)
+    bound = F.expr(f"_user = user_id AND _query = query_id AND replied_at >= asked_at AND replied_at <= asked_at + INTERVAL {within}")
+    joined = two.join(one, bound).drop("_user", "_query")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store}/found/batch-{batch_id}")
+
+    run = joined.writeStream.foreachBatch(keep).option("checkpointLocation", f"{store}/join").trigger(availableNow=True).start()
+    run.awaitTermination()
+    held = [sum(op["numRowsTotal"] for op in p["stateOperators"]) for p in run.recentProgress]
+    found = spark.read.schema(joined.schema).option("recursiveFileLookup", "true").parquet(f"{store}/found")
+    late_asked, late_told = asked.table(spark, asked.late), told.table(spark, told.late)
+    missed = current_replies(late_asked, told.table(spark, told.on_time).unionByName(late_told), within).unionByName(
+        current_replies(asked.table(spark, asked.on_time), late_told, within))
+    return ReplyStream(found, late_asked, late_told, missed.select(*found.columns), held)
+
+
 def latest_results() -> Job:
     """The newest result per page, from (doc_id, page, result, ts)."""
     return newest_job(["doc_id", "page"], ["ts", "result"])

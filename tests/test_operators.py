@@ -70,6 +70,18 @@ def test_search_many_is_search_each(spark):
     assert got == sorted(want, key=repr)
 
 
+def test_search_many_with_long_and_crowded_queries(spark):
+    """Heads that agree and rests that differ, a query over many pieces, and texts that are one letter."""
+    draw = random.Random(4)
+    whole = "".join(draw.choices("abÉ 🙂", k=3000))
+    texts = {(1, 0): whole, (1, 1): "a" * 2000, (None, 0): whole[:700] + "X", (2, 0): whole[1:900], (3, 0): None}
+    wanted = {1: whole[:1500], 2: whole[:690], 3: whole[5:69], 4: whole[5:70], 5: "a" * 1990, 6: "a" * 64, 7: "A" * 65, 8: whole[200:264].upper(), 9: whole[:80] + "zz", 10: "x"}
+    queries = spark.createDataFrame(list(wanted.items()), "query_id bigint, query string")
+    got = rows(search.search_many(page_table(spark, {k: t for k, t in texts.items()}), queries), "query_id", "doc_id", "page", "pos", "text")
+    want = [(q, d, p, i, t[i : i + len(s)]) for q, s in wanted.items() for (d, p), t in texts.items() for i in brute(t or "", s)]
+    assert got == sorted(want, key=repr)
+
+
 def test_search_many_without_queries(spark):
     queries = spark.createDataFrame([], "query_id bigint, query string")
     assert search.search_many(page_table(spark, {(1, 0): "a"}), queries).count() == 0

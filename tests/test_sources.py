@@ -139,3 +139,36 @@ def test_written_tables(spark, folder):
     )
     sinks.write_tables(tables.detect_tables(words), folder)
     assert rows(spark.read.text(f"{folder}/doc_id=1")) == [('"a,0","a,1"',), ('"a,2","a,3"',)]
+
+
+def test_only_changed_files_are_read_again(spark, tmp_path):
+    import os
+
+    from quirelake.sources.changes import refresh
+
+    folder, store = tmp_path / "in", str(tmp_path / "manifest")
+    folder.mkdir()
+
+    def put(name, text, at):
+        (folder / name).write_text(text)
+        os.utime(folder / name, (at, at))
+
+    def run():
+        out = refresh(spark, str(folder), store, lambda content: enumerate(content.decode().split("|")))
+        name = lambda path: path.rpartition("/")[2]
+        return {name(r["path"]): r["state"] for r in out.changes.collect()}, sorted((name(r["path"]), r["page"], r["text"]) for r in out.pages.collect())
+
+    for k, name in enumerate("abcd"):
+        put(name, f"{name}|two", 1_000_000 + k)
+    assert run() == ({n: "added" for n in "abcd"}, sorted((n, p, t) for n in "abcd" for p, t in enumerate((n, "two"))))
+    # Content that changes behind an unchanged listing shows that no file is opened.
+    put("a", "X|two", 1_000_000)
+    assert run() == ({}, [])
+    put("b", "new|pages|here", 2_000_000)
+    put("c", "c|two", 2_000_000)
+    put("e", "e", 1_500_000)
+    (folder / "d").unlink()
+    assert run() == ({"b": "changed", "c": "touched", "d": "gone", "e": "added"}, [("b", 0, "new"), ("b", 1, "pages"), ("b", 2, "here"), ("e", 0, "e")])
+    assert run() == ({}, [])
+    (folder / "e").unlink()
+    assert run() == ({"e": "gone"}, []) and run() == ({}, [])

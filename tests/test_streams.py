@@ -127,6 +127,31 @@ def test_stale_replies_are_dropped(spark, tmp_path):
     assert rows(jobs.current_replies(*logs), "result") == [("in time",)]
 
 
+@pytest.mark.parametrize("n", [1, 4, 40])
+def test_reply_stream_with_late_rows_is_the_batch_join(spark, tmp_path, n):
+    draw = random.Random(8)
+    asked = [(draw.randrange(5), draw.randrange(4), at(draw.random() * 40_000)) for _ in range(240)]
+    told = [(draw.randrange(5), draw.randrange(4), f"r{k}", at(draw.random() * 40_000)) for k in range(240)] + [(None, 1, "none", at(5)), (1, None, "none", at(5)), (1, 1, "untimed", None)]
+    schemas = "user_id bigint, query_id bigint, ts timestamp", "user_id bigint, query_id bigint, result string, ts timestamp"
+
+    def cut(log):
+        """Files by time, but each row may come up to a few files later."""
+        log = sorted(log, key=lambda r: (r[-1] or at(0)).timestamp() / 40_000 * n + draw.random() * n / 12 if r[-1] else 0)
+        return [log[len(log) * k // n : len(log) * (k + 1) // n] for k in range(n)]
+
+    logs = []
+    for name, log, schema in (("q", asked, schemas[0]), ("r", told, schemas[1])):
+        feed(spark, tmp_path / name, cut(log), schema)
+        logs.append(jobs.read_stream(spark, str(tmp_path / name / "source"), schema, files_per_trigger=max(1, n // 8)))
+    found = jobs.stream_replies(*logs, str(tmp_path / "store"), within="20 minutes", late="40 minutes", files_per_trigger=max(1, n // 8))
+    want = jobs.current_replies(spark.createDataFrame(asked, schemas[0]), spark.createDataFrame(told, schemas[1]), "20 minutes").select(*found.replies.columns)
+    assert rows(found.replies.unionByName(found.late_pairs)) == rows(want) and rows(want)
+    late = found.late_queries.count() + found.late_replies.count()
+    assert (late == 0) == (n == 1)
+    if n == 40:  # the state is that of a stretch of time, not of the logs
+        assert max(found.state_rows) < 0.5 * (len(asked) + len(told)) and found.replies.count() > found.late_pairs.count() > 0
+
+
 def test_an_empty_stream_gives_an_empty_result(spark, tmp_path):
     stream = feed(spark, tmp_path, [[]], "user_id bigint, path string, ts timestamp")
     assert jobs.run_available(stream, jobs.upsert_recents(), str(tmp_path / "store")).count() == 0
