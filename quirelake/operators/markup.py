@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# What is no markup of the page: comments, scripts and styles, to the end of the page if they are left open.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|\z)"
+# The value of an attribute, quoted or not.
+_VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
 # What each extraction looks for.
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 HEADING = r"(?is)<h[1-6][^>]*>.*?</h[1-6]>"
 ANCHOR = r"(?is)<a\s[^>]*>"
-HREF = r"""(?is)\shref\s*=\s*["']([^"']*)["']"""
-LANGUAGE = r"""(?is)<html[^>]*\slang\s*=\s*["']([^"']*)["']"""
+HREF = r"(?is)\shref\s*=\s*" + _VALUE
+LANGUAGE = r"(?is)<html[^>]*\slang\s*=\s*" + _VALUE
 TAG = r"(?is)<[^>]*>"
 SAFE_SCHEMES = ("http://", "https://", "mailto:")
 
@@ -19,19 +23,28 @@ def _first(text, pattern: str):
     return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(0))
 
 
+def shown(html: Column) -> Column:
+    """A page without its comments, scripts and styles: one linear pass, and links in them don't count."""
+    return F.regexp_replace(html, HIDDEN, " ")
+
+
+def _value(text: Column, pattern: str) -> Column:
+    return F.regexp_replace(_first(text, pattern), r"""^["']|["']$""", "")
+
+
 def markup_documents(html: DataFrame) -> DataFrame:
     """Title, language and source of each page; NULL where absent.
 
     ``html`` has doc_id, url, html."""
     return html.select(
         "doc_id", F.col("url").alias("path"),
-        _first(F.col("html"), TITLE).alias("title"), _first(F.col("html"), LANGUAGE).alias("language"),
+        _first(shown(F.col("html")), TITLE).alias("title"), _value(shown(F.col("html")), LANGUAGE).alias("language"),
     )
 
 
 def markup_headings(html: DataFrame) -> DataFrame:
     """Headings in document order with their level; tags inside are removed."""
-    found = F.regexp_extract_all("html", F.lit(HEADING), F.lit(0))
+    found = F.regexp_extract_all(shown(F.col("html")), F.lit(HEADING), F.lit(0))
     return html.select("doc_id", F.posexplode(found).alias("ordinal", "_h")).select(
         "doc_id", "ordinal", F.substring("_h", 3, 1).cast("int").alias("level"),
         F.regexp_replace("_h", TAG, "").alias("title"),
@@ -41,8 +54,8 @@ def markup_headings(html: DataFrame) -> DataFrame:
 def markup_links(html: DataFrame) -> DataFrame:
     """Anchors with a target. ``#name`` targets are jumps inside the document
     (no url, page 0)."""
-    found = F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))
-    target = _first(F.col("_a"), HREF)
+    found = F.regexp_extract_all(shown(F.col("html")), F.lit(ANCHOR), F.lit(0))
+    target = _value(F.col("_a"), HREF)
     inside = F.col("_url").startswith("#")
     return html.select("doc_id", F.posexplode(found).alias("link_no", "_a")).select(
         "doc_id", "link_no", target.alias("_url")

@@ -26,16 +26,17 @@ def _quoted(needle: Column) -> Column:
     return F.concat(F.lit("\\Q"), inner, F.lit("\\E"))
 
 
+def _piece_pattern(overlap: Column) -> Column:
+    return F.concat(F.lit("(?s)(?=(.{1,"), (overlap + PIECE).cast("string"), F.lit(f"}})).{{1,{PIECE}}}"))
+
+
 def _pieces(rows: DataFrame, keep: list[str], overlap: Column, same_case: bool) -> DataFrame:
     """Texts cut into pieces that share ``overlap`` characters with the next one.
 
     A look-ahead captures a piece with its overlap while the pattern itself
     advances by the piece alone, so one linear pass cuts the whole text.
     """
-    pattern = F.concat(
-        F.lit("(?s)(?=(.{1,"), (overlap + PIECE).cast("string"), F.lit(f"}})).{{1,{PIECE}}}")
-    )
-    cut = rows.select(*keep, F.posexplode(F.regexp_extract_all("text", pattern, F.lit(1))).alias("_piece_no", "_piece"))
+    cut = rows.select(*keep, F.posexplode(F.regexp_extract_all("text", _piece_pattern(overlap), F.lit(1))).alias("_piece_no", "_piece"))
     return cut.withColumn("_seen", F.col("_piece") if same_case else fold(F.col("_piece")))
 
 
@@ -79,6 +80,29 @@ def search(pages: DataFrame, query: str, case_sensitive: bool = False, page: int
     return _matches(pieces, list(PAGE), F.lit(needle))
 
 
+def search_snippets(pages: DataFrame, query: str, case_sensitive: bool = False, around: int = 20) -> DataFrame:
+    """Hits ``(doc_id, page, pos, text, snippet)``: as :func:`search`, with the text around each.
+
+    The snippet is cut where the hit is found, out of its piece and the end of what
+    is before it: no shuffle.
+    """
+    needle = _needle(query, case_sensitive)
+    look = F.col("text") if case_sensitive else fold(F.col("text"))
+    rows = pages.filter(look.contains(needle) if needle else F.lit(False))
+    # One character more than a snippet shows on either side, which tells whether the text goes on.
+    cut = rows.select(*PAGE, F.regexp_extract_all("text", _piece_pattern(F.lit(len(needle) + around)), F.lit(1)).alias("_cuts"))
+
+    def before(i: Column) -> Column:
+        behind = [F.coalesce(F.left(F.get("_cuts", i - k), F.lit(PIECE)), F.lit("")) for k in range(around // PIECE + 1, 0, -1)]
+        return F.right(F.concat(*behind), F.lit(around + 1))
+
+    pieces = cut.select(*PAGE, F.inline(F.transform("_cuts", lambda piece, i: F.struct(i.alias("_piece_no"), piece.alias("_piece"), before(i).alias("_left")))))
+    seen = pieces.withColumns({"_seen": F.col("_piece") if case_sensitive else fold(F.col("_piece")), "_held": F.concat("_left", "_piece")})
+    found = _matches(seen, [*PAGE, "_left", "_held"], F.lit(needle))
+    at = F.pmod("pos", F.lit(PIECE)) + F.length("_left")
+    return found.select(*PAGE, "pos", "text", context_snippet(F.col("_held"), at, F.length("text"), around).alias("snippet"))
+
+
 def snippets(pages: DataFrame, hits: DataFrame, around: int = 20) -> DataFrame:
     """Every hit with the text around it: ``(doc_id, page, pos, snippet)``."""
     # A page's hits come out of one row and go back to it, so its text moves once.

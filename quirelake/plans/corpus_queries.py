@@ -35,7 +35,7 @@ def _exported(content: bytes):
 def _(spark, folder):
     """The files an export leaves, read whole and taken apart again."""
     path = work_folder(spark, "files")
-    sinks.write_export(sinks.export_text(turns(spark, folder), "md"), path)
+    sinks.write_export(sinks.export_text(turns(spark, folder), "md"), path, folders=True)
     found = corpus.read_binary(spark, f"{path}/doc_id=*/*.txt", _exported)
     return found.select(
         F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("bigint").alias("doc_id"), "page", "text", F.coalesce("error", F.lit("none")).alias("error")
@@ -141,7 +141,7 @@ def _(spark, folder):
 def _(spark, folder):
     """The lines of the files an export leaves."""
     path = work_folder(spark, "export")
-    sinks.write_export(sinks.export_text(turns(spark, folder), "md"), path)
+    sinks.write_export(sinks.export_text(turns(spark, folder), "md"), path, folders=True)
     return spark.read.schema("value string, doc_id bigint").text(path).select("doc_id", F.col("value").alias("line"))
 
 

@@ -176,6 +176,9 @@ def html_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _cte("html_pages", (), "SELECT page_id AS doc_id, url, html FROM pages")
+# The same without what is hidden in them.
+_cte("shown_pages", (), r"""
+    SELECT page_id AS doc_id, url, regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|\z)', ' ', 'g') AS html FROM pages""")
 
 
 def pixels(spark: SparkSession, folder: str) -> DataFrame:

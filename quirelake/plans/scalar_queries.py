@@ -382,7 +382,7 @@ def _(spark, folder):
           FROM documents WHERE contains(text, 'en'))""")
 def _(spark, folder):
     whole = table(spark, folder, "documents").select("doc_id", F.lit(0).alias("page"), "text")
-    return search.snippets(whole, search.search(whole, "en", case_sensitive=True)).drop("page")
+    return search.search_snippets(whole, "en", case_sensitive=True).select("doc_id", "pos", "snippet")
 
 
 @query("X26_encrypt_round_trip", "SELECT doc_id, text, true AS hidden, true AS wrong_key_is_null FROM documents")
@@ -429,31 +429,31 @@ def _(spark, folder):
     )
 
 
-@query("X29_markup_documents", with_inputs("html_pages") + r"""
+@query("X29_markup_documents", with_inputs("shown_pages") + r"""
     SELECT doc_id, url AS path, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title,
-           regexp_extract(html, '(?is)<html[^>]*\slang\s*=\s*["'']([^"'']*)["'']', 1) AS language FROM html_pages""")
+           regexp_replace(regexp_extract(html, '(?is)<html[^>]*\slang\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["'']|["'']$', '', 'g') AS language FROM shown_pages""")
 def _(spark, folder):
     return markup.markup_documents(html_pages(spark, folder)).select(
         "doc_id", "path", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("language", F.lit("")).alias("language")
     )
 
 
-@query("X29_markup_headings", with_inputs("html_pages") + r"""
+@query("X29_markup_headings", with_inputs("shown_pages") + r"""
     SELECT doc_id, CAST(i - 1 AS INTEGER) AS ordinal, CAST(substr(h, 3, 1) AS INTEGER) AS level,
            regexp_replace(h, '(?is)<[^>]*>', '', 'g') AS title
     FROM (SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS i
-          FROM (SELECT doc_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS hs FROM html_pages))""")
+          FROM (SELECT doc_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS hs FROM shown_pages))""")
 def _(spark, folder):
     return markup.markup_headings(html_pages(spark, folder))
 
 
 _LINKS = r"""
-    SELECT doc_id, CAST(i - 1 AS INTEGER) AS link_no, regexp_extract(a, '(?is)\shref\s*=\s*["'']([^"'']*)["'']', 1) AS url
+    SELECT doc_id, CAST(i - 1 AS INTEGER) AS link_no, regexp_replace(regexp_extract(a, '(?is)\shref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["'']|["'']$', '', 'g') AS url
     FROM (SELECT doc_id, unnest(xs) AS a, generate_subscripts(xs, 1) AS i
-          FROM (SELECT doc_id, regexp_extract_all(html, '(?is)<a\s[^>]*>') AS xs FROM html_pages))"""
+          FROM (SELECT doc_id, regexp_extract_all(html, '(?is)<a\s[^>]*>') AS xs FROM shown_pages))"""
 
 
-@query("X29_markup_links", with_inputs("html_pages") + f"""
+@query("X29_markup_links", with_inputs("shown_pages") + f"""
     SELECT doc_id, link_no, CASE WHEN url LIKE '#%' THEN '' ELSE url END AS url,
            CASE WHEN url LIKE '#%' THEN 0 ELSE -1 END AS destination_page FROM ({_LINKS})""")
 def _(spark, folder):
@@ -463,16 +463,16 @@ def _(spark, folder):
     )
 
 
-@query("P2_usable_links", with_inputs("html_pages") + f"SELECT doc_id, link_no FROM ({_LINKS}) WHERE url <> ''")
+@query("P2_usable_links", with_inputs("shown_pages") + f"SELECT doc_id, link_no FROM ({_LINKS}) WHERE url <> ''")
 def _(spark, folder):
     links = markup.markup_links(html_pages(spark, folder)).withColumn("url", F.nullif("url", F.lit("")))
     return markup.usable_links(links).select("doc_id", "link_no")
 
 
-@query("P3_safe_links", with_inputs("html_pages") + f"""
+@query("P3_safe_links", with_inputs("shown_pages") + f"""
     SELECT doc_id, link_no, url, CASE WHEN lower(url) LIKE 'http://%' OR lower(url) LIKE 'https://%' OR lower(url) LIKE 'mailto:%'
            THEN 'external' WHEN url LIKE '#%' THEN 'internal' ELSE 'blocked' END AS action
-    FROM (SELECT doc_id, -1 AS link_no, url FROM html_pages UNION ALL ({_LINKS}))""")
+    FROM (SELECT doc_id, -1 AS link_no, url FROM shown_pages UNION ALL ({_LINKS}))""")
 def _(spark, folder):
     html = html_pages(spark, folder)
     links = markup.markup_links(html).unionByName(

@@ -35,17 +35,17 @@ _HEADINGS = r"""
     heading AS (
         SELECT doc_id, CAST(i - 1 AS INTEGER) AS node_id, CAST(substr(h, 3, 1) AS INTEGER) AS level, regexp_replace(h, '(?is)<[^>]*>', '', 'g') AS title
         FROM (SELECT page_id AS doc_id, unnest(found) AS h, generate_subscripts(found, 1) AS i
-              FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS found FROM pages))),
+              FROM (SELECT doc_id AS page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS found FROM shown_pages))),
     child AS (SELECT a.*, (SELECT max(b.node_id) FROM heading b WHERE b.doc_id = a.doc_id AND b.node_id < a.node_id AND b.level < a.level) AS parent_id FROM heading a)"""
 
 
-@query("X29_outline_tree", f"WITH {_HEADINGS} SELECT doc_id, node_id, parent_id, level, title FROM child")
+@query("X29_outline_tree", f"{with_inputs('shown_pages')}, {_HEADINGS} SELECT doc_id, node_id, parent_id, level, title FROM child")
 def _(spark, folder):
     return outline.heading_outline(markup_headings(html_pages(spark, folder))).select("doc_id", "node_id", "parent_id", "level", "title")
 
 
 @query("T3_outline_of_headings", f"""
-    WITH RECURSIVE {_HEADINGS},
+    {with_inputs("shown_pages").replace("WITH", "WITH RECURSIVE")}, {_HEADINGS},
     walk AS (
         SELECT doc_id, node_id, title, 0 AS depth FROM child WHERE parent_id IS NULL
         UNION ALL SELECT c.doc_id, c.node_id, c.title, depth + 1 FROM walk w JOIN child c ON c.doc_id = w.doc_id AND c.parent_id = w.node_id

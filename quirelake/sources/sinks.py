@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.functions.text import delimited_row, export_frame, file_stem, page_block
 from quirelake.operators.layout import PAGE
+from quirelake.operators.matching import join_same
 from quirelake.operators.pages import reorder_pages
 
 # Pages of one export cell; longer documents continue in the next part.
@@ -22,15 +23,12 @@ def export_text(pages: DataFrame, fmt: str = "txt", pages_per_part: int = PAGES_
     """
     head, tail = export_frame(fmt)
     part = F.floor(F.col("page") / pages_per_part).cast("int")
-    # Dealt by document, so that the parts of one and its last part need no further shuffle.
-    blocks = pages.select("doc_id", "page", page_block(F.col("text"), F.col("page"), fmt).alias("block")).repartition("doc_id")
-    parts = blocks.groupBy("doc_id", part.alias("part")).agg(
-        F.expr("listagg(block, '') WITHIN GROUP (ORDER BY page)").alias("text")
-    )
+    blocks = pages.select("doc_id", part.alias("part"), "page", page_block(F.col("text"), F.col("page"), fmt).alias("block"))
+    parts = blocks.groupBy("doc_id", "part").agg(F.expr("listagg(block, '') WITHIN GROUP (ORDER BY page)").alias("text"))
     if not head and not tail:
         return parts
-    last = F.max("part").over(Window.partitionBy("doc_id"))
-    return parts.withColumn("_last", last).select(
+    last = blocks.groupBy("doc_id").agg(F.max("part").alias("_last"))
+    return join_same(parts, last, ["doc_id"]).select(
         "doc_id", "part",
         F.concat(
             F.when(F.col("part") == 0, F.lit(head)).otherwise(F.lit("")),
@@ -40,12 +38,21 @@ def export_text(pages: DataFrame, fmt: str = "txt", pages_per_part: int = PAGES_
     )
 
 
-def write_export(export: DataFrame, path: str) -> None:
-    """Write export parts as text files, one folder per document.
+def _write_sorted(table: DataFrame, order: list[str], path: str) -> None:
+    table.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def write_export(export: DataFrame, path: str, folders: bool = False) -> None:
+    """Store export parts sorted by document, so reading one document prunes to it.
 
-    A part ends in a line end, and so does a written row: one of them is left out,
+    ``folders`` writes text files instead, one folder per document, as a hand-over to tools
+    that want files; for a whole corpus that is a folder for each of its documents. A part
+    ends in a line end, and so does a written row: one of them is left out,
     so the files of a document put together are the export.
     """
+    if not folders:
+        _write_sorted(export, ["doc_id", "part"], path)
+        return
     text = F.when(F.endswith("text", F.lit("\n")), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
     (
         export.repartitionByRange("doc_id", "part")
@@ -62,12 +69,15 @@ def export_tables(tables: DataFrame, sep: str = ",") -> DataFrame:
     )
 
 
-def write_tables(tables: DataFrame, path: str, sep: str = ",") -> None:
-    """Write table lines as text, one folder per document, in table order."""
+def write_tables(tables: DataFrame, path: str, sep: str = ",", folders: bool = False) -> None:
+    """Store table lines sorted in table order; with ``folders`` as text, one folder per document."""
     order = [*PAGE, "table_no", "part", "row_no"]
+    lines = export_tables(tables, sep)
+    if not folders:
+        _write_sorted(lines, order, path)
+        return
     (
-        export_tables(tables, sep)
-        .repartitionByRange(*order).sortWithinPartitions(*order)
+        lines.repartitionByRange(*order).sortWithinPartitions(*order)
         .select("doc_id", "line")
         .write.partitionBy("doc_id").mode("overwrite").text(path)
     )
@@ -93,8 +103,7 @@ def write_split(split: DataFrame, path: str, folders: bool = False) -> None:
     if folders:
         split.write.partitionBy("doc_id", "out_name").mode("overwrite").parquet(path)
         return
-    order = ["doc_id", "out_name"]
-    split.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    _write_sorted(split, ["doc_id", "out_name"], path)
 
 
 def write_organised(pages: DataFrame, order: DataFrame, path: str) -> None:

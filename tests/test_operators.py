@@ -53,6 +53,20 @@ def test_search_is_brute_force(spark, query):
     assert got == sorted(want, key=repr)
 
 
+def test_snippets_are_cut_out_of_the_row(spark):
+    texts = {(1, 0): LONG, (1, 1): "aba", (2, 0): "x" * 300 + "aba" + "y" * 255 + "aBA", (None, 0): "ab" * 200}
+    table = page_table(spark, texts)
+    for around in (0, 3, 20, 300):
+        got = rows(search.search_snippets(table, "aba", around=around), "doc_id", "page", "pos", "text", "snippet")
+        want = []
+        for (d, p), t in texts.items():
+            for i in brute(t, "aba"):
+                low, high = max(i - around, 0), i + 3 + around
+                want.append((d, p, i, t[i : i + 3], ("..." if low else "") + t[low:high] + ("..." if high < len(t) else "")))
+        assert got == sorted(want, key=repr)
+    assert search.search_snippets(table, "").count() == 0
+
+
 def test_search_options(spark):
     table = page_table(spark, {(1, 0): "En en", (1, 1): "EN İx iX"})
     assert rows(search.search(table, "en", case_sensitive=True), "page", "pos") == [(0, 3)]

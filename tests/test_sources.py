@@ -110,7 +110,7 @@ def test_export_parts_join_to_the_whole(spark):
 
 
 def test_written_export(spark, folder):
-    sinks.write_export(sinks.export_text(pages(spark, 3), "md"), folder)
+    sinks.write_export(sinks.export_text(pages(spark, 3), "md"), folder, folders=True)
     lines = [r.value for r in spark.read.text(f"{folder}/doc_id=1").collect()]
     assert lines[:3] == ["## Page 1", "", "p<0"]
 
@@ -137,8 +137,16 @@ def test_written_tables(spark, folder):
     words = spark.sql(
         "SELECT 1L doc_id, 0 page, CAST(id AS INT) word_no, concat('a,', id) text, 50D + 45 * (id % 2) x, 28D + 18 * floor(id / 2) y, 8D width, 12D height FROM range(4)"
     )
-    sinks.write_tables(tables.detect_tables(words), folder)
+    sinks.write_tables(tables.detect_tables(words), folder, folders=True)
     assert rows(spark.read.text(f"{folder}/doc_id=1")) == [('"a,0","a,1"',), ('"a,2","a,3"',)]
+    sinks.write_tables(tables.detect_tables(words), f"{folder}-sorted")
+    assert rows(spark.read.parquet(f"{folder}-sorted"), "doc_id", "row_no", "line") == [(1, 0, '"a,0","a,1"'), (1, 1, '"a,2","a,3"')]
+
+
+def test_an_export_is_stored_sorted_without_a_folder_per_document(spark, folder):
+    exported = sinks.export_text(pages(spark, 7), "html", pages_per_part=3)
+    sinks.write_export(exported, folder)
+    assert rows(spark.read.parquet(folder), "doc_id", "part", "text") == rows(exported, "doc_id", "part", "text")
 
 
 def test_only_changed_files_are_read_again(spark, tmp_path):

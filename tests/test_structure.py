@@ -270,3 +270,16 @@ def test_ragged_columns_and_spanning_cells(spark, seed):
     want = {(0, r, c, c): cell for r, line in enumerate(grid) for c, cell in enumerate(line) if cell}
     want |= {(1, 0, 0, 1): "a" * 14, (1, 0, 2, 2): "b", (1, 1, 0, 0): "c", (1, 1, 1, 1): "d", (1, 1, 2, 2): "e"}
     assert got == want and {r["table_no"] for r in found} == {0}
+
+
+# --- markup ---------------------------------------------------------------------
+
+def test_hidden_markup_and_unquoted_values(spark):
+    from quirelake.operators import markup
+
+    page = """<html lang=de><!-- <title>No</title> <a href="x"> --><script>var a = '<a href="y">'</script><title>Yes</title>
+    <style>h1 {}</style><h1>One</h1> <a href=/plain> <a class=k href='it"s'> <a href="it's"> <h3>Deep <b>down</b></h3> <!-- open <h2>Gone</h2> <a href="z">"""
+    html = spark.createDataFrame([(1, "u", page), (2, "v", None), (3, "w", "<!--" * 50_000), (4, "x", "<script>" * 50_000)], "doc_id bigint, url string, html string")
+    assert rows(markup.markup_links(html), "doc_id", "url") == sorted([(1, "/plain"), (1, 'it"s'), (1, "it's")], key=repr)
+    assert rows(markup.markup_headings(html), "ordinal", "level", "title") == [(0, 1, "One"), (1, 3, "Deep down")]
+    assert rows(markup.markup_documents(html).where("doc_id = 1"), "title", "language") == [("Yes", "de")]
