@@ -12,11 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: What a tag holds after its name. A "<" outside quotes ends it unclosed, and nothing is
+#: given back, so that a page of broken tags is one pass too.
+_INSIDE_TAG = r"""(?:"[^"]*+"|'[^']*+'|[^'"<>])*+"""
+_RAW = "script style template textarea title iframe noscript svg math select head"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|template|textarea|title|iframe|noscript|svg|math|select|head)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
+    rf"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<({_RAW.replace(' ', '|')})(?=[\s/>]){_INSIDE_TAG}>|<(/?)([a-zA-Z][^\s/><]*+)({_INSIDE_TAG})>",
     re.S | re.I,
 )
+_SHUT = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW.split()}
 #: One attribute, its value consumed whole.
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAMED = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
@@ -47,9 +51,14 @@ STARTS = ("advert", "breadcrumb", "comment", "cookie", "discuss", "navbar", "nav
 ELSEWHERE = frozenset("has with no without".split())
 #: Words in a class or id that mark the article.
 INSIDE = frozenset("article body content entry main post story text".split())
+#: Words that say nothing of what an element holds: "top-menu" is a menu, "share-price" need not share.
+LAYOUT = frozenset(
+    "area article bar block bottom box buttons col column container entry global header icons inner item items left links list outer page panel post primary right row"
+    " secondary section site small top unit wrap wrapper zone".split()
+)
 
 #: Weights of the block classifier, in favour of content.
-WORDS, SHORT, LINKS, ARTICLE, HINT, OUTSIDE, HEADING, BARRED = 0.8, -2.0, -4.0, 3.0, 2.0, -4.0, 1.0, -40.0
+WORDS, SHORT, LINKS, ARTICLE, HINT, OUTSIDE, HEADING, SUSPECT, BARRED = 0.8, -2.0, -4.0, 3.0, 2.0, -4.0, 1.0, -3.0, -40.0
 #: Costs of labelling neighbours apart: next in page order; same parent; same grandparent.
 NEXT, SIBLINGS, COUSINS = 0.3, 1.0, 0.3
 
@@ -59,6 +68,7 @@ class Block(NamedTuple):
     words: int
     linked: float
     barred: bool
+    suspect: bool
     inside: bool
     hint: bool
     heading: bool
@@ -66,10 +76,29 @@ class Block(NamedTuple):
     grandparent: int
 
 
-def _marks(name: str, attributes: str, held: bool) -> tuple[bool, bool]:
-    """Whether an element's name and attributes bar its text, or hint at the article."""
+def _named(value: str, held: bool) -> tuple[bool, bool, bool]:
+    """Whether a class or id bars an element, makes it suspect, or hints at the article.
+
+    A name bars if all it says is what stands around an article. A name that says more, as
+    ``share-price`` does, only counts against the text: the cut decides.
+    """
+    barred = suspect = hint = False
+    for name in value.split():
+        parts = {p.lower() for p in _PART.findall(name)}
+        if ELSEWHERE.isdisjoint(parts):
+            said = {p for p in parts if p not in LAYOUT and not p.isdigit()}
+            around = said & AROUND
+            barred |= any(p.startswith(STARTS) for p in parts) or bool(around) and around == said
+            barred |= "header" in parts and not held and INSIDE.isdisjoint(parts)
+            suspect |= bool(around)
+        hint |= not INSIDE.isdisjoint(parts)
+    return barred, suspect, hint
+
+
+def _marks(name: str, attributes: str, held: bool) -> tuple[bool, bool, bool]:
+    """Whether an element's name and attributes bar its text, make it suspect, or hint at the article."""
     barred = name in APART or (name == "header" and not held)
-    hint = False
+    suspect = hint = False
     if attributes and name not in ("html", "body", "main"):
         for m in _ATTRIBUTE.finditer(attributes):
             what, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -80,19 +109,17 @@ def _marks(name: str, attributes: str, held: bool) -> tuple[bool, bool]:
             elif what == "role":
                 barred |= value.lower() in ROLES
             else:
-                parts = {p.lower() for p in _PART.findall(value)}
-                if ELSEWHERE.isdisjoint(parts):
-                    barred |= not AROUND.isdisjoint(parts) or any(p.startswith(STARTS) for p in parts)
-                    barred |= "header" in parts and not held and INSIDE.isdisjoint(parts)
-                hint |= not INSIDE.isdisjoint(parts)
-    return barred, hint
+                found = _named(value, held)
+                barred, suspect, hint = barred | found[0], suspect | found[1], hint | found[2]
+    return barred, suspect, hint
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; markup may be unclosed or wrongly nested."""
     out: list[Block] = []
-    # Open elements: name, number, barred, inside an article, hint.
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    # Open elements: name, number, barred, suspect, inside an article, hint.
+    stack: list[tuple[str, int, bool, bool, bool, bool]] = [("", 0, False, False, False, False)]
+    open_to_end: set[str] = set()
     numbers, linked, links, at = 0, 0, 0, 0
     opened: Counter[str] = Counter()
     parts: list[str] = []
@@ -101,10 +128,10 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            _, number, barred, inside, hint = stack[-1]
+            _, number, barred, suspect, inside, hint = stack[-1]
             whole = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in BLOCKS), 0)
             heading = stack[whole][0] in ("h1", "h2", "h3")
-            out.append(Block(text, text.count(" ") + 1, min(1.0, linked / len(text)), barred, inside, hint, heading,
+            out.append(Block(text, text.count(" ") + 1, min(1.0, linked / len(text)), barred, suspect, inside, hint, heading,
                              stack[max(whole - 1, 0)][1], stack[max(whole - 2, 0)][1]))
         parts.clear()
         linked = 0
@@ -132,10 +159,16 @@ def blocks(page: str) -> list[Block]:
             break
         at = m.end()
         if m[1]:
-            if m[1].lower() in ("svg", "math") and m[0].endswith("/>"):
+            raw = m[1].lower()
+            if raw in ("svg", "math") and m[0].endswith("/>"):
                 continue
-            shut = re.compile(rf"</{m[1]}\s*>", re.I).search(page, at)
-            at = shut.end() if shut else (at if m[1].lower() in ("head", "noscript", "select") else end)
+            # Only scripts and styles run to the end of a page that doesn't close them; of others the tag goes.
+            shut = None if raw in open_to_end else _SHUT[raw].search(page, at)
+            if shut:
+                at = shut.end()
+            else:
+                open_to_end.add(raw)
+                at = end if raw in ("script", "style") else at
             continue
         if not m[3]:
             continue
@@ -164,13 +197,13 @@ def blocks(page: str) -> list[Block]:
             parts.append(" ")
         if name in VOID or m[4].endswith("/") and name not in BLOCKS:
             continue
-        _, _, barred, inside, hint = stack[-1]
-        barred_here, hint_here = _marks(name, m[4], inside)
+        _, _, barred, suspect, inside, hint = stack[-1]
+        barred_here, suspect_here, hint_here = _marks(name, m[4], inside)
         numbers += 1
         inside = inside or name in ("article", "main")
         # The main element is never part of what surrounds it.
-        barred = barred and name != "main"
-        stack.append((name, numbers, barred or barred_here, inside, hint or hint_here))
+        barred, suspect = barred and name != "main", suspect and name != "main"
+        stack.append((name, numbers, barred or barred_here, suspect or suspect_here, inside, hint or hint_here))
         opened[name] += 1
         links += name == "a"
     flush()
@@ -181,7 +214,7 @@ def leaning(block: Block, has_article: bool) -> float:
     """The classifier's log odds that a block is content."""
     if block.barred:
         return BARRED
-    score = SHORT + WORDS * log2(1 + block.words) + LINKS * block.linked + HEADING * block.heading + HINT * block.hint
+    score = SHORT + WORDS * log2(1 + block.words) + LINKS * block.linked + HEADING * block.heading + HINT * block.hint + SUSPECT * block.suspect
     return score + (ARTICLE if block.inside else OUTSIDE if has_article else 0.0)
 
 

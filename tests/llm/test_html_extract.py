@@ -91,3 +91,26 @@ def test_self_closing_graphics_are_empty():
     for graphic in ('<svg class="i"/>', "<math />"):
         assert H.main_text(page(f"{graphic}<article><h1>T</h1><p>{LONG}</p></article>")) == f"T\n{LONG}"
         assert H.main_text(page(f"{graphic}<article><h1>T</h1><p>{LONG}</p></article><svg>x</svg>")) == f"T\n{LONG}"
+
+
+def test_names_that_only_begin_like_raw_elements():
+    for name in ("svg-icon", "title-bar", "template-x", "head-line", "script-note"):
+        assert H.main_text(page(f"<article><h1>T</h1><{name}>x</{name}><p>{LONG}</p></article>")).endswith(LONG), name
+    for open_ in ("<svg>", "<svg><path d=1>", "<iframe src=x>", "<textarea>", "<template>", "<math>", "<title>"):
+        assert LONG in H.main_text(f"<body>{open_}<article><p>{LONG}</p></article></body>"), open_
+
+
+def test_class_words_that_say_more_are_left_to_the_cut():
+    for attribute in ('class="share-price"', 'id="notice-of-results"', 'class="post-tags-area-content"', 'class="social-history"', 'class="menu-of-the-day"'):
+        assert H.main_text(page(f"<article><h1>T</h1><div {attribute}><p>{LONG}</p><p>{LONG}</p></div></article>")) == f"T\n{LONG}\n{LONG}", attribute
+    for attribute in ('class="share-links"', 'class="top-menu"', 'id="sidebar-2"', 'class="ad box"', 'class="site-notice"', 'class="cookie-body"', 'class="comment-text"'):
+        assert H.main_text(page(f"<article><h1>T</h1><p>{LONG}</p><div {attribute}><p>{LONG}</p></div></article>")) == f"T\n{LONG}", attribute
+
+
+def test_broken_tags_take_one_pass():
+    import time
+
+    for part in ("<a ", '<a "', "<a '", "<b '\"", "<!", "<svg>", "<title>", "</", "<a x=", "<p class=\"", "<!-"):
+        start = time.perf_counter()
+        H.main_text(part * (1_000_000 // len(part)))
+        assert time.perf_counter() - start < 15, part
