@@ -143,7 +143,7 @@ def test_reply_stream_with_late_rows_is_the_batch_join(spark, tmp_path, n):
     for name, log, schema in (("q", asked, schemas[0]), ("r", told, schemas[1])):
         feed(spark, tmp_path / name, cut(log), schema)
         logs.append(jobs.read_stream(spark, str(tmp_path / name / "source"), schema, files_per_trigger=max(1, n // 8)))
-    found = jobs.stream_replies(*logs, str(tmp_path / "store"), within="20 minutes", late="40 minutes", files_per_trigger=max(1, n // 8))
+    found = jobs.stream_replies(*logs, str(tmp_path / "store"), within="20 minutes", late="20 minutes", files_per_trigger=max(1, n // 8))
     want = jobs.current_replies(spark.createDataFrame(asked, schemas[0]), spark.createDataFrame(told, schemas[1]), "20 minutes").select(*found.replies.columns)
     assert rows(found.replies.unionByName(found.late_pairs)) == rows(want) and rows(want)
     late = found.late_queries.count() + found.late_replies.count()
