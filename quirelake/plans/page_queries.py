@@ -425,9 +425,9 @@ def _(spark, folder):
 
 
 @query("W8_page_x_of_y", with_inputs("turns") + """
-    SELECT doc_id, page, 'Page ' || (page + 1) || ' of ' || COUNT(*) OVER (PARTITION BY doc_id) AS caption FROM turns""")
+    SELECT doc_id, page, 'Leaf ' || (page + 1) || ' / ' || COUNT(*) OVER (PARTITION BY doc_id) AS caption FROM turns""")
 def _(spark, folder):
-    return pages.page_x_of_y(turns(spark, folder), "Page {page} of {pages}").select("doc_id", "page", "caption")
+    return pages.page_x_of_y(turns(spark, folder), "Leaf {page} / {pages}").select("doc_id", "page", "caption")
 
 
 @query("W9_delete_page", with_inputs("turns", "marks") + """

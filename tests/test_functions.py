@@ -46,7 +46,7 @@ def test_unknown_filter(spark):
 
 @pytest.mark.parametrize("shown,rgb", [
     ("#000000", (0, 0, 0)), ("#FFFFFF", (1, 1, 1)), ("#FF0000", (1, 0, 0)), ("FF0000", (1, 0, 0)), ("#FFF", (1, 1, 1)),
-    ("  #00FF00 ", (0, 1, 0)), ("#AaBbCc", (170 / 255, 187 / 255, 204 / 255)), ("#F00F", (1, 0, 0)),
+    ("  #00FF00 ", (0, 1, 0)), ("#1e9D0f", (30 / 255, 157 / 255, 15 / 255)), ("#F00F", (1, 0, 0)),
     ("#FF000080", (1, 0, 0)), ("", None), ("#GGHHII", None), ("red", None), ("#12345", None), ("#", None),
 ])
 def test_parse_color(one, shown, rgb):
@@ -139,9 +139,9 @@ def test_text_helpers(one):
 
 
 def test_cells(one):
-    cells = F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("1"), F.lit("2")))
-    assert one(text.cells_to_csv(cells)) == "a,b\n1,2"
-    assert one(text.cells_to_tsv(cells)) == "a\tb\n1\t2"
+    cells = F.array(F.array(F.lit("pear"), F.lit("plum"), F.lit("")), F.array(F.lit("7"), F.lit(""), F.lit("19")))
+    assert one(text.cells_to_csv(cells)) == "pear,plum,\n7,,19"
+    assert one(text.cells_to_tsv(cells)) == "pear\tplum\t\n7\t\t19"
     odd = F.array(F.array(F.lit('say "x"'), F.lit("p,q"), F.lit("two\nlines")))
     assert one(text.cells_to_csv(odd)) == '"say ""x""","p,q","two\nlines"'
 
@@ -151,7 +151,7 @@ def test_cells(one):
     ('{"Rectangle":{"color":"#FF0000","thickness":2.0,"fill":true}}', "Rectangle", {"thickness": 2.0, "fill": True}),
     ('{"Text":{"text":"Hello","color":"#000000","font_size":12}}', "Text", {"text": "Hello", "font_size": 12}),
     ('{"Redact":{"color":"#000000"}}', "Redact", {"color": "#000000"}),
-    ('{"StickyNote":{"comment":"c","color":"#ffeb3b"}}', "StickyNote", {"text": "c"}),
+    ('{"StickyNote":{"comment":"c","color":"#12ab90"}}', "StickyNote", {"text": "c"}),
     ('{"Cloud":{}}', None, {}), ("not json", None, {}),
 ])
 def test_style_json(spark, style, kind, fields):
