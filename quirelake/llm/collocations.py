@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelake.llm.bitmaps import bitmap, held_in
 from quirelake.session import settle
 
 #: Words of the longest phrase, and occurrences that make a candidate.
@@ -30,8 +31,6 @@ RANKED = 64
 # A-Z in lower case, marks that end a piece as a byte no text has, tab as space.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\xff" * 10 + b" ")
 _END = b"\xff"
-#: Bits of one of Spark's bitmaps.
-_BITMAP = 1 << 15
 #: A group's number is below this; the level of its prefixes is counted above it.
 _LEVEL = 1 << 24
 
@@ -136,21 +135,6 @@ def word_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return texts.mapInArrow(of, "lang string, word string, h long, n long").groupBy("lang", "word", "h").agg(F.sum("n").alias("n"))
 
 
-def _filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of the hashes ``h``: of a fixed size, so hashes may share bits, but none is missed."""
-    slot = F.col("h").bitwiseAND(bits - 1)
-    found = hashes.groupBy(F.shiftright(slot, 15).alias("at")).agg(F.bitmap_construct_agg(slot.bitwiseAND(_BITMAP - 1)).alias("bits")).collect()
-    out = np.zeros(max(bits, _BITMAP) // 8, np.uint8)
-    for at, part in found:
-        out[at * (_BITMAP // 8) :][: _BITMAP // 8] = np.frombuffer(part, np.uint8)
-    return out
-
-
-def _held(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    slot = hashes & np.uint64(bits - 1)
-    return (bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
 def _cell(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(48)).astype(np.int64)
 
@@ -161,7 +145,7 @@ def pair_counts(texts: DataFrame, words, bits: int, depth: int = DEPTH) -> DataF
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, depth):
             hashes = chunk.hashes()
-            often = (chunk.ids > 0) & _held(words.value, hashes, bits)
+            often = (chunk.ids > 0) & held_in(words.value, hashes, bits)
             at = np.flatnonzero(often[:-1] & often[1:] & chunk.starts[:-1])
             keys, counts = np.unique(_joined(hashes[at], hashes[at + 1]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["h", "n"])
@@ -174,10 +158,10 @@ class Suffixes:
 
     def __init__(self, chunk: Chunk, words: np.ndarray, pairs: np.ndarray, bits: int, depth: int):
         hashes = chunk.hashes()
-        often = (chunk.ids > 0) & _held(words, hashes, bits)
+        often = (chunk.ids > 0) & held_in(words, hashes, bits)
         both = np.append(often[:-1] & often[1:], False)
         at = np.flatnonzero(both)
-        both[at] = _held(pairs, _joined(hashes[at], hashes[at + 1]), bits)
+        both[at] = held_in(pairs, _joined(hashes[at], hashes[at + 1]), bits)
         self.at = np.flatnonzero(both & chunk.starts)
         self.depth = np.full(len(self.at), 2)
         #: Hashes of the prefixes of two words and more; of a shorter suffix, those of all it has.
@@ -323,9 +307,9 @@ def frequent_phrases(docs: DataFrame, depth: int = DEPTH, support: int = SUPPORT
     texts = _texts(docs, lang_col, text_col)
     send = texts.sparkSession.sparkContext.broadcast
     words = settle(word_counts(texts, depth), "collocation-words")
-    word_bits = send(_filter(words.where(F.col("n") >= support), bits))
+    word_bits = send(bitmap(words.where(F.col("n") >= support), bits))
     pairs = settle(pair_counts(texts, word_bits, bits, depth).where(F.col("n") >= support), "collocation-prefixes")
-    pair_bits = send(_filter(pairs, bits))
+    pair_bits = send(bitmap(pairs, bits))
     cells = pairs.groupBy(F.shiftrightunsigned("h", 48).alias("cell")).agg(F.sum("n").alias("n")).collect()
     tables = prefix_groups(texts, word_bits, pair_bits, cells, bits, depth, budget)
     phrases = settle(subtrees(leaf_totals(texts, word_bits, pair_bits, tables, bits, depth), support), "collocation-phrases")

@@ -73,3 +73,18 @@ def test_common_passage_and_cut(spark):
     assert cut.columns == df.columns
     texts = {r["doc_id"]: r["text"] for r in cut.collect()}
     assert shared in texts[0] and not any(shared in texts[k] or f"tail{k}" not in texts[k] for k in range(1, 200))
+
+
+def test_neighbours_share_words_not_hashes():
+    import numpy as np
+    import pyarrow as pa
+    from quirelake.llm import suffix_dedup as sd
+
+    # Suffixes in sorted order; the third agrees with its neighbours for two words only.
+    suffix = pa.array([b"a b c d ", b"a b c d ", b"a b x d "], pa.binary())
+    before = pa.array([b"p ", b"q ", b"p "], pa.binary())
+    heads, docs, starts = np.full(3, 7), np.array([1, 2, 3]), np.array([10, 20, 30])
+    got = {(d, s, e) for d, s, e in zip(*sd._compare(heads, docs, starts, before, suffix, 4, 2)[:3])}
+    assert got == {(1, 11, 15), (2, 21, 25)}
+    got = {(d, s, e) for d, s, e in zip(*sd._compare(heads, docs, starts, before, suffix, 3, 2)[:3])}
+    assert got == {(1, 10, 15), (2, 21, 25), (3, 30, 33)}
