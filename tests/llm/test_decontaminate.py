@@ -42,8 +42,8 @@ def benchmark(spark, items):
 def test_against_brute_force(spark):
     df, items = samples.documents(spark, DOCS), benchmark(spark, ITEMS)
     want = brute(DOCS, ITEMS)
-    for set_bytes in (D.SET_BYTES, 400):  # one set, and several
-        got = D.contamination(df, items, set_bytes=set_bytes).collect()
+    for set_words in (D.SET_WORDS, 40):  # one set of whole items, and several of pieces
+        got = D.contamination(df, items, set_words=set_words).collect()
         assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got), key=repr) == want
 
 
@@ -72,3 +72,16 @@ def test_empty_tables(spark):
     df, none = samples.documents(spark, DOCS), benchmark(spark, [])
     assert {r["n_hit"] for r in D.contamination(df, none).collect()} == {0}
     assert D.contamination(samples.documents(spark, []), benchmark(spark, ITEMS)).count() == 0
+
+
+def test_built_set_is_bounded():
+    """0.7 MB of new words take less than 210 bytes a word, as what is sent and unpacked."""
+    import pickle
+    import sys
+
+    text = " ".join(f"w{k:05d}" for k in range(100_000)).encode()
+    built = D.TestSet([("a", text)])
+    held = sum(x.nbytes for table in built.tables.values() for x in table[:3]) + built.marks.nbytes
+    held += sys.getsizeof(built.vocabulary) + sum(sys.getsizeof(w) + 32 for w in built.vocabulary)
+    assert held < 210 * 100_000 and len(pickle.dumps(built)) < 100 * 100_000 + (1 << D.FILTER_BITS)
+    assert built.scan(b"x " + text + b" y") == (100_002, [(1, 100_001)], ["a"])
