@@ -17,15 +17,16 @@ Rack = tuple[str, float, Sequence[Shard]]
 Region = tuple[str, float, Sequence[Rack]]
 
 
-def tree(shards: int, regions: int = 2, racks: int = 2) -> list[Region]:
-    """The balanced tree of ``shards`` equal shards.
+def tree(shards: int, regions: int = 2, racks: int = 2, per_rack: int = 4) -> list[Region]:
+    """The tree of ``shards`` equal shards, numbers in order.
 
-    Numbers fill the largest full ``regions x racks`` grid; each number beyond it is
-    a region of its own with one rack and one shard. Weights are shard counts, and a
-    longer tree of the same grid contains the shorter one unchanged.
+    The first fill a grid of ``regions x racks x per_rack``, which the parameters fix
+    and not the count; each number beyond it is a region of its own with one rack and
+    one shard. So the tree of one more shard is this one and a new region. A store
+    of fewer shards than the grid has no grid: all its shards are regions.
     """
-    per_rack = max(1, shards // (regions * racks))
-    return grown(grid(regions, racks, per_rack), shards - regions * racks * per_rack) if shards >= regions * racks else grown([], shards)
+    full = regions * racks * per_rack
+    return grown(grid(regions, racks, per_rack), shards - full) if shards >= full else grown([], shards)
 
 
 def grid(regions: int, racks: int, per_rack: int) -> list[Region]:

@@ -43,6 +43,14 @@ def test_weight_change_stays_in_its_subtree(spark):
 
 def test_longer_trees_contain_shorter_ones():
     assert tree(17)[:2] == tree(16) and tree(3) == grown([], 3)
+    assert all(grown(tree(n)) == tree(n + 1) for n in range(1, 40) if n != 15)
+
+
+def test_one_more_shard_is_the_tree_of_the_next_count(spark):
+    df = samples.documents(spark, [(k, f"text {k}") for k in range(2000)])
+    for n in (16, 19, 20):
+        promised, placed = ({r["doc_id"]: r[c] for r in assign_shards(df, m).collect()} for m, c in ((n, "grown_shard"), (n + 1, "shard")))
+        assert promised == placed
 
 
 def test_gapless_with_ties_and_few_blocks(spark):
