@@ -237,9 +237,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, id_col: str =
         return pa.array([pooled(t or "", vectors.value).tolist() for t in texts.to_pylist()], pa.list_(pa.float64()))
 
     # The sample has at most ``rows`` rows of two numbers, so it may be broadcast.
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(
+    # Of several rows of an id one text is learnt from, so the driver gets no more rows than that.
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(
         F.broadcast(labelled_sample(labels, rows)), F.col("doc_id") == F.col("_id"))
-    found = sorted((r["doc_id"], tuple(r["x"]), r["label"]) for r in chosen.select("doc_id", pool("text").alias("x"), "label").collect())
+    each = chosen.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = sorted((r["doc_id"], tuple(r["x"]), r["label"]) for r in each.select("doc_id", pool("text").alias("x"), "label").collect())
     x = np.array([f[1] for f in found]).reshape(-1, 2 * DIM + 1)
     return vectors, context.broadcast(fit(x, np.array([f[2] for f in found], float)))
 
@@ -261,6 +263,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, thres
 
     Only the text decides a score, so equal texts score alike; null and empty texts
     get the score of no words. A null id is never learnt from and not held out.
+    Of several rows of a labelled id one text is learnt from, the one of least hash.
     Without usable labels every score is one half. An empty table gives no rows; of
     the other columns none is read, whatever their names.
     """

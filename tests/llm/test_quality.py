@@ -75,3 +75,12 @@ def test_context_sums_match_plain_loops():
                     for p in range(quality.PLACES):
                         want[ids[k], places[p][ids[j]]] += signs[p][ids[j]]
     assert (quality.context_sums(iter(texts)) == want).all()
+
+
+def test_many_rows_of_one_labelled_id(spark):
+    """The driver learns from one text of an id, whatever the order of its rows."""
+    rows, labels = corpus(150)
+    hot = next(k for k, _ in rows if zlib.crc32(str(k).encode()) % 4 != 2)
+    more = rows + [(hot, samples.sentence(k, 30)) for k in range(1000, 1200)]
+    one, two = (sorted((r["doc_id"], r["score"]) for r in quality.quality_scores(samples.documents(spark, x), labelled(spark, labels)).collect()) for x in (more, more[::-1]))
+    assert np.allclose([r[1] for r in one], [r[1] for r in two], atol=1e-6) and len(one) == len(more)
