@@ -16,7 +16,7 @@ from quirelake.llm.names import fresh
 #: Consecutive item words in a window.
 WINDOW = 10
 #: Words of test texts in one broadcast set, each some 60 bytes with its window and up to
-#: 150 more where it is new: 55 MB at most. More words make more sets.
+#: 150 more where it is new: some 55 MB for words of common length. More words make more sets.
 SET_WORDS = 1 << 18
 #: Windows are looked up in a table of this many bits first.
 FILTER_BITS = 22
