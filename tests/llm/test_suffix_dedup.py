@@ -86,5 +86,7 @@ def test_neighbours_share_words_not_hashes():
     heads, docs, starts = np.full(3, 7), np.array([1, 2, 3]), np.array([10, 20, 30])
     got = {(d, s, e) for d, s, e in zip(*sd._compare(heads, docs, starts, before, suffix, 4, 2)[:3])}
     assert got == {(1, 11, 15), (2, 21, 25)}
+    # The last window of a suffix starts at its position, so shorter windows end sooner.
+    suffix = pa.array([b"a b c ", b"a b c ", b"a b x "], pa.binary())
     got = {(d, s, e) for d, s, e in zip(*sd._compare(heads, docs, starts, before, suffix, 3, 2)[:3])}
-    assert got == {(1, 10, 15), (2, 21, 25), (3, 30, 33)}
+    assert got == {(1, 10, 13), (1, 11, 14), (2, 21, 24), (3, 30, 33)}
