@@ -13,6 +13,10 @@ RUNTIME_SETTINGS = {
     # Joins on a document id meet documents of any size: let AQE split them.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Sizes are measured compressed and before rows are exploded; what is broadcast is built in
+    # the driver, there many times as large. More than this is shuffled.
+    "spark.sql.autoBroadcastJoinThreshold": "256k",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "256k",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Outlines stop at depth 100 in the recursion itself, not at these limits.
