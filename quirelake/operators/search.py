@@ -9,6 +9,7 @@ from quirelake.functions.text import context_snippet, fold
 from quirelake.operators.layout import PAGE
 from quirelake.operators.matching import join_same
 from quirelake.operators.prefix import running_total
+from quirelake.session import settle
 
 # Texts are searched in pieces of this many characters, overlapping by the query
 # length, so the work per piece is bounded and grows linearly with the text.
@@ -130,7 +131,8 @@ def search_many(pages: DataFrame, queries: DataFrame) -> DataFrame:
     to which only places that hold the whole head go.
     """
     wanted = queries.select("query_id", fold(F.col("query")).alias("needle")).filter("needle != ''")
-    asked = _anchors(wanted.withColumn("head", F.substring("needle", 1, HEAD)))
+    # Settled, so that its size is known before the places are found: few queries go to the places.
+    asked = settle(_anchors(wanted.withColumn("head", F.substring("needle", 1, HEAD))), "search-queries")
     most = asked.agg(F.max(F.length("head")).alias("length"), F.max("_shift").alias("shift"), F.collect_set(F.length("gram")).alias("sizes")).first()
     length, shift, sizes = most["length"] or 1, most["shift"] or 0, most["sizes"] or [1]
     slots = [r["slot"] for r in asked.select(_slot(F.col("gram")).alias("slot")).distinct().collect()]

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quirelake.operators import forms
+from quirelake.operators import forms, search
 
 
 def final_plan(df):
@@ -21,3 +21,14 @@ def test_field_page_shuffles_many_fields(spark):
     assert "BroadcastHashJoin" not in final_plan(found)
     expected = [min(i % 7, (i - 25) % 7) if i >= 25 else i % 7 for i in range(150_000)]
     assert tuple(found.first()) == (150_000, sum(expected))
+
+
+def test_search_many_sends_queries_to_places(spark, tmp_path):
+    """Pages that are small as a file hold more places than the driver can: the queries move."""
+    pages = spark.range(20).select("id", F.lit(0).alias("page"), F.repeat(F.lit("word of a text "), 40).alias("text"))
+    pages.withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/pages")
+    queries = spark.createDataFrame([(1, "word of"), (2, "ext"), (3, "a")], "query_id int, query string")
+    hits = search.search_many(spark.read.parquet(f"{tmp_path}/pages"), queries)
+    plan = final_plan(hits)
+    assert "BuildLeft" not in plan and "hashpartitioning(gram" not in plan
+    assert {r["query_id"]: r["count"] for r in hits.groupBy("query_id").count().collect()} == {1: 800, 2: 800, 3: 800}
