@@ -1,4 +1,4 @@
-"""Near copies by 5-word similarity: MinHash bands propose pairs, the exact Jaccard of shingles links them."""
+"""Near copies by 5-word similarity: SimHash and MinHash bands propose pairs, the exact Jaccard of shingles links them."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quirelake.llm.components import components
 from quirelake.llm.names import fresh, id_key
+from quirelake.llm.simhash import DISTANCE, bucket_links, buckets, fingerprint, plan, signatures
 from quirelake.session import settle
 
 SHINGLE = 5
@@ -60,20 +61,42 @@ def text_key(text: Column) -> Column:
 
 
 def _marks(rows: DataFrame) -> DataFrame:
-    """``doc_id, mark, node, n, keys`` of rows of ``doc_id, mark, text``: ``node`` names a set of shingles."""
+    """``doc_id, mark, node, n, fp, keys`` of rows of ``doc_id, mark, text``: ``node`` names a set of shingles, ``fp`` is operator 7's fingerprint."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, prints, keys = [], [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 held = grams(text or b"")
                 nodes.append(_node(held))
                 sizes.append(len(held))
+                prints.append(fingerprint(text or b""))
                 keys.append(bands(held).view(np.int64))
-            held = pa.array(np.array(nodes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), held, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "mark", "node", "n", "keys"])
+            held, marks = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), held, pa.array(sizes, pa.int64()), marks, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "mark", "node", "n", "fp", "keys"])
 
-    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark long, node long, n long, keys array<long>")
+    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark long, node long, n long, fp long, keys array<long>")
+
+
+def simhash_pairs(marks: DataFrame, similar: float = SIMILAR, distance: int = DISTANCE) -> DataFrame:
+    """``a, b``: pairs of texts that operator 7's search links and whose sizes allow ``similar``; stars, not all pairs.
+
+    Texts of one fingerprint meet the least of them; fingerprints within ``distance`` bits, found by
+    the pigeonhole search, meet by theirs.
+    """
+    nodes = settle(marks.select("node", "n", "fp").distinct(), "similar-prints")
+    heads = settle(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("head")), "similar-heads")
+    stars = bucket_links(buckets(signatures(heads, plan(heads, distance)), distance), distance)
+    one, two = (heads.select(F.col("fp").alias(f"_{x}"), F.col("head").alias(f"head_{x}")) for x in "ab")
+    far = stars.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b")).select("head_a", "head_b")
+    same = nodes.join(heads.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp")).where("node <> head.node").select(F.col("head").alias("head_a"), F.struct("node", "n").alias("head_b"))
+    fit = (F.col("head_a.node") != F.col("head_b.node")) & _alike(F.col("head_a.n"), F.col("head_b.n"), similar)
+    return far.unionByName(same).where(fit).select(F.col("head_a.node").alias("a"), F.col("head_b.node").alias("b"))
+
+
+def _alike(n: Column, m: Column, similar: float) -> Column:
+    """Sets of these sizes may be as similar as asked."""
+    return F.least(n, m) >= F.greatest(n, m) * F.lit(similar)
 
 
 def _grams(rows: DataFrame) -> DataFrame:
@@ -167,7 +190,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shingles, and what such links connect. Texts without words are alike. ``mark`` is
     a hash of the text.
 
-    A bucket's members first meet its least one, a pair each. Those that are not
+    Pairs are proposed by operator 7's search over SimHash fingerprints and by MinHash bands, which reach
+    the pairs further apart than its bits; only their exact Jaccard links them. A bucket's members first meet its least one, a pair each. Those that are not
     connected to it by then are looked up against all members, in the task of their
     bucket: some ``held`` of them at a time are held there and the others
     stream by. What comes out is a link at most for each text that streams by, so a large group of
@@ -178,11 +202,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = marks.select("node", "n", F.explode("keys").alias("key")).distinct()
     least = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.max("node").alias("last")).where("head.node < last").select(F.col("key").alias("_key"), "head")
     shared = settle(keyed.join(least, F.col("key") == F.col("_key")).select("key", "node", "n", "head"), "similar-shared")
-    alike = F.least("n", "m") >= F.greatest("n", "m") * F.lit(similar)
-    first = settle(
-        shared.where("node <> head.node").withColumn("m", F.col("head.n")).where(alike).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), "similar-first"
-    )
-    members = shared.select("node").distinct()
+    near = settle(simhash_pairs(marks, similar), "similar-near")
+    banded = shared.where("node <> head.node").where(_alike(F.col("n"), F.col("head.n"), similar)).select(F.col("head.node").alias("a"), F.col("node").alias("b"))
+    first = settle(near.unionByName(banded).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-first")
+    members = shared.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     chosen = marks.join(members, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("of"))
     chosen = chosen.select("node", id_key(F.col("of.doc_id")).alias("_id"), F.col("of.mark").alias("_mark"))
     texts = rows.join(chosen, (id_key(F.col("doc_id")) == F.col("_id")) & (F.col("mark") == F.col("_mark"))).select("node", "text")

@@ -87,3 +87,28 @@ def test_bands_find_pairs_at_the_limit():
         b = a[:80] + [draw.randrange(1 << 63) for _ in range(10)]  # 80 of 100 shared
         one, two = (similar.np.unique(similar.np.array(x, similar.np.uint64)) for x in (a, b))
         assert (similar.bands(one) == similar.bands(two)).any()
+
+
+def test_simhash_proposes_pairs(spark):
+    """Operator 7's search proposes texts within its bits, and its links count if exact Jaccard holds."""
+    texts = [t for _, t in edited()] + [None, "", "a b c"]
+    marks = similar._marks(spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "doc_id long, mark long, text string")).cache()
+    node = {r["doc_id"]: (r["node"], r["n"]) for r in marks.collect()}
+    prints = {node[k]: simhash.fingerprint((t or "").encode()) for k, t in enumerate(texts)}
+    got = {(r["a"], r["b"]) for r in similar.simhash_pairs(marks, 0.0).collect()}
+    parent = {k[0]: k[0] for k in prints}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    close = {(a[0], b[0]) for a in prints for b in prints if a < b and bin(prints[a] ^ prints[b]).count("1") <= 2}
+    for a, b in got:
+        parent[find(a)] = find(b)
+    assert close and all(find(a) == find(b) for a, b in close)
+    links = {k: k for k in parent}
+    parent = links
+    for a, b in close:
+        parent[find(a)] = find(b)
+    assert all(find(a) == find(b) for a, b in got) and len(got) <= 2 * len(prints)
