@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quirelake.operators.matching import join_same
 from quirelake.operators.prefix import running_total
 from quirelake.session import settle
 
 #: Fixed value: levels of headings.
 LEVELS = 6
+#: Entries of a document that are walked in one task; larger documents are ordered in rounds.
+WALKED = 1 << 16
 
 
 def heading_outline(headings: DataFrame) -> DataFrame:
@@ -27,16 +34,84 @@ def heading_outline(headings: DataFrame) -> DataFrame:
         "doc_id", F.col("ordinal").alias("node_id"), F.greatest(*last).alias("parent_id"), "ordinal", "level", "title", F.lit(0).alias("page"))
 
 
-def preorder(outline: DataFrame) -> DataFrame:
+def _walk(held: pa.RecordBatch) -> pa.RecordBatch:
+    """The entries of whole documents, one document after the other, in reading order with their place and depth."""
+    docs, nodes, parents, ordinals = (held.column(k).to_pylist() for k in range(4))
+    rows: list[int] = []
+    places: list[int] = []
+    depths: list[int] = []
+    start = 0
+    for stop in range(1, len(docs) + 1):
+        if stop < len(docs) and docs[stop] == docs[start]:
+            continue
+        one: dict = {}
+        for k in range(start, stop):
+            at = ((parents[k] is not None, parents[k]), (ordinals[k] is not None, ordinals[k]))
+            if nodes[k] not in one or at < one[nodes[k]][0]:
+                one[nodes[k]] = at, k
+        below = defaultdict(list)
+        for node, (at, k) in one.items():
+            below[parents[k]].append((at[1], node, k))
+        first = len(rows)
+        waiting = [(0, k) for *_, k in sorted(below[None], reverse=True)]
+        while waiting:
+            depth, k = waiting.pop()
+            places.append(len(rows) - first)
+            rows.append(k)
+            depths.append(depth)
+            waiting += ((depth + 1, j) for *_, j in sorted(below.get(nodes[k], ()), reverse=True))
+        start = stop
+    taken = held.take(pa.array(rows, pa.int64()))
+    return pa.RecordBatch.from_arrays([*taken.columns, pa.array(places, pa.int64()), pa.array(depths, pa.int64())], names=[*held.schema.names, "reading_order", "depth"])
+
+
+def _walked(entries: DataFrame) -> DataFrame:
+    """Documents ordered in the task that holds them; the first four columns are doc_id, node_id, parent_id and ordinal."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pa.concat_batches([rest, batch])
+            docs = rest.column(0).to_pylist()
+            cut = len(docs)
+            while cut and docs[cut - 1] == docs[-1]:
+                cut -= 1
+            if cut:  # the last document may go on
+                yield _walk(rest.slice(0, cut))
+                rest = rest.slice(cut)
+        if rest is not None and len(rest):
+            yield _walk(rest)
+
+    long = [T.StructField(c, T.LongType()) for c in ("reading_order", "depth")]
+    return entries.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(of, T.StructType([*entries.schema.fields, *long]))
+
+
+def preorder(outline: DataFrame, walked: int = WALKED) -> DataFrame:
     """Outline entries with ``reading_order`` (from zero in their document) and ``depth``.
 
-    ``outline`` has doc_id, node_id, parent_id (null at the top) and ordinal. An Euler tour:
-    every entry is entered and left, each of these steps knows the next, and by pointer
-    doubling each sums up all steps after it. Rounds grow with the logarithm of a
-    document's entries, not with depth, and no entry waits for another. Steps
-    are joined by their own key, so a document may hold any share of them. Siblings
+    ``outline`` has doc_id, node_id, parent_id (null at the top) and ordinal. Siblings
     are ordered by ordinal, then node_id. Of several rows of one node, the first by
     parent and ordinal counts. Entries under a missing parent, and cycles, are left out.
+    A document of at most ``walked`` rows is walked where its rows meet: they are shuffled
+    once, whatever the depth. Larger ones are ordered in rounds (:func:`_toured`).
+    """
+    at = ["doc_id", "node_id", "parent_id", "ordinal"]
+    entries = settle(outline.where("node_id IS NOT NULL").select(*at, *[c for c in outline.columns if c not in at]), "outline-entries")
+    large = settle(entries.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > walked).select("doc_id"), "outline-large")
+    if large.isEmpty():
+        found = _walked(entries)
+    else:
+        found = _walked(join_same(entries, large, ["doc_id"], "left_anti")).unionByName(_toured(join_same(entries, large, ["doc_id"], "left_semi")))
+    return settle(found.select(*outline.columns, "reading_order", "depth"), "outline-ordered")
+
+
+def _toured(outline: DataFrame) -> DataFrame:
+    """As :func:`preorder`, for documents of any size.
+
+    An Euler tour: every entry is entered and left, each of these steps knows the next, and
+    by pointer doubling each sums up all steps after it. Rounds grow with the logarithm of a
+    document's entries, not with depth, and no entry waits for another. Steps
+    are joined by their own key, so a document may hold any share of them.
     """
     nodes = settle(
         outline.groupBy("doc_id", "node_id").agg(F.min(F.struct("parent_id", "ordinal")).alias("_at"))

@@ -283,3 +283,17 @@ def test_hidden_markup_and_unquoted_values(spark):
     assert rows(markup.markup_links(html), "doc_id", "url") == sorted([(1, "/plain"), (1, 'it"s'), (1, "it's")], key=repr)
     assert rows(markup.markup_headings(html), "ordinal", "level", "title") == [(0, 1, "One"), (1, 3, "Deep down")]
     assert rows(markup.markup_documents(html).where("doc_id = 1"), "title", "language") == [("Yes", "de")]
+
+
+def test_preorder_walked_and_in_rounds(spark):
+    """Documents above and below the bound, null ids and repeated rows give the same order both ways."""
+    draw = random.Random(11)
+    data = [(d, n, None if n == 0 or draw.random() < 0.1 else draw.randrange(n + (n % 9 == 0)), draw.choice([None, 0, 1, 2])) for d, size in ((1, 40), (2, 200), (None, 60)) for n in range(size)]
+    data += [(1, 5, 2, 0), (1, None, None, 0), (2, 300, 999, 0), (2, 301, 302, 0), (2, 302, 301, 0)]
+    table = spark.createDataFrame(data, TREE)
+    names = ("doc_id", "node_id", "parent_id", "ordinal", "reading_order", "depth")
+    rounds = rows(outline._toured(table), *names)
+    for bound in (1 << 16, 100, 0):
+        assert rows(outline.preorder(table, bound), *names) == rounds
+    plan = outline._walked(table)._jdf.queryExecution().toString()
+    assert "Join" not in plan
