@@ -17,6 +17,8 @@ RUNTIME_SETTINGS = {
     # the driver, there many times as large. More than this is shuffled.
     "spark.sql.autoBroadcastJoinThreshold": "256k",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "256k",
+    # A folder per document is not a listing task per document.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "100",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Outlines stop at depth 100 in the recursion itself, not at these limits.

@@ -180,3 +180,23 @@ def test_only_changed_files_are_read_again(spark, tmp_path):
     assert run() == ({}, [])
     (folder / "e").unlink()
     assert run() == ({"e": "gone"}, []) and run() == ({}, [])
+
+
+def test_small_files_share_a_frame(spark, monkeypatch):
+    """Rows of small files leave together, those of a large one some at a time, and a bad one keeps its error."""
+    monkeypatch.setattr(corpus, "ROWS_AT_ONCE", 10)
+
+    def lines(content):
+        if content == b"bad":
+            raise ValueError
+        yield from enumerate(content.decode().split(" "))
+
+    texts = ["a b", "bad", " ".join(map(str, range(25))), "", "c"]
+    files = spark.createDataFrame([(str(k), bytearray(t.encode())) for k, t in enumerate(texts)], "path string, content binary").coalesce(1)
+    got = rows(corpus.extract(files, lines), "path", "page", "text", "error")
+    wanted = [(str(k), n, w, None) for k, t in enumerate(texts) if t != "bad" for n, w in enumerate(t.split(" "))] + [("1", None, None, "OpenFailed")]
+    assert got == sorted(wanted, key=repr)
+
+
+def test_listing_takes_few_tasks(spark):
+    assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= 100
