@@ -59,8 +59,10 @@ def read_corpus(spark: SparkSession, folder: str, lines_per_page: int = 10) -> D
 
 Extractor = Callable[[bytes], Iterable[tuple]]
 
-#: Rows of a file that are handed on at once.
+#: Rows that are handed on at once.
 ROWS_AT_ONCE = 4096
+#: Bytes of files whose rows wait for each other.
+BYTES_AT_ONCE = 1 << 20
 
 
 def extract(binary: DataFrame, extractor: Extractor, fields: str = PAGE_FIELDS, keep: Sequence[str] = ("path",)) -> DataFrame:
@@ -86,12 +88,29 @@ def extract(binary: DataFrame, extractor: Extractor, fields: str = PAGE_FIELDS,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             names = batch[list(keep)]
+            held: list[tuple] = []
+            of: list[int] = []
+            read = 0
+
+            def packed() -> pd.DataFrame:
+                out = pd.DataFrame(held, columns=[*schema.names, "error"]).astype({name: "Int64" for name in whole})
+                return pd.concat([names.iloc[of].reset_index(drop=True), out], axis=1)
+
             for k, content in enumerate(batch["content"]):
-                # A file's rows leave before the next file is taken apart, some at a time.
+                # Small files share a frame, as a frame costs more than their rows; a large file's rows leave some at a time.
                 rows = rows_of(content)
-                while some := list(islice(rows, ROWS_AT_ONCE)):
-                    out = pd.DataFrame(some, columns=[*schema.names, "error"]).astype({name: "Int64" for name in whole})
-                    yield pd.concat([names.iloc[[k] * len(some)].reset_index(drop=True), out], axis=1)
+                while some := list(islice(rows, ROWS_AT_ONCE - len(held))):
+                    held += some
+                    of += [k] * len(some)
+                    if len(held) == ROWS_AT_ONCE:
+                        yield packed()
+                        held, of, read = [], [], 0
+                read += len(content or b"")
+                if held and read >= BYTES_AT_ONCE:
+                    yield packed()
+                    held, of, read = [], [], 0
+            if held:
+                yield packed()
 
     kept = binary.select(*keep).schema.fields
     return binary.select(*keep, "content").mapInPandas(run, T.StructType([*kept, *schema.fields, T.StructField("error", T.StringType())]))
