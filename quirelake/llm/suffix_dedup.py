@@ -118,17 +118,18 @@ def prefix_counts(docs: DataFrame, passage: int, prefix: int) -> DataFrame:
 
 
 def sparse_suffixes(docs: DataFrame, shared, crowded, bits: int, passage: int, prefix: int) -> DataFrame:
-    """``prefix, doc_id, start, before, suffix, window, starts``: chosen suffixes whose prefix another document may have.
+    """``prefix, doc_id, start, before, suffix, window, starts, ends``: chosen suffixes whose prefix another document may have.
 
     ``suffix`` holds the words from the chosen position to the end of the last window
     that chose it, ``before`` those from its first window, number ``start``, up to the
     position; a space ends every word. For a prefix in ``crowded`` a row is a window
-    instead: 128 bits of a hash of its words, and its ``starts`` in the text.
+    instead: 128 bits of a hash of its words, and where it stands in the text, as word
+    ranges: those of a loop touch and are one.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, names = _Hashes(), ["prefix", "doc_id", "start", "before", "suffix", "window", "starts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        known, names = _Hashes(), ["prefix", "doc_id", "start", "before", "suffix", "window", "starts", "ends"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for batch in batches:
             columns: list[list] = [[] for _ in names]
             for row, found, (head, at, first, last) in _read(batch, known, passage, prefix):
@@ -142,10 +143,15 @@ def sparse_suffixes(docs: DataFrame, shared, crowded, bits: int, passage: int, p
                 few = kept[~many]
                 spans = zip(ends[first[few]].tolist(), ends[at[few]].tolist(), ends[last[few] + passage].tolist())
                 parts = [(joined[a:b], joined[b:c]) for a, b, c in spans]
-                windows: dict[bytes, list[int]] = {}
+                windows: dict[bytes, tuple[list[int], list[int]]] = {}
                 for a, b in zip(first[kept[many]].tolist(), last[kept[many]].tolist()):
                     for k in range(a, b + 1):
-                        windows.setdefault(xxhash.xxh3_128_digest(joined[ends[k] : ends[k + passage]]), []).append(k)
+                        starts, stops = windows.setdefault(xxhash.xxh3_128_digest(joined[ends[k] : ends[k + passage]]), ([], []))
+                        if stops and k <= stops[-1]:
+                            stops[-1] = k + passage
+                        else:
+                            starts.append(k)
+                            stops.append(k + passage)
                 n, w = len(few), len(windows)
                 columns[0] += head[few].view(np.int64).tolist() + [None] * w
                 columns[1] += [doc] * (n + w)
@@ -153,13 +159,14 @@ def sparse_suffixes(docs: DataFrame, shared, crowded, bits: int, passage: int, p
                 columns[3] += [p[0] for p in parts] + [None] * w
                 columns[4] += [p[1] for p in parts] + [None] * w
                 columns[5] += [None] * n + list(windows)
-                columns[6] += [None] * n + list(windows.values())
+                for k in range(2):
+                    columns[6 + k] += [None] * n + [runs[k] for runs in windows.values()]
                 if len(columns[0]) >= 1 << 13:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
                     columns = [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return docs.mapInArrow(of, "prefix long, doc_id long, start long, before binary, suffix binary, window binary, starts array<long>")
+    return docs.mapInArrow(of, "prefix long, doc_id long, start long, before binary, suffix binary, window binary, starts array<long>, ends array<long>")
 
 
 def _numbered(texts: pa.Array, width: int, backwards: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -272,13 +279,14 @@ def _neighbours(rows: DataFrame, passage: int, prefix: int, run: int) -> DataFra
     return dealt.mapInArrow(of, "doc_id long, start long, end long, other_id long, first boolean")
 
 
-def _crowds(rows: DataFrame, passage: int) -> DataFrame:
+def _crowds(rows: DataFrame) -> DataFrame:
     """Matched ranges of the windows of crowded prefixes: equal ones by their hash."""
     equal = Window.partitionBy("window")
-    met = rows.select("window", "doc_id", "starts", F.min("doc_id").over(equal).alias("least"), F.max("doc_id").over(equal).alias("most")).where("least <> most")
+    met = rows.select("window", "doc_id", "starts", "ends", F.min("doc_id").over(equal).alias("least"), F.max("doc_id").over(equal).alias("most")).where("least <> most")
     mine = F.col("doc_id") == F.col("least")
-    return met.select("doc_id", F.explode("starts").alias("start"), F.when(mine, F.col("most")).otherwise(F.col("least")).alias("other_id"), mine.alias("first")).select(
-        "doc_id", "start", (F.col("start") + passage).alias("end"), "other_id", "first")
+    return met.select(
+        "doc_id", F.when(mine, F.col("most")).otherwise(F.col("least")).alias("other_id"), mine.alias("first"), F.inline(F.arrays_zip("starts", "ends"))
+    ).select("doc_id", F.col("starts").alias("start"), F.col("ends").alias("end"), "other_id", "first")
 
 
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE, prefix: int = PREFIX, run: int = RUN, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,7 +308,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, prefix: int = PRE
     shared, crowded = send(bitmap(counts, bits)), send(bitmap(counts.where(F.col("n") > run), bits))
     rows = settle(sparse_suffixes(texts, shared, crowded, bits, passage, prefix), "suffix-rows")
     few = rows.where("window IS NULL").select("prefix", "doc_id", "start", "before", "suffix")
-    ranges = _neighbours(few, passage, prefix, run).unionByName(_crowds(rows.where("window IS NOT NULL"), passage))
+    ranges = _neighbours(few, passage, prefix, run).unionByName(_crowds(rows.where("window IS NOT NULL")))
     # One row a place: a document, that of all null ids too, has no more rows than its longest text has words.
     ranges = ranges.groupBy("doc_id", "first", "start").agg(F.max("end").alias("end"), F.min("other_id").alias("other_id"))
     each = Window.partitionBy("doc_id", "first").orderBy("start", "end")

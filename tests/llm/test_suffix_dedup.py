@@ -90,3 +90,19 @@ def test_neighbours_share_words_not_hashes():
     suffix = pa.array([b"a b c ", b"a b c ", b"a b x "], pa.binary())
     got = {(d, s, e) for d, s, e in zip(*sd._compare(heads, docs, starts, before, suffix, 3, 2)[:3])}
     assert got == {(1, 10, 13), (1, 11, 14), (2, 21, 24), (3, 30, 33)}
+
+
+def test_loops_of_a_crowded_prefix_are_ranges_not_places(spark):
+    from quirelake.llm import suffix_dedup as sd
+    from quirelake.llm.bitmaps import bitmap
+
+    rows = [(k, f"own{k} " + "to and fro " * 300 + f"{samples.sentence(k, 20)} " + "to and fro " * 200) for k in range(12)]
+    df = samples.documents(spark, rows)
+    assert found(df, run=16) == brute(rows, 50)
+    texts = df.select("doc_id", "text")
+    counts = sd.prefix_counts(texts, 50, 16).where("least <> most").selectExpr("prefix AS h", "n")
+    send = spark.sparkContext.broadcast
+    few = sd.sparse_suffixes(texts, send(bitmap(counts)), send(bitmap(counts.where("n > 16"))), sd.BITS, 50, 16)
+    ranges = sd._crowds(few.where("window IS NOT NULL"))
+    # Some 1,400 places of three windows a document; each window has two ranges.
+    assert 0 < ranges.count() <= 12 * 3 * 3
