@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from itertools import groupby
 
@@ -14,6 +15,9 @@ from quirelake.operators.matching import join_same
 from quirelake.operators.prefix import running_total
 from quirelake.session import settle
 
+#: Lines, and bytes of their texts, of a group whose two versions are aligned in one task; larger groups are aligned in rounds.
+WALKED, WALKED_BYTES = 1 << 16, 1 << 26
+
 
 def heaviest_rise(starts: Sequence[int], weights: Sequence[int]) -> list[int]:
     """Places of the rising subsequence of ``starts`` (all different) with the greatest weight."""
@@ -83,7 +87,105 @@ def _kept(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
         *group, (F.col("left_no") + F.col("_step")).alias("left_no"), (F.col("right_no") + F.col("_step")).alias("right_no"))
 
 
-def align_lines(a: DataFrame, b: DataFrame, group: Sequence[str] = ("doc_id",), same: bool = False) -> DataFrame:
+def _stay(pairs: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of the pairs of a gap, in order of their left side, a longest set that rises on both, as in :func:`_kept`."""
+    runs: list[list[int]] = []
+    for left, right in pairs:
+        if runs and left == runs[-1][0] + runs[-1][2] and right == runs[-1][1] + runs[-1][2]:
+            runs[-1][2] += 1
+        else:
+            runs.append([left, right, 1])
+    chosen = heaviest_rise([r[1] for r in runs], [r[2] for r in runs])
+    return [(runs[k][0] + i, runs[k][1] + i) for k in chosen for i in range(runs[k][2])]
+
+
+def _numbered(lines: Sequence[tuple[int, str]]) -> dict[tuple[str, int], int]:
+    """Places of lines by text and how many equal ones come before."""
+    seen: Counter = Counter()
+    out = {}
+    for place, text in lines:
+        out[text, seen[text]] = place
+        seen[text] += 1
+    return out
+
+
+def differences(left: Sequence[str], right: Sequence[str]) -> tuple[list[tuple[int, int]], list[tuple[int | None, int | None, str]]]:
+    """Places of kept lines, and places and state of the others, of two versions that fit in memory."""
+    sides = list(enumerate(left)), list(enumerate(right))
+    same: list[tuple[int, int]] = []
+    gaps = []
+    waiting = [sides]
+    while waiting:
+        one, other = waiting.pop()
+        counts, others = Counter(t for _, t in one), Counter(t for _, t in other)
+        there: dict = {t: place for place, t in other}
+        pairs = [(place, there[t]) for place, t in one if counts[t] == 1 and others[t] == 1]
+        open_ = bool(pairs)
+        if not open_:  # no line is alone on both sides: repeated lines meet by number
+            there = _numbered(other)
+            pairs = [(place, there[key]) for key, place in _numbered(one).items() if key in there]
+        kept = _stay(pairs)
+        same += kept
+        first, second = (one[0][0] if one else 0), (other[0][0] if other else 0)
+        i, j = 0, 0
+        for a, b in [*kept, (first + len(one), second + len(other))]:
+            part = one[i : a - first], other[j : b - second]
+            if all(part) and open_:
+                waiting.append(part)
+            elif any(part):
+                gaps.append(part)
+            i, j = a - first + 1, b - second + 1
+    stays = {a for a, _ in same}, {b for _, b in same}
+    here, there = (_numbered([line for line in side if line[0] not in kept]) for side, kept in zip(sides, stays))
+    moved = [(place, there[key]) for key, place in here.items() if key in there]
+    gone = {a for a, _ in moved}, {b for _, b in moved}
+    out: list[tuple[int | None, int | None, str]] = [(a, b, "moved") for a, b in moved]
+    for gap in gaps:
+        one, other = ([place for place, _ in lines if place not in away] for lines, away in zip(gap, gone))
+        met = min(len(one), len(other))
+        out += [(a, b, "changed") for a, b in zip(one, other)]
+        out += [(a, None, "deleted") for a in one[met:]] + [(None, b, "inserted") for b in other[met:]]
+    return same, out
+
+
+def _walked(a: DataFrame, b: DataFrame, group: Sequence[str], same: bool) -> DataFrame:
+    """As :func:`align_lines`, for groups that fit a task: lines are shuffled once, with their texts."""
+    names = [*group, "left_no", "right_no", "state", "left", "right"]
+    both = a.withColumn("_right", F.lit(False)).unionByName(b.withColumn("_right", F.lit(True)))
+    columns = [F.col("line_no").cast("long").alias("line_no"), F.col("text").cast("string").alias("text")]
+    dealt = both.select(*group, "_right", *columns).repartition(*group).sortWithinPartitions(*group, "_right", "line_no", "text")
+    keys = [T.StructField(f.name, f.dataType) for f in dealt.select(*group).schema]
+    kinds = [("left_no", T.LongType()), ("right_no", T.LongType()), ("state", T.StringType()), ("left", T.StringType()), ("right", T.StringType())]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list[pa.DataType] = []
+
+        def read() -> Iterator[tuple]:
+            for batch in batches:
+                types[:] = [*batch.schema.types[: len(group)], pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+                yield from zip(*(c.to_pylist() for c in batch.columns))
+
+        out: list[tuple] = []
+        for key, found in groupby(read(), key=lambda r: r[: len(group)]):
+            lines: tuple[list, list] = [], []
+            for *_, right, no, text in found:
+                lines[right].append((no, text))
+            kept, changes = differences(*([text or "" for _, text in side] for side in lines))
+            if same:
+                changes += [(a, b, "same") for a, b in kept]
+            for a, b, state in changes:
+                left, right = (None, None) if a is None else lines[0][a], (None, None) if b is None else lines[1][b]
+                out.append((*key, left[0], right[0], state, left[1], right[1]))
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                out.clear()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    return dealt.mapInArrow(of, T.StructType([*keys, *(T.StructField(n, t) for n, t in kinds)]))
+
+
+def align_lines(a: DataFrame, b: DataFrame, group: Sequence[str] = ("doc_id",), same: bool = False, walked: int = WALKED) -> DataFrame:
     """Differences of two versions: ``(*group, left_no, right_no, state, left, right)``.
 
     ``a`` and ``b`` have the group columns, ``line_no`` (unique in a group) and
@@ -96,11 +198,26 @@ def align_lines(a: DataFrame, b: DataFrame, group: Sequence[str] = ("doc_id",),
     lines are returned too. A null text counts as empty; a null in a group
     column is a group of its own.
 
+    A group of at most ``walked`` lines, both versions together, is aligned where its lines
+    meet: they are shuffled once. Larger ones are aligned in rounds (:func:`_in_rounds`).
+    """
+    group = list(group)
+    sizes = a.select(*group, "text").unionByName(b.select(*group, "text")).groupBy(*group).agg(
+        F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    large = settle(sizes.where((F.col("n") > walked) | (F.col("bytes") > WALKED_BYTES)).select(*group), "aligned-large")
+    if large.isEmpty():
+        return _walked(a, b, group, same)
+    small, rest = ([join_same(df.select(*group, "line_no", "text"), large, group, how) for df in (a, b)] for how in ("left_anti", "left_semi"))
+    return _walked(*small, group, same).unionByName(_in_rounds(*rest, group, same))
+
+
+def _in_rounds(a: DataFrame, b: DataFrame, group: list[str], same: bool) -> DataFrame:
+    """As :func:`align_lines`, for groups of any size.
+
     Texts are hashed where they are read and only digests are shuffled, but for the
     differences themselves. Counts and numbers are taken in blocks, so a document may
     hold any share of the lines.
     """
-    group = list(group)
 
     def met(one: DataFrame, other: DataFrame, keys: Sequence[str], how: str, also: Sequence[str] = ()) -> DataFrame:
         return join_same(one, other.select(*keys, *also), keys, how)

@@ -190,6 +190,33 @@ def test_an_inserted_line_changes_nothing_else(spark):
     assert Counter(x[2] for x in found[3]) == {"same": 40, "moved": 10}
 
 
+def test_small_documents_are_aligned_where_their_lines_meet(spark, monkeypatch):
+    draw = random.Random(12)
+    a, b = {}, {}
+    for doc in (*range(8), None):
+        one = [draw.choice(["", "}", "a", None, f"u{k}", f"v{k}"]) for k in range(50)]
+        other = [x for x in one if draw.random() < 0.8]
+        part = other[5:12]
+        del other[5:12]
+        other[20:20] = part
+        for _ in range(4):
+            other.insert(draw.randrange(len(other)), draw.choice(["", "new", "a"]))
+        a[doc], b[doc] = one, other
+    a[20], b[21] = ["only here", ""], ["only there"]
+    a, b = (spark.createDataFrame(lines_of(x), LINES) for x in (a, b))
+    settled = []
+    monkeypatch.setattr(alignment, "settle", lambda df, label, do=alignment.settle: settled.append(label) or do(df, label))
+    want = rows(alignment.align_lines(a, b, same=True, walked=0))
+    assert len(settled) > 5
+    settled.clear()
+    walked = alignment.align_lines(a, b, same=True)
+    assert rows(walked) == want and settled == ["aligned-large"]
+    assert rows(alignment.align_lines(a, b, same=True, walked=90)) == want
+    # Rows of equal number are not lost.
+    twice = alignment.align_lines(a.unionByName(a), b, same=True)
+    assert twice.where("left_no IS NOT NULL").count() == 2 * a.count()
+
+
 def test_heaviest_rise():
     draw = random.Random(1)
     for _ in range(200):
