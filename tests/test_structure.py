@@ -324,3 +324,19 @@ def test_preorder_walked_and_in_rounds(spark):
         assert rows(outline.preorder(table, bound), *names) == rounds
     plan = outline._walked(table)._jdf.queryExecution().toString()
     assert "Join" not in plan
+
+
+def test_a_page_is_cut_where_its_words_meet(spark, monkeypatch):
+    data = [(d, 0, n, f"w{n}", x, y, 30.0, 12.0) for d in (1, 2, None) for n, (x, y) in enumerate([(50.0, 28.0), (50.0, 100.0), (300.0, 28.0), (300.0, 40.0)])]
+    data += [(9, 0, 0, "a", None, 28.0, 30.0, 12.0), (9, 0, 1, "b", 50.0, 28.0, 30.0, 12.0)]
+    words = spark.createDataFrame(data, "doc_id bigint, page int, word_no int, text string, x double, y double, width double, height double")
+    settled = []
+    monkeypatch.setattr(columns, "settle", lambda df, label, do=columns.settle: settled.append(df) or do(df, label))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = rows(columns.reading_regions(words), "doc_id", "word_no", "region")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == sorted([(d, n, r) for d in (1, 2, None) for n, r in enumerate((0, 1, 2, 2))] + [(9, 0, 0), (9, 1, 0)], key=repr)
+    # One sort holds a task's words, not one for each window over them.
+    assert len(settled) == 1 and settled[0]._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
