@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from functools import partial
+from hashlib import blake2b
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +26,14 @@ TOP = 2000
 BUDGET = 1 << 20
 #: Bits of a filter of frequent words or pairs: 8 MB, whatever the corpus.
 FILTER_BITS = 1 << 26
+#: Counters that prefixes of three words and more share: one byte each in a worker, one bit when sent back.
+SLOTS = 1 << 24
 #: Prefixes are counted and dealt to groups by this many cells.
 CELLS = 1 << 16
 #: Words handled at once, distinct words a worker remembers, bytes of a text split at once.
 CHUNK, REMEMBERED, PART = 1 << 21, 500_000, 1 << 23
+#: Distinct leaves a worker adds up before it gives them out.
+HELD = 1 << 17
 #: Parts a language's candidates are ranked in before they meet.
 RANKED = 64
 
@@ -33,6 +42,8 @@ _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abc
 _END = b"\xff"
 #: A group's number is below this; the level of its prefixes is counted above it.
 _LEVEL = 1 << 24
+#: Counters of one row.
+_RUN = 1 << 16
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -45,6 +56,11 @@ def _joined(head: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mixed(head * np.uint64(0xFF51AFD7ED558CCD) + word)
 
 
+def hashed(data: bytes, seed: int) -> int:
+    """A hash of 64 bits. Words that share one have different ones with another seed."""
+    return int.from_bytes(blake2b(data, digest_size=8, key=str(seed).encode()).digest(), "big") if seed else xxhash.xxh64_intdigest(data)
+
+
 def split_words(text: str | None, depth: int = DEPTH, part: int = PART) -> Iterator[tuple[list[bytes], int]]:
     """Words of a text with ``b"\\xff"`` where a piece ends, and how many of them start phrases.
 
@@ -89,10 +105,10 @@ class Chunk:
         within = np.arange(len(self.ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.starts = within < np.repeat(np.array(owned), sizes)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, digest: Callable[[bytes], int]) -> np.ndarray:
         """A hash of language and word for every place."""
-        word = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
-        lang = np.fromiter((xxhash.xxh64_intdigest(n.encode(), 7) for n in self.names), np.uint64, len(self.names))
+        word = np.fromiter(map(digest, self.words), np.uint64, len(self.words))
+        lang = np.fromiter((digest(_END + n.encode()) for n in self.names), np.uint64, len(self.names))
         return _joined(lang[self.langs], word[self.ids])
 
 
@@ -120,7 +136,7 @@ def _texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
 
 
-def word_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
+def word_counts(texts: DataFrame, digest: Callable[[bytes], int], depth: int = DEPTH) -> DataFrame:
     """``lang, word, h, n``: occurrences of all words, counted in each worker first."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +146,7 @@ def word_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
             words = [readable(chunk.words[k].decode()) for k in (keys & 0xFFFFFFFF).tolist()]
             langs = pa.array(chunk.names, pa.string()).take(pa.array(keys >> 32))
             yield pa.RecordBatch.from_arrays(
-                [langs, pa.array(words, pa.string()), pa.array(chunk.hashes()[place[first]].view(np.int64)), pa.array(counts)], names=["lang", "word", "h", "n"])
+                [langs, pa.array(words, pa.string()), pa.array(chunk.hashes(digest)[place[first]].view(np.int64)), pa.array(counts)], names=["lang", "word", "h", "n"])
 
     return texts.mapInArrow(of, "lang string, word string, h long, n long").groupBy("lang", "word", "h").agg(F.sum("n").alias("n"))
 
@@ -139,43 +155,121 @@ def _cell(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(48)).astype(np.int64)
 
 
-def pair_counts(texts: DataFrame, words, bits: int, depth: int = DEPTH) -> DataFrame:
-    """``h, n``: hashes of two-word prefixes, both words in the filter, with their suffixes."""
+@dataclass(frozen=True)
+class Kept:
+    """What may be part of a frequent phrase: words, pairs and prefixes of three words and more, as bitmaps."""
+
+    digest: Callable[[bytes], int]
+    bits: int
+    slots: int
+    words: Broadcast
+    pairs: Broadcast | None = None
+    longer: Broadcast | None = None
+
+
+def pair_counts(texts: DataFrame, kept: Kept, depth: int = DEPTH) -> DataFrame:
+    """``first, second, n``: pairs of words of the filter by the words' hashes, and how often they occur."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, depth):
-            hashes = chunk.hashes()
-            often = (chunk.ids > 0) & held_in(words.value, hashes, bits)
+            hashes = chunk.hashes(kept.digest)
+            often = (chunk.ids > 0) & held_in(kept.words.value, hashes, kept.bits)
             at = np.flatnonzero(often[:-1] & often[1:] & chunk.starts[:-1])
-            keys, counts = np.unique(_joined(hashes[at], hashes[at + 1]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["h", "n"])
+            code = np.unique(chunk.langs[at] << 32 | chunk.ids[at], return_inverse=True)[1]
+            _, found, counts = np.unique(code << 32 | chunk.ids[at + 1], return_index=True, return_counts=True)
+            first = at[found]
+            columns = [pa.array(hashes[first].view(np.int64)), pa.array(hashes[first + 1].view(np.int64)), pa.array(counts)]
+            yield pa.RecordBatch.from_arrays(columns, names=["first", "second", "n"])
+
+    return texts.mapInArrow(of, "first long, second long, n long").groupBy("first", "second").agg(F.sum("n").alias("n"))
 
-    return texts.mapInArrow(of, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+def pair_hashes(pairs: DataFrame) -> DataFrame:
+    """``h, n``: a hash for each pair."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, second = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(_joined(first, second).view(np.int64)), batch.column(2)], names=["h", "n"])
+
+    return pairs.select("first", "second", "n").mapInArrow(of, "h long, n long")
 
 
 class Suffixes:
-    """Suffixes of a chunk that start with a frequent pair, cut where a pair is not frequent."""
+    """Suffixes of a chunk that start with a frequent pair, cut where a pair or a longer prefix is not frequent.
+
+    Once longer prefixes are known, suffixes that are pairs only are left out.
+    """
 
-    def __init__(self, chunk: Chunk, words: np.ndarray, pairs: np.ndarray, bits: int, depth: int):
-        hashes = chunk.hashes()
-        often = (chunk.ids > 0) & held_in(words, hashes, bits)
+    def __init__(self, chunk: Chunk, kept: Kept, depth: int):
+        hashes = chunk.hashes(kept.digest)
+        often = (chunk.ids > 0) & held_in(kept.words.value, hashes, kept.bits)
         both = np.append(often[:-1] & often[1:], False)
         at = np.flatnonzero(both)
-        both[at] = held_in(pairs, _joined(hashes[at], hashes[at + 1]), bits)
-        self.at = np.flatnonzero(both & chunk.starts)
+        both[at] = held_in(kept.pairs.value, _joined(hashes[at], hashes[at + 1]), kept.bits)
+        both = np.append(both, False)
+        # Two frequent pairs in a row at least: a pair by itself is counted already.
+        self.at = np.flatnonzero(both[:-1] & both[1:] & chunk.starts)
         self.depth = np.full(len(self.at), 2)
         #: Hashes of the prefixes of two words and more; of a shorter suffix, those of all it has.
-        self.prefixes = [_joined(hashes[self.at], hashes[np.minimum(self.at + 1, len(hashes) - 1)])]
+        self.prefixes = [_joined(hashes[self.at], hashes[self.at + 1])]
         more = np.ones(len(self.at), bool)
         for level in range(2, depth):
-            step = np.minimum(self.at + level - 1, len(both) - 1)
+            step = np.minimum(self.at + level - 1, len(hashes) - 1)
             more &= both[step]
+            prefix = _joined(self.prefixes[-1], hashes[np.minimum(step + 1, len(hashes) - 1)])
+            if kept.longer:
+                more[more] = held_in(kept.longer.value, prefix[more], kept.slots)
             self.depth += more
-            following = hashes[np.minimum(step + 1, len(hashes) - 1)]
-            self.prefixes.append(np.where(more, _joined(self.prefixes[-1], following), self.prefixes[-1]))
+            self.prefixes.append(np.where(more, prefix, self.prefixes[-1]))
+        long = self.depth > 2
+        self.at, self.depth, self.prefixes = self.at[long], self.depth[long], [p[long] for p in self.prefixes]
 
 
-def prefix_groups(texts: DataFrame, words, pairs, pair_cells: list, bits: int, depth: int = DEPTH, budget: int = BUDGET) -> list[np.ndarray]:
+def longer_prefixes(texts: DataFrame, kept: Kept, depth: int = DEPTH, support: int = SUPPORT) -> np.ndarray:
+    """A bitmap of the prefixes of three words and more that may be frequent.
+
+    Each worker counts in ``slots`` counters, whatever the corpus, and the counters are
+    added up run by run. Prefixes that share one are counted together, so none that is
+    frequent is missed. A counter stops at 255, and there it counts as frequent.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(kept.slots, np.uint8)
+        for chunk in _chunks(batches, depth):
+            found = Suffixes(chunk, kept, depth)
+            for level in range(2, depth):
+                slot, n = np.unique(found.prefixes[level - 1][found.depth > level] & np.uint64(kept.slots - 1), return_counts=True)
+                counts[slot] = np.minimum(counts[slot] + n, 255)
+        for run in range(-(-kept.slots // _RUN)):
+            own = counts[run * _RUN :][:_RUN]
+            place = np.flatnonzero(own)
+            if len(place):
+                yield pa.RecordBatch.from_arrays([pa.array([run]), pa.array([place.astype(np.uint16).tobytes()]), pa.array([own[place].tobytes()])], names=["run", "place", "n"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def often() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([np.packbits(sums >= min(support, 255), bitorder="little").tobytes()])], names=["run", "bits"])
+
+        at, sums = -1, np.zeros(_RUN, np.int64)
+        for batch in batches:
+            for run, place, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if run != at:
+                    if at >= 0:
+                        yield often()
+                    at, sums = run, np.zeros(_RUN, np.int64)
+                sums[np.frombuffer(place, np.uint16)] += np.frombuffer(n, np.uint8)
+        if at >= 0:
+            yield often()
+
+    counted = texts.mapInArrow(of, "run long, place binary, n binary").repartition("run").sortWithinPartitions("run")
+    out = np.zeros(max(kept.slots, _RUN) // 8, np.uint8)
+    for run, found in counted.mapInArrow(added, "run long, bits binary").collect():
+        out[run * (_RUN // 8) :][: _RUN // 8] = np.frombuffer(found, np.uint8)
+    return out
+
+
+def prefix_groups(texts: DataFrame, kept: Kept, pair_cells: list, depth: int = DEPTH, budget: int = BUDGET) -> list[np.ndarray]:
     """Vertical partitioning: the group of every cell of prefixes, by number of words from two.
 
     Cells of prefixes fill groups up to ``budget`` suffixes. Those of a cell over the
@@ -201,7 +295,7 @@ def prefix_groups(texts: DataFrame, words, pairs, pair_cells: list, bits: int, d
 
         def of(batches: Iterator[pa.RecordBatch], level: int = level, known: tuple = tuple(tables)) -> Iterator[pa.RecordBatch]:
             for chunk in _chunks(batches, depth):
-                found = Suffixes(chunk, words.value, pairs.value, bits, depth)
+                found = Suffixes(chunk, kept, depth)
                 longer = found.depth > level
                 for k, table in enumerate(known):
                     longer &= table[_cell(found.prefixes[k])] < 0
@@ -213,12 +307,18 @@ def prefix_groups(texts: DataFrame, words, pairs, pair_cells: list, bits: int, d
     return tables
 
 
-def leaf_totals(texts: DataFrame, words, pairs, tables: list[np.ndarray], bits: int, depth: int = DEPTH) -> DataFrame:
-    """``grp, lang, leaf, n``: truncated suffixes, equal ones added up, with their group."""
+def leaf_totals(texts: DataFrame, kept: Kept, tables: list[np.ndarray], depth: int = DEPTH) -> DataFrame:
+    """``grp, lang, leaf, n``: truncated suffixes, equal ones added up in each worker first, with their group."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple[int, str, str], int] = {}
+
+        def batch_of() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.string(), pa.string())
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*totals), kinds)), pa.array(totals.values(), pa.int64())], names=["grp", "lang", "leaf", "n"])
+
         for chunk in _chunks(batches, depth):
-            found = Suffixes(chunk, words.value, pairs.value, bits, depth)
+            found = Suffixes(chunk, kept, depth)
             # Numbers of equal prefixes, word by word; exact, as each level's numbers are dense.
             code = np.unique(chunk.langs[found.at] << 32 | chunk.ids[found.at], return_inverse=True)[1]
             for level in range(1, depth):
@@ -236,14 +336,20 @@ def leaf_totals(texts: DataFrame, words, pairs, tables: list[np.ndarray], bits:
                 b"\x00".join([chunk.words[i] for i in chunk.ids[at : at + length].tolist()]).decode()
                 for at, length in zip(found.at[first].tolist(), found.depth[first].tolist())
             ]
-            langs = pa.array(chunk.names, pa.string()).take(pa.array(chunk.langs[found.at[first]]))
-            yield pa.RecordBatch.from_arrays([pa.array(group), langs, pa.array(leaves, pa.string()), pa.array(counts)], names=["grp", "lang", "leaf", "n"])
+            langs = [chunk.names[i] for i in chunk.langs[found.at[first]].tolist()]
+            for leaf, n in zip(zip(group.tolist(), langs, leaves), counts.tolist()):
+                totals[leaf] = totals.get(leaf, 0) + n
+            if len(totals) >= HELD:
+                yield batch_of()
+                totals.clear()
+        if totals:
+            yield batch_of()
 
     return texts.mapInArrow(of, "grp long, lang string, leaf string, n long").groupBy("grp", "lang", "leaf").agg(F.sum("n").alias("n"))
 
 
 def subtrees(leaves: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """``lang, phrase, words, n``: nodes of two words and more that occur ``support`` times.
+    """``lang, phrase, words, n``: nodes of three words and more that occur ``support`` times.
 
     Each group's leaves come sorted, so its trees are built along the path of the leaf at
     hand: a node closes when a leaf leaves it, with the sum of its leaves. Nodes above a
@@ -259,7 +365,7 @@ def subtrees(leaves: DataFrame, support: int = SUPPORT) -> DataFrame:
         def close(depth: int) -> None:
             while len(path) > depth:
                 n = sums.pop()
-                if len(path) > 1 and (n >= support or len(path) < tree[0] // _LEVEL):
+                if len(path) > 2 and (n >= support or len(path) < tree[0] // _LEVEL):
                     out.append((tree[1], readable("\x00".join(path)), len(path), n))
                 path.pop()
                 if sums:
@@ -295,24 +401,35 @@ def subtrees(leaves: DataFrame, support: int = SUPPORT) -> DataFrame:
 
 
 def frequent_phrases(docs: DataFrame, depth: int = DEPTH, support: int = SUPPORT, budget: int = BUDGET, bits: int = FILTER_BITS,
-                     lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+                     lang_col: str = "lang", text_col: str = "text", slots: int = SLOTS, digest: Callable[[bytes, int], int] = hashed) -> tuple[DataFrame, DataFrame]:
     """``(words, phrases)``: ``lang, word, n`` of all words, and ``lang, phrase, words, n``
     of the phrases of two to ``depth`` words that occur at least ``support`` times.
 
-    Prefixes of one word that are too rare drop out, then those of two; the others are
-    dealt to groups by a budget, and each group's suffix trees are built by themselves.
-    What prunes are filters of a fixed size. A word or pair that passes by sharing a bit
-    costs time, but all counts are of the words themselves.
+    Prefixes of one word that are too rare drop out, then those of two, which are counted
+    by the hashes of their words, then longer ones; the others are dealt to groups by a
+    budget, and each group's suffix trees are built by themselves. What prunes are filters
+    of a fixed size. A word or prefix that passes by sharing a bit or counter costs time,
+    but all counts are of the words themselves: if two words of the corpus share a hash,
+    another seed is taken.
     """
     texts = _texts(docs, lang_col, text_col)
     send = texts.sparkSession.sparkContext.broadcast
-    words = settle(word_counts(texts, depth), "collocation-words")
-    word_bits = send(bitmap(words.where(F.col("n") >= support), bits))
-    pairs = settle(pair_counts(texts, word_bits, bits, depth).where(F.col("n") >= support), "collocation-prefixes")
-    pair_bits = send(bitmap(pairs, bits))
-    cells = pairs.groupBy(F.shiftrightunsigned("h", 48).alias("cell")).agg(F.sum("n").alias("n")).collect()
-    tables = prefix_groups(texts, word_bits, pair_bits, cells, bits, depth, budget)
-    phrases = settle(subtrees(leaf_totals(texts, word_bits, pair_bits, tables, bits, depth), support), "collocation-phrases")
+    for seed in count():
+        own = partial(digest, seed=seed)
+        words = settle(word_counts(texts, own, depth), "collocation-words")
+        if words.groupBy("h").agg(F.count("*").alias("words")).where("words > 1").isEmpty():
+            break
+    often = words.where(F.col("n") >= support)
+    kept = Kept(own, bits, slots, send(bitmap(often, bits)))
+    pairs = settle(pair_counts(texts, kept, depth).where(F.col("n") >= support), "collocation-prefixes")
+    prefixes = pair_hashes(pairs)
+    kept = replace(kept, pairs=send(bitmap(prefixes, bits)))
+    kept = replace(kept, longer=send(longer_prefixes(texts, kept, depth, support)))
+    cells = prefixes.groupBy(F.shiftrightunsigned("h", 48).alias("cell")).agg(F.sum("n").alias("n")).collect()
+    tables = prefix_groups(texts, kept, cells, depth, budget)
+    first, second = (often.select(F.col("h").alias(k), F.col("word").alias(f"{k}_word"), *extra) for k, extra in (("first", ["lang"]), ("second", [])))
+    named = pairs.join(first, "first").join(second, "second").select("lang", F.concat_ws(" ", "first_word", "second_word").alias("phrase"), F.lit(2).alias("words"), "n")
+    phrases = settle(named.unionByName(subtrees(leaf_totals(texts, kept, tables, depth), support)), "collocation-phrases")
     return words.drop("h"), phrases
 
 

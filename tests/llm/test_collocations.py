@@ -102,3 +102,45 @@ def test_odd_rows(spark):
     rows = [("en", t) for _, t in samples.odd_rows()] * 3 + [("en", "y " * 50_000)]
     assert sorted(map(tuple, collocations(table(spark, rows), support=3).collect())) == brute(rows, support=3)
     assert collocations(table(spark, [])).count() == 0
+
+
+def test_leaves_of_frequent_prefixes_only(spark, monkeypatch):
+    from quirelake.llm import collocations as module
+
+    draw = random.Random(5)
+    words = [f"w{k}" for k in range(12)]
+    # Every pair is frequent and hardly a triple; one passage is.
+    rows = [("en", " ".join(draw.choice(words) for _ in range(60))) for _ in range(300)] + [("en", "one passage that comes again")] * 50
+    made = []
+
+    def kept(*args, f=module.leaf_totals):
+        made.append(f(*args))
+        return made[-1]
+
+    monkeypatch.setattr(module, "leaf_totals", kept)
+    phrases = frequent_phrases(table(spark, rows).repartition(4), support=40)[1]
+    counts, _ = counted(rows)
+    want = sorted(("en", " ".join(p), len(p), a) for p, a in counts["en"].items() if len(p) > 1 and a >= 40)
+    assert sorted(map(tuple, phrases.collect())) == want and sum(r[2] == 2 for r in want) > 140
+    leaves = [r["leaf"].split("\0") for r in made[0].collect()]
+    assert leaves and all(len(leaf) > 2 and counts["en"][tuple(leaf)] >= 40 for leaf in leaves)
+
+
+def test_counters_shared_by_many_prefixes(spark):
+    rows = corpus(3, 120)
+    counts, _ = counted(rows)
+    df = table(spark, rows).repartition(3)
+    for support in (15, 300):
+        want = sorted((lang, " ".join(p), len(p), a) for lang, f in counts.items() for p, a in f.items() if len(p) > 1 and a >= support)
+        for slots in (1 << 3, 1 << 17):
+            assert sorted(map(tuple, frequent_phrases(df, support=support, slots=slots)[1].collect())) == want
+
+
+def test_words_of_equal_hash(spark):
+    from quirelake.llm.collocations import hashed
+
+    rows = corpus(4, 120)
+    counts, _ = counted(rows)
+    want = sorted((lang, " ".join(p), len(p), a) for lang, f in counts.items() for p, a in f.items() if len(p) > 1 and a >= 15)
+    phrases = frequent_phrases(table(spark, rows), support=15, digest=lambda data, seed: hashed(data, seed) if seed else len(data))[1]
+    assert sorted(map(tuple, phrases.collect())) == want
