@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -14,6 +15,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.llm.remembered import Remembered
+
 #: Words share this many vectors by hash, which bounds the table that is broadcast.
 BUCKETS = 1 << 14
 DIM = 32
@@ -27,9 +30,10 @@ EPOCHS = 30
 #: Share of the sample that sets the temperature.
 CALIBRATION = 0.2
 SEED = 9
-#: Tokens handled at once, and remembered chunks of a worker.
+#: Tokens handled at once.
 BLOCK = 1 << 16
-REMEMBERED = 500_000
+#: Chunks a worker remembers in each of two generations.
+REMEMBERED = 1 << 17
 
 _PARTS = re.compile(r"[^\W\d_]+|\d+|_+|[^\w\s]+")
 
@@ -41,10 +45,12 @@ def _bucket(token: str) -> int:
 _AGAIN, _CAPS, _NUMBER = (_bucket(f"\x00{mark}") for mark in ("again", "caps", "number"))
 
 
-class _Chunks(dict):
+class _Chunks(Remembered):
     """Token buckets of a chunk between white space, as packed 16-bit numbers."""
 
-    def __missing__(self, chunk: str) -> bytes:
+    limit = REMEMBERED
+
+    def fresh(self, chunk: str) -> bytes:
         out = []
         for part in _PARTS.findall(chunk):
             if part[0].isalpha():
@@ -53,10 +59,7 @@ class _Chunks(dict):
                 out.append(_bucket(part.lower()))
             else:
                 out.append(_NUMBER if part[0].isdigit() else _bucket(part))
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[chunk] = found = np.array(out, "<u2").tobytes()
-        return found
+        return array("H", out).tobytes()
 
 
 @cache

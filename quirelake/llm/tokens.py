@@ -9,10 +9,12 @@ from functools import cache
 
 from tokenizers import Tokenizer
 
+from quirelake.llm.remembered import LONGEST, Remembered
+
 #: Texts are encoded in stretches of about this many characters.
 STRETCH = 1 << 20
-#: Chunks a worker remembers in each of two generations; those not met in a whole generation are forgotten.
-REMEMBERED = 400_000
+#: Chunks a worker remembers in each of two generations.
+REMEMBERED = 1 << 17
 #: Latin letters whose lower case is one letter, then ASCII marks but the apostrophe.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -21,7 +23,7 @@ _STRETCHES = re.compile(rf"(?s).{{1,{STRETCH}}}\S*")
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 
-class ChunkEncoder(dict):
+class ChunkEncoder(Remembered):
     """Encodes by chunks between white space and remembers them: chunk to packed ids.
 
     For vocabularies that drop white space and never join across it: a text's ids are
@@ -30,12 +32,13 @@ class ChunkEncoder(dict):
     tokens or odd separators are encoded whole.
     """
 
+    limit = REMEMBERED
+
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.marks: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         #: How the tokenizer spells each letter's bytes to its model.
         spelt = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.spelling = str.maketrans({letter: spelt(letter)[0][0] for letter in _LETTERS})
@@ -44,31 +47,27 @@ class ChunkEncoder(dict):
         for text in texts:
             yield array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        found = self.older.get(chunk)
-        if found is None:
-            found = self._fresh(chunk)
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self[chunk] = found
-        return found
-
-    def _fresh(self, chunk: str) -> bytes:
+    def fresh(self, chunk: str) -> bytes:
         plain = _PLAIN.fullmatch(chunk)
         if plain:
             letters, marks = plain.groups()
             found = array("I", [t.id for t in self.model.tokenize(letters.lower().translate(self.spelling))]).tobytes()
             if marks:
-                if marks not in self.marks:
-                    if len(self.marks) > REMEMBERED:
-                        self.marks.clear()
-                    (self.marks[marks],) = self._whole([marks])
-                found += self.marks[marks]
+                found += self._marks(marks)
         else:
             (found,) = self._whole([chunk])
         return found
 
+    def _marks(self, marks: str) -> bytes:
+        found = self.marks.get(marks)
+        if found is None:
+            (found,) = self._whole([marks])
+            if len(self.marks) >= self.limit:
+                self.marks.clear()
+            if len(marks) <= LONGEST:
+                self.marks[marks] = found
+        return found
+
     def _stretch(self, texts: list[str]) -> list[bytes]:
         return [b"".join([self[chunk] for chunk in text.split()]) for text in texts]
 
